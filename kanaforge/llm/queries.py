@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kanaforge.llm import bpe, quality
+from kanaforge.llm import bpe, quality, toxicity
 from kanaforge.llm.common import documents, labels
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -15,12 +15,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return toxicity.classify(docs, labels(spark, sf_dir)).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return quality.classify(docs, labels(spark, sf_dir)).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op8_quality": op8_quality,
     "op2_bpe": op2_bpe,
 }
