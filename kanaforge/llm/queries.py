@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kanaforge.llm import bpe, quality, toxicity
+from kanaforge.llm import bpe, quality, simhash, toxicity
 from kanaforge.llm.common import documents, labels
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
@@ -28,6 +34,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op8_quality": op8_quality,
+    "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
 }
 
