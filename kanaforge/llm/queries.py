@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kanaforge.llm import bpe, quality, simhash, toxicity
+from kanaforge.llm import bpe, langid, quality, sharding, simhash, toxicity
 from kanaforge.llm.common import documents, labels
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -26,14 +26,26 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, labels(spark, sf_dir)).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(documents(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return quality.classify(docs, labels(spark, sf_dir)).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
 QUERIES = {
     "op5_toxicity": op5_toxicity,
+    "op6_sharding": op6_sharding,
     "op8_quality": op8_quality,
+    "op9_langid": op9_langid,
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
 }
