@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kanaforge.llm import bpe, langid, quality, sharding, simhash, toxicity
+from kanaforge.llm import bpe, langid, mixing, quality, sharding, simhash, toxicity, urls
 from kanaforge.llm.common import documents, labels
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,17 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.positions(documents(spark, sf_dir).select("doc_id", "source"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: labels.quality of the page's number; 0 is bad."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    outcomes = labels(spark, sf_dir).where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return urls.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return quality.classify(docs, labels(spark, sf_dir)).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
@@ -44,10 +55,71 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
+    "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_langid": op9_langid,
+    "op10_urls": op10_urls,
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+#: op10: the rules, and the posterior bound of each host, from first principles.
+OP10_SQL = """
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), o AS (
+  SELECT p.page_id, p.host, l.bad FROM p
+  LEFT JOIN (SELECT doc_id, max(1 - quality) AS bad FROM labels WHERE quality IN (0, 1) GROUP BY doc_id) l ON l.doc_id = p.page_id
+), h0 AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, string_split(host, '.') AS s FROM o GROUP BY host
+), h1 AS (
+  SELECT *, CASE WHEN len(s) > 2 AND length(s[len(s)]) = 2 AND s[len(s) - 1] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS k FROM h0
+), h AS (
+  SELECT host, n, bad,
+    array_to_string(list_slice(s, greatest(len(s) - k + 1, 1), len(s)), '.') AS suffix,
+    array_to_string(list_slice(s, greatest(len(s) - k, 1), len(s)), '.') AS domain
+  FROM h1
+), d AS (
+  SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix
+), x AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix
+), levels AS (
+  SELECT 'h' AS lv, n, bad FROM h WHERE n > 0 UNION ALL SELECT 'd', n, bad FROM d WHERE n > 0 UNION ALL SELECT 'x', n, bad FROM x WHERE n > 0
+), sums AS (
+  SELECT lv, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, count(*) AS m, sum(n * n)::DOUBLE AS nn, sum(bad * bad / n::DOUBLE) AS w FROM levels GROUP BY lv
+), parts AS (
+  SELECT lv, n, m, (bad - w) / nullif(n - m, 0) AS within, greatest(0, w - bad * bad / n) / nullif(m - 1, 0) AS between_, (n - nn / n) / nullif(m - 1, 0) AS size FROM sums
+), rhos AS (
+  SELECT lv, n, m, CASE WHEN between_ + (size - 1) * within > 0 THEN (between_ - within) / (between_ + (size - 1) * within) ELSE 0 END AS rho FROM parts
+), st AS (
+  SELECT lv, CASE WHEN m < 2 OR n <= m OR NOT rho > 0 THEN 1000.0 ELSE least(greatest(1 / rho - 1, 2.0), 1000.0) END AS s FROM rhos
+), m AS (
+  SELECT coalesce(max(s) FILTER (lv = 'h'), 1000.0) AS mh, coalesce(max(s) FILTER (lv = 'd'), 1000.0) AS md, coalesce(max(s) FILTER (lv = 'x'), 1000.0) AS mx FROM st
+), g AS (
+  SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS rate FROM x
+), px AS (
+  SELECT suffix, (bad + mx * rate) / (n + mx) AS up FROM x, m, g
+), pd AS (
+  SELECT domain, (d.bad + md * up) / (d.n + md) AS prior FROM d JOIN px USING (suffix), m
+), ab AS (
+  SELECT host, prior * mh + bad AS a, (1 - prior) * mh + n - bad AS b FROM h JOIN pd USING (domain), m
+), v AS (
+  SELECT host, CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END AS method FROM ab
+), r AS (
+  SELECT p.*, method, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM p JOIN v USING (host)
+)
+SELECT page_id, host, path, rule, CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'net/' THEN 'block' ELSE method END AS verdict
+FROM r
+"""
+
+ORACLES: dict[str, str] = {"op10_urls": OP10_SQL}
