@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kanaforge.llm import bpe, langid, media, mixing, quality, sharding, simhash, toxicity, urls
+from kanaforge.llm import bpe, langid, media, mixing, quality, sharding, simhash, spotsigs, toxicity, urls
 from kanaforge.llm.common import documents, labels
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint(documents(spark, sf_dir))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", media.digest_column("text").alias("d")).select("doc_id", "d.*")
 
@@ -57,6 +61,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_spotsigs": op3_spotsigs,
     "op4_media": op4_media,
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
