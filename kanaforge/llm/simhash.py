@@ -356,8 +356,9 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, parts: int = PARTS) -> Data
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, tables: int = 3, tau: int = TAU, parts: int = PARTS) -> DataFrame:
-    """One document (the smallest doc_id) of each near-duplicate group, with all columns of docs.
+def deduplicate(docs: DataFrame, tables: int = 4, tau: int = TAU, parts: int = PARTS) -> DataFrame:
+    """One document (the smallest doc_id) of each near-duplicate group, with all columns of docs; rows without an
+    id stay, and of rows with the same id one stays.
 
     Copies with edits move more than tau bits of a shingle fingerprint, so groups are linked by several
     independent fingerprints of the set of longer words: tau bits of 64 stand for a word-set cosine of about
@@ -373,5 +374,6 @@ def deduplicate(docs: DataFrame, tables: int = 3, tau: int = TAU, parts: int = P
         both = table(links.unionByName(copies))
         edges = both if edges is None else edges.unionByName(both)
     found = components(edges).where("node <> component").select(F.col("node").alias("_gone"))
-    first = docs.join(table(found), docs["doc_id"] == F.col("_gone"), "left_anti")
-    return first.dropDuplicates(["doc_id"])
+    kept = docs.join(table(found), docs["doc_id"] == F.col("_gone"), "left_anti")
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return kept.withColumn("_own", own).dropDuplicates(["doc_id", "_own"]).select(docs.columns)
