@@ -1 +1,194 @@
-"""Engine queries."""
+"""Queries over tokens, engines, readings and titles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kanaforge.functions import kana as K
+from kanaforge.functions.tokens import tokenize
+from kanaforge.jobs.inputs import DL, DW, LETTERS, LEX, SPELLED, docs, hand, lexicon, lines, spelled
+from kanaforge.jobs.registry import query
+from kanaforge.operators import align as G
+from kanaforge.operators import cascade as R
+from kanaforge.operators import lines as P
+
+
+def _lev(a: str, b: str) -> str:
+    """Edit distance in SQL: DuckDB counts bytes, so the kana of the derived lexicon go back to letters first."""
+    return "levenshtein({}, {})".format(*(f"translate({x}, '{SPELLED}ー', '{LETTERS}-')" for x in (a, b)))
+
+
+def _kinds(spark, sf):
+    return P.plain_words(lines(spark, sf)).select("word").distinct()
+
+
+@query("p2_tokenize")
+def p2(spark, sf):
+    return tokenize(lines(spark, sf))
+
+
+@query("f1_romaji")
+def f1(spark, sf):
+    return _kinds(spark, sf).select("word", K.romaji_column(F.lower("word")).alias("kana"))
+
+
+@query("f2_english")
+def f2(spark, sf):
+    return _kinds(spark, sf).select("word", K.english_column("word").alias("r")).select("word", "r.*")
+
+
+@query("q2_rule_output", f"WITH {LEX} SELECT count(DISTINCT word) AS words, 0::BIGINT AS bad FROM lx")
+def q2(spark, sf):
+    """Every lexicon word through the spelling rules: none may come out empty or not as kana."""
+    kinds = lexicon(spark, sf).select("word").distinct().select("word", K.english_column("word").alias("r"))
+    return kinds.agg(F.count("*").alias("words"), F.count_if(~F.col("r.kana").rlike("^[ァ-ヶー]+$")).alias("bad"))
+
+
+@query("f3_uncertain_spelling", f"WITH {LEX} SELECT DISTINCT word, regexp_matches(word, '{K._UNCERTAIN.pattern}') AS uncertain FROM lx")
+def f3(spark, sf):
+    return lexicon(spark, sf).select("word").distinct().select("word", K.uncertain_spelling(F.col("word")).alias("uncertain"))
+
+
+_NAMES = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in K.LETTER_NAMES.items()) + "}"
+
+
+@query("f4_letters", f"WITH {LEX} SELECT DISTINCT word, array_to_string(list_transform(string_split(word, ''), lambda c: {_NAMES}[c]), '') AS kana FROM lx WHERE length(word) <= 6")
+def f4(spark, sf):
+    return lexicon(spark, sf).where("length(word) <= 6").select("word").distinct().select("word", K.letters_to_kana(F.col("word")).alias("kana"))
+
+
+@query("f5_acronyms", f"WITH {DL}, {DW}, k AS (SELECT DISTINCT word, norm FROM dw WHERE regexp_matches(word, '^[A-Z]{{2,6}}$')) SELECT word, CASE WHEN NOT regexp_matches(word, '[AEIOUY]') OR length(word) <= 3 AND norm NOT IN (SELECT word FROM ({LEX[len('lx AS (') : -1]}) l WHERE source = 'hand') THEN array_to_string(list_transform(string_split(lower(word), ''), lambda c: {_NAMES}[c]), '') END AS kana FROM k")
+def f5(spark, sf):
+    words = P.plain_words(lines(spark, sf)).where(F.col("word").rlike("^[A-Z]{2,6}$")).select("word", "norm").distinct()
+    known = hand(spark, sf).select(F.col("word").alias("norm"), F.lit(True).alias("k"))
+    return words.join(known, "norm", "left").select("word", K.acronym_kana(F.col("word"), F.coalesce("k", F.lit(False))).alias("kana"))
+
+
+@query("f6_contractions", f"WITH {LEX}, w AS (SELECT DISTINCT word || '''' || s AS raw, word, s FROM lx, (VALUES ('s'), ('re'), ('ll'), ('d'), ('ve'), ('m')) v(s) WHERE source = 'hand') SELECT raw, word AS base, s AS suffix FROM w")
+def f6(spark, sf):
+    suffixes = F.array(*[F.lit(x) for x in ("s", "re", "ll", "d", "ve", "m")])
+    raw = hand(spark, sf).select(F.col("word"), F.explode(suffixes).alias("s")).select(F.concat("word", F.lit("'"), "s").alias("raw"))
+    return raw.select("raw", K.split_contraction(F.col("raw")).alias("c")).select("raw", "c.base", "c.suffix")
+
+
+@query("f8_vowel_runs", f"WITH {LEX}, v AS (SELECT DISTINCT repeat(word[1], (length(word) % 11) + 2) AS run FROM lx WHERE word[1] IN ('a', 'i', 'u', 'e', 'o')) SELECT run, repeat(translate(run[1], 'aiueo', 'アイウエオ'), length(run)) AS kana FROM v")
+def f8(spark, sf):
+    from kanaforge.functions.text import vowel_run_kana
+
+    runs = lexicon(spark, sf).where(F.col("word").rlike("^[aiueo]")).select(F.expr("repeat(substring(word, 1, 1), length(word) % 11 + 2)").alias("run")).distinct()
+    return runs.select("run", vowel_run_kana("run").alias("kana"))
+
+
+@query("f10_lang_engines")
+def f10(spark, sf):
+    words = P.plain_words(lines(spark, sf)).join(docs(spark, sf).select("doc_id", "lang"), "doc_id").select("lang", F.lower("word").alias("word")).distinct()
+    return words.select("lang", "word", K.lang_column("lang", "word").alias("kana"))
+
+
+@query("f14_kana_checks", f"WITH {LEX} SELECT word, kana, regexp_matches(kana, '^[ァ-ヶー]+$') AND length(kana) <= 14 AS ok FROM lx")
+def f14(spark, sf):
+    from kanaforge.functions.text import hira_to_kata, kana_ok
+
+    hira = F.translate("kana", "アベセ", "あべせ")
+    return lexicon(spark, sf).select("word", hira_to_kata(hira).alias("kana")).select("word", "kana", kana_ok("kana").alias("ok"))
+
+
+@query("f15_kana_distance", f"WITH {LEX} SELECT a.word, {_lev('a.kana', 'b.kana')} AS distance FROM lx a JOIN lx b USING (word) WHERE a.source = 'hand' AND b.source = 'model'")
+def f15(spark, sf):
+    from kanaforge.functions.text import kana_distance
+
+    both = hand(spark, sf).select("word", F.col("kana").alias("a")).join(lexicon(spark, sf).where("source = 'model'").select("word", F.col("kana").alias("b")), "word")
+    return both.select("word", kana_distance("a", "b").cast("long").alias("distance"))
+
+
+@query("r1_read_words")
+def r1(spark, sf):
+    return R.read_words(_kinds(spark, sf), hand(spark, sf))
+
+
+_READ = f"""rd AS (SELECT word, CASE WHEN length(word) % 3 = 0 THEN NULL ELSE kana END AS kana, CASE WHEN length(word) % 3 = 0 THEN NULL WHEN length(word) % 2 = 0 THEN 'dict' ELSE 'rule' END AS source, length(word) % 2 = 0 AS confident,
+  CASE WHEN length(word) % 4 = 0 THEN 'モ' END AS model, CASE WHEN length(word) % 5 = 0 THEN 'フ' END AS free FROM lx WHERE source = 'hand')"""
+
+
+@query("r3_resolve", f"WITH {LEX}, {_READ}, o AS (SELECT *, CASE WHEN kana IS NULL THEN 6 WHEN NOT confident THEN 4 WHEN source = 'dict' THEN 0 ELSE 4 END AS own FROM rd) SELECT word, CASE WHEN model IS NOT NULL AND own > 2 THEN model WHEN free IS NOT NULL AND own > 3 THEN free ELSE kana END AS final, CASE WHEN model IS NOT NULL AND own > 2 THEN 'model' WHEN free IS NOT NULL AND own > 3 THEN 'free' ELSE source END AS final_source FROM o")
+def r3(spark, sf):
+    n = F.length("word")
+    rows = hand(spark, sf).select("word", F.when(n % 3 != 0, F.col("kana")).alias("kana"), F.when(n % 3 == 0, None).when(n % 2 == 0, "dict").otherwise("rule").alias("source"), (n % 2 == 0).alias("confident"), F.when(n % 4 == 0, "モ").alias("model"), F.when(n % 5 == 0, "フ").alias("free"))
+    return R.resolve(rows).select("word", "final", "final_source")
+
+
+_PLACED = r"""pw AS (SELECT doc_id, line_no, line, w, gap, unnest(range(len(w)))::INT AS word_no, unnest(w) AS word FROM (SELECT *, regexp_extract_all(line, '[A-Za-z]+') AS w, regexp_split_to_array(line, '[A-Za-z]+') AS gap FROM dl))"""
+
+
+def _spans(spark, sf):
+    found = lines(spark, sf).select("doc_id", "line_no", "line", F.regexp_extract_all("line", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"), F.split("line", "[A-Za-z]+").alias("gap"))
+    placed = found.select("doc_id", "line_no", F.posexplode("w").alias("n", "word"), "w", "gap").withColumn("start", F.expr("cast(aggregate(slice(gap, 1, n + 1), 0, (t, g) -> t + length(g)) + aggregate(slice(w, 1, n), 0, (t, g) -> t + length(g)) AS int)"))
+    known = hand(spark, sf).select(F.col("word").alias("k"), "kana")
+    return placed.join(known, F.lower("word") == F.col("k")).select("doc_id", "line_no", "start", (F.col("start") + F.length("word")).alias("end"), "kana")
+
+
+@query("r6_annotate", f"WITH {DL}, {LEX}, {_PLACED}, m AS (SELECT doc_id, line_no, string_agg(gap[word_no + 1] || CASE WHEN kana IS NULL THEN pw.word ELSE '{{' || pw.word || '|' || kana || '}}' END, '' ORDER BY word_no) || max(gap[len(w) + 1]) AS markup FROM pw LEFT JOIN (SELECT word, kana FROM lx WHERE source = 'hand') h ON h.word = lower(pw.word) GROUP BY ALL) SELECT doc_id, line_no, coalesce(markup, line) AS markup FROM dl LEFT JOIN m USING (doc_id, line_no)")
+def r6(spark, sf):
+    return R.annotate(lines(spark, sf), _spans(spark, sf))
+
+
+@query("r7_strip", f"WITH {DL} SELECT doc_id, line_no, line AS stripped FROM dl WHERE NOT regexp_matches(line, '[{{}}|]')")
+def r7(spark, sf):
+    kept = lines(spark, sf).where(~F.col("line").rlike(r"[{}|]"))
+    return R.annotate(kept, _spans(spark, sf)).select("doc_id", "line_no", R.strip(F.col("markup")).alias("stripped"))
+
+
+@query("j2_scope_overrides", f"SELECT doc_id, word, kana FROM (SELECT doc_id, min(o) AS o FROM (SELECT doc_id, 1 AS o FROM documents WHERE regexp_matches(source, '^src1') UNION ALL SELECT doc_id, 2 FROM documents WHERE regexp_matches(source, '^src2$') OR regexp_matches(text, 'Licensed under')) GROUP BY doc_id) JOIN (VALUES (1, 'the', 'ジ'), (1, 'an', 'アン'), (2, 'the', 'ザ')) v(o, word, kana) USING (o)")
+def j2(spark, sf):
+    table = spark.sql("SELECT * FROM VALUES (1, '^src1', CAST(NULL AS STRING), map('the', 'ジ', 'an', 'アン')), (2, '^src2$', 'Licensed under', map('the', 'ザ')) AS t(override_id, title_pattern, marker_pattern, words)")
+    return R.scope_overrides(docs(spark, sf).withColumn("title", F.col("source")), table)
+
+
+@query("j3_line_overrides", f"WITH {DL}, {DW}, k AS (SELECT DISTINCT norm AS word, line FROM dw JOIN dl USING (doc_id, line_no) WHERE norm IN ('the', 'of')) SELECT word, line, CASE WHEN word = 'the' AND regexp_matches(line, '^The') THEN 'ジ' WHEN word = 'the' AND regexp_matches(line, 'ing') THEN 'ザ' WHEN word = 'of' AND regexp_matches(line, 'and') THEN 'オブ' END AS override FROM k")
+def j3(spark, sf):
+    table = spark.sql("SELECT * FROM VALUES ('the', '^The', 'ジ', 1), ('the', 'ing', 'ザ', 2), ('of', 'and', 'オブ', 1) AS t(word, pattern, kana, ord)")
+    l = lines(spark, sf)
+    words = P.plain_words(l).where("norm IN ('the', 'of')").join(l, ["doc_id", "line_no"]).select(F.col("norm").alias("word"), "line").distinct()
+    return R.line_overrides(words, table)
+
+
+def _titles(spark, sf):
+    """Part names as titles, read letter by letter with the last word drawn out."""
+    name = F.lower(F.regexp_replace("p_name", "[^A-Za-z ]", ""))
+    return spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_name").alias("title"), F.concat(F.replace(spelled(name), F.lit(" "), F.lit("")), F.lit("ー")).alias("pronunciation")).distinct()
+
+
+def _title_words(spark, sf):
+    words = _titles(spark, sf).select(F.explode(F.regexp_extract_all("title", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("word")).distinct()
+    return words.select("word", spelled(F.col("word")).alias("kana"))
+
+
+@query("g2_align_titles")
+def g2(spark, sf):
+    return G.align_titles(_titles(spark, sf), _title_words(spark, sf))
+
+
+@query("g5_single_word_titles", "WITH t AS (SELECT DISTINCT p_name AS title FROM part), w AS (SELECT title, regexp_extract_all(title, '[A-Za-z]+') AS w FROM t) SELECT title, lower(w[1]) AS word, CASE WHEN len(w) = 0 THEN 'no word' WHEN len(w) > 1 THEN 'several words' WHEN regexp_matches(title, '[0-9]') THEN 'digits' WHEN regexp_matches(title, '[^A-Za-z ]') THEN 'mixed' WHEN length(w[1]) = 1 THEN 'single letter' END AS reason FROM w")
+def g5(spark, sf):
+    return G.single_word_titles(_titles(spark, sf).select("title"), hand(spark, sf).where("word = ''"))
+
+
+@query("g4_merge_overrides", f"WITH {LEX} SELECT word[1] AS title, word, kana FROM lx WHERE source = 'hand' AND word[1] IN ('a', 'e') UNION ALL SELECT word[1], word, kana FROM lx WHERE source = 'model' AND word[1] NOT IN (SELECT word[1] FROM lx WHERE source = 'hand' AND word[1] IN ('a', 'e'))")
+def g4(spark, sf):
+    rows = lexicon(spark, sf).select(F.substring("word", 1, 1).alias("title"), "word", "kana", "source")
+    return G.merge_overrides(rows.where("source = 'hand' AND title IN ('a', 'e')").drop("source"), rows.where("source = 'model'").drop("source"))
+
+
+@query("g6_evaluate", f"WITH {LEX}, g AS (SELECT word, kana, length(word) % 3 = 0 AS gap FROM lx WHERE source = 'hand'), a AS (SELECT word, min(kana) AS got FROM lx WHERE source = 'model' GROUP BY word) SELECT count(*) AS words, count(*) FILTER (kana = got) AS exact, count(*) FILTER (NOT coalesce(kana = got, false) AND gap) AS known_gaps, count(*) FILTER (NOT coalesce(kana = got, false) AND NOT gap) AS unexplained, avg({_lev('kana', "coalesce(got, '')")}) AS mean_distance FROM g LEFT JOIN a USING (word)")
+def g6(spark, sf):
+    gold = hand(spark, sf).select("word", "kana", (F.length("word") % 3 == 0).alias("known_gap"))
+    return G.evaluate(gold, lexicon(spark, sf).where("source = 'model'").groupBy("word").agg(F.min("kana").alias("kana")))
+
+
+@query("g3_accept", f"WITH {LEX}, p AS (SELECT a.word, a.kana AS expected, CASE WHEN length(a.word) % 4 = 0 THEN a.kana ELSE b.kana END AS piece FROM lx a JOIN lx b USING (word) WHERE a.source = 'hand' AND b.source = 'model') SELECT DISTINCT word, CASE WHEN length(word) < 2 THEN 'single letter' WHEN expected = piece THEN 'equal' WHEN expected[1] <> piece[1] THEN 'first sound' WHEN abs(length(expected) - length(piece)) > 2 THEN 'length' WHEN {_lev('expected', 'piece')} > length(expected) / 2 + 1 THEN 'distance' END AS reason FROM p")
+def g3(spark, sf):
+    both = hand(spark, sf).select("word", F.col("kana").alias("e")).join(lexicon(spark, sf).where("source = 'model'").select("word", F.col("kana").alias("m")), "word")
+    piece = F.when(F.length("word") % 4 == 0, F.col("e")).otherwise(F.col("m"))
+    return both.select("word", G.accept(F.col("word"), F.col("e"), piece).alias("reason")).distinct()
+
+
