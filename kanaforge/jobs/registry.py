@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from kanaforge.jobs import corpus, engines, store  # noqa: E402, F401  (they register)
+from kanaforge.jobs import corpus, engines, files, store, streams  # noqa: E402, F401  (they register)
