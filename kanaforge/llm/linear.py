@@ -9,7 +9,7 @@ import numpy as np
 
 
 def sigmoid(x):
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
+    return np.where(np.isneginf(x), 0.0, 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35))))
 
 
 @dataclass

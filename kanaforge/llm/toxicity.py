@@ -8,7 +8,7 @@ restores the likeliest letters. A token without such signs has one path, itself,
 The restored words (each once) are hashed into a logistic regression fitted by FTRL on a bounded sample.
 
 Defined cases: null and empty texts score as the bias alone; whole texts are read; labels other than 0 or 1
-are not learned from; with no usable labels every score is 0.5; equal texts score equally; other columns pass
+are not learned from; with no usable labels every score is 0 and nothing is called toxic; equal texts score equally; other columns pass
 through, columns named like the outputs are replaced.
 """
 
@@ -220,6 +220,8 @@ def fit(docs: DataFrame, lab: DataFrame, per_class: int = PER_CLASS) -> tuple[np
     got = picked.select("y", "text").mapInArrow(slots, "y int, at array<int>").toArrow()
     data = [(np.asarray(at.values, np.int64), y) for at, y in zip(got["at"], got["y"].to_pylist(), strict=True)]
     data.sort(key=lambda r: (r[1], len(r[0]), r[0].tobytes()))
+    if not data:
+        return cost, np.append(np.zeros(DIM, np.float32), np.float32(-np.inf))
     weights = Ftrl(DIM, alpha=0.7, l1=8.0, l2=0.5).fit([(at, np.ones(len(at)), y) for at, y in data], importance, EPOCHS).weights()
     return cost, weights.astype(np.float32)
 
