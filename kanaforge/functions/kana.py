@@ -296,3 +296,24 @@ def register(spark) -> None:
     spark.udf.register("romaji_to_kana", F.arrow_udf(_romaji, "string"))
     spark.udf.register("english_to_kana", F.arrow_udf(_english, "struct<kana:string,confident:boolean>"))
     spark.udf.register("lang_to_kana", F.arrow_udf(_foreign, "string"))
+
+
+# -- letters of other scripts, units -----------------------------------------------------------------------
+
+#: Japanese names of the Greek letters, alpha to omega.
+GREEK_NAMES = dict(zip("αβγδεζηθικλμνξοπρστυφχψω", "アルファ ベータ ガンマ デルタ イプシロン ゼータ イータ シータ イオタ カッパ ラムダ ミュー ニュー クサイ オミクロン パイ ロー シグマ タウ ウプシロン ファイ カイ プサイ オメガ".split(), strict=True))
+#: Units, read so only right after a digit.
+UNITS = {"km": "キロ", "kg": "キロ", "cm": "センチ", "mm": "ミリ", "m": "メートル", "g": "グラム", "mg": "ミリグラム", "l": "リットル", "ml": "ミリリットル", "hz": "ヘルツ", "db": "デシベル", "w": "ワット", "v": "ボルト"}
+
+
+def _literal(table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+
+
+def greek_letter(text: Column) -> Column:
+    """Name of a lone Greek letter; null for anything else."""
+    return F.when(F.length(text) == 1, _literal(GREEK_NAMES)[F.lower(text)])
+
+
+def unit_reading(norm: Column, after_digit: Column) -> Column:
+    return F.when(after_digit, _literal(UNITS)[F.lower(norm)])

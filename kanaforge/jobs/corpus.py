@@ -61,26 +61,31 @@ def p7(spark, sf):
     return P.line_features(lines(spark, sf)).select("doc_id", "line_no", "is_art")
 
 
-_PLACED = rf"""pw AS (SELECT doc_id, line_no, line, word_no, word, (list_sum(list_transform(gap[:word_no + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(w[:word_no], lambda x: length(x))), 0))::INT AS start
-  FROM (SELECT doc_id, line_no, line, w, gap, unnest(range(len(w)))::INT AS word_no, unnest(w) AS word FROM (SELECT *, regexp_extract_all(line, '[{T.LATIN}]+') AS w, regexp_split_to_array(line, '[{T.LATIN}]+') AS gap FROM dl)))"""
+_PLACED = rf"""pw AS (SELECT doc_id, line_no, line, word_no, word, (sum(length(gap) + length(word)) OVER (PARTITION BY doc_id, line_no ORDER BY word_no) - length(word))::INT AS start
+  FROM (SELECT doc_id, line_no, line, unnest(range(len(w)))::INT AS word_no, unnest(w) AS word, unnest(gap[:len(w)]) AS gap FROM (SELECT *, regexp_extract_all(line, '[{T.LATIN}]+') AS w, regexp_split_to_array(line, '[{T.LATIN}]+') AS gap FROM dl)))"""
 
 
-@query("p8_censor_marks", rf"""WITH {DL}, {_PLACED}, n AS (SELECT *, line[:start] AS lt, line[start + length(word) + 1:] AS rt FROM pw)
+def _placed(spark, sf):
+    rows = lines(spark, sf)
+    return P.placed_words(rows).join(rows, ["doc_id", "line_no"])
+
+
+@query("p8_censor_marks", rf"""WITH {DL}, {_PLACED}, n AS (SELECT *, line[greatest(start - {P.REACH}, 0) + 1:start] AS lt, line[start + length(word) + 1:start + length(word) + {P.REACH}] AS rt FROM pw)
   SELECT doc_id, line_no, word_no, regexp_matches(lt, '[*＊]{{2}}$') AS after_mask, regexp_matches(lower(word), '^(?:bbb?|ccc?|ddd?|fff?|ggg?|hhh?|jjj?|kkk?|lll?|mmm?|nnn?|ppp?|qqq?|rrr?|sss?|ttt?|vvv?|www?|xxx?|yyy?|zzz?)$') AND (regexp_matches(rt, '^[ぁ-ゖ]') OR regexp_matches(lt, '\*\*$') OR regexp_matches(rt, '^\*\*')) AS censored FROM n""")
 def p8(spark, sf):
-    return P.neighbour_features(P.placed_words(lines(spark, sf))).select("doc_id", "line_no", "word_no", "after_mask", "censored")
+    return P.neighbour_features(_placed(spark, sf)).select("doc_id", "line_no", "word_no", "after_mask", "censored")
 
 
-@query("p10_neighbours", rf"""WITH {DL}, {_PLACED}, n AS (SELECT *, line[:start] AS lt, line[start + length(word) + 1:] AS rt, count(*) FILTER (length(word) >= 2) OVER (PARTITION BY doc_id, line_no) AS longer FROM pw)
+@query("p10_neighbours", rf"""WITH {DL}, {_PLACED}, n AS (SELECT *, line[greatest(start - {P.REACH}, 0) + 1:start] AS lt, line[start + length(word) + 1:start + length(word) + {P.REACH}] AS rt, count(*) FILTER (length(word) >= 2) OVER (PARTITION BY doc_id, line_no) AS longer FROM pw)
   SELECT doc_id, line_no, word_no, word, start, regexp_extract(lt, '(\S)\s*$', 1) AS before, regexp_matches(lt, '\S\s+$') AS before_spaced, regexp_extract(rt, '^\s*(\S)', 1) AS after, regexp_matches(rt, '^\s+\S') AS after_spaced,
     regexp_matches(lt, '[0-9０-９]$') AS after_digit, length(word) = 1 AND regexp_matches(rt, '^\s*[:：]') AND regexp_matches(word, '^[A-Z]$') AS label, longer - (length(word) >= 2)::INT > 0 AS other_word FROM n""")
 def p10(spark, sf):
-    return P.neighbour_features(P.placed_words(lines(spark, sf))).select("doc_id", "line_no", "word_no", "word", "start", "before", "before_spaced", "after", "after_spaced", "after_digit", "label", "other_word")
+    return P.neighbour_features(_placed(spark, sf)).select("doc_id", "line_no", "word_no", "word", "start", "before", "before_spaced", "after", "after_spaced", "after_digit", "label", "other_word")
 
 
 @query("p9_label_letters", rf"""WITH {DL}, {_PLACED} SELECT doc_id, line_no, word_no, word FROM pw WHERE regexp_matches(word, '^[A-Z]$') AND regexp_matches(line[start + 2:], '^\s*[:：]')""")
 def p9(spark, sf):
-    return P.neighbour_features(P.placed_words(lines(spark, sf))).where("label").select("doc_id", "line_no", "word_no", "word")
+    return P.neighbour_features(_placed(spark, sf)).where("label").select("doc_id", "line_no", "word_no", "word")
 
 
 @query("p11_letter_runs", rf"WITH {DL}, {DW}, {_FEATURES} SELECT doc_id, line_no, regexp_matches(line, '[A-Z][./・&][A-Z]') OR capitals >= 3 AS letter_run FROM fe")

@@ -121,8 +121,7 @@ _PLACED = r"""pw AS (SELECT doc_id, line_no, line, w, gap, unnest(range(len(w)))
 
 
 def _spans(spark, sf):
-    found = lines(spark, sf).select("doc_id", "line_no", "line", F.regexp_extract_all("line", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"), F.split("line", "[A-Za-z]+").alias("gap"))
-    placed = found.select("doc_id", "line_no", F.posexplode("w").alias("n", "word"), "w", "gap").withColumn("start", F.expr("cast(aggregate(slice(gap, 1, n + 1), 0, (t, g) -> t + length(g)) + aggregate(slice(w, 1, n), 0, (t, g) -> t + length(g)) AS int)"))
+    placed = P.placed_words(lines(spark, sf), "[A-Za-z]+")
     known = hand(spark, sf).select(F.col("word").alias("k"), "kana")
     return placed.join(known, F.lower("word") == F.col("k")).select("doc_id", "line_no", "start", (F.col("start") + F.length("word")).alias("end"), "kana")
 
@@ -192,3 +191,44 @@ def g3(spark, sf):
     return both.select("word", G.accept(F.col("word"), F.col("e"), piece).alias("reason")).distinct()
 
 
+
+
+@query("r2_read_tokens")
+def r2(spark, sf):
+    """The flagship composite: tokens of the corpus through the line-aware cascade."""
+    from kanaforge.operators import language as L
+
+    l = lines(spark, sf)
+    tokens = tokenize(l)
+    langs = L.line_language(L.detect(L.line_scores(l))).select("doc_id", "line_no", "line_lang")
+    features = P.line_features(l).select("doc_id", "line_no", "is_art", "letter_run").join(langs, ["doc_id", "line_no"])
+    words = R.read_words(tokens.select(F.col("text").alias("word")).distinct(), hand(spark, sf))
+    learned = lexicon(spark, sf).where("source = 'model'").groupBy("word").agg(F.min("kana").alias("kana"))
+    read = R.read_tokens(tokens, features, words, learned=learned)
+    return read.select("doc_id", "line_no", "tok_no", "text", "line_lang", "suppressed", "kana", "source", "confident")
+
+
+@query("r4_provisional", f"WITH {LEX}, r AS (SELECT word, length(word)::VARCHAR AS ctx FROM lx WHERE source = 'hand'), w AS (SELECT DISTINCT word, length(word)::VARCHAR AS ctx, length(word) % 5 AS tries FROM lx WHERE source = 'model') SELECT r.word, r.ctx, w.word IS NOT NULL AS waiting FROM r LEFT JOIN w ON w.word = r.word AND w.ctx = r.ctx AND tries < 3")
+def r4(spark, sf):
+    n = F.length("word")
+    rows = hand(spark, sf).select("word", n.cast("string").alias("ctx"))
+    wanted = lexicon(spark, sf).where("source = 'model'").select("word", n.cast("string").alias("ctx"), (n % 5).alias("tries"))
+    return R.provisional(rows, wanted)
+
+
+@query("f12_units", f"WITH {LEX}, u(k, kana) AS (VALUES {', '.join(f'''('{a}', '{b}')''' for a, b in K.UNITS.items())}), w AS (SELECT DISTINCT word[:2] AS unit FROM lx UNION SELECT DISTINCT word[:1] FROM lx) SELECT unit, kana FROM w LEFT JOIN u ON k = unit")
+def f12(spark, sf):
+    kinds = lexicon(spark, sf).select(F.explode(F.array(F.substring("word", 1, 2), F.substring("word", 1, 1))).alias("unit")).distinct()
+    return kinds.select("unit", K.unit_reading(F.col("unit"), F.lit(True)).alias("kana"))
+
+
+@query("f20_day_key", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events FROM events GROUP BY 1")
+def f20(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("events"))
+
+
+@query("a12_coverage_by_language", f"WITH {DL}, {DW}, {LEX}, r AS (SELECT d.lang, CASE WHEN h.word IS NULL THEN 'missed' ELSE 'dict' END AS source FROM dw JOIN documents d USING (doc_id) LEFT JOIN (SELECT word FROM lx WHERE source = 'hand') h ON h.word = norm) SELECT lang, source, count(*) AS tokens, count(*) FILTER (source = 'dict') AS confident FROM r GROUP BY ROLLUP (lang, source)")
+def a12r(spark, sf):
+    words = P.plain_words(lines(spark, sf)).join(docs(spark, sf).select("doc_id", "lang"), "doc_id")
+    known = words.join(hand(spark, sf).select(F.col("word").alias("norm"), F.lit("dict").alias("source")), "norm", "left")
+    return R.hit_report(known.select("lang", "source", F.col("source").isNotNull().alias("confident")))

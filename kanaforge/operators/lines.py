@@ -18,6 +18,8 @@ CREDIT_VERBS = ["Recorded", "Mixed", "Mastered", "Produced", "Arranged", "Conduc
 CREDIT_STARTS = [r"copyright(?:ed)?\b", "©", r"\(c\)", "℗", r"all rights reserved\b", r"(?:presented|published|licensed) by\b", r"(?:op|sp)\s*[:：]", r"(?:isrc|jasrac|upc|ean)\b"]
 #: A line of single letters is art from so many other marks on.
 ART_MARKS = 6
+#: How far from a word its neighbouring marks are looked for.
+REACH = 16
 
 
 def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -74,31 +76,37 @@ def line_features(lines: DataFrame) -> DataFrame:
 
 
 def neighbour_features(words: DataFrame) -> DataFrame:
-    """words (doc_id, line_no, word_no, word, line, start) with the nearest mark on each side and flags of it."""
-    left, right = F.expr("substring(line, 1, start)"), F.expr("substring(line, start + length(word) + 1)")
-    before, after = F.regexp_extract(left, r"(\S)\s*$", 1), F.regexp_extract(right, r"^\s*(\S)", 1)
-    by_line = Window.partitionBy("doc_id", "line_no")
-    return words.select(
+    """words (doc_id, line_no, word_no, word, line, start) with the nearest mark on each side and flags of it.
+
+    Only a stretch of the line on each side is looked at: marks count up to REACH characters away."""
+    near = words.select(
+        *[c for c in words.columns if c != "line"],
+        F.expr(f"substring(line, greatest(start - {REACH}, 0) + 1, least(start, {REACH}))").alias("_l"),
+        F.expr(f"substring(line, start + length(word) + 1, {REACH})").alias("_r"),
+    )  # whole lines go no further: a line of many words would be carried once for each
+    left, right, long = F.col("_l"), F.col("_r"), F.length("word") >= 2
+    doubled = F.col("word").rlike(r"(?i)^([bcdfghjklmnpqrstvwxyz])\1{1,2}$")
+    return near.select(
         "*",
-        before.alias("before"),
+        F.regexp_extract(left, r"(\S)\s*$", 1).alias("before"),
         left.rlike(r"\S\s+$").alias("before_spaced"),
-        after.alias("after"),
+        F.regexp_extract(right, r"^\s*(\S)", 1).alias("after"),
         right.rlike(r"^\s+\S").alias("after_spaced"),
         left.rlike("[0-9０-９]$").alias("after_digit"),
-        (F.length("word") == F.lit(1)).__and__(right.rlike(r"^\s*[:：]")).__and__(F.col("word").rlike("^[A-Z]$")).alias("label"),
+        (F.col("word").rlike("^[A-Z]$") & right.rlike(r"^\s*[:：]")).alias("label"),
         left.rlike(r"[*＊]{2}$").alias("after_mask"),
-        (F.col("word").rlike(r"(?i)^([bcdfghjklmnpqrstvwxyz])\1{1,2}$") & (right.rlike("^[ぁ-ゖ]") | left.rlike(r"\*\*$") | right.rlike(r"^\*\*"))).alias("censored"),
-        (F.count_if(F.length("word") >= 2).over(by_line) - F.when(F.length("word") >= 2, 1).otherwise(0) > 0).alias("other_word"),
-    )
-
-
-def placed_words(lines: DataFrame) -> DataFrame:
-    """Words with the place of each in its line (0-based code points)."""
-    word = rf"[{LATIN}]+"
-    found = lines.select("doc_id", "line_no", "line", F.regexp_extract_all("line", F.lit(word), F.lit(0)).alias("w"), F.split("line", word).alias("gap"))
-    placed = found.select("doc_id", "line_no", "line", F.posexplode("w").alias("word_no", "word"), "w", "gap")
-    start = F.expr("aggregate(slice(gap, 1, word_no + 1), 0, (n, g) -> n + length(g)) + aggregate(slice(w, 1, word_no), 0, (n, g) -> n + length(g))")
-    return placed.select("doc_id", "line_no", "word_no", "word", "line", start.cast("int").alias("start"))
+        (doubled & (right.rlike("^[ぁ-ゖ]") | left.rlike(r"\*\*$") | right.rlike(r"^\*\*"))).alias("censored"),
+        (F.count_if(long).over(Window.partitionBy("doc_id", "line_no")) - long.cast("int") > 0).alias("other_word"),
+    ).drop("_l", "_r")
+
+
+def placed_words(lines: DataFrame, word: str = rf"[{LATIN}]+") -> DataFrame:
+    """Words with the place of each in its line (0-based code points): running sums over words and what is between."""
+    pairs = F.arrays_zip(F.split("line", word).alias("gap"), F.regexp_extract_all("line", F.lit(word), F.lit(0)).alias("word"))
+    rows = lines.select("doc_id", "line_no", F.posexplode(pairs).alias("word_no", "x")).select("doc_id", "line_no", "word_no", "x.gap", "x.word").where("word IS NOT NULL")
+    so_far = Window.partitionBy("doc_id", "line_no").orderBy("word_no").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.sum(F.length("gap") + F.length("word")).over(so_far) - F.length("word")
+    return rows.select("doc_id", "line_no", "word_no", "word", start.cast("int").alias("start"))
 
 
 def echo_fragments(lines: DataFrame) -> DataFrame:

@@ -288,3 +288,15 @@ def test_partition_count_changes_nothing(spark):
     one = spark.createDataFrame(rows, "doc_id long, line_no int, line string").coalesce(1)
     both = [sorted(tuple(r) for r in language.detect(language.line_scores(df)).select("doc_id", "line_no", "lang").collect()) for df in (one, one.repartition(8))]
     assert both[0] == both[1]
+
+
+def test_read_tokens(spark):
+    rows = spark.createDataFrame([(1, 0, "300mm の light"), (2, 0, "A B C Ω"), (3, 0, "M: light"), (4, 0, "Ich liebe dich")], "doc_id long, line_no int, line string")
+    features = lines.line_features(rows).select("doc_id", "line_no", "is_art", "letter_run").join(spark.createDataFrame([(1, None), (2, None), (3, None), (4, "de")], "doc_id long, line_lang string"), "doc_id")
+    tokens = tokenize(rows)
+    words = cascade.read_words(tokens.select(F.col("text").alias("word")).distinct(), spark.createDataFrame([("light", "ライト")], "word string, kana string"))
+    song = spark.createDataFrame([(3, "light", "ヒカリ")], "doc_id long, word string, kana string")
+    got = {(r["doc_id"], r["text"]): (r["kana"], r["source"]) for r in cascade.read_tokens(tokens, features, words, song).collect()}
+    assert got[1, "mm"] == ("ミリ", "letters") and got[1, "light"] == ("ライト", "dict") and got[3, "light"] == ("ヒカリ", "song")
+    assert got[2, "B"] == ("ビー", "letters") and got[2, "Ω"] == ("オメガ", "letters") and got[3, "M"] == (None, None)
+    assert got[4, "liebe"] == ("リーベ", "lang")
