@@ -345,7 +345,7 @@ def test_langid_model_sums_to_one():
 def test_langid_held_out_and_odd_rows(spark, docs):
     a, b = "light river stone winter".split(), "fluss stein garten winterlich".split()
     r = random.Random(4)
-    rows = [(i, " ".join(r.choice(a if i % 2 else b) for _ in range(12)), "en" if i % 2 else "de") for i in range(200)] + [(900, None, "en"), (901, "123 !!", "de"), (902, "light light", None)]
+    rows = [(i, " ".join(r.choice(a if i % 2 else b) for _ in range(12)), "en" if i % 2 else "de") for i in range(200)] + [(900, None, "en"), (901, "123 !! ²½", "de"), (902, "light light", None)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in langid.identify(table, langid.fit(table)).collect()}
     assert all(got[i]["lang_pred"] == ("en" if i % 2 else "de") for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0)
