@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Column functions and kana engines."""

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Registered queries and their SQL."""

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""DataFrame operators over lines, words, lexicons, answers, readings and titles."""

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Keyed state machines and event-time windows."""
