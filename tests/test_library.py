@@ -300,3 +300,20 @@ def test_read_tokens(spark):
     assert got[1, "mm"] == ("ミリ", "letters") and got[1, "light"] == ("ライト", "dict") and got[3, "light"] == ("ヒカリ", "song")
     assert got[2, "B"] == ("ビー", "letters") and got[2, "Ω"] == ("オメガ", "letters") and got[3, "M"] == (None, None)
     assert got[4, "liebe"] == ("リーベ", "lang")
+
+
+def test_annotated_stream(spark, tmp_path):
+    from kanaforge.streaming import annotate
+
+    rows = spark.sql("SELECT * FROM VALUES (1L, 0, 'light and stone', TIMESTAMP'2026-01-01 10:00:00'), (1L, 1, 'light and stone', TIMESTAMP'2026-01-01 10:01:00'), (2L, 0, 'zzz', TIMESTAMP'2026-01-01 10:02:00') AS t(doc_id, line_no, line, ts)")
+    readings = spark.sql("SELECT * FROM VALUES ('light', 'ライト', 'dict'), ('and', 'アンド', 'dict') AS t(word, kana, source)")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/lines")
+    source = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/lines")
+    for name, make in (("tokens", lambda df: annotate.annotated(df, readings)), ("asked", lambda df: annotate.questions(annotate.annotated(df, readings)))):
+        query = make(source).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        query.awaitTermination(240)
+        assert sorted(map(repr, spark.table(name).drop("ts").collect())) == sorted(map(repr, make(rows).drop("ts").collect()))
+    assert sorted((r["key"], r["ctx"]) for r in spark.table("asked").collect()) == [("stone", "light and stone"), ("zzz", "zzz")]
+    answers = spark.sql("SELECT 'stone' key, 'light and stone' ctx, 'ストーン' kana, TIMESTAMP'2026-01-01 10:02:00' at")
+    late = annotate.relabelled(annotate.annotated(rows, readings), answers)
+    assert [(r["text"], r["kana"]) for r in late.collect()] == [("stone", "ストーン")] * 2
