@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from kanaforge.llm.common import drop, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour above a node moves to the smallest node of its neighbourhood."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, str]:
+    """Every neighbour above a node moves to the smallest node of its neighbourhood.
+
+    The smallest neighbours are written first: with plain exchanges on both sides of the join, the edges of a hub
+    can be split over tasks."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v")
+    least, path = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+    moved, to = materialize(both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct())
+    drop(edges.sparkSession, path)
+    return moved, to
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -31,8 +36,10 @@ def components(edges: DataFrame) -> DataFrame:
     now, path = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     mark = None
     while True:
-        stars, new_path = materialize(_small_star(_large_star(now).distinct()).distinct())
+        large, large_path = _large_star(now)
+        stars, new_path = materialize(_small_star(large).distinct())
         drop(spark, path)
+        drop(spark, large_path)
         now, path = stars, new_path
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
