@@ -25,6 +25,7 @@ PERIOD, MAX_SOURCES = 1024, 512
 BLOCK = 16
 #: Rows that are numbered together, about.
 BUCKET_ROWS = 50_000
+LEAST_STRETCH = 256
 NO_SOURCE = "\0"
 
 
@@ -107,7 +108,10 @@ def first_gap(plan: DataFrame, counts: dict[str, int], slots: dict[str, int], bl
     return plan.where(F.col("turn") == turns).agg(F.min(cycles.cast("long") * PERIOD + F.col("slot"))).first()[0]
 
 
-def mixed(docs: DataFrame, weigh: Callable[[dict[str, int]], dict[str, float]] = tempered, block: int = BLOCK, stretch: int = 20_000) -> DataFrame:
-    """docs with the same columns, laid out in the order of the mixture: each stretch of it in one task, in order."""
+def mixed(docs: DataFrame, weigh: Callable[[dict[str, int]], dict[str, float]] = tempered, block: int = BLOCK) -> DataFrame:
+    """docs with the same columns, laid out in the order of the mixture: each stretch of it in one task, in order.
+
+    There are about four stretches for each shuffle partition, of LEAST_STRETCH rows at least."""
+    stretch = max(LEAST_STRETCH, docs.count() // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     placed = positions(docs, weigh, block).withColumn("_stretch", F.expr(f"mix_pos div {stretch}"))
     return placed.repartition("_stretch").sortWithinPartitions("_stretch", "mix_pos").select(docs.columns)
