@@ -38,6 +38,12 @@ PARTS = 2
 PROBE_COST = 20.0
 #: Shingles hashed at a time, and rows compared at a time: memory bounds only.
 CHUNK, ROWS = 1 << 16, 256
+#: Near copies: sets of five-word shingles with a Jaccard similarity of 4 / 5 or more.
+NEAR_WORDS, NEAR = 5, (4, 5)
+#: Candidates share all minima of a band: at 0.8 all bands miss with (1 - 0.8**5)**32 = 3e-6.
+BANDS, BAND_ROWS = 32, 5
+#: Shingles permuted at a time: a memory bound only.
+BAND_CHUNK = 1 << 12
 
 
 # -- fingerprints ------------------------------------------------------------------------------------------
@@ -77,30 +83,16 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_fingerprints(text: bytes | None, tables: int, least_bytes: int = 5) -> list[int]:
-    """Independent fingerprints of the set of a text's longer words (of all its words if none is long)."""
-    words = set((text or b"").lower().split())
-    kept = [w for w in words if len(w) >= least_bytes] or list(words)
-    if not kept:
-        return [0] * tables
-    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in kept], np.uint64)
-    return [majority(_mix(h, t + 1)) for t in range(tables)]
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tables: int = 0) -> DataFrame:
-    """(doc_id, fp) of the shingle fingerprint, or (doc_id, fps) of several word-set fingerprints."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp) of the shingle fingerprint."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            if tables:
-                fps = np.array([word_fingerprints(t, tables) for t in utf8_values(part.column(1))], np.uint64).reshape(-1, tables).view(np.int64)
-                out = pa.array(list(fps), pa.list_(pa.int64()))
-            else:
-                out = pa.array(np.array([fingerprint(t) for t in utf8_values(part.column(1))], np.uint64).view(np.int64))
+            out = pa.array(np.array([fingerprint(t) for t in utf8_values(part.column(1))], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([part.column(0), out], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text).mapInArrow(batches, f"doc_id {kind}, fp {'array<long>' if tables else 'long'}")
+    return docs.select(F.col(id_col).alias("doc_id"), text).mapInArrow(batches, f"doc_id {kind}, fp long")
 
 
 # -- generalised pigeonhole --------------------------------------------------------------------------------
@@ -356,24 +348,119 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, parts: int = PARTS) -> Data
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, tables: int = 4, tau: int = TAU, parts: int = PARTS) -> DataFrame:
+# -- near copies by exact similarity -----------------------------------------------------------------------
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles of NEAR_WORDS words; empty for a text without words."""
+    return np.unique(shingle_hashes(text, NEAR_WORDS))
+
+
+def set_name(shingles: np.ndarray) -> int:
+    """One number for equal sets."""
+    return xxhash.xxh64_intdigest(np.ascontiguousarray(shingles, "<u8").tobytes(), SEED)
+
+
+_FLIPS = _mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64), 1)[:, None]
+_TURNS = _mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64), 2)[:, None] | np.uint64(1)
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band: the minima of BAND_ROWS permutations of the whole set."""
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), BAND_CHUNK):
+        least = np.minimum(least, ((shingles[at : at + BAND_CHUNK] ^ _FLIPS) * _TURNS).min(1))
+    rows, key = least.reshape(BANDS, BAND_ROWS), np.arange(1, BANDS + 1, dtype=np.uint64)
+    for i in range(BAND_ROWS):
+        key = _mix(key ^ rows[:, i], 3)
+    return key
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, own, n, bands): the name and size of each document's shingle set, and its band keys."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            own, sizes, keys = [], [], []
+            for text in utf8_values(part.column(1)):
+                found = shingle_set(text)
+                own.append(set_name(found))
+                sizes.append(len(found))
+                keys.append(bands(found).view(np.int64) if len(found) else np.zeros(0, np.int64))
+            out = [part.column(0), pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "own", "n", "bands"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, own long, n long, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(own, shingles) of each row of docs."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, ROWS):
+                found = [shingle_set(t) for t in utf8_values(part.column(0).slice(at, ROWS))]
+                names = np.array([set_name(x) for x in found], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["own", "shingles"])
+
+    return docs.select("text").mapInArrow(batches, "own long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets have a Jaccard similarity of NEAR or more, in whole numbers."""
+    one = sets.select(F.col("own").alias("u"), F.col("shingles").alias("a"))
+    two = sets.select(F.col("own").alias("v"), F.col("shingles").alias("b"))
+    both = F.size(F.array_intersect("a", "b")).cast("long")
+    top, under = NEAR
+    near = both * (top + under) >= top * (F.size("a") + F.size("b")).cast("long")
+    return pairs.join(one, "u").join(two, "v").where(near).select("u", "v")
+
+
+def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): links between sets (own, n, rep, bands) that connect those which share a bucket and have a similarity
+    of NEAR or more.
+
+    Each member of a bucket is first verified against the bucket's smallest one. Members that these links leave
+    in different components are then verified against each other, so a dense group never becomes all its pairs
+    and yet no link that could join two components goes unverified."""
+    top, under = NEAR
+    fits = lambda a, b: under * F.least(a, b) >= top * F.greatest(a, b)
+    entries = nodes.select("own", "n", "rep", F.explode("bands").alias("bucket"))
+    firsts = entries.groupBy("bucket").agg(F.min(F.struct("own", "n")).alias("first"), F.count("*").alias("members")).where("members > 1").drop("members")
+    met = table(entries.join(firsts, "bucket"))
+    # ids and names only are exchanged for this choice; texts only of documents that share a bucket
+    wanted = met.select(F.col("rep").alias("doc_id")).distinct()
+    sets = table(shingle_sets(docs.join(wanted, "doc_id", "left_semi")).join(met.select("own").distinct(), "own", "left_semi").dropDuplicates(["own"]))
+    stars = met.where((F.col("own") != F.col("first.own")) & fits(F.col("n"), F.col("first.n"))).select(F.col("first.own").alias("u"), F.col("own").alias("v"))
+    links = table(verified(stars.distinct(), sets))
+    found = table(components(links))
+    placed = table(met.join(found.withColumnRenamed("node", "own"), "own", "left").withColumn("component", F.coalesce("component", "own")).select("bucket", "own", "n", "component", F.col("first.own").alias("first")))
+    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    rest = placed.where("own <> first").join(split, "bucket")
+    a = rest.select("bucket", F.col("own").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"))
+    b = rest.select("bucket", F.col("own").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"))
+    across = a.join(b, "bucket").where((F.col("u") < F.col("v")) & (F.col("uc") != F.col("vc")) & fits(F.col("un"), F.col("vn"))).select("u", "v").distinct()
+    return links.unionByName(verified(across, sets))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
     """One document (the smallest doc_id) of each near-duplicate group, with all columns of docs; rows without an
     id stay, and of rows with the same id one stays.
 
-    Copies with edits move more than tau bits of a shingle fingerprint, so groups are linked by several
-    independent fingerprints of the set of longer words: tau bits of 64 stand for a word-set cosine of about
-    0.99, and so for a five-word-shingle similarity of about 0.9, with chance spread on both sides; a
-    copy at 0.8 is caught by one of the tables with a probability of about 0.9."""
-    prints = table(fingerprints(docs, tables=tables))
-    edges = None
-    for t in range(tables):
-        one = prints.select("doc_id", F.col("fp")[t].alias("fp"))
-        nodes = table(one.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-        links = linked(nodes.where("rep is not null"), tau, parts)
-        copies = one.join(nodes, "fp").where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-        both = table(links.unionByName(copies))
-        edges = both if edges is None else edges.unionByName(both)
-    found = components(edges).where("node <> component").select(F.col("node").alias("_gone"))
-    kept = docs.join(table(found), docs["doc_id"] == F.col("_gone"), "left_anti")
+    Two documents link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, which is
+    verified on the sets. Candidates share the minima of a band: 64 bits of SimHash would differ in about 10 bits,
+    with a spread of 3, at 0.8, too many for any pigeonhole. How a copy was edited does not matter to a minimum, only
+    the similarity does: a pair at 0.8 is missed with a probability of 3e-6, one above with less. Texts without
+    words are one group."""
+    prints = table(sketches(docs.where("doc_id is not null")))
+    nodes = table(prints.groupBy("own").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    names = nodes.select("own", "rep")
+    links = near_links(docs, nodes)
+    ends = links.join(names.select(F.col("own").alias("u"), F.col("rep").alias("a")), "u").join(names.select(F.col("own").alias("v"), F.col("rep").alias("b")), "v")
+    copies = prints.join(names, "own").where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+    found = components(table(ends.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(copies)))
+    gone = found.where("node <> component").select(F.col("node").alias("_gone"))
+    kept = docs.join(table(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
     own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     return kept.withColumn("_own", own).dropDuplicates(["doc_id", "_own"]).select(docs.columns)
