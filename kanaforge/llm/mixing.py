@@ -1,26 +1,40 @@
 """Mixing sources to target weights by Pfair scheduling. DataFrame and SQL functions only.
 
-Each source's documents, in an order given by a hash of the id, are cut into blocks. A period of PERIOD slots
-gives source s its share c_s of slots; its j-th block of a period is released at floor((j-1) * PERIOD / c_s)
-and due at ceil(j * PERIOD / c_s), and each slot goes to the released block that is due first. At full load
-this keeps every source within one block of its weight at every slot. The schedule of one period is an SQL fold
-over its slots; block b of a source then takes slot number (b div c_s) * PERIOD + schedule(b mod c_s), without any
-global sort.
-
-Defined cases: every row is kept once, so a source that runs out leaves its slots empty (the others go on in
-turn) and `balanced` marks the rows before the first such slot; a null source is a source of its own; repeated
-ids are ordered next to each other; an empty table gives an empty one. Weights are rounded to multiples of 1/PERIOD,
-at least one slot a source; more than MAX_SOURCES sources are refused.
+Each source's documents, in an order given by a hash of the id, are cut into blocks. With weight w, the j-th
+block of a source is released at slot floor((j-1) / w) and due at ceil(j / w), and each slot goes to the released
+block that is due first: at full load this keeps every source within one block of its weight at every slot.
+
+Nothing repeats, so nothing drifts: weights are whole multiples of 2**-52 that add up to one, and windows are worked
+out in whole numbers over the entire run. Blocks with windows inside slots a to b are at most the sum of w (b - a), so
+earliest deadline first meets every window. What a slot gets depends on all slots before, so the
+driver runs through them: one heap step for each BLOCK rows, a bounded PIECE in memory at a time. Rows never go there.
+
+Defined cases: every row is kept once. When a source runs out its weight cannot be met any more: `balanced` marks
+the rows before its first block that is missing or not full, and all other blocks follow in the order of their
+virtual times (j - 1/2) / w; a null source is a source of its own; repeated ids are ordered next to each other; an
+empty table gives an empty one. Any number of sources is mixed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from fractions import Fraction
+from heapq import heappop, heappush
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kanaforge.llm.common import shared_dir, table
+
 PERIOD, MAX_SOURCES = 1024, 512
+#: Weights are multiples of 1 / UNIT.
+UNIT = 1 << 52
+#: Slots of the schedule that the driver holds before it writes them: a memory bound only.
+PIECE = 1 << 20
 #: Documents of a block.
 BLOCK = 16
 #: Rows that are numbered together, about.
@@ -35,16 +49,19 @@ def tempered(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
 
 
 def shares(weights: dict[str, float]) -> dict[str, int]:
-    """Slots of each source in a period: largest remainders, one slot at least."""
+    """Slots of each source in one period of PERIOD slots: nearest whole numbers by largest remainders, one at least.
+
+    A short rounded schedule for display; positions() uses the weights themselves."""
     if len(weights) > MAX_SOURCES:
         raise ValueError(f"{len(weights)} sources; at most {MAX_SOURCES} can be mixed")
     if any(w <= 0 for w in weights.values()):
         raise ValueError("target weights must be positive")
-    total, free = sum(weights.values()), PERIOD - len(weights)
-    exact = {s: w / total * free for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: PERIOD - sum(out.values())]:
-        out[s] += 1
+    total = sum(weights.values())
+    exact = {s: w / total * PERIOD for s, w in weights.items()}
+    out = {s: max(1, int(x)) for s, x in exact.items()}
+    while (left := PERIOD - sum(out.values())) != 0:  # the source furthest from its share moves by one
+        step = 1 if left > 0 else -1
+        out[max((s for s in out if step > 0 or out[s] > 1), key=lambda s: (step * (exact[s] - out[s]), s))] += step
     return out
 
 
@@ -65,34 +82,98 @@ def schedule(spark: SparkSession, slots: dict[str, int]) -> DataFrame:
     return runs.select(F.expr(f"array({quoted})[i]").alias("mix_source"), turn.alias("turn"), "slot")
 
 
+def units(weights: dict[str, float]) -> dict[str, int]:
+    """Weights as multiples of 1 / UNIT, one at least, that add up to UNIT: within a double's own precision."""
+    if any(w <= 0 for w in weights.values()):
+        raise ValueError("target weights must be positive")
+    total = sum(map(Fraction, weights.values()))
+    out = {s: max(1, int(Fraction(w) * UNIT / total)) for s, w in weights.items()}
+    most = sorted(out, key=lambda s: (-out[s], s))
+    left = UNIT - sum(out.values())
+    out[most[0]] += left
+    return out
+
+
+def runs(weights: dict[str, int], full: dict[str, int]) -> Iterator[tuple[int, int]]:
+    """(number of the source in sorted order, block) of slot 0, 1, ... up to the first block that is not full."""
+    names = sorted(weights)
+    w, last = [weights[s] for s in names], [full[s] for s in names]
+    waiting = [(0, i, 0) for i in range(len(names))]  # (release, source, block); later slots
+    ready: list[tuple[int, int, int]] = []  # (deadline, source, block)
+    t = 0
+    while True:
+        while waiting and waiting[0][0] <= t:
+            _, i, j = heappop(waiting)
+            heappush(ready, (-(-(j + 1) * UNIT // w[i]), i, j))
+        _, i, j = heappop(ready)
+        if j >= last[i]:
+            return
+        yield i, j
+        heappush(waiting, ((j + 1) * UNIT // w[i], i, j + 1))
+        t += 1
+
+
+def plan_of(spark: SparkSession, counts: dict[str, int], weights: dict[str, int], block: int) -> tuple[DataFrame, int]:
+    """(mix_source, mix_block, mix_slot) of every block that has a row, and the first slot that is not balanced."""
+    path = f"{shared_dir(spark).rstrip('/')}/kanaforge-{uuid.uuid4().hex}"
+    made, end, done = runs(weights, {s: n // block for s, n in counts.items()}), 0, dict.fromkeys(range(len(weights)), 0)
+    while True:
+        piece = np.fromiter(islice(made, PIECE), np.dtype((np.int64, 2)))
+        out = pa.table({"kind": piece[:, 0], "mix_block": piece[:, 1], "mix_slot": np.arange(end, end + len(piece))})
+        spark.createDataFrame(out, "kind long, mix_block long, mix_slot long").write.mode("append").parquet(path)
+        end += len(piece)
+        kinds, many = np.unique(piece[:, 0], return_counts=True)
+        for i, n in zip(kinds.tolist(), many.tolist(), strict=True):
+            done[i] += n
+        if len(piece) < PIECE:
+            break
+    rows = [(i, s, done[i], -(-counts[s] // block), weights[s]) for i, s in enumerate(sorted(weights))]
+    kinds = F.broadcast(spark.createDataFrame(rows, "kind long, mix_source string, done long, blocks long, w long"))
+    begun = spark.read.schema("kind long, mix_block long, mix_slot long").parquet(path).join(kinds, "kind").select("mix_source", "mix_block", "mix_slot")
+    tail = kinds.where("done < blocks").select("mix_source", "w", F.explode(F.expr("sequence(done, blocks - 1)")).alias("mix_block"))
+    timed = tail.select("mix_source", "mix_block", ((F.col("mix_block") + 0.5) / F.col("w")).alias("_time"))
+    later = numbered(timed, ["_time", "mix_source"], "mix_slot").select("mix_source", "mix_block", (F.col("mix_slot") + end).alias("mix_slot"))
+    return begun.unionByName(later), end
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their number, from 0, in an order: each range of the order is numbered by itself."""
+    laid = table(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = laid.groupBy("_range").count()
+    before = sizes.select("_range", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return laid.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_range", "_own", "_before")
+
+
 def positions(docs: DataFrame, weigh: Callable[[dict[str, int]], dict[str, float]] = tempered, block: int = BLOCK) -> DataFrame:
     """docs with mix_block (number of the block within its source), mix_slot, mix_pos and balanced.
 
     mix_pos orders the mixture. Columns of these names are replaced."""
     spark = docs.sparkSession
     named = docs.withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)))
-    counted = named.groupBy("mix_source").count().limit(MAX_SOURCES + 1).collect()
-    counts = {r["mix_source"]: r["count"] for r in counted}
-    slots = shares(weigh(counts)) if counts else {}
-    plan = schedule(spark, slots) if counts else spark.range(0).selectExpr("'' mix_source", "0 turn", "0 slot")
+    counts = {r["mix_source"]: r["count"] for r in named.groupBy("mix_source").count().collect()}
+    if counts:
+        plan, end = plan_of(spark, counts, units(weigh(counts)), block)
+    else:
+        plan, end = spark.range(0).selectExpr("'' mix_source", "0L mix_block", "0L mix_slot"), 0
     bits = max(8, (sum(counts.values()) // BUCKET_ROWS).bit_length())
     key = F.xxhash64("doc_id")
     keyed = named.withColumn("_key", key).withColumn("_bucket", F.expr(f"shiftrightunsigned(_key, {64 - bits})").cast("int"))
-    before = keyed.groupBy("mix_source", "_bucket").agg(F.count("*").alias("_n"))
+    sizes = keyed.groupBy("mix_source", "_bucket").agg(F.count("*").alias("_n"))
     running = Window.partitionBy("mix_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select("mix_source", "_bucket", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+    before = sizes.select("mix_source", "_bucket", "_n", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+    # each bucket gets the slots of its own blocks, so that the rows need no exchange to find theirs
+    spread = before.select("mix_source", "_bucket", "_before", F.expr(f"_before div {block}").alias("_from"), F.explode(F.expr(f"sequence(_before div {block}, (_before + _n - 1) div {block})")).alias("mix_block"))
+    slotted = spread.join(plan, ["mix_source", "mix_block"]).groupBy("mix_source", "_bucket", "_before", "_from")
+    lists = table(slotted.agg(F.transform(F.array_sort(F.collect_list(F.struct("mix_block", "mix_slot"))), lambda x: x["mix_slot"]).alias("_slots")))
     order = Window.partitionBy("mix_source", "_bucket").orderBy(F.expr(f"_key & {(1 << (64 - bits)) - 1}"), "doc_id")
-    c = F.create_map(*[x for s, n in slots.items() for x in (F.lit(s), F.lit(n))])[F.col("mix_source")] if slots else F.lit(1)
-    ranked = (
+    placed = (
         keyed.withColumn("_row", F.row_number().over(order))
-        .join(before, ["mix_source", "_bucket"])
+        .join(lists, ["mix_source", "_bucket"])
         .withColumn("_rank", F.col("_before") + F.col("_row") - 1)
         .withColumn("mix_block", F.expr(f"_rank div {block}"))
-        .withColumn("_c", c.cast("long"))
-        .withColumn("turn", F.expr("cast(mix_block % _c AS int)"))
+        .withColumn("mix_slot", F.expr("_slots[cast(mix_block - _from AS int)]"))
     )
-    placed = ranked.join(F.broadcast(plan), ["mix_source", "turn"]).withColumn("mix_slot", F.expr(f"(mix_block div _c) * {PERIOD} + slot"))
-    end = first_gap(plan, counts, slots, block) if counts else 0
     return (
         placed.withColumn("mix_pos", F.col("mix_slot") * block + F.col("_rank") % block)
         .withColumn("balanced", F.col("mix_slot") < end)
@@ -100,14 +181,6 @@ def positions(docs: DataFrame, weigh: Callable[[dict[str, int]], dict[str, float
     )
 
 
-def first_gap(plan: DataFrame, counts: dict[str, int], slots: dict[str, int], block: int) -> int:
-    """The first slot whose block is missing or not full: one number."""
-    full = {s: n // block for s, n in counts.items()}
-    turns = F.create_map(*[x for s in slots for x in (F.lit(s), F.lit(full[s] % slots[s]))])[F.col("mix_source")]
-    cycles = F.create_map(*[x for s in slots for x in (F.lit(s), F.lit(full[s] // slots[s]))])[F.col("mix_source")]
-    return plan.where(F.col("turn") == turns).agg(F.min(cycles.cast("long") * PERIOD + F.col("slot"))).first()[0]
-
-
 def mixed(docs: DataFrame, weigh: Callable[[dict[str, int]], dict[str, float]] = tempered, block: int = BLOCK) -> DataFrame:
     """docs with the same columns, laid out in the order of the mixture: each stretch of it in one task, in order.
 
