@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
 Word types are counted in each task and turned into padded character 4-grams, which are summed over all
-learning documents by language. Each order's n-grams of all languages lie in one sorted array of 64-bit hashes with a row of
+learning documents by language; the driver estimates the models from all of them. Each order's n-grams of all languages lie in one sorted array of 64-bit hashes with a row of
 interpolated log-probabilities, one for each language; an n-gram that is missing falls back to its suffix
 with the back-off weight of its context, from another sorted array. A text's cross-entropy is a sum over its
 words, so a worker scores each word it meets once. The lowest length-normalised cross-entropy wins.
@@ -23,14 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kanaforge.llm.common import id_bucket, str_values
 
 ORDER = 4
-#: n-grams of the highest order that a model keeps for each language, most frequent first: bounds the model, not the data.
-MAX_NGRAMS = 50_000
 #: Learning documents whose cross-entropies set the rejection limits, and the quantile that they give.
 CALIBRATION, QUANTILE = 4000, 0.995
 HELD_MOD, HELD = 5, 0
@@ -244,10 +242,8 @@ def kept_scorer(model: Model) -> Scorer:
 def fit(docs: DataFrame) -> Model:
     """A model from the rows (doc_id, text, lang) outside the hold-out with a lang, all of them."""
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(id_bucket("doc_id", HELD_MOD), F.lit(-1)) != HELD))
-    rank = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = ngram_counts(learn).withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= MAX_NGRAMS)
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, gram, n in kept.select("lang", "gram", "n").toLocalIterator():
+    for lang, gram, n in ngram_counts(learn).toLocalIterator():
         counts[lang][gram] = n
     model = kneser_ney(counts)
     if model.langs:
