@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kanaforge.functions.sounds import IRREGULAR, MOST_LETTERS, english, foreign
+
 # -- romanised Japanese ------------------------------------------------------------------------------------
 
 _ROWS = {
@@ -78,63 +80,66 @@ LETTER_NAMES = {
 }
 
 
+def _literal(table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+
+
 def letters_to_kana(col: Column) -> Column:
     """Names of a string's letters, marks silent but `&`."""
-    names = F.create_map(*[F.lit(x) for pair in LETTER_NAMES.items() for x in pair])
+    names = _literal(LETTER_NAMES)
     return F.array_join(F.transform(F.filter(F.split(F.regexp_replace(F.lower(col), "[^a-z&]", ""), ""), lambda c: c != ""), lambda c: names[c]), "")
 
 
 def notation_to_kana(col: Column) -> Column:
     """Letters strung together by marks (2 to 12 of them); null for anything else."""
-    return F.when(col.rlike(r"^[A-Za-z](?:[/\\|_.&#*~+=・‐–—·•-][A-Za-z]){1,11}$"), letters_to_kana(col))
+    return F.when(col.rlike(r"^[A-Za-z](?:[^A-Za-z0-9\s][A-Za-z]){1,11}$"), letters_to_kana(col))
 
 
-def acronym_kana(raw: Column, known: Column) -> Column:
-    """Capitals read by name: without a vowel up to six, with one up to three and only where nothing else knows them."""
+def acronym_kana(raw: Column, known: Column, romaji: Column | None = None) -> Column:
+    """Capitals read by name: without a vowel up to six, with one up to three and only where nothing else knows them:
+    no lexicon or word list (known), and no romanised reading."""
     bare = ~raw.rlike("[AEIOUY]") & raw.rlike("^[A-Z]{2,6}$")
-    return F.when(bare | (raw.rlike("^[A-Z]{2,3}$") & ~known), letters_to_kana(raw))
-
+    free = ~known if romaji is None else ~known & romaji.isNull()
+    return F.when(bare | (raw.rlike("^[A-Z]{2,3}$") & free), letters_to_kana(raw))
 
-#: Suffixes of contractions and their sounds.
-CONTRACTIONS = {"s": "ズ", "re": "ア", "ll": "ル", "d": "ド", "ve": "ヴ", "m": "ム", "nt": "ント"}
 
+#: Sounds of contractions' suffixes.
+SUFFIXES = {"re": "ア", "ll": "ル", "d": "ド", "ve": "ブ", "m": "ム", "nt": "ント"}
+#: Contractions whose sound is not their base's and their suffix's.
+WHOLE_CONTRACTIONS = {
+    "don't": "ドント", "can't": "キャント", "won't": "ウォント", "ain't": "エイント", "aren't": "アーント", "weren't": "ワーント", "couldn't": "クドント", "wouldn't": "ウドント", "shouldn't": "シュドント", "mustn't": "マスント",
+    "hadn't": "ハドント", "needn't": "ニードント", "they're": "ゼア", "we'll": "ウィル", "y'all": "ヨール",
+}
+_APOSTROPHES = "’ʼ＇"
 
-def split_contraction(raw: Column) -> Column:
-    """(base, suffix) of a contraction; null for other words."""
-    low = F.regexp_replace(F.lower(raw), "’", "'")
-    nt = low.rlike("^[a-z]+n't$")
-    base = F.when(nt, F.regexp_extract(low, "^([a-z]+)n't$", 1)).otherwise(F.regexp_extract(low, "^([a-z]+)'(s|re|ll|d|ve|m)$", 1))
-    suffix = F.when(nt, "nt").otherwise(F.regexp_extract(low, "^([a-z]+)'(s|re|ll|d|ve|m)$", 2))
-    return F.when(base != "", F.struct(base.alias("base"), suffix.alias("suffix")))
 
+def apostrophes(raw: Column) -> Column:
+    """Lower case, with one kind of apostrophe."""
+    return F.translate(F.lower(F.trim(raw)), _APOSTROPHES, "'" * len(_APOSTROPHES))
 
-def merge_contraction(base_kana: Column, suffix: Column) -> Column:
-    """A base's kana with the sound of its suffix."""
-    table = F.create_map(*[F.lit(x) for pair in CONTRACTIONS.items() for x in pair])
-    hissing = (suffix == "s") & base_kana.rlike("[クプトフ]$")
-    return F.concat(base_kana, F.when(hissing, "ス").otherwise(table[suffix]))
 
+def _part(col: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(col, pattern, 1), F.lit(""))
 
-# -- English spelling --------------------------------------------------------------------------------------
 
-#: Letter groups and their sounds; the longest that fits is taken. A vowel sound ends in its vowel.
-_ENGLISH = {
-    "tion": "ション", "sion": "ジョン", "ough": "オー", "augh": "オー", "igh": "アイ", "eigh": "エイ", "tch": "ッチ", "dge": "ッジ", "ch": "チ", "sh": "シュ", "th": "ス", "ph": "フ", "wh": "ホワ", "ck": "ック", "ng": "ング", "qu": "クウィ",
-    "ee": "イー", "ea": "イー", "oo": "ウー", "ou": "アウ", "ow": "オウ", "oi": "オイ", "oy": "オイ", "ai": "エイ", "ay": "エイ", "au": "オー", "aw": "オー", "ew": "ュー", "oa": "オー", "ie": "イー", "ar": "アー", "er": "アー", "ir": "アー", "or": "オー", "ur": "アー",
-    "a": "ア", "e": "エ", "i": "イ", "o": "オ", "u": "ア", "y": "イ",
-}
-_ROW_OF = {"b": "バビブベボ", "c": "カキクケコ", "d": "ダディドゥデド", "f": "ファフィフフェフォ", "g": "ガギグゲゴ", "h": "ハヒフヘホ", "j": "ジャジジュジェジョ", "k": "カキクケコ", "l": "ラリルレロ", "m": "マミムメモ", "n": "ナニヌネノ", "p": "パピプペポ", "r": "ラリルレロ", "s": "サシスセソ", "t": "タティトゥテト", "v": "ヴァヴィヴヴェヴォ", "w": "ワウィウウェウォ", "x": "クサクシクスクセクソ", "z": "ザジズゼゾ", "ch": "チャチチュチェチョ", "sh": "シャシシュシェショ", "th": "ザジズゼゾ", "ph": "ファフィフフェフォ", "wh": "ホワウィウウェホ"}
-_FINAL = {"b": "ブ", "c": "ク", "d": "ド", "f": "フ", "g": "グ", "h": "", "j": "ジ", "k": "ク", "l": "ル", "m": "ム", "n": "ン", "p": "プ", "q": "ク", "r": "ル", "s": "ス", "t": "ト", "v": "ヴ", "w": "ウ", "x": "クス", "y": "イ", "z": "ズ"}
-_SMALL = "ァィゥェォャュョ"
+def split_contraction(raw: Column) -> Column:
+    """struct(base, suffix, fixed) of a contraction; null for other words. fixed: the sound of the whole, where settled."""
+    low = apostrophes(raw)
+    base = F.coalesce(_part(low, "^([a-z]+)n't$"), _part(low, "^([a-z]+)'(?:s|re|ll|d|ve|m)$"))
+    suffix = F.when(low.rlike("^[a-z]+n't$"), "nt").otherwise(_part(low, "^[a-z]+'(s|re|ll|d|ve|m)$"))
+    fixed = _literal(WHOLE_CONTRACTIONS)[low]
+    return F.when(base.isNotNull() | fixed.isNotNull(), F.struct(base.alias("base"), suffix.alias("suffix"), fixed.alias("fixed")))
 
 
-def _moras(row: str) -> list[str]:
-    return re.findall(f".[{_SMALL}]?|.", row)
+def merge_contraction(kana: Column, suffix: Column) -> Column:
+    """A base's kana with its suffix: a last t or d takes s into its own sound, a long mark gives way before re."""
+    cut = F.left(kana, F.greatest(F.length(kana) - 1, F.lit(0)))
+    hiss = F.when(kana.endswith("ト"), F.concat(cut, F.lit("ツ"))).when(kana.endswith("ド"), F.concat(cut, F.lit("ズ"))).when(kana.endswith("ッ"), F.concat(kana, F.lit("ツ"))).otherwise(F.concat(kana, F.lit("ズ")))
+    bare = F.when((suffix == "re") & kana.endswith("ー"), cut).otherwise(kana)
+    return F.when(suffix == "s", hiss).otherwise(F.concat(bare, _literal(SUFFIXES)[suffix]))
 
 
-_CV = {c: _moras(row) for c, row in _ROW_OF.items()}
-_GROUPS = sorted(_ENGLISH, key=len, reverse=True)
-MOST_LETTERS = 24
+# -- English and other languages by spelling ---------------------------------------------------------------
 
 
 def english_to_kana(word: str | None) -> tuple[str, bool]:
@@ -142,53 +147,14 @@ def english_to_kana(word: str | None) -> tuple[str, bool]:
     w = re.sub("[^a-z]", "", (word or "").lower())[:MOST_LETTERS]
     if not w:
         return "", False
-    if len(w) > 3 and w.endswith("e") and w[-2] not in "aeiou" and w[-3] in "aeiou":
-        w, magic = w[:-1], True  # a silent e lengthens the vowel before it
-    else:
-        magic = False
-    out, i = [], 0
-    while i < len(w):
-        c = next((x for x in ("ch", "sh", "th", "ph", "wh") if w.startswith(x, i)), None)
-        c = c or (w[i] if w[i] in _CV else None)
-        after = i + len(c) if c else i
-        if c and len(c) == 1 and after < len(w) and w[after] == c:
-            if c in "ptkdgbcfs":
-                out.append("ッ")
-            i += 1
-            continue
-        whole = next((g for g in _GROUPS if len(g) > 2 and w.startswith(g, i)), None)
-        if whole and whole[0] not in "aeiou":
-            out.append(_ENGLISH[whole])
-            i += len(whole)
-            continue
-        vowel = next((g for g in _GROUPS if g[0] in "aeiouy" and w.startswith(g, after)), None)
-        if c and vowel:
-            sound = _ENGLISH[vowel]
-            place = "アイウエオ".find(sound[0])
-            out.append((_CV[c][place] + sound[1:]) if place >= 0 else _FINAL.get(c, "シュ") + sound)
-            i = after + len(vowel)
-            if magic and i == len(w) - 1 and len(vowel) == 1:
-                out.append({"a": "イ", "i": "", "o": "ー", "u": "ー", "e": "ー"}.get(vowel, ""))
-        elif c:
-            pair = next((g for g in ("ck", "ng", "tch", "dge") if w.startswith(g, i)), None)
-            out.append(_ENGLISH[pair] if pair else _ENGLISH.get(c) or _FINAL[c])
-            i += len(pair) if pair else len(c)
-        elif vowel:
-            out.append(_ENGLISH[vowel])
-            i = after + len(vowel)
-        else:
-            out.append(_FINAL.get(w[i], ""))
-            i += 1
-    kana = re.sub("ー+", "ー", "".join(out)).replace("ッッ", "ッ") or LETTER_NAMES[w[0]]
-    kana = re.sub("^[ーュ]", "", kana) or LETTER_NAMES[w[0]]
-    return kana, not uncertain(w)
+    return english(w) or LETTER_NAMES[w[0]], w in IRREGULAR or not uncertain(w)
 
 
-_UNCERTAIN = re.compile("ough|augh|ea|ow|ou|gh|th|[aeiou]{3}|[^aeiouy]{5}")
+#: Spellings that stand for several sounds: digraphs, silent letters, runs of vowels and of consonants.
+_UNCERTAIN = re.compile("th|wh|gh|oo|ou|ow|oa|oe|ea|ew|ui|^(?:wr|kn|ps|pn)|[aeiou]{3}|[^aeiouy]{5}")
 
 
 def uncertain(word: str) -> bool:
-    """Spellings that stand for several sounds."""
     return bool(_UNCERTAIN.search(word))
 
 
@@ -196,64 +162,9 @@ def uncertain_spelling(col: Column) -> Column:
     return F.lower(col).rlike(_UNCERTAIN.pattern)
 
 
-# -- other languages ---------------------------------------------------------------------------------------
-
-#: Letter groups that differ from romanised reading, by language; the rest follows consonant and vowel.
-_FOREIGN: dict[str, list[tuple[str, str]]] = {
-    "de": [("sch", "sh"), ("tsch", "ch"), ("chs", "ks"), ("ch", "h"), ("ei", "ai"), ("ie", "i-"), ("eu", "oi"), ("äu", "oi"), ("ä", "e"), ("ö", "e"), ("ü", "yu"), ("ß", "s"), ("w", "v"), ("v", "f"), ("z", "ts"), ("j", "y"), ("qu", "kv"), ("th", "t"), ("ph", "f")],
-    "la": [("ae", "ae"), ("oe", "oe"), ("qu", "kw"), ("ph", "f"), ("th", "t"), ("ch", "k"), ("c", "k"), ("v", "w"), ("x", "ks"), ("j", "y")],
-    "pt": [("ção", "san"), ("ão", "an"), ("õe", "oin"), ("nh", "ny"), ("lh", "ry"), ("ch", "sh"), ("ç", "s"), ("qu", "k"), ("x", "sh"), ("á", "a"), ("â", "a"), ("ã", "an"), ("é", "e"), ("ê", "e"), ("í", "i"), ("ó", "o"), ("ô", "o"), ("ú", "u"), ("c", "k")],
-    "nl": [("sch", "sh"), ("ij", "ai"), ("ui", "ai"), ("oe", "u"), ("eu", "e"), ("ou", "au"), ("aa", "a-"), ("ee", "e-"), ("oo", "o-"), ("uu", "yu"), ("ch", "h"), ("g", "h"), ("j", "y"), ("w", "w"), ("v", "f"), ("c", "k")],
-    "sw": [("ng'", "ng"), ("dh", "z"), ("th", "s"), ("gh", "g"), ("ch", "ch"), ("sh", "sh"), ("ny", "ny"), ("c", "k")],
-    "fr": [("eaux", "o-"), ("eau", "o-"), ("oin", "wan"), ("oi", "wa"), ("ain", "an"), ("ein", "an"), ("ou", "u"), ("au", "o"), ("eu", "u"), ("ai", "e"), ("qu", "k"), ("ch", "sh"), ("gn", "ny"), ("ph", "f"), ("th", "t"), ("é", "e"), ("è", "e"), ("ê", "e"), ("à", "a"), ("â", "a"), ("ç", "s"), ("ù", "u"), ("ô", "o"), ("î", "i"), ("û", "u"), ("œ", "u"), ("c", "k"), ("j", "j")],
-    "ru": [],
-    "el": [],
-}
-_RUSSIAN = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e yo j z i i k r m n o p r s t u f h ts ch sh sh _ i _ e yu ya".split(), strict=True))
-_GREEK = dict(zip("αβγδεζηθικλμνξοπρστυφχψως", "a v g d e z i s i k r m n ks o p r s t i f h ps o s".split(), strict=True))
-_VOWELS = {"a": 0, "i": 1, "u": 2, "e": 3, "o": 4}
-
-
-def romanised(lang: str, word: str) -> str:
-    """A foreign word in letters that read as romanised Japanese does."""
-    w = word.lower()
-    if lang in ("ru", "el"):
-        return "".join({"_": ""}.get(x, x) for x in (({**_RUSSIAN} if lang == "ru" else _GREEK).get(c, c) for c in w))
-    out, i, rules = [], 0, sorted(_FOREIGN.get(lang, []), key=lambda r: -len(r[0]))
-    while i < len(w):
-        hit = next(((a, b) for a, b in rules if w.startswith(a, i)), None)
-        out.append(hit[1] if hit else w[i])
-        i += len(hit[0]) if hit else 1
-    s = "".join(out)
-    if lang == "fr":
-        s = re.sub("[stdpxe]+$", "", s) or s
-    return s
-
-
 def lang_to_kana(lang: str, word: str | None) -> str | None:
-    """Kana of a word of another language, by its letter groups; None for an unknown language or no letters."""
-    if not word or lang not in _FOREIGN:
-        return None
-    w, out, i = romanised(lang, word), [], 0
-    while i < len(w):
-        c = next((x for x in ("ts", "ch", "sh", "ny", "ry", "ky") if w.startswith(x, i)), w[i])
-        v = w[i + len(c) : i + len(c) + 1]
-        if c in _VOWELS:
-            out.append("アイウエオ"[_VOWELS[c]])
-            i += 1
-        elif c == "-":
-            out.append("ー")
-            i += 1
-        elif v in _VOWELS and (c + v in SYLLABLES or c in _CV):
-            out.append(SYLLABLES.get(c + v) or _CV[c][_VOWELS[v]])
-            i += len(c) + 1
-        elif c == "y":
-            out.append("イ")
-            i += 1
-        else:
-            out.append({"ts": "ツ", "ch": "チ", "sh": "シュ", "ny": "ニュ", "ry": "リ", "ky": "キ"}.get(c) or _FINAL.get(c, ""))
-            i += len(c)
-    return "".join(out) or None
+    """Kana of a word of another language, by its spelling; None for an unknown language or no letters of it."""
+    return foreign(lang, word) if word and lang else None
 
 
 # -- columns -----------------------------------------------------------------------------------------------
@@ -292,28 +203,42 @@ def lang_column(lang: Column | str, word: Column | str) -> Column:
 
 
 def register(spark) -> None:
-    """The engines as SQL functions."""
+    """The engines as SQL functions, and the scanner as a table function."""
     spark.udf.register("romaji_to_kana", F.arrow_udf(_romaji, "string"))
     spark.udf.register("english_to_kana", F.arrow_udf(_english, "struct<kana:string,confident:boolean>"))
     spark.udf.register("lang_to_kana", F.arrow_udf(_foreign, "string"))
+    from kanaforge.functions import tokens  # the scanner reads romanised words, so it imports this module
+
+    tokens.register(spark)
 
 
 # -- letters of other scripts, units -----------------------------------------------------------------------
 
 #: Japanese names of the Greek letters, alpha to omega.
 GREEK_NAMES = dict(zip("αβγδεζηθικλμνξοπρστυφχψω", "アルファ ベータ ガンマ デルタ イプシロン ゼータ イータ シータ イオタ カッパ ラムダ ミュー ニュー クサイ オミクロン パイ ロー シグマ タウ ウプシロン ファイ カイ プサイ オメガ".split(), strict=True))
+#: Japanese names of the Cyrillic letters, as they are spelled out.
+CYRILLIC_NAMES = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "アー ベー ヴェー ゲー デー イェー ヨー ジェー ゼー イー イー カー エル エム エヌ オー ペー エル エス テー ウー エフ ハー ツェー チェー シャー シシャー イェル ウィ イェーリ エー ユー ヤー".split(), strict=True))
 #: Units, read so only right after a digit.
-UNITS = {"km": "キロ", "kg": "キロ", "cm": "センチ", "mm": "ミリ", "m": "メートル", "g": "グラム", "mg": "ミリグラム", "l": "リットル", "ml": "ミリリットル", "hz": "ヘルツ", "db": "デシベル", "w": "ワット", "v": "ボルト"}
+UNITS = {"km": "キロ", "kg": "キロ", "cm": "センチ", "mm": "ミリ", "m": "メートル", "g": "グラム", "mg": "ミリグラム", "l": "リットル", "ml": "ミリリットル", "hz": "ヘルツ", "khz": "キロヘルツ", "db": "デシベル", "kw": "キロワット"}
+#: Capitals that stand for units.
+UNIT_SYMBOLS = {"V": "ボルト", "W": "ワット", "A": "アンペア", "N": "ニュートン", "J": "ジュール", "K": "ケルビン", "F": "ファラド", "H": "ヘンリー"}
 
 
-def _literal(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+def greek_letter(text: Column) -> Column:
+    """Name of a lone Greek letter; the capital omega is the unit ohm. Null for anything else."""
+    return F.when(text.isin("Ω", "Ω"), "オーム").when(F.length(text) == 1, _literal(GREEK_NAMES)[F.lower(text)])
 
 
-def greek_letter(text: Column) -> Column:
-    """Name of a lone Greek letter; null for anything else."""
-    return F.when(F.length(text) == 1, _literal(GREEK_NAMES)[F.lower(text)])
+def cyrillic_letters(text: Column) -> Column:
+    """Names of a lone Cyrillic letter, or of two to six capitals without a vowel; null for anything else."""
+    names = _literal(CYRILLIC_NAMES)
+    spelled = F.array_join(F.transform(F.filter(F.split(F.lower(text), ""), lambda c: c != ""), lambda c: names[c]), "")
+    return F.when(text.rlike("^[А-Яа-яЁё]$") | text.rlike("^[БВГДЖЗЙКЛМНПРСТФХЦЧШЩ]{2,6}$"), spelled)
 
 
 def unit_reading(norm: Column, after_digit: Column) -> Column:
     return F.when(after_digit, _literal(UNITS)[F.lower(norm)])
+
+
+def unit_symbol(text: Column) -> Column:
+    return _literal(UNIT_SYMBOLS)[text]

@@ -71,6 +71,24 @@ def fold_diacritics(col: Column | str) -> Column:
     return F.translate(c, MARKED, BASE)
 
 
+#: Letters that a language writes out in plain letters.
+FOLDS = {"de": {"ä": "ae", "ö": "oe", "ü": "ue"}}
+
+
+def fold_language(col: Column | str, lang: str) -> Column:
+    """A language's word in plain letters, as its loan tables spell it; hyphens and apostrophes gone."""
+    c = F.lower(_c(col))
+    for mark, base in FOLDS.get(lang, {}).items():
+        c = F.replace(c, F.lit(mark), F.lit(base))
+    return F.translate(fold_diacritics(c), FOLDED_MARKS, "")
+
+
+def pure_macron(col: Column | str) -> Column:
+    """Whether a word has macrons and no other mark: it is romanised Japanese."""
+    c = F.lower(_c(col))
+    return F.coalesce(c.rlike(f"[{''.join(MACRONS)}]") & ~c.rlike(f"[^a-z{''.join(MACRONS)}'-]"), F.lit(False))
+
+
 def fold_macrons(col: Column | str) -> Column:
     """Long vowels written with a macron become vowel and hyphen (romanised long marks)."""
     c = F.lower(_c(col))

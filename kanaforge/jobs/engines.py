@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kanaforge.functions import kana as K
 from kanaforge.functions.tokens import tokenize
-from kanaforge.jobs.inputs import DL, DW, LETTERS, LEX, SPELLED, docs, hand, lexicon, lines, spelled
+from kanaforge.jobs.inputs import DL, DW, LETTERS, LEX, SPELLED, TK, docs, flag_columns, hand, lexicon, lines, spelled
 from kanaforge.jobs.registry import query
 from kanaforge.operators import align as G
 from kanaforge.operators import cascade as R
@@ -22,9 +22,9 @@ def _kinds(spark, sf):
     return P.plain_words(lines(spark, sf)).select("word").distinct()
 
 
-@query("p2_tokenize")
+@query("p2_tokenize", f"""WITH {DL}, {TK} SELECT doc_id, line_no, tok_no, text, start, "end", kind, norm, {flag_columns('script', 'glued', 'emoticon', 'after_digit', 'label', 'diacritic')} FROM tk""")
 def p2(spark, sf):
-    return tokenize(lines(spark, sf))
+    return tokenize(lines(spark, sf)).select("doc_id", "line_no", "tok_no", "text", "start", "end", "kind", "norm", "script", "glued", "emoticon", "after_digit", "label", "diacritic")
 
 
 @query("f1_romaji")
@@ -37,11 +37,11 @@ def f2(spark, sf):
     return _kinds(spark, sf).select("word", K.english_column("word").alias("r")).select("word", "r.*")
 
 
-@query("q2_rule_output", f"WITH {LEX} SELECT count(DISTINCT word) AS words, 0::BIGINT AS bad FROM lx")
+@query("q2_rule_output", f"WITH {LEX} SELECT word FROM lx GROUP BY word")
 def q2(spark, sf):
-    """Every lexicon word through the spelling rules: none may come out empty or not as kana."""
+    """The lexicon words that the spelling rules read as kana, which must be all of them."""
     kinds = lexicon(spark, sf).select("word").distinct().select("word", K.english_column("word").alias("r"))
-    return kinds.agg(F.count("*").alias("words"), F.count_if(~F.col("r.kana").rlike("^[ァ-ヶー]+$")).alias("bad"))
+    return kinds.where(F.col("r.kana").rlike("^[ァ-ヶー]+$")).select("word")
 
 
 @query("f3_uncertain_spelling", f"WITH {LEX} SELECT DISTINCT word, regexp_matches(word, '{K._UNCERTAIN.pattern}') AS uncertain FROM lx")
@@ -52,9 +52,9 @@ def f3(spark, sf):
 _NAMES = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in K.LETTER_NAMES.items()) + "}"
 
 
-@query("f4_letters", f"WITH {LEX} SELECT DISTINCT word, array_to_string(list_transform(string_split(word, ''), lambda c: {_NAMES}[c]), '') AS kana FROM lx WHERE length(word) <= 6")
+@query("f4_letters", f"WITH {LEX} SELECT DISTINCT word, array_to_string(list_transform(string_split(word, ''), lambda c: {_NAMES}[c]), '') AS kana FROM lx")
 def f4(spark, sf):
-    return lexicon(spark, sf).where("length(word) <= 6").select("word").distinct().select("word", K.letters_to_kana(F.col("word")).alias("kana"))
+    return lexicon(spark, sf).select("word").distinct().select("word", K.letters_to_kana(F.col("word")).alias("kana"))
 
 
 @query("f5_acronyms", f"WITH {DL}, {DW}, k AS (SELECT DISTINCT word, norm FROM dw WHERE regexp_matches(word, '^[A-Z]{{2,6}}$')) SELECT word, CASE WHEN NOT regexp_matches(word, '[AEIOUY]') OR length(word) <= 3 AND norm NOT IN (SELECT word FROM ({LEX[len('lx AS (') : -1]}) l WHERE source = 'hand') THEN array_to_string(list_transform(string_split(lower(word), ''), lambda c: {_NAMES}[c]), '') END AS kana FROM k")
@@ -64,11 +64,18 @@ def f5(spark, sf):
     return words.join(known, "norm", "left").select("word", K.acronym_kana(F.col("word"), F.coalesce("k", F.lit(False))).alias("kana"))
 
 
-@query("f6_contractions", f"WITH {LEX}, w AS (SELECT DISTINCT word || '''' || s AS raw, word, s FROM lx, (VALUES ('s'), ('re'), ('ll'), ('d'), ('ve'), ('m')) v(s) WHERE source = 'hand') SELECT raw, word AS base, s AS suffix FROM w")
+_SUFFIXES = ("'s", "'re", "'ll", "'d", "'ve", "'m", "n't")
+_WHOLE = ", ".join("('{}', '{}')".format(a.replace("'", "''"), b) for a, b in K.WHOLE_CONTRACTIONS.items())
+
+
+@query("f6_contractions", f"""WITH {LEX}, w AS (SELECT DISTINCT word || s AS raw, CASE WHEN s = 'n''t' THEN 'nt' ELSE s[2:] END AS suffix, CASE WHEN s <> 'n''t' AND word || s LIKE '%n''t' THEN NULL ELSE word END AS base, kana FROM lx, (VALUES {', '.join("('" + x.replace("'", "''") + "')" for x in _SUFFIXES)}) v(s) WHERE source = 'hand'), f(k, fixed) AS (VALUES {_WHOLE})
+  SELECT raw, base, suffix, fixed, CASE suffix WHEN 's' THEN CASE right(kana, 1) WHEN 'ト' THEN left(kana, -1) || 'ツ' WHEN 'ド' THEN left(kana, -1) || 'ズ' WHEN 'ッ' THEN kana || 'ツ' ELSE kana || 'ズ' END WHEN 're' THEN CASE right(kana, 1) WHEN 'ー' THEN left(kana, -1) ELSE kana END || 'ア'
+    WHEN 'll' THEN kana || 'ル' WHEN 'd' THEN kana || 'ド' WHEN 've' THEN kana || 'ブ' WHEN 'm' THEN kana || 'ム' ELSE kana || 'ント' END AS kana FROM w LEFT JOIN f ON k = raw""")
 def f6(spark, sf):
-    suffixes = F.array(*[F.lit(x) for x in ("s", "re", "ll", "d", "ve", "m")])
-    raw = hand(spark, sf).select(F.col("word"), F.explode(suffixes).alias("s")).select(F.concat("word", F.lit("'"), "s").alias("raw"))
-    return raw.select("raw", K.split_contraction(F.col("raw")).alias("c")).select("raw", "c.base", "c.suffix")
+    """Every lexicon word with every suffix: its parts, its settled sound, and its reading with the suffix's."""
+    raw = hand(spark, sf).select("word", "kana", F.explode(F.array(*map(F.lit, _SUFFIXES))).alias("s")).select(F.concat("word", "s").alias("raw"), "kana")
+    split = raw.select("raw", "kana", K.split_contraction(F.col("raw")).alias("c"))
+    return split.select("raw", "c.base", "c.suffix", "c.fixed", K.merge_contraction(F.col("kana"), F.col("c.suffix")).alias("kana"))
 
 
 @query("f8_vowel_runs", f"WITH {LEX}, v AS (SELECT DISTINCT repeat(word[1], (length(word) % 11) + 2) AS run FROM lx WHERE word[1] IN ('a', 'i', 'u', 'e', 'o')) SELECT run, repeat(translate(run[1], 'aiueo', 'アイウエオ'), length(run)) AS kana FROM v")
@@ -117,24 +124,24 @@ def r3(spark, sf):
     return R.resolve(rows).select("word", "final", "final_source")
 
 
+_ESCAPED = r"replace(replace(replace(replace({}, '\', '\\'), '{{', '\{{'), '|', '\|'), '}}', '\}}')"
 _PLACED = r"""pw AS (SELECT doc_id, line_no, line, w, gap, unnest(range(len(w)))::INT AS word_no, unnest(w) AS word FROM (SELECT *, regexp_extract_all(line, '[A-Za-z]+') AS w, regexp_split_to_array(line, '[A-Za-z]+') AS gap FROM dl))"""
 
 
 def _spans(spark, sf):
     placed = P.placed_words(lines(spark, sf), "[A-Za-z]+")
     known = hand(spark, sf).select(F.col("word").alias("k"), "kana")
-    return placed.join(known, F.lower("word") == F.col("k")).select("doc_id", "line_no", "start", (F.col("start") + F.length("word")).alias("end"), "kana")
+    return placed.join(known, F.lower("word") == F.col("k")).select("doc_id", "line_no", "start", (F.col("start") + F.length("word")).alias("end"), "kana", F.lit("dict").alias("source"))
 
 
-@query("r6_annotate", f"WITH {DL}, {LEX}, {_PLACED}, m AS (SELECT doc_id, line_no, string_agg(gap[word_no + 1] || CASE WHEN kana IS NULL THEN pw.word ELSE '{{' || pw.word || '|' || kana || '}}' END, '' ORDER BY word_no) || max(gap[len(w) + 1]) AS markup FROM pw LEFT JOIN (SELECT word, kana FROM lx WHERE source = 'hand') h ON h.word = lower(pw.word) GROUP BY ALL) SELECT doc_id, line_no, coalesce(markup, line) AS markup FROM dl LEFT JOIN m USING (doc_id, line_no)")
+@query("r6_annotate", f"WITH {DL}, {LEX}, {_PLACED}, m AS (SELECT doc_id, line_no, string_agg({_ESCAPED.format('gap[word_no + 1]')} || CASE WHEN kana IS NULL THEN pw.word ELSE '{{' || pw.word || '|' || kana || '|dict}}' END, '' ORDER BY word_no) || max({_ESCAPED.format('gap[len(w) + 1]')}) AS markup FROM pw LEFT JOIN (SELECT word, kana FROM lx WHERE source = 'hand') h ON h.word = lower(pw.word) GROUP BY ALL) SELECT doc_id, line_no, coalesce(markup, {_ESCAPED.format('line')}) AS markup FROM dl LEFT JOIN m USING (doc_id, line_no)")
 def r6(spark, sf):
     return R.annotate(lines(spark, sf), _spans(spark, sf))
 
 
-@query("r7_strip", f"WITH {DL} SELECT doc_id, line_no, line AS stripped FROM dl WHERE NOT regexp_matches(line, '[{{}}|]')")
+@query("r7_strip", f"WITH {DL} SELECT doc_id, line_no, line AS stripped FROM dl")
 def r7(spark, sf):
-    kept = lines(spark, sf).where(~F.col("line").rlike(r"[{}|]"))
-    return R.annotate(kept, _spans(spark, sf)).select("doc_id", "line_no", R.strip(F.col("markup")).alias("stripped"))
+    return R.annotate(lines(spark, sf), _spans(spark, sf)).select("doc_id", "line_no", R.strip(F.col("markup")).alias("stripped"))
 
 
 @query("j2_scope_overrides", f"SELECT doc_id, word, kana FROM (SELECT doc_id, min(o) AS o FROM (SELECT doc_id, 1 AS o FROM documents WHERE regexp_matches(source, '^src1') UNION ALL SELECT doc_id, 2 FROM documents WHERE regexp_matches(source, '^src2$') OR regexp_matches(text, 'Licensed under')) GROUP BY doc_id) JOIN (VALUES (1, 'the', 'ジ'), (1, 'an', 'アン'), (2, 'the', 'ザ')) v(o, word, kana) USING (o)")
@@ -146,9 +153,8 @@ def j2(spark, sf):
 @query("j3_line_overrides", f"WITH {DL}, {DW}, k AS (SELECT DISTINCT norm AS word, line FROM dw JOIN dl USING (doc_id, line_no) WHERE norm IN ('the', 'of')) SELECT word, line, CASE WHEN word = 'the' AND regexp_matches(line, '^The') THEN 'ジ' WHEN word = 'the' AND regexp_matches(line, 'ing') THEN 'ザ' WHEN word = 'of' AND regexp_matches(line, 'and') THEN 'オブ' END AS override FROM k")
 def j3(spark, sf):
     table = spark.sql("SELECT * FROM VALUES ('the', '^The', 'ジ', 1), ('the', 'ing', 'ザ', 2), ('of', 'and', 'オブ', 1) AS t(word, pattern, kana, ord)")
-    l = lines(spark, sf)
-    words = P.plain_words(l).where("norm IN ('the', 'of')").join(l, ["doc_id", "line_no"]).select(F.col("norm").alias("word"), "line").distinct()
-    return R.line_overrides(words, table)
+    found = lines(spark, sf).select("line", F.explode(F.array_distinct(F.filter(F.transform(F.regexp_extract_all("line", F.lit(r"[A-Za-zÀ-ɏ]+(?:['’][A-Za-zÀ-ɏ]+)*"), F.lit(0)), lambda w: F.lower(w)), lambda w: w.isin("the", "of")))).alias("word"))
+    return R.line_overrides(found.distinct(), table).select("word", "line", "override")
 
 
 def _titles(spark, sf):
@@ -167,9 +173,19 @@ def g2(spark, sf):
     return G.align_titles(_titles(spark, sf), _title_words(spark, sf))
 
 
-@query("g5_single_word_titles", "WITH t AS (SELECT DISTINCT p_name AS title FROM part), w AS (SELECT title, regexp_extract_all(title, '[A-Za-z]+') AS w FROM t) SELECT title, lower(w[1]) AS word, CASE WHEN len(w) = 0 THEN 'no word' WHEN len(w) > 1 THEN 'several words' WHEN regexp_matches(title, '[0-9]') THEN 'digits' WHEN regexp_matches(title, '[^A-Za-z ]') THEN 'mixed' WHEN length(w[1]) = 1 THEN 'single letter' END AS reason FROM w")
+#: Titles: part names, their first and last words, each with a digit, with marks and in kana, and conversations' words.
+_ONE = """t AS (SELECT DISTINCT title FROM (SELECT p_name AS title FROM part UNION ALL SELECT string_split(p_name, ' ')[1] FROM part UNION ALL SELECT string_split(p_name, ' ')[1] || '2' FROM part UNION ALL SELECT string_split(p_name, ' ')[1] || '!' FROM part
+  UNION ALL SELECT string_split(p_name, ' ')[1] || 'の' FROM part UNION ALL SELECT p_name[1] FROM part UNION ALL SELECT '' UNION ALL SELECT word FROM lx))"""
+
+
+@query("g5_single_word_titles", f"""WITH {LEX}, {_ONE}, w AS (SELECT title, regexp_extract_all(title, '[A-Za-z]+') AS w FROM t) SELECT title, lower(w[1]) AS word, CASE WHEN trim(title) = '' THEN 'bad' WHEN len(w) = 0 THEN 'no word' WHEN len(w) > 1 THEN 'several words' WHEN regexp_matches(title, '[0-9]') THEN 'digits'
+  WHEN regexp_matches(title, '[ぁ-ゖァ-ヺ一-鿿]') THEN 'mixed' WHEN regexp_matches(title, '[^A-Za-z ]') THEN 'punctuation' WHEN length(w[1]) = 1 THEN 'single letter' WHEN lower(w[1]) IN (SELECT word FROM lx WHERE source = 'hand') THEN 'hand' WHEN lower(w[1]) IN (SELECT word FROM lx WHERE source = 'model') THEN 'known' END AS reason FROM w""")
 def g5(spark, sf):
-    return G.single_word_titles(_titles(spark, sf).select("title"), hand(spark, sf).where("word = ''"))
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    first = F.split("p_name", " ")[0]
+    forms = F.array("p_name", first, F.concat(first, F.lit("2")), F.concat(first, F.lit("!")), F.concat(first, F.lit("の")), F.left("p_name", F.lit(1)), F.lit(""))
+    titles = part.select(F.explode(forms).alias("title")).unionByName(lexicon(spark, sf).select(F.col("word").alias("title"))).distinct()
+    return G.single_word_titles(titles, lexicon(spark, sf).where("source = 'model'"), hand(spark, sf))
 
 
 @query("g4_merge_overrides", f"WITH {LEX} SELECT word[1] AS title, word, kana FROM lx WHERE source = 'hand' AND word[1] IN ('a', 'e') UNION ALL SELECT word[1], word, kana FROM lx WHERE source = 'model' AND word[1] NOT IN (SELECT word[1] FROM lx WHERE source = 'hand' AND word[1] IN ('a', 'e'))")
@@ -193,19 +209,37 @@ def g3(spark, sf):
 
 
 
+def _special(spark):
+    """A table of special readings: a row or more of every kind."""
+    return spark.sql("SELECT * FROM VALUES ('emoticon', 'b', 'ボー'), ('glued', 'at', 'エーティー'), ('acronym', 'lv', 'レベル'), ('masked', '****ed', 'ピーッド'), ('fragment', 'wa', 'ウェ'), ('echo', 'ny', 'ナイ'), ('notation', 'ph', 'ペーハー'), ('uncertain', 'kro', 'クロ') AS t(kind, key, kana)")
+
+
+def _read(spark, sf, **tables):
+    """The line-aware cascade over the corpus; overrides by source, special readings, learned words from the answers."""
+    told = R.line_tokens(R.in_lines(lines(spark, sf), hand(spark, sf)))
+    kinds = R.kinds_of(told, hand(spark, sf), **tables)
+    return told, kinds
+
+
 @query("r2_read_tokens")
 def r2(spark, sf):
-    """The flagship composite: tokens of the corpus through the line-aware cascade."""
-    from kanaforge.operators import language as L
-
-    l = lines(spark, sf)
-    tokens = tokenize(l)
-    langs = L.line_language(L.detect(L.line_scores(l))).select("doc_id", "line_no", "line_lang")
-    features = P.line_features(l).select("doc_id", "line_no", "is_art", "letter_run").join(langs, ["doc_id", "line_no"])
-    words = R.read_words(tokens.select(F.col("text").alias("word")).distinct(), hand(spark, sf))
+    """The flagship composite: tokens of the corpus through every step of the line-aware cascade."""
+    rules = spark.sql("SELECT * FROM VALUES (1, '^src1$', CAST(NULL AS STRING), map('the', 'ジ')), (2, '^src2$', 'Licensed under', map('an', 'アン')) AS t(override_id, title_pattern, marker_pattern, words)")
+    texts = docs(spark, sf)
     learned = lexicon(spark, sf).where("source = 'model'").groupBy("word").agg(F.min("kana").alias("kana"))
-    read = R.read_tokens(tokens, features, words, learned=learned)
-    return read.select("doc_id", "line_no", "tok_no", "text", "line_lang", "suppressed", "kana", "source", "confident")
+    loans = hand(spark, sf).where("length(word) = 7").select(F.lit("fr").alias("lang"), F.col("word").alias("key"), "kana")
+    homographs = spark.sql("SELECT * FROM VALUES ('de', 'die'), ('de', 'in'), ('fr', 'pour'), ('fr', 'plus') AS t(lang, word)")
+    told, kinds = _read(spark, sf, special=_special(spark), learned=learned, loans=loans, homographs=homographs)
+    read = R.read_tokens(told, kinds, R.scope_overrides(texts.withColumn("title", F.col("source")), rules), P.long_vowel_words(texts))
+    return read.select("doc_id", "line_no", "tok_no", "text", "line_lang", "readable", "suppressed", "kana", "source", "confident")
+
+
+@query("r2_lexicon_slice", f"WITH {DL}, {TK}, {LEX}, fe AS (SELECT doc_id, line_no, line, count(*) AS words, count(*) FILTER (one) AS singles, count(*) FILTER (notation) AS strung FROM tk GROUP BY ALL) SELECT doc_id, line_no, tok_no, text, kana FROM tk JOIN fe USING (doc_id, line_no) JOIN (SELECT word, kana FROM lx WHERE source = 'hand') h ON h.word = lower(text) WHERE kind = 0 AND length(text) > 3 AND NOT regexp_matches(text, '^[A-Z]+$') AND NOT regexp_matches(gap, '[*＊]{{2}}$')")
+def r2_slice(spark, sf):
+    """What the lexicon alone decides of the cascade: whole words of more than three letters that it has."""
+    told, kinds = _read(spark, sf)
+    read = R.read_tokens(told, kinds).where("source = 'dict' AND kana IS NOT NULL AND length(text) > 3 AND NOT notation AND NOT chain").where(~F.col("text").rlike("^[A-Z]+$"))
+    return read.join(hand(spark, sf).select(F.col("word").alias("_w")), F.lower("text") == F.col("_w"), "left_semi").select("doc_id", "line_no", "tok_no", "text", "kana")
 
 
 @query("r4_provisional", f"WITH {LEX}, r AS (SELECT word, length(word)::VARCHAR AS ctx FROM lx WHERE source = 'hand'), w AS (SELECT DISTINCT word, length(word)::VARCHAR AS ctx, length(word) % 5 AS tries FROM lx WHERE source = 'model') SELECT r.word, r.ctx, w.word IS NOT NULL AS waiting FROM r LEFT JOIN w ON w.word = r.word AND w.ctx = r.ctx AND tries < 3")
@@ -216,10 +250,11 @@ def r4(spark, sf):
     return R.provisional(rows, wanted)
 
 
-@query("f12_units", f"WITH {LEX}, u(k, kana) AS (VALUES {', '.join(f'''('{a}', '{b}')''' for a, b in K.UNITS.items())}), w AS (SELECT DISTINCT word[:2] AS unit FROM lx UNION SELECT DISTINCT word[:1] FROM lx) SELECT unit, kana FROM w LEFT JOIN u ON k = unit")
+@query("f12_units", f"WITH {LEX}, u(k, kana) AS (VALUES {', '.join(f'''('{a}', '{b}')''' for a, b in K.UNITS.items())}), w AS (SELECT DISTINCT word AS unit FROM lx UNION SELECT DISTINCT word[:2] FROM lx UNION SELECT DISTINCT word[:1] FROM lx) SELECT unit, after_digit, CASE WHEN after_digit THEN kana END AS kana FROM w CROSS JOIN (VALUES (true), (false)) d(after_digit) LEFT JOIN u ON k = unit")
 def f12(spark, sf):
-    kinds = lexicon(spark, sf).select(F.explode(F.array(F.substring("word", 1, 2), F.substring("word", 1, 1))).alias("unit")).distinct()
-    return kinds.select("unit", K.unit_reading(F.col("unit"), F.lit(True)).alias("kana"))
+    kinds = lexicon(spark, sf).select(F.explode(F.array("word", F.substring("word", 1, 2), F.substring("word", 1, 1))).alias("unit")).distinct()
+    both = kinds.select("unit", F.explode(F.array(F.lit(True), F.lit(False))).alias("after_digit"))
+    return both.select("unit", "after_digit", K.unit_reading(F.col("unit"), F.col("after_digit")).alias("kana"))
 
 
 @query("f20_day_key", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events FROM events GROUP BY 1")

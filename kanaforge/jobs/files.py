@@ -4,28 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kanaforge.jobs.inputs import LEX, hand, lexicon
+from kanaforge.jobs.inputs import LEX, SPELLED, hand, lexicon, spelled
 from kanaforge.jobs.registry import query
 from kanaforge.sources import files as S
 
 
-@query("s1_loan_errors", f"WITH {LEX}, l AS (SELECT CASE WHEN length(word) % 7 = 0 THEN word || kana WHEN length(word) % 5 = 0 THEN ':' || kana WHEN length(word) % 3 = 0 THEN word || ':' || word ELSE word || ':' || kana END AS line, word, source FROM lx WHERE length(word) < 9), m AS (SELECT *, CASE WHEN length(word) % 7 = 0 THEN 'no colon' WHEN length(word) % 5 = 0 THEN 'empty word' WHEN length(word) % 3 = 0 THEN 'not kana' END AS why FROM l), d AS (SELECT word FROM m WHERE why IS NULL GROUP BY word HAVING count(*) > 1) SELECT line, coalesce(why, 'duplicate') AS why FROM m WHERE why IS NOT NULL OR word IN (SELECT word FROM d)")
+@query("s1_loan_errors", f"WITH {LEX}, l AS (SELECT CASE WHEN length(word) % 7 = 0 THEN word || kana WHEN length(word) % 5 = 0 THEN ':' || kana WHEN length(word) % 3 = 0 THEN word || ':' || word ELSE word || ':' || kana END AS line, word, source FROM lx), m AS (SELECT *, CASE WHEN length(word) % 7 = 0 THEN 'no colon' WHEN length(word) % 5 = 0 THEN 'empty word' WHEN length(word) % 3 = 0 THEN 'not kana' END AS why FROM l), d AS (SELECT word FROM m WHERE why IS NULL GROUP BY word HAVING count(*) > 1) SELECT line, coalesce(why, 'duplicate') AS why FROM m WHERE why IS NOT NULL OR word IN (SELECT word FROM d)")
 def s1(spark, sf):
     n = F.length("word")
     line = F.when(n % 7 == 0, F.concat("word", "kana")).when(n % 5 == 0, F.concat(F.lit(":"), "kana")).when(n % 3 == 0, F.concat("word", F.lit(":"), "word")).otherwise(F.concat("word", F.lit(":"), "kana"))
-    return S.parse_loans(lexicon(spark, sf).where(n < 9).select(F.lit("xx").alias("lang"), line.alias("line")))[1].select("line", "why")
+    return S.parse_loans(lexicon(spark, sf).select(F.lit("xx").alias("lang"), line.alias("line")))[1].select("line", "why")
 
 
-@query("s3_frequency_words", f"WITH {LEX}, r AS (SELECT word, count(*) AS rank FROM lx GROUP BY word) SELECT length(word) * 1000000 + ascii(word) AS rank, word FROM r WHERE regexp_matches(word, '^[a-z]{{2,14}}$') AND NOT regexp_matches(word, 'aaa|bbb|ccc|ddd|eee|fff|ggg|hhh|iii|jjj|kkk|lll|mmm|nnn|ooo|ppp|qqq|rrr|sss|ttt|uuu|vvv|www|xxx|yyy|zzz')")
+@query("s3_frequency_words", f"WITH {LEX}, r AS (SELECT word, length(word)::BIGINT * 1000000 + row_number() OVER (ORDER BY word) AS rank FROM (SELECT DISTINCT word FROM lx)) SELECT rank, word FROM r WHERE regexp_matches(word, '^[a-z]{{2,14}}$') AND NOT regexp_matches(word, 'aaa|bbb|ccc|ddd|eee|fff|ggg|hhh|iii|jjj|kkk|lll|mmm|nnn|ooo|ppp|qqq|rrr|sss|ttt|uuu|vvv|www|xxx|yyy|zzz') ORDER BY rank, word LIMIT 500")
 def s3(spark, sf):
-    ranked = lexicon(spark, sf).select("word").distinct().select((F.length("word") * 1000000 + F.ascii("word")).cast("long").alias("rank"), "word")
-    return S.frequency_words(ranked, 2_000_000_000)
+    from pyspark.sql import Window
 
+    words = lexicon(spark, sf).select("word").distinct()
+    ranked = words.withColumn("rank", F.length("word").cast("long") * 1_000_000 + F.row_number().over(Window.orderBy("word")))  # the words of the tables' conversations
+    return S.frequency_words(ranked, 500)
 
-@query("s4_bundle_round_trip", f"WITH {LEX} SELECT word, min(kana) AS kana, count(*) AS lines FROM lx WHERE source = 'model' GROUP BY word")
+
+@query("s4_bundle_round_trip", f"WITH {LEX}, m AS (SELECT word, min(kana) AS kana, count(*) AS lines FROM lx WHERE source = 'model' GROUP BY word) SELECT 'learned' AS part, word, kana, NULL::BIGINT AS lines FROM lx WHERE source = 'hand' UNION ALL SELECT 'llm', * FROM m UNION ALL SELECT 'free', word, kana, NULL FROM lx WHERE source = 'model' AND length(word) > 6")
 def s4(spark, sf):
-    model = lexicon(spark, sf).where("source = 'model'").groupBy("word").agg(F.min("kana").alias("kana"), F.count("*").alias("lines"), F.lit(True).alias("consistent"))
-    return S.read_bundle(S.write_bundle(hand(spark, sf), model))[1].select("word", "kana", "lines")
+    own, model = hand(spark, sf), lexicon(spark, sf).where("source = 'model'")
+    asked = model.groupBy("word").agg(F.min("kana").alias("kana"), F.count("*").alias("lines"), F.lit(True).alias("consistent"))
+    learned, llm, free = S.read_bundle(S.write_bundle(own, asked, model.where("length(word) > 6")))
+    none = F.lit(None).cast("long").alias("lines")
+    return learned.select(F.lit("learned").alias("part"), "word", "kana", none).unionByName(llm.select(F.lit("llm").alias("part"), "word", "kana", "lines")).unionByName(free.select(F.lit("free").alias("part"), "word", "kana", none))
 
 
 @query("s5_valid_snapshot", f"WITH {LEX} SELECT word, kana FROM lx WHERE regexp_matches(word, '^[a-z]+$') AND regexp_matches(kana, '^[ァ-ヶーヿ]+$')")
@@ -37,3 +43,16 @@ def s5(spark, sf):
 def s6(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     return pages.select("page_id", F.posexplode(S.page_blocks(F.col("html"))).alias("ord", "line"))
+
+
+@query("s6_page_text", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+def s6t(spark, sf):
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", S.page_text(F.col("html")).alias("text"))
+
+
+@query("s2_titles", r"SELECT DISTINCT p_name AS title, regexp_replace(translate(lower(regexp_replace(p_name, '[^A-Za-z ]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz ', '%s'), '[^ァ-ヺー]', '', 'g') AS pronunciation FROM part" % SPELLED)
+def s2(spark, sf):
+    """Titles with readings in mixed kana, with spaces and marks, as the reader cleans them."""
+    name = F.lower(F.regexp_replace("p_name", "[^A-Za-z ]", ""))
+    raw = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_name").alias("title"), F.concat(F.translate(spelled(name), "アイウエオ", "あいうえお"), F.lit("・ !")).alias("pronunciation")).distinct()
+    return S.clean_titles(raw)

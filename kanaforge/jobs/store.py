@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kanaforge.functions import kana as K
 from kanaforge.jobs.inputs import ANS, LEX, LETTERS, SPELLED, answers, hand, lexicon
 from kanaforge.jobs.registry import query
 from kanaforge.operators import answers as A
 from kanaforge.operators import lexicon as X
 from kanaforge.operators import usage as U
+from kanaforge.streaming.annotate import cached
 
 _K = "^[゠-ヿー]+$"
 
@@ -111,11 +113,11 @@ def j7(spark, sf):
 
 
 _EVIDENCE = f"""{ANS}, {LEX}, co AS (SELECT word, arg_min(kana, (stamp, kana)) AS kana, count(DISTINCT ctx) AS lines, count(DISTINCT kana) = 1 AS consistent FROM an WHERE NOT is_miss GROUP BY word),
-ev AS (SELECT word, min(kana) AS kana, sum(lines)::BIGINT AS lines, bool_and(consistent) AND count(DISTINCT kana) = 1 AS consistent FROM (SELECT word, kana, 2 AS lines, true AS consistent FROM lx WHERE source = 'hand' AND length(word) = 3 UNION ALL SELECT * FROM co UNION ALL SELECT word, kana, 2, true FROM lx WHERE source = 'model' AND length(word) = 5) GROUP BY word)"""
+ev AS (SELECT word, min(kana) AS kana, sum(lines)::BIGINT AS lines, bool_and(consistent) AND count(DISTINCT kana) = 1 AS consistent FROM (SELECT word, kana, 2 AS lines, true AS consistent FROM lx WHERE source = 'hand' UNION ALL SELECT * FROM co UNION ALL SELECT word, kana, 2, true FROM lx WHERE source = 'model') GROUP BY word)"""
 
 
 def _evidence(spark, sf):
-    return A.evidence(hand(spark, sf).where("length(word) = 3"), A.consolidate(answers(spark, sf)), _model(spark, sf).where("length(word) = 5"))
+    return A.evidence(hand(spark, sf), A.consolidate(answers(spark, sf)), _model(spark, sf))
 
 
 @query("a9_collect_evidence", f"WITH {_EVIDENCE} SELECT * FROM ev")
@@ -123,9 +125,14 @@ def a9(spark, sf):
     return _evidence(spark, sf)
 
 
-@query("a10_promote", f"""WITH {_EVIDENCE}, h AS (SELECT word FROM lx WHERE source = 'hand' AND length(word) % 3 = 0), m AS (SELECT word, kana AS old_kana FROM lx WHERE source = 'model'), b AS (SELECT DISTINCT word FROM lx WHERE length(word) = 4)
+#: Words of three letters and less that are romanised Japanese; the readings of the tables are spelled out, so all differ.
+_SHORT = {a + b for a in K.SYLLABLES for b in ("", "n", *[x for x in K.SYLLABLES if len(x) < 3]) if len(a + b) <= 3} | {"n" + x for x in K.SYLLABLES if len(x) < 3} | {x * 3 for x in "aiueo"}
+_TWO_WAY = ", ".join(f"'{w}'" for w in sorted(w for w in _SHORT if K.romaji_to_kana(w)))
+
+
+@query("a10_promote", f"""WITH {_EVIDENCE}, h AS (SELECT word FROM lx WHERE source = 'hand' AND length(word) % 3 = 0), m AS (SELECT word, kana AS old_kana FROM lx WHERE source = 'model'), b AS (SELECT DISTINCT word FROM lx WHERE length(word) = 4), tw(word) AS (SELECT unnest([{_TWO_WAY}]))
   SELECT ev.word, kana, lines, consistent, old_kana, CASE WHEN NOT regexp_matches(ev.word, '^[a-z]+$') THEN 'key' WHEN NOT regexp_matches(kana, '^[ァ-ヶーヿ]+$') THEN 'kana' WHEN length(kana) > 14 THEN 'length' WHEN NOT consistent THEN 'inconsistent' WHEN lines < 2 THEN 'few lines'
-    WHEN b.word IS NOT NULL THEN 'blocked' WHEN h.word IS NOT NULL THEN 'in hand lexicon' WHEN ev.word IN ('und', 'les', 'que') THEN 'foreign' WHEN old_kana = kana THEN 'same' END AS reason
+    WHEN b.word IS NOT NULL THEN 'blocked' WHEN ev.word IN (SELECT word FROM tw) THEN 'ambiguous' WHEN h.word IS NOT NULL THEN 'in hand lexicon' WHEN ev.word IN ('und', 'les', 'que') THEN 'foreign' WHEN old_kana = kana THEN 'same' END AS reason
   FROM ev LEFT JOIN h ON h.word = ev.word LEFT JOIN m ON m.word = ev.word LEFT JOIN b ON b.word = ev.word""")
 def a10(spark, sf):
     foreign = spark.sql("SELECT * FROM VALUES ('und'), ('les'), ('que') AS t(word)")
@@ -157,26 +164,34 @@ def f9(spark, sf):
     return lexicon(spark, sf).select("word", "kana", A.first_sound_ok(F.col("word"), F.col("kana")).alias("ok"))
 
 
-@query("t3_cache_ttl", f'''WITH {ANS} SELECT word, ctx, max(stamp) AS stamp FROM an GROUP BY word, ctx HAVING max(stamp) > (SELECT max(stamp) - 5000 FROM an)''')
+@query("t3_answer_cache", f"""WITH {ANS}, c AS (SELECT *, make_timestamp(stamp * 1000000) AS at FROM an), k AS (SELECT * FROM c WHERE at > (SELECT max(at) FROM c) - CASE kind WHEN 'model' THEN INTERVAL 180 DAY ELSE INTERVAL 30 DAY END)
+  SELECT kind, word, ctx, arg_min(kana, stamp) FILTER (stamp = m) AS kana, bool_or(is_miss) FILTER (stamp = m) AS is_miss, min(stamp) AS stamp FROM (SELECT *, min(stamp) OVER (PARTITION BY kind, word, ctx) AS m FROM k) GROUP BY kind, word, ctx""")
 def t3(spark, sf):
+    """The batch twin of the answer cache: first fresh answer of each question from each source."""
+    rows = answers(spark, sf).select("kind", "word", "ctx", "kana", "is_miss", "stamp", F.timestamp_seconds("stamp").alias("at"))
+    return cached(rows).select("kind", "word", "ctx", "kana", "is_miss", "stamp")
+
+
+@query("t3_retried_misses", f"WITH {ANS}, w AS (SELECT word, ctx, count(*) AS tries FROM an GROUP BY word, ctx) SELECT w.word, w.ctx, CASE WHEN m.word IS NULL THEN tries ELSE 0 END AS tries FROM w LEFT JOIN (SELECT DISTINCT word, ctx FROM an WHERE is_miss) m USING (word, ctx)")
+def t3r(spark, sf):
+    """Questions after their misses were opened again."""
     a = answers(spark, sf)
-    newest = a.agg(F.max("stamp")).first()[0] or 0
-    return a.groupBy("word", "ctx").agg(F.max("stamp").alias("stamp")).where(F.col("stamp") > newest - 5000)
+    return A.retried(a, a.groupBy("word", "ctx").agg(F.count("*").alias("tries")))[1].select("word", "ctx", F.col("tries").cast("long").alias("tries"))
 
 
-@query("w4_plan_batches", f'''WITH {ANS}, q AS (SELECT word, ctx, min(stamp) AS stamp FROM an GROUP BY word, ctx), n AS (SELECT *, row_number() OVER (PARTITION BY length(word) ORDER BY stamp, word, ctx) - 1 AS n FROM q) SELECT length(word) AS shard, (n // 30)::INT AS batch, count(*) AS items FROM n GROUP BY ALL''')
+@query("w4_plan_batches", f"""WITH {ANS}, q AS (SELECT word, ctx, min(stamp) AS stamp FROM an GROUP BY word, ctx), p AS (SELECT *, cast(floor(stamp / 1e6 / 64) AS BIGINT) AS shard FROM q), n AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY stamp, word, ctx) - 1 AS n FROM p)
+  SELECT word, ctx, stamp, shard, (n // 30)::INT AS batch, (n % 30 + 1)::INT AS item FROM n""")
 def w4(spark, sf):
-    """Batches of 30 questions; here a shard is a word length, so that SQL can repeat it."""
-    from pyspark.sql import Window
-
-    asked = answers(spark, sf).groupBy("word", "ctx").agg(F.min("stamp").alias("stamp")).withColumn("shard", F.length("word"))
-    numbered = asked.withColumn("_n", F.row_number().over(Window.partitionBy("shard").orderBy("stamp", "word", "ctx")) - 1)
-    return numbered.groupBy("shard", F.expr("cast(_n div 30 AS int)").alias("batch")).agg(F.count("*").alias("items"))
+    """Batches of 30 questions, by stretches of 64 conversations."""
+    return A.plan_batches(answers(spark, sf), 30, shard=F.floor(F.col("stamp") / 1e6 / 64).cast("long"))
 
 
-@query("w4_plan_batches_sharded")
-def w4s(spark, sf):
-    return A.plan_batches(answers(spark, sf), 30)
+@query("w4_plan_batches_hashed", f"WITH {ANS}, q AS (SELECT word, ctx, min(stamp) AS stamp FROM an GROUP BY word, ctx) SELECT count(*) AS questions, count(DISTINCT word) AS words, min(stamp) AS earliest, max(stamp) AS latest FROM q")
+def w4h(spark, sf):
+    """The same by a hash of the question, in as many shards as there are shuffle partitions: nothing is lost or doubled."""
+    planned = A.plan_batches(answers(spark, sf), 30)
+    good = planned.where("item BETWEEN 1 AND 30").dropDuplicates(["shard", "batch", "item"])
+    return good.agg(F.count("*").alias("questions"), F.countDistinct("word").alias("words"), F.min("stamp").alias("earliest"), F.max("stamp").alias("latest"))
 
 
 @query("w5_rate_limit", "SELECT event_id, count(*) OVER w AS recent, count(*) OVER w > 20 AS over FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW)")
@@ -190,19 +205,23 @@ def w7(spark, sf):
     return A.change_runs(e, 7200, 3).select("event_id", "changes", "suppressed")
 
 
-@query("a16_answer_health", "WITH l AS (SELECT user_id AS endpoint, value >= 40 AS ok, sum((value >= 40)::INT) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS good FROM events) SELECT endpoint, count(*) AS requests, count(*) FILTER (NOT ok) AS failures, count(*) FILTER (good = 0) AS tail_failures, count(*) FILTER (good = 0) >= 2 AS stalled FROM l GROUP BY endpoint")
+@query("a16_answer_health", """WITH l AS (SELECT *, user_id AS endpoint, value >= 40 AS ok, sum((value >= 40)::INT) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS good, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS late FROM events)
+  SELECT endpoint, count(*) AS requests, count(*) FILTER (NOT ok) AS failures, count(*) FILTER (good = 0) AS tail_failures, count(*) FILTER (event_type = 'click') AS hits, count(*) FILTER (event_type = 'view') AS cache_hits, count(*) FILTER (event_type = 'purchase') AS misses, count(*) FILTER (event_type = 'error') AS rejected,
+    count(*) FILTER (good = 0) >= 2 AND max(event_id % 2) FILTER (late = 1) > 0 AS stalled FROM l GROUP BY endpoint""")
 def a16(spark, sf):
-    return A.health(_events(spark, sf).select(F.col("user_id").alias("endpoint"), "ts", F.col("event_id").alias("n"), (F.col("value") >= 40).alias("ok")))
+    outcome = F.create_map(*[F.lit(x) for pair in {"click": "hit", "view": "cached", "purchase": "miss", "error": "rejected"}.items() for x in pair])[F.col("event_type")]
+    log = _events(spark, sf).select(F.col("user_id").alias("endpoint"), "ts", F.col("event_id").alias("n"), (F.col("value") >= 40).alias("ok"), outcome.alias("outcome"), (F.col("event_id") % 2).alias("pending"))
+    return A.health(log).select("endpoint", "requests", "failures", "tail_failures", "hits", "cache_hits", "misses", "rejected", "stalled")
 
 
 @query("a14_usage_report", """WITH e AS (SELECT CASE event_type WHEN 'click' THEN 'model' WHEN 'view' THEN 'free' ELSE event_type END AS kind, 's' || (user_id % 7) AS session_id, strftime(ts, '%Y-%m-%d') AS day, floor(greatest(value, 0)) AS v FROM events),
   g AS (SELECT CASE WHEN grouping(session_id) = 0 THEN 'session' WHEN grouping(day) = 0 THEN 'day' ELSE 'total' END AS scope, CASE WHEN grouping(session_id) = 0 THEN session_id WHEN grouping(day) = 0 THEN day ELSE 'all' END AS bucket, kind, sum(v) AS words, count(*)::DOUBLE AS requests FROM e WHERE kind IN ('model', 'free') GROUP BY GROUPING SETS ((kind, session_id), (kind, day), (kind)))
-  SELECT scope, bucket, kind, words, requests, CASE WHEN kind = 'model' THEN words * 2 / 1e6 * 3.0 ELSE 0.0 END AS cost FROM g""")
+  SELECT scope, bucket, kind, words, requests, CASE WHEN kind = 'model' THEN (words * 2 * 3.0 + words * 15.0) / 1e6 ELSE 0.0 END AS cost FROM g""")
 def a14(spark, sf):
     kind = F.when(F.col("event_type") == "click", "model").when(F.col("event_type") == "view", "free").otherwise(F.col("event_type"))
     v = F.floor(F.greatest(F.col("value"), F.lit(0.0))).cast("double")
-    e = _events(spark, sf).select("ts", F.concat(F.lit("s"), F.col("user_id") % 7).alias("session_id"), kind.alias("kind"), F.lit(1.0).alias("requests"), F.lit(1.0).alias("ok"), F.lit(0.0).alias("failures"), v.alias("words"), F.lit(0.0).alias("chars"), (v * 2).alias("tokens"))
-    return U.report(e, 3.0).select("scope", "bucket", "kind", "words", "requests", "cost")
+    e = _events(spark, sf).select("ts", F.concat(F.lit("s"), F.col("user_id") % 7).alias("session_id"), kind.alias("kind"), F.lit(1.0).alias("requests"), F.lit(1.0).alias("ok"), F.lit(0.0).alias("failures"), v.alias("words"), F.lit(0.0).alias("chars"), (v * 2).alias("prompt_tokens"), v.alias("completion_tokens"))
+    return U.report(e, 3.0, 15.0).select("scope", "bucket", "kind", "words", "requests", "cost")
 
 
 @query("t2_usage_windows", "SELECT event_type AS kind, time_bucket(INTERVAL '1 day', ts) AS day, count(*) AS requests FROM events GROUP BY ALL")
@@ -213,6 +232,21 @@ def t2(spark, sf):
     return daily(_events(spark, sf).select("ts", F.col("event_type").alias("kind")))
 
 
+@query("t2_running_totals", "SELECT event_id, event_type AS kind, strftime(ts, '%Y-%m-%d') AS day, count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total, count(*) OVER (PARTITION BY event_type, ts::DATE ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS today FROM events")
+def t2r(spark, sf):
+    from kanaforge.streaming.usage import running
+
+    return running(_events(spark, sf).select("event_id", "ts", F.col("event_type").alias("kind")))
+
+
+@query("t2_sessions", """WITH e AS (SELECT event_type AS kind, user_id AS session_id, ts, coalesce((ts - lag(ts) OVER w >= INTERVAL 30 MINUTE)::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY kind, session_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM e)
+  SELECT kind, session_id, min(ts) AS start, count(*) AS requests FROM n GROUP BY kind, session_id, s""")
+def t2s(spark, sf):
+    from kanaforge.streaming.usage import sessions
+
+    return sessions(_events(spark, sf).select("ts", F.col("event_type").alias("kind"), F.col("user_id").alias("session_id"))).select("kind", "session_id", "start", "requests")
+
+
 @query("f19_align_answers", f"WITH q AS (SELECT conv_id AS batch, (turn + 1)::INT AS item, lower(regexp_extract(text, '[A-Za-z]+')) AS word FROM conversations), a AS (SELECT *, CASE WHEN length(word) % 4 = 0 THEN NULL ELSE translate(word, '{LETTERS}', '{SPELLED}') END AS k FROM q), s(l, rows) AS (VALUES {', '.join(f'''('{a}', '{b}')''' for a, b in A.FIRST_SOUNDS.items())}), y AS (SELECT batch, item, word, k, CASE WHEN k IS NULL OR k = '' THEN 'not given' WHEN NOT regexp_matches(k, '^[ァ-ヶー]+$') THEN 'not kana' WHEN length(k) > 14 THEN 'too long' WHEN NOT (s.rows IS NULL OR contains(CASE WHEN word LIKE 'th%' THEN s.rows || '{A.VOICED_TH}' ELSE s.rows END, k[1])) THEN 'first sound' END AS why FROM a LEFT JOIN s ON s.l = word[1]) SELECT batch, item, word, CASE WHEN why IS NULL THEN k END AS kana, why FROM y")
 def f19(spark, sf):
     from kanaforge.jobs.inputs import spelled

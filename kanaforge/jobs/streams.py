@@ -1,42 +1,28 @@
-"""Batch twins of the streams, over the event and conversation tables."""
+"""Batch twins of the streams, over the conversation tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kanaforge.jobs.inputs import spelled
+from kanaforge.jobs.inputs import ANS, answers
 from kanaforge.jobs.registry import query
-from kanaforge.streaming import state as S
+from kanaforge.streaming import learn as S
 
 
-def _events(spark, sf):
-    return spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+def _rows(spark, sf):
+    a = answers(spark, sf)
+    return S.answers_of(a.select("word", F.timestamp_seconds("stamp").alias("ts"), F.col("stamp").alias("n"), "kana", F.col("ctx").alias("line"), F.lit("").alias("local")))
 
 
 @query("t1_learn")
 def t1(spark, sf):
-    talk = spark.read.parquet(f"{sf}/conversations.parquet")
-    word = F.lower(F.regexp_extract("text", "[A-Za-z]+", 0))
-    n = F.col("conv_id") * 100 + F.col("turn")
-    rows = talk.select(word.alias("word"), F.timestamp_seconds(n).alias("ts"), n.alias("n"), spelled(F.substring(word, 1, 3)).alias("kana"), F.col("conv_id").cast("string").alias("line"), F.lit("").alias("local")).where("word <> ''")
-    return S.batch(rows, S.LEARN, "word")
+    """Every change of what is known of a word, over all answers."""
+    return S.batch(_rows(spark, sf))
 
 
-@query("t4_motion")
-def t4(spark, sf):
-    # an hour of the table stands for a second of the screen
-    rows = _events(spark, sf).select(F.col("user_id").alias("key"), F.timestamp_seconds(F.unix_seconds("ts") / 3600).alias("ts"), F.col("event_id").alias("n"), F.col("event_type").alias("text"))
-    return S.batch(rows, S.MOTION, "key")
-
-
-@query("t5_churn")
-def t5(spark, sf):
-    rows = _events(spark, sf).select(F.col("user_id").alias("key"), F.timestamp_seconds(F.unix_seconds("ts") / 7200).alias("ts"), F.col("event_id").alias("n"), (F.col("value") / 1000).alias("age"))
-    return S.batch(rows, S.CHURN, "key")
-
-
-@query("t6_retries")
-def t6(spark, sf):
-    outcome = F.when(F.col("event_type") == "error", "failed").when(F.col("value") < 20, "timeout").otherwise("ok")
-    rows = _events(spark, sf).select(F.col("user_id").alias("endpoint"), "ts", F.col("event_id").alias("n"), outcome.alias("outcome"))
-    return S.batch(rows, S.RETRY, "endpoint")
+@query("t1_learned_first", rf"""WITH {ANS}, v AS (SELECT * FROM an WHERE length(word) > 1 AND kana IS NOT NULL AND length(kana) <= 14), r AS (SELECT word, ctx, kana, stamp, lag(kana) OVER w AS k, lag(ctx) OVER w AS c FROM v WINDOW w AS (PARTITION BY word ORDER BY stamp)),
+  s AS (SELECT *, sum((k IS DISTINCT FROM kana)::INT) OVER (PARTITION BY word ORDER BY stamp) AS run FROM r), f AS (SELECT *, first_value(ctx) OVER (PARTITION BY word, run ORDER BY stamp) AS first_line FROM s)
+  SELECT word, arg_min(kana, stamp) AS kana, min(stamp) AS n FROM f WHERE ctx <> first_line GROUP BY word""")
+def t1f(spark, sf):
+    """When each word was first learned: two lines in a run of equal answers."""
+    return S.batch(_rows(spark, sf)).where("status = 'learned'").groupBy("word").agg(F.min_by("kana", "n").alias("kana"), F.min("n").alias("n"))

@@ -3,51 +3,52 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Titles of more segments or longer readings are reported, not aligned: the search is cubic.
-MOST_SEGMENTS, MOST_KANA = 16, 80
+#: A title's segments: western words, kana, `&`, and digits (with an ordinal's tail) or Han, which may read as anything.
+SEGMENT = "([0-9]+(?:st|nd|rd|th)?|[A-Za-z']+|[ァ-ヶーぁ-ゖ]+|&|[一-鿿]+)"
 
 
 def segments(title: Column) -> Column:
-    """A title's segments: western words, kana runs, and runs of digits or Han, which may read as anything."""
-    return F.transform(F.regexp_extract_all(title, F.lit(r"([A-Za-z']+|[ァ-ヶーぁ-ゖ]+|&|[0-9一-鿿]+)"), F.lit(1)), lambda s: F.struct(s.alias("text"), F.when(s.rlike("^[A-Za-z']"), "word").when(s == "&", "and").when(s.rlike("^[0-9一-鿿]"), "wild").otherwise("kana").alias("kind")))
+    kind = lambda s: F.when(s.rlike("^[A-Za-z']"), "word").when(s == "&", "and").when(s.rlike("^[0-9一-鿿]"), "wild").otherwise("kana")
+    return F.transform(F.regexp_extract_all(title, F.lit(SEGMENT), F.lit(1)), lambda s: F.struct(s.alias("text"), kind(s).alias("kind")))
 
 
-@cache
-def distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def distances(expected: str, reading: str, start: int) -> list[int]:
+    """Edit distances of expected to reading[start:start], reading[start:start + 1], ..., in one pass."""
+    column = list(range(len(expected) + 1))
+    out = [column[-1]]
+    for y in reading[start:]:
+        corner, column[0] = column[0], column[0] + 1
+        for i, x in enumerate(expected, 1):
+            corner, column[i] = column[i], min(column[i] + 1, column[i - 1] + 1, corner + (x != y))
+        out.append(column[-1])
+    return out
 
 
 def align(parts: list[tuple[str, bool]], reading: str) -> list[str] | None:
     """The cut of a reading into one piece for each part, at the least total edit distance.
 
     parts: (expected kana, wild); a wild part costs nothing, others take one character at least; ties go to the
-    cut that ends its first pieces earliest."""
-    n, total = len(parts), len(reading)
-    best: list[dict[int, tuple[int, int]]] = [{0: (0, 0)}]
+    cut that ends its first pieces earliest. Polynomial in the lengths: no title is too long."""
+    total, best = len(reading), [{0: (0, 0)}]  # for each part: end -> (cost, start)
     for expected, wild in parts:
         here: dict[int, tuple[int, int]] = {}
         for start, (cost, _) in best[-1].items():
-            for end in range(start + (0 if wild else 1), total + 1):
-                c = cost + (0 if wild else distance(expected, reading[start:end]))
-                if end not in here or c < here[end][0]:
-                    here[end] = c, start
+            costs = [0] * (total - start + 1) if wild else distances(expected, reading, start)
+            for size in range(0 if wild else 1, len(costs)):
+                new = cost + costs[size], start
+                if start + size not in here or new[0] < here[start + size][0]:
+                    here[start + size] = new
         best.append(here)
-    if total not in best[n]:
+    if total not in best[-1]:
         return None
     out, end = [], total
-    for i in range(n, 0, -1):
-        start = best[i][end][1]
+    for ends in reversed(best[1:]):
+        start = ends[end][1]
         out.append(reading[start:end])
         end = start
     return out[::-1]
@@ -55,12 +56,8 @@ def align(parts: list[tuple[str, bool]], reading: str) -> list[str] | None:
 
 def _pieces(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for parts, readings in batches:
-        out = []
-        for p, r in zip(parts.to_pylist(), readings.to_pylist(), strict=True):
-            fit = p and r is not None and len(p) <= MOST_SEGMENTS and len(r) <= MOST_KANA
-            out.append(align([(x["expected"] or "", x["wild"]) for x in p], r) if fit else None)
-        distance.cache_clear()
-        yield pa.array(out, pa.list_(pa.string()))
+        rows = zip(parts.to_pylist(), readings.to_pylist(), strict=True)
+        yield pa.array([align([(x["expected"] or "", x["wild"]) for x in p], r) if p and r is not None else None for p, r in rows], pa.list_(pa.string()))
 
 
 def pieces_column(parts: Column, reading: Column) -> Column:
@@ -100,12 +97,27 @@ def merge_overrides(hand: DataFrame, made: DataFrame) -> DataFrame:
     return hand.unionByName(made.join(hand.select("title").distinct(), "title", "left_anti"))
 
 
-def single_word_titles(titles: DataFrame, known: DataFrame) -> DataFrame:
-    """(title, word, reason): titles of one western word are candidates (reason null) for the lexicon."""
-    words = F.regexp_extract_all("title", F.lit("[A-Za-z]+"), F.lit(0))
-    one = titles.withColumn("_w", words).join(known.select(F.col("word").alias("word"), F.lit(True).alias("_known")), F.lower(F.get("_w", F.lit(0))) == F.col("word"), "left")
-    reason = F.when(F.size("_w") == 0, "no word").when(F.size("_w") > 1, "several words").when(F.col("title").rlike("[0-9]"), "digits").when(F.col("title").rlike("[^A-Za-z ]"), "mixed").when(F.length(F.get("_w", F.lit(0))) == 1, "single letter").when(F.col("_known"), "known")
-    return one.select("title", F.lower(F.get("_w", F.lit(0))).alias("word"), reason.alias("reason"))
+def single_word_titles(titles: DataFrame, known: DataFrame, hand: DataFrame | None = None) -> DataFrame:
+    """(title, word, reason): titles of one western word are candidates (reason null) for the lexicon.
+
+    hand, known (word): words that the hand-made lexicon, or any other, has already."""
+    words, first = F.regexp_extract_all("title", F.lit("[A-Za-z]+"), F.lit(0)), F.get("_w", F.lit(0))
+    one = titles.withColumn("_w", words).withColumn("word", F.lower(first))
+    one = one.join(known.select("word").distinct().withColumn("_known", F.lit(True)), "word", "left")
+    one = one.join((known.limit(0) if hand is None else hand).select("word").distinct().withColumn("_hand", F.lit(True)), "word", "left")
+    bad = F.col("title").isNull() | (F.trim("title") == "")
+    reason = (
+        F.when(bad, "bad")
+        .when(F.size("_w") == 0, "no word")
+        .when(F.size("_w") > 1, "several words")
+        .when(F.col("title").rlike("[0-9]"), "digits")
+        .when(F.col("title").rlike("[ぁ-ゖァ-ヺ一-鿿]"), "mixed")
+        .when(F.col("title").rlike("[^A-Za-z ]"), "punctuation")
+        .when(F.length(first) == 1, "single letter")
+        .when(F.col("_hand"), "hand")
+        .when(F.col("_known"), "known")
+    )
+    return one.select("title", "word", reason.alias("reason"))
 
 
 def evaluate(gold: DataFrame, actual: DataFrame) -> DataFrame:

@@ -4,30 +4,39 @@ Answer rows: (word, ctx, kana, is_miss, why, at)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kanaforge.functions.kana import romaji_column
+from kanaforge.functions.sounds import ROWS
 from kanaforge.functions.text import KANA, MAX_KANA, is_kana
 
-#: Sounds that a first letter may start with; letters not listed never reject a reading.
-FIRST_SOUNDS = {
-    "b": "バビブベボヴ", "c": "カキクケコサシスセソチ", "d": "ダヂヅデドジ", "f": "ハヒフヘホ", "g": "ガギグゲゴジ", "j": "ジヤユヨハヒホ", "k": "カキクケコナニヌネノ",
-    "l": "ラリルレロ", "m": "マミムメモン", "n": "ナニヌネノン", "p": "パピプペポハヒフヘホサシスセソ", "q": "カキクケコチ", "r": "ラリルレロ", "s": "サシスセソザジズゼゾ", "t": "タチツテトサシスセソ",
-    "v": "ヴバビブベボハヒフヘホ", "x": "ザジズゼゾエシ", "z": "ザジズゼゾツヅ",
+#: Rows of kana that a first letter may start with: its usual sounds, and those of the groups that it opens (ps, kn, gn,
+#: ng, mn ...). Letters that are not listed never reject a reading.
+FIRST_ROWS = {
+    "b": "b v", "c": "k s ch sh", "d": "d j", "f": "f h", "g": "g j n", "j": "j y h", "k": "k n", "l": "r", "m": "m n", "n": "n g", "p": "p f h s n", "q": "k ch", "r": "r", "s": "s sh z ch", "t": "t ch ts s sh z", "v": "b v f", "x": "z j s k", "z": "z j ts",
 }
-VOICED_TH = "ザジズゼゾダヂヅデド"
+FIRST_SOUNDS = {letter: "".join(dict.fromkeys(mora[0] for row in rows.split() for mora in ROWS[row])) + ("ン" if letter in "mn" else "") for letter, rows in FIRST_ROWS.items()}
+VOICED_TH = "".join(mora[0] for mora in (*ROWS["z"], *ROWS["d"]))
 
 
-def first_sound_ok(word: Column, kana: Column) -> Column:
-    """Whether a reading may start a word: by its first letter, `th` with voiced sounds too."""
+def first_sound_ok(word: Column, kana: Column, lang: Column | None = None) -> Column:
+    """Whether a reading may start a word: by its first letter, `th` with voiced sounds too; any on a foreign line."""
     rows = F.create_map(*[F.lit(x) for pair in FIRST_SOUNDS.items() for x in pair])[F.lower(F.substring(word, 1, 1))]
     rows = F.when(F.lower(word).startswith("th"), F.concat(rows, F.lit(VOICED_TH))).otherwise(rows)
-    return rows.isNull() | (F.length(kana) == 0) | F.contains(rows, F.substring(kana, 1, 1))
+    ok = rows.isNull() | (F.length(kana) == 0) | F.contains(rows, F.substring(kana, 1, 1))
+    return ok if lang is None else ok | lang.isNotNull()
+
+
+Validator = Callable[[Column, Column, Column], Column]
 
 
-def answer_reason(word: Column, kana: Column) -> Column:
-    """Why an answer is refused; null where it is taken."""
-    return F.when(kana.isNull() | (kana == ""), "not given").when(~is_kana(kana, "answer"), "not kana").when(F.length(kana) > MAX_KANA, "too long").when(~first_sound_ok(word, kana), "first sound")
+def answer_reason(word: Column, kana: Column, lang: Column | None = None, validate: Validator = first_sound_ok) -> Column:
+    """Why an answer is refused; null where it is taken. validate(word, kana, lang): the caller's own last check."""
+    lang = F.lit(None).cast("string") if lang is None else lang
+    return F.when(kana.isNull() | (kana == ""), "not given").when(~is_kana(kana, "answer"), "not kana").when(F.length(kana) > MAX_KANA, "too long").when(~validate(word, kana, lang), "first sound")
 
 
 def lookup(tokens: DataFrame, answers: DataFrame) -> DataFrame:
@@ -59,12 +68,21 @@ def evidence(learned: DataFrame, model: DataFrame, free: DataFrame) -> DataFrame
     return rows.groupBy("word").agg(F.min("kana").alias("kana"), F.sum("lines").alias("lines"), (F.bool_and("consistent") & (F.countDistinct("kana") == 1)).alias("consistent"))
 
 
-def promote(found: DataFrame, hand: DataFrame, model: DataFrame, blocked: DataFrame, foreign: DataFrame) -> DataFrame:
-    """found with reason (null: accepted) and old_kana of the model lexicon, by an ordered list of reasons."""
+def two_way(word: Column, kana: Column) -> Column:
+    """Short syllables whose romanised reading is another: what they mean depends on the sentence."""
+    romaji = romaji_column(word)
+    return (F.length(word) <= 3) & romaji.isNotNull() & (romaji != kana)
+
+
+def promote(found: DataFrame, hand: DataFrame, model: DataFrame, blocked: DataFrame, foreign: DataFrame, ambiguous: Callable[[Column, Column], Column] = two_way) -> DataFrame:
+    """found with reason (null: accepted) and old_kana of the model lexicon, by an ordered list of reasons.
+
+    ambiguous(word, kana): words that no list may settle."""
     def flag(df: DataFrame, name: str) -> DataFrame:
         return df.select("word").distinct().withColumn(name, F.lit(True))
 
     joined = found.join(flag(hand, "_hand"), "word", "left").join(flag(blocked, "_blocked"), "word", "left").join(flag(foreign, "_foreign"), "word", "left").join(model.select("word", F.col("kana").alias("old_kana")), "word", "left")
+    joined = joined.withColumn("_two_way", ambiguous(F.col("word"), F.col("kana")))
     reason = (
         F.when(~F.col("word").rlike("^[a-z]+$"), "key")
         .when(~F.col("kana").rlike(f"^{KANA['learned']}$"), "kana")
@@ -72,6 +90,7 @@ def promote(found: DataFrame, hand: DataFrame, model: DataFrame, blocked: DataFr
         .when(~F.col("consistent"), "inconsistent")
         .when(F.col("lines") < 2, "few lines")
         .when(F.col("_blocked"), "blocked")
+        .when(F.coalesce("_two_way", F.lit(False)), "ambiguous")
         .when(F.col("_hand"), "in hand lexicon")
         .when(F.col("_foreign"), "foreign")
         .when(F.col("old_kana") == F.col("kana"), "same")
@@ -93,11 +112,14 @@ def evict_oldest(rows: DataFrame, most: int, at: str, tie: str) -> DataFrame:
     return rows.orderBy(F.desc(at), tie).limit(most)
 
 
-def plan_batches(pending: DataFrame, size: int, shards: int = 16) -> DataFrame:
-    """(word, ctx, at, shard, batch, item): distinct questions in order of arrival, numbered within shards."""
-    asked = pending.groupBy("word", "ctx").agg(F.min("stamp").alias("stamp"))
-    shard = F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(shards)).cast("int")
-    numbered = asked.withColumn("shard", shard).withColumn("_n", F.row_number().over(Window.partitionBy("shard").orderBy("stamp", "word", "ctx")) - 1)
+def plan_batches(pending: DataFrame, size: int, shard: Column | None = None) -> DataFrame:
+    """(word, ctx, stamp, shard, batch, item): distinct questions in order of arrival, numbered within shards.
+
+    shard: a column that deals the questions out; by default a hash of the question, over the shuffle partitions."""
+    if shard is None:
+        shard = F.pmod(F.xxhash64("word", "ctx"), F.lit(int(pending.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    asked = pending.groupBy("word", "ctx").agg(F.min("stamp").alias("stamp")).withColumn("shard", shard)
+    numbered = asked.withColumn("_n", F.row_number().over(Window.partitionBy("shard").orderBy("stamp", "word", "ctx")) - 1)
     return numbered.select("word", "ctx", "stamp", "shard", F.expr(f"cast(_n div {size} AS int)").alias("batch"), F.expr(f"cast(_n % {size} + 1 AS int)").alias("item"))
 
 
@@ -115,23 +137,63 @@ def change_runs(events: DataFrame, seconds: int = 3, most: int = 3) -> DataFrame
     return changed.withColumn("changes", F.sum("_c").over(trailing)).withColumn("suppressed", F.col("changes") >= most).drop("_c")
 
 
+OUTCOMES = ("hit", "cached", "miss", "rejected")
+
+
 def health(log: DataFrame) -> DataFrame:
-    """One row for each endpoint: requests, failures, failures since the last success, stalled. log: (endpoint, ts, n, ok)."""
+    """One row for each endpoint: requests, failures, failures since the last success, stalled, and outcomes by kind.
+
+    log: (endpoint, ts, n, ok), with outcome (one of OUTCOMES, or null) and pending (words that wait) where they are
+    known; an endpoint is stalled after two failures in a row while anything waits."""
     order = Window.partitionBy("endpoint").orderBy(F.desc("ts"), F.desc("n"))
     tail = log.withColumn("_good", F.sum(F.col("ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = tail.groupBy("endpoint").agg(F.count("*").alias("requests"), F.count_if(~F.col("ok")).alias("failures"), F.count_if(F.col("_good") == 0).alias("tail_failures"))
-    return out.withColumn("stalled", F.col("tail_failures") >= 2)
+    counts = [F.count_if(F.col("outcome") == x).alias({"hit": "hits", "cached": "cache_hits", "miss": "misses", "rejected": "rejected"}[x]) for x in OUTCOMES] if "outcome" in log.columns else []
+    waits = F.max_by("pending", F.struct("ts", "n")) > 0 if "pending" in log.columns else F.lit(True)
+    out = tail.groupBy("endpoint").agg(F.count("*").alias("requests"), F.count_if(~F.col("ok")).alias("failures"), F.count_if(F.col("_good") == 0).alias("tail_failures"), *counts, waits.alias("_waits"))
+    return out.withColumn("stalled", (F.col("tail_failures") >= 2) & F.coalesce("_waits", F.lit(False))).drop("_waits")
+
 
+def align_by_index(asked: DataFrame, said: DataFrame, validate: Validator = first_sound_ok) -> DataFrame:
+    """asked (batch, item, word) with kana and why from said (batch, key, value): by item number, else by the word.
 
-def align_by_index(asked: DataFrame, said: DataFrame) -> DataFrame:
-    """asked (batch, item, word) with kana and why from said (batch, key, value): by item number, else by the word."""
+    Where said has a column partial, an item that a broken answer lacks is to be asked again: why is `requeue`."""
     by_item = said.select("batch", F.expr("try_cast(key AS int)").alias("item"), F.regexp_replace("value", r"\s", "").alias("_a")).where("item IS NOT NULL")
     by_word = said.select("batch", F.col("key").alias("word"), F.regexp_replace("value", r"\s", "").alias("_b"))
     joined = asked.join(by_item, ["batch", "item"], "left").join(by_word, ["batch", "word"], "left").withColumn("_k", F.coalesce("_a", "_b"))
-    why = answer_reason(F.col("word"), F.col("_k"))
+    lang = F.col("lang") if "lang" in asked.columns else None
+    why = answer_reason(F.col("word"), F.col("_k"), lang, validate)
+    if "partial" in said.columns:
+        joined = joined.join(said.groupBy("batch").agg(F.bool_or("partial").alias("_partial")), "batch", "left")
+        why = F.when(F.col("_k").isNull() & F.coalesce("_partial", F.lit(False)), "requeue").otherwise(why)
     return joined.select("batch", "item", "word", F.when(why.isNull(), F.col("_k")).alias("kana"), why.alias("why"))
 
 
+def align_by_line(asked: DataFrame, bodies: DataFrame) -> DataFrame:
+    """asked (batch, item, word) with kana and why from bodies (batch, body), a line for each item: a body with another
+    number of lines is refused as a whole; an answer that holds no kana is a miss."""
+    lines = F.split(F.rtrim("body"), r"\r?\n")
+    sizes = asked.groupBy("batch").agg(F.count("*").alias("_asked"))
+    said = bodies.select("batch", lines.alias("_lines")).join(sizes, "batch")
+    each = said.select("batch", (F.size("_lines") == F.col("_asked")).alias("_whole"), F.posexplode("_lines").alias("_at", "_line")).select("batch", "_whole", (F.col("_at") + 1).alias("item"), F.regexp_replace("_line", r"\s", "").alias("_k"))
+    joined = asked.join(each, ["batch", "item"], "left")
+    whole = F.max(F.col("_whole")).over(Window.partitionBy("batch"))
+    why = F.when(~F.coalesce(whole, F.lit(False)), "line count").otherwise(answer_reason(F.col("word"), F.col("_k")))
+    return joined.withColumn("_why", why).select("batch", "item", "word", F.when(F.col("_why").isNull(), F.col("_k")).alias("kana"), F.col("_why").alias("why"))
+
+
+def fresh(answers: DataFrame, now: Column, keep: dict[str, int], kind: str = "kind", at: str = "at") -> DataFrame:
+    """Answers that are not out of date: each kind is kept for its number of days; unknown kinds are dropped."""
+    days = F.create_map(*[F.lit(x) for pair in keep.items() for x in pair])[F.col(kind)]
+    return answers.where(F.col(at) > now - F.make_dt_interval(days))
+
+
+def retried(answers: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers, wanted) once misses are to be asked again: misses go, and their questions have no tries behind them."""
+    misses = answers.where("is_miss").select("word", "ctx").distinct().withColumn("_miss", F.lit(True))
+    reset = wanted.join(misses, ["word", "ctx"], "left").withColumn("tries", F.when(F.col("_miss"), 0).otherwise(F.col("tries"))).drop("_miss")
+    return answers.where("NOT is_miss"), reset
+
+
 def parse_answers(raw: DataFrame) -> DataFrame:
     """(batch, key, value, partial) of raw (batch, content): the outermost object, else what pairs can be saved."""
     whole = F.from_json(F.regexp_extract("content", r"(?s)(\{.*\})", 1), "map<string,string>")

@@ -27,8 +27,18 @@ def lookup(words: DataFrame, lexicon: DataFrame, raw: str = "word") -> DataFrame
     return words.join(best, raw, "left")
 
 
-def masked_lookup(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(word, kana): words with masked letters whose lexicon matches all agree on one reading.
+def add_online(lexicon: DataFrame, additions: DataFrame, source: str = "online", priority: int = 9) -> DataFrame:
+    """The lexicon with readings that were found later (word, kana): only pure kana is taken, under every key that a
+    look-up tries, and never in place of what is there."""
+    good = additions.where(F.col("kana").rlike(f"^{KANA['lexicon']}$"))
+    keys = F.array_distinct(F.array(F.col("word"), F.lower(F.trim("word")), F.regexp_replace(F.lower("word"), "[^a-z]", "")))
+    rows = good.select(F.explode(keys).alias("word"), "kana").where("word <> ''").groupBy("word").agg(F.min("kana").alias("kana")).join(lexicon.select("word"), "word", "left_anti")
+    return lexicon.unionByName(rows.select("word", "kana", F.lit(source).alias("source"), F.lit(priority).alias("priority")), allowMissingColumns=True)
+
+
+def masked_lookup(words: DataFrame, lexicon: DataFrame, curated: DataFrame | None = None) -> DataFrame:
+    """(word, kana): words with masked letters that are listed (curated: word, kana), or whose lexicon matches all
+    agree on one reading.
 
     Candidates meet by length and by the first visible letter's place and value; the rest is a pattern check."""
     word = F.lower(F.col("word"))
@@ -37,7 +47,11 @@ def masked_lookup(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     asked = asked.withColumn("letter", F.expr("substring(like, at, 1)"))
     places = lexicon.select("kana", F.col("word").alias("entry"), F.length("word").alias("n"), F.posexplode(F.split("word", "")).alias("_p", "letter")).withColumn("at", F.col("_p") + 1)
     met = asked.join(places, ["n", "at", "letter"]).where(F.expr("entry LIKE like"))
-    return met.groupBy("word").agg(F.min("kana").alias("kana"), F.countDistinct("kana").alias("_k")).where("_k = 1").drop("_k")
+    found = met.groupBy("word").agg(F.min("kana").alias("kana"), F.countDistinct("kana").alias("_k")).where("_k = 1").drop("_k")
+    if curated is None:
+        return found
+    listed = words.select("word").distinct().join(curated.select(F.lower("word").alias("_key"), "kana"), F.lower("word") == F.col("_key")).select("word", "kana")
+    return listed.unionByName(found.join(listed, "word", "left_anti"))
 
 
 def unknown_words(words: DataFrame, *known: DataFrame) -> DataFrame:

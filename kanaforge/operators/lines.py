@@ -1,25 +1,51 @@
-"""Lines and their gates: splitting, words, credits, ASCII art, line features, blocks of a document."""
+"""Lines and their gates: splitting, words, credits, ASCII art, line features, blocks of a document.
+
+A line's features are worked out inside its row, over the array of its tokens, so they need no exchange."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kanaforge.functions.kana import UNIT_SYMBOLS, romaji_column
 from kanaforge.functions.text import LATIN, WESTERN, normalize_word, script_of
-
-#: Job titles that open a credit line (prefixes; more can be passed in).
-CREDIT_LABELS = [
-    "作词", "作詞", "作曲", "编曲", "編曲", "混音", "录音", "母带", "制作", "和声", "演唱", "翻译", "封面", "曲绘", "原曲",
-    "Lyric", "Music", "Melody", "Arrang", "Compos", "Produc", "Written", "Words", "Guitar", "Bass", "Drum", "Piano",
-    "Keyboard", "Vocal", "Mix", "Master", "Engineer", "Strings", "Chorus", "Illust", "Design", "Orchestr", "Conduct",
-    "Edit", "Studio", "Publish", "Director", "PV", "MV", "Movie", "Animation", "Staff",
-]
-CREDIT_VERBS = ["Recorded", "Mixed", "Mastered", "Produced", "Arranged", "Conducted", "Composed", "Written", "Performed", "Engineered"]
-CREDIT_STARTS = [r"copyright(?:ed)?\b", "©", r"\(c\)", "℗", r"all rights reserved\b", r"(?:presented|published|licensed) by\b", r"(?:op|sp)\s*[:：]", r"(?:isrc|jasrac|upc|ean)\b"]
+from kanaforge.functions.tokens import LETTER, SYMBOL, scan_column
+
+
+@dataclass(frozen=True)
+class Credits:
+    """What production credits look like. roles stand at a line's start, as written; deeds are told with by or at."""
+
+    roles: tuple[str, ...] = (
+        "Lyrics?", "Lyricist", "Words?", "Music", "Song", "Compos(?:er|ed|ition)", "Arrange(?:r|d|ment)", "Produce[rd]", "Production", "Vocals?", "Singer", "Performer", "Guitars?", "Bass", "Drums?", "Keys",
+        "Piano", "Strings?", "Violin", "Choir", "Programming", "Recording", "Mix(?:ed|ing)?", "Master(?:ed|ing)?", "Engineer(?:ed)?", "Artwork", "Illustrat(?:or|ed|ion)", "Video", "Translat(?:or|ed|ion)", "Label",
+        "作词", "作詞", "词", "作曲", "曲", "编曲", "編曲", "制作人?", "製作", "监制", "演唱", "歌手?", "唄", "和声", "吉他", "贝斯", "鼓", "钢琴", "弦乐", "录音", "録音", "混音", "母带(?:处理)?", "工程师", "出品", "发行", "翻译", "訳詞", "絵", "映像", "動画",
+    )
+    notices: tuple[str, ...] = ("©", "℗", r"\([cCpP]\)", "[Cc]opyright", "COPYRIGHT", "[Aa]ll [Rr]ights [Rr]eserved", "(?:ISRC|UPC|EAN|JASRAC)(?:[^A-Za-z]|$)", "(?:[Ll]icensed|[Pp]ublished|[Dd]istributed|[Pp]resented) by ")
+    deeds: tuple[str, ...] = ("[Rr]ecorded", "[Mm]ixed", "[Mm]astered", "[Pp]roduced", "[Pp]erformed", "[Aa]rranged", "[Cc]onducted", "[Ee]ngineered")
+
+    def patterns(self) -> list[str]:
+        """Patterns that Java and RE2 read alike; one that fits makes a line a credit."""
+        role = f"(?:{'|'.join(self.roles)})"
+        more = rf"(?:\s*[&/,、・＆／]\s*{role}){{0,4}}"
+        names = r"(?:\s+[A-Z][\w.'&]*){0,3}"
+        deed = f"(?:{'|'.join(self.deeds)})"
+        return [
+            rf"^\s*{role}{more}{names}\s*(?:[:：]|[-–—]\s|by\s)",
+            rf"^\s*(?:{'|'.join(self.notices)})",
+            rf"^\s*(?:[A-Za-z]+\s+){{0,2}}{deed}(?:\s*(?:&|,|and)\s*{deed}){{0,3}}\s(?:[^\n]{{0,80}}\s)?(?:by|at)\s",
+        ]
+
+
+CREDITS = Credits()
 #: A line of single letters is art from so many other marks on.
 ART_MARKS = 6
-#: How far from a word its neighbouring marks are looked for.
-REACH = 16
+#: Distinct short words whose romanised reading is not the lexicon's, and the share of short words, of a romaji line.
+ROMAJI_KINDS, ROMAJI_SHARE = 5, 0.6
+#: Pairs of letters that romanised Japanese does not have.
+NOT_ROMAJI = "th|wh|ck|gh|ph|[qx]"
 
 
 def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -34,18 +60,18 @@ def plain_words(lines: DataFrame) -> DataFrame:
     return words.select("*", normalize_word("word").alias("norm"), script_of("word").alias("script"))
 
 
-def is_credit_line(line: Column, labels: list[str] = CREDIT_LABELS) -> Column:
-    """A label, a little filling, up to three capitalised words and a colon, `by` or hyphen; or a rights notice."""
-    label = "|".join(labels)
-    filling, names, end = r"[a-z]*[一-龥A-Za-z&/|,、+·・（）()]{0,8}", r"(?:\s+[A-Za-z][A-Za-z.&'\-]*){0,3}", r"\s*(?::|：|by\b|-)"
-    verb = rf"^\s*(?:[A-Za-z]+\s+){{0,2}}(?:{'|'.join(CREDIT_VERBS)})\b.{{0,80}}?(?:\sby\b|\sat\b|[:：])"
-    return F.coalesce(line.rlike(rf"(?i)^\s*(?:{label}){filling}{names}{end}") | line.rlike(rf"(?i)^\s*(?:{'|'.join(CREDIT_STARTS)})") | line.rlike("(?i)" + verb), F.lit(False))
+def is_credit_line(line: Column, rules: Credits = CREDITS) -> Column:
+    """A role with a colon, `by` or a dash after it, a notice of rights, or a deed by or at someone."""
+    first, *more = [line.rlike(p) for p in rules.patterns()]
+    for x in more:
+        first = first | x
+    return F.coalesce(first, F.lit(False))
 
 
-def credit_blocks(lines: DataFrame) -> DataFrame:
+def credit_blocks(lines: DataFrame, rules: Credits = CREDITS) -> DataFrame:
     """lines with skipped: credit lines, and lines between two of them."""
     by_doc = Window.partitionBy("doc_id").orderBy("line_no")
-    marked = lines.withColumn("credit", is_credit_line(F.col("line")))
+    marked = lines.withColumn("credit", is_credit_line(F.col("line"), rules))
     between = F.coalesce(F.lag("credit").over(by_doc), F.lit(False)) & F.coalesce(F.lead("credit").over(by_doc), F.lit(False))
     return marked.withColumn("skipped", F.col("credit") | between)
 
@@ -55,49 +81,53 @@ def art_marks(line: Column) -> Column:
     return F.length(F.regexp_replace(line, rf"[{WESTERN}0-9０-９\s぀-ヿ一-鿿　-〿！-／]", ""))
 
 
-def line_features(lines: DataFrame) -> DataFrame:
-    """One row for each line: words, single letters, capitals, short words, and the flags made of them."""
-    w = plain_words(lines)
-    counts = w.groupBy("doc_id", "line_no").agg(
-        F.count("*").alias("words"),
-        F.count_if(F.length("norm") == 1).alias("singles"),
-        F.count_if(F.col("word").rlike("^[A-Z]$")).alias("capitals"),
-        F.count_if(F.length("norm") <= 3).alias("short_words"),
-        F.countDistinct(F.when(F.length("norm") <= 3, F.col("norm"))).alias("short_kinds"),
-        F.count_if(F.col("norm").rlike("th|wh|ck|gh|ph|q|x")).alias("english_pairs"),
+def with_tokens(lines: DataFrame) -> DataFrame:
+    """lines with s: the arrays of the scanner."""
+    return lines.withColumn("s", scan_column("line"))
+
+
+def line_features(scanned: DataFrame) -> DataFrame:
+    """scanned (line, s) with counts of its tokens and the flags made of them, row by row."""
+    texts, kinds = F.col("s.text"), F.col("s.kind")
+    count = lambda xs, p: F.size(F.filter(xs, p))
+    strung = count(kinds, lambda k: (k == LETTER) | (k == SYMBOL))
+    single = lambda t: F.length(t) == 1
+    capital = lambda t: t.rlike("^[A-Z]$")
+    norms = F.transform(texts, normalize_word)
+    short = F.filter(norms, lambda t: F.length(t) <= 3)
+    rows = scanned.select(
+        "*",
+        F.size(texts).alias("words"),
+        count(texts, single).alias("singles"),
+        count(texts, capital).alias("capitals"),
+        strung.alias("strung"),
+        count(texts, lambda t: F.length(t) >= 2).alias("long_words"),
+        F.size(short).alias("short_words"),
+        F.array_distinct(short).alias("short_kinds"),
+        count(norms, lambda t: t.rlike(NOT_ROMAJI)).alias("english_pairs"),
+        F.array_distinct(F.filter(texts, capital)).alias("capital_kinds"),
     )
-    filled = lines.join(counts, ["doc_id", "line_no"], "left").na.fill(0)
-    return filled.select(
+    art = (F.col("words") > 0) & (F.col("singles") == F.col("words")) & (F.col("strung") == 0) & (art_marks(F.col("line")) >= ART_MARKS)
+    run = F.col("line").rlike(r"(?:^|[^A-Za-z])[A-Z]\s?[,，、/・&]\s?[A-Z](?:[^A-Za-z]|$)") | (F.col("strung") >= 2) | (F.col("capitals") >= 3)
+    units = (F.size("capital_kinds") >= 2) & (F.col("capitals") == F.col("singles")) & F.forall("capital_kinds", lambda c: c.isin(list(UNIT_SYMBOLS)))
+    return rows.select(
         "*",
-        ((F.col("words") > 0) & (F.col("singles") == F.col("words")) & (art_marks(F.col("line")) >= ART_MARKS)).alias("is_art"),
-        (F.coalesce(F.col("line").rlike("[A-Z][./・&][A-Z]"), F.lit(False)) | (F.col("capitals") >= 3)).alias("letter_run"),
-        ((F.col("short_kinds") >= 5) & (F.col("short_words") >= 0.6 * F.col("words")) & (F.col("english_pairs") == 0)).alias("romaji_shape"),
+        F.coalesce(art, F.lit(False)).alias("is_art"),
+        F.coalesce(run, F.lit(False)).alias("letter_run"),
+        units.alias("all_units"),
+        F.coalesce(F.col("line").rlike("[ぁ-ゖァ-ヺ]"), F.lit(False)).alias("has_kana"),
     )
 
 
-def neighbour_features(words: DataFrame) -> DataFrame:
-    """words (doc_id, line_no, word_no, word, line, start) with the nearest mark on each side and flags of it.
+def romaji_lines(featured: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, line_no, romaji_line): lines of many short words whose romanised reading differs from the lexicon's.
 
-    Only a stretch of the line on each side is looked at: marks count up to REACH characters away."""
-    near = words.select(
-        *[c for c in words.columns if c != "line"],
-        F.expr(f"substring(line, greatest(start - {REACH}, 0) + 1, least(start, {REACH}))").alias("_l"),
-        F.expr(f"substring(line, start + length(word) + 1, {REACH})").alias("_r"),
-    )  # whole lines go no further: a line of many words would be carried once for each
-    left, right, long = F.col("_l"), F.col("_r"), F.length("word") >= 2
-    doubled = F.col("word").rlike(r"(?i)^([bcdfghjklmnpqrstvwxyz])\1{1,2}$")
-    return near.select(
-        "*",
-        F.regexp_extract(left, r"(\S)\s*$", 1).alias("before"),
-        left.rlike(r"\S\s+$").alias("before_spaced"),
-        F.regexp_extract(right, r"^\s*(\S)", 1).alias("after"),
-        right.rlike(r"^\s+\S").alias("after_spaced"),
-        left.rlike("[0-9０-９]$").alias("after_digit"),
-        (F.col("word").rlike("^[A-Z]$") & right.rlike(r"^\s*[:：]")).alias("label"),
-        left.rlike(r"[*＊]{2}$").alias("after_mask"),
-        (doubled & (right.rlike("^[ぁ-ゖ]") | left.rlike(r"\*\*$") | right.rlike(r"^\*\*"))).alias("censored"),
-        (F.count_if(long).over(Window.partitionBy("doc_id", "line_no")) - long.cast("int") > 0).alias("other_word"),
-    ).drop("_l", "_r")
+    Only lines of short words without English letter pairs are looked at, and their distinct words are looked up."""
+    shaped = featured.where((F.col("english_pairs") == 0) & (F.col("short_words") >= ROMAJI_SHARE * F.col("words")) & (F.size("short_kinds") >= ROMAJI_KINDS))
+    words = shaped.select("doc_id", "line_no", F.explode("short_kinds").alias("word"))
+    known = lexicon.where("length(word) <= 3").select("word", "kana").withColumn("romaji", romaji_column("word"))
+    two_way = known.where("romaji IS NOT NULL AND romaji <> kana").select("word")
+    return words.join(two_way, "word", "left_semi").groupBy("doc_id", "line_no").agg((F.count("*") >= ROMAJI_KINDS).alias("romaji_line")).where("romaji_line")
 
 
 def placed_words(lines: DataFrame, word: str = rf"[{LATIN}]+") -> DataFrame:
@@ -109,17 +139,25 @@ def placed_words(lines: DataFrame, word: str = rf"[{LATIN}]+") -> DataFrame:
     return rows.select("doc_id", "line_no", "word_no", "word", start.cast("int").alias("start"))
 
 
+def echoes(norms: Column) -> Column:
+    """The fragments of 2 or 3 letters that occur twice and more in a line and end a longer word of it."""
+    short = F.array_distinct(F.filter(norms, lambda t: F.length(t).between(2, 3)))
+    return F.filter(short, lambda x: (F.size(F.filter(norms, lambda y: y == x)) >= 2) & F.exists(norms, lambda y: (F.length(y) > F.length(x)) & y.endswith(x)))
+
+
 def echo_fragments(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, norm, times): fragments of 2 or 3 letters, repeated in a line, that end a longer word."""
-    counts = plain_words(lines).groupBy("doc_id", "line_no", "norm").agg(F.count("*").alias("times"))
-    short = counts.where("length(norm) BETWEEN 2 AND 3 AND times >= 2")
-    tails = counts.where("length(norm) > 2").select("doc_id", "line_no", F.explode(F.expr("filter(array(right(norm, 2), if(length(norm) > 3, right(norm, 3), NULL)), x -> x IS NOT NULL)")).alias("norm")).distinct()
-    return short.join(tails, ["doc_id", "line_no", "norm"], "left_semi")
+    """(doc_id, line_no, norm): the echoes of each line."""
+    found = F.regexp_extract_all("line", F.lit(rf"[{WESTERN}]+(?:['’][{WESTERN}]+)*"), F.lit(0))
+    return lines.select("doc_id", "line_no", F.transform(found, normalize_word).alias("w")).select("doc_id", "line_no", F.explode(echoes(F.col("w"))).alias("norm"))
+
+
+#: Syllables in capitals of one or two consonants and a vowel, chained by tight hyphens, also over a line break.
+CHAINED = r"\b[B-DF-HJ-NP-TV-Z]{1,2}[AEIOU](?:-\n?[B-DF-HJ-NP-TV-Z]{1,2}[AEIOU])+\b"
 
 
-def long_vowel_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, word): syllables in capitals that tight hyphens chain, also over a line break."""
-    chains = F.regexp_extract_all("text", F.lit(r"\b[BCDFGHJKLMNPQRSTVWXYZ]{1,2}[AEIOU](?:-\n?[BCDFGHJKLMNPQRSTVWXYZ]{1,2}[AEIOU])+\b"), F.lit(0))
+def long_vowel_words(docs: DataFrame, pattern: str = CHAINED) -> DataFrame:
+    """(doc_id, word): the syllables of such chains; their readings are drawn out everywhere in the document."""
+    chains = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     syllables = docs.select("doc_id", F.explode(chains).alias("chain")).select("doc_id", F.explode(F.split("chain", "-\n?")).alias("word"))
     return syllables.distinct()
 

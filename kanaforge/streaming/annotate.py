@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kanaforge.functions.text import context_key, word_key
 from kanaforge.functions.tokens import tokens_column
+from kanaforge.operators import cascade as R
 
 #: How long an answer may take, and how long a question is remembered.
 PATIENCE, REMEMBERED = "10 minutes", "1 day"
@@ -17,10 +18,21 @@ def annotated(lines: DataFrame, readings: DataFrame) -> DataFrame:
 
     readings: a static table (word, kana, source) of distinct words; words that it lacks have no kana yet."""
     tokens = lines.select("doc_id", "line_no", "ts", context_key("line").alias("ctx"), F.posexplode(tokens_column("line")).alias("tok_no", "t"))
-    flat = tokens.select("doc_id", "line_no", "ts", "ctx", "tok_no", "t.text", "t.start", "t.end", word_key("t.norm").alias("key"))
+    flat = tokens.select("doc_id", "line_no", "ts", "ctx", "tok_no", "t.text", "t.start", (F.col("t.start") + F.length("t.text")).alias("end"), word_key("t.text").alias("key"))
     return flat.join(readings.select(F.col("word").alias("text"), "kana", "source"), "text", "left")
 
 
+def read_batches(lexicon: DataFrame, write, **tables: DataFrame):
+    """What foreachBatch calls: the line-aware cascade (in_lines, kinds_of, read_tokens) over each micro-batch's lines,
+    handed to write(readings, batch number). A batch's own documents vote on its languages. tables: as kinds_of() takes."""
+
+    def each(lines: DataFrame, number: int) -> None:
+        told = R.line_tokens(R.in_lines(lines.select("doc_id", "line_no", "line"), lexicon))
+        write(R.read_tokens(told, R.kinds_of(told, lexicon, **tables)), number)
+
+    return each
+
+
 def questions(tokens: DataFrame) -> DataFrame:
     """(key, ctx, ts): words without a reading, each asked once for its sentence while it is remembered."""
     asked = tokens.where("kana IS NULL AND key IS NOT NULL").select("key", "ctx", "ts")
@@ -34,3 +46,24 @@ def relabelled(tokens: DataFrame, answers: DataFrame) -> DataFrame:
     if tokens.isStreaming:
         waiting, said = waiting.withWatermark("ts", PATIENCE), said.withWatermark("at", PATIENCE)
     return waiting.join(said, F.expr(f"key = _key AND ctx = _ctx AND at >= ts AND at <= ts + INTERVAL {PATIENCE}")).drop("_key", "_ctx")
+
+
+#: Days that an answer is kept, by where it came from.
+KEEP = {"model": 180, "free": 30}
+
+
+def cached(answers: DataFrame, keep: dict[str, int] = KEEP) -> DataFrame:
+    """The cache of a stream of answers (kind, word, ctx, kana, is_miss, at): the first answer of each question from each
+    source, once, while that source's answers are kept; a miss is an answer like any other, until it is retried (see
+    operators.answers.retried). Over a table: the first answers that are still fresh at the table's last moment."""
+    if answers.isStreaming:
+        parts = [answers.where(F.col("kind") == k).withWatermark("at", f"{days} days").dropDuplicatesWithinWatermark(["word", "ctx"]) for k, days in keep.items()]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    days = F.create_map(*[F.lit(x) for pair in keep.items() for x in pair])[F.col("kind")]
+    newest = answers.agg(F.max("at").alias("_now"))
+    kept = answers.join(F.broadcast(newest), F.col("at") > F.col("_now") - F.make_dt_interval(days)).drop("_now")  # one row
+    fields = [c for c in answers.columns if c not in ("kind", "word", "ctx")]
+    return kept.groupBy("kind", "word", "ctx").agg(F.min(F.struct("at", *[c for c in fields if c != "at"])).alias("_x")).select("kind", "word", "ctx", *[F.col(f"_x.{c}").alias(c) for c in fields])

@@ -1,20 +1,41 @@
-"""Usage over event time; the same transformation for a batch and for a stream."""
+"""Usage over event time; each transformation serves a batch and a stream.
+
+A late event counts for its own day until the watermark passes it; running totals take it whenever it comes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LATE = "1 day"
 
 
+def _marked(events: DataFrame) -> DataFrame:
+    return events.withWatermark("ts", LATE) if events.isStreaming else events
+
+
 def daily(events: DataFrame) -> DataFrame:
-    """(kind, day, requests) of (ts, kind): tumbling days. A late event counts for its own day until the watermark."""
-    marked = events.withWatermark("ts", LATE) if events.isStreaming else events
-    return marked.groupBy("kind", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("requests")).select("kind", F.col("w.start").alias("day"), "requests")
+    """(kind, day, requests) of (ts, kind): tumbling days."""
+    return _marked(events).groupBy("kind", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("requests")).select("kind", F.col("w.start").alias("day"), "requests")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """(kind, session_id, start, end, requests): a session ends after a gap."""
-    marked = events.withWatermark("ts", LATE) if events.isStreaming else events
-    return marked.groupBy("kind", "session_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("requests")).select("kind", "session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests")
+    """(kind, session_id, start, end, requests): a session ends after a gap, and the next one starts from nothing."""
+    return _marked(events).groupBy("kind", "session_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("requests")).select("kind", "session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests")
+
+
+def totals(events: DataFrame, *by: str) -> DataFrame:
+    """(kind, by..., requests, words): running totals, in all or for each session or day. A stream updates them in place
+    (output mode update or complete): its state is a row for each group and never a row of an event."""
+    return events.groupBy("kind", *by).agg(F.count("*").alias("requests"), F.sum("words").alias("words"))
+
+
+def running(events: DataFrame) -> DataFrame:
+    """(event_id, kind, day, total, today): the totals as they stood after each event of a table, in order of time: `today`
+    starts anew with each day. Daily sums are added up first, so that no task holds all events of a kind."""
+    rows = events.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    days = rows.groupBy("kind", "day").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("kind").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = days.select("kind", "day", before.alias("before"))
+    in_day = F.row_number().over(Window.partitionBy("kind", "day").orderBy("ts", "event_id"))
+    return rows.withColumn("today", in_day).join(earlier, ["kind", "day"]).select("event_id", "kind", "day", (F.col("before") + F.col("today")).cast("long").alias("total"), F.col("today").cast("long").alias("today"))
