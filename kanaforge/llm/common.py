@@ -21,8 +21,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where none is set (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that the driver and all executors share; a local one only where all run in one process (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or _own_dir()
 
 
 def materialize(df: DataFrame) -> tuple[DataFrame, str]:
@@ -46,6 +49,11 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def packed(df: DataFrame) -> Column:
+    """A whole row as one struct, behind which no column's name can clash; its fields are the columns in order."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -4,43 +4,43 @@ Each source's documents, in an order given by a hash of the id, are cut into blo
 block of a source is released at slot floor((j-1) / w) and due at ceil(j / w), and each slot goes to the released
 block that is due first: at full load this keeps every source within one block of its weight at every slot.
 
-Nothing repeats, so nothing drifts: weights are whole multiples of 2**-52 that add up to one, and windows are worked
-out in whole numbers over the entire run. Blocks with windows inside slots a to b are at most the sum of w (b - a), so
-earliest deadline first meets every window. What a slot gets depends on all slots before, so the
-driver runs through them: one heap step for each BLOCK rows, a bounded PIECE in memory at a time. Rows never go there.
+Nothing repeats, so nothing drifts: weights are whole multiples of 1 / UNIT that add up to one, and windows are worked
+out in whole numbers over the entire run. What a slot gets depends on the slots before it, but only through which
+blocks are still waiting. So the run is cut into frames that are scheduled side by side, each from a guess of what
+waits at its start (the blocks that are due last). A frame whose guess differs from the end of the frame before it is
+scheduled again from that end, until none differs: the schedule is the one that a single pass would give. Two
+schedules of one frame soon agree, as they run the same block whenever it is the most urgent for both.
 
 Defined cases: every row is kept once. When a source runs out its weight cannot be met any more: `balanced` marks
 the rows before its first block that is missing or not full, and all other blocks follow in the order of their
 virtual times (j - 1/2) / w; a null source is a source of its own; repeated ids are ordered next to each other; an
-empty table gives an empty one. Any number of sources is mixed.
+empty table gives an empty one. Any number of sources is mixed. Columns of any name pass through with their values, but
+for those named like the outputs of positions(), which are replaced.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from fractions import Fraction
-from heapq import heappop, heappush
-from itertools import islice
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kanaforge.llm.common import shared_dir, table
+from kanaforge.llm.common import drop, materialize, packed, table
 
-PERIOD, MAX_SOURCES = 1024, 512
-#: Weights are multiples of 1 / UNIT.
-UNIT = 1 << 52
-#: Slots of the schedule that the driver holds before it writes them: a memory bound only.
-PIECE = 1 << 20
+#: Weights are multiples of 1 / UNIT; a frame's slots times UNIT stay below 2^63.
+UNIT = 1 << 48
+#: Slots of a frame at least and at most; between them eight for each source, so that schedules have room to agree.
+FRAME, LONGEST_FRAME = 1024, 1 << 14
 #: Documents of a block.
 BLOCK = 16
 #: Rows that are numbered together, about.
 BUCKET_ROWS = 50_000
+#: Blocks that one row of a plan is spread into.
+SPREAD = 1 << 16
 LEAST_STRETCH = 256
 NO_SOURCE = "\0"
+OUTPUTS = ["mix_block", "mix_slot", "mix_pos", "balanced"]
 
 
 def tempered(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
@@ -48,92 +48,84 @@ def tempered(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
     return {s: n**power for s, n in counts.items()}
 
 
-def shares(weights: dict[str, float]) -> dict[str, int]:
-    """Slots of each source in one period of PERIOD slots: nearest whole numbers by largest remainders, one at least.
-
-    A short rounded schedule for display; positions() uses the weights themselves."""
-    if len(weights) > MAX_SOURCES:
-        raise ValueError(f"{len(weights)} sources; at most {MAX_SOURCES} can be mixed")
+def units(weights: dict[str, float]) -> dict[str, int]:
+    """Weights as multiples of 1 / UNIT, one at least, that add up to UNIT."""
     if any(w <= 0 for w in weights.values()):
         raise ValueError("target weights must be positive")
-    total = sum(weights.values())
-    exact = {s: w / total * PERIOD for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    while (left := PERIOD - sum(out.values())) != 0:  # the source furthest from its share moves by one
-        step = 1 if left > 0 else -1
-        out[max((s for s in out if step > 0 or out[s] > 1), key=lambda s: (step * (exact[s] - out[s]), s))] += step
+    total = sum(map(Fraction, weights.values()))
+    out = {s: max(1, int(Fraction(w) * UNIT / total)) for s, w in weights.items()}
+    most = min(out, key=lambda s: (-out[s], s))
+    out[most] += UNIT - sum(out.values())
     return out
 
 
-def schedule(spark: SparkSession, slots: dict[str, int]) -> DataFrame:
-    """(mix_source, turn, slot): when each block of each source's turn in a period runs. PERIOD rows."""
-    names = sorted(slots)
-    quoted = ", ".join("decode(unhex('{}'), 'UTF-8')".format(s.encode("utf-8").hex()) for s in names)
-    c = f"array({', '.join(str(slots[s]) for s in names)})"
-    due = f"""array_min(filter(transform({c}, (c, i) -> if(
-        s.used[i] < c AND s.used[i] * {PERIOD} div c <= t,
-        named_struct('due', ((s.used[i] + 1) * {PERIOD} + c - 1) div c, 'i', i), NULL)), x -> x IS NOT NULL)).i"""
-    fold = f"""aggregate(sequence(0, {PERIOD - 1}),
-        named_struct('used', array_repeat(0, {len(names)}), 'runs', cast(array() AS array<int>)),
-        (s, t) -> transform(array({due}), p -> named_struct(
-            'used', transform(s.used, (u, i) -> if(i = p, u + 1, u)), 'runs', concat(s.runs, array(p))))[0]).runs"""
-    runs = spark.range(1).select(F.posexplode(F.expr(fold)).alias("slot", "i"))
-    turn = F.row_number().over(Window.partitionBy("i").orderBy("slot")) - 1
-    return runs.select(F.expr(f"array({quoted})[i]").alias("mix_source"), turn.alias("turn"), "slot")
+def _array(values: list[int]) -> str:
+    return "array(" + ", ".join(f"{v}L" for v in values) + ")"
 
 
-def units(weights: dict[str, float]) -> dict[str, int]:
-    """Weights as multiples of 1 / UNIT, one at least, that add up to UNIT: within a double's own precision."""
-    if any(w <= 0 for w in weights.values()):
-        raise ValueError("target weights must be positive")
-    total = sum(map(Fraction, weights.values()))
-    out = {s: max(1, int(Fraction(w) * UNIT / total)) for s, w in weights.items()}
-    most = sorted(out, key=lambda s: (-out[s], s))
-    left = UNIT - sum(out.values())
-    out[most[0]] += left
-    return out
+def guessed(starts: DataFrame, w: str, frame: int) -> DataFrame:
+    """(frame, used): what each source has run before a frame, taking the waiting blocks to be those due last."""
+    begun = F.expr(f"transform({w}, u -> cast(frame * {frame} AS decimal(19,0)) * cast(u AS decimal(19,0)))")
+    shared = starts.select("frame", begun.alias("x"))
+    shared = shared.select("frame", F.expr(f"transform(x, x -> x div {UNIT}bd)").alias("whole"), F.expr(f"transform(x, x -> cast(x % {UNIT}bd AS bigint))").alias("rest"))
+    due = f"array_sort(filter(transform({w}, (u, i) -> if(rest[i] > 0, named_struct('due', ({UNIT}L - rest[i] + u - 1) div u, 'i', i), NULL)), x -> x IS NOT NULL))"
+    many = f"cast(frame * {frame} - aggregate(whole, 0L, (s, x) -> s + x) AS int)"
+    first = shared.select("frame", "whole", F.expr(f"transform(slice({due}, 1, {many}), x -> x.i)").alias("first"))
+    return first.select("frame", F.expr("transform(whole, (x, i) -> x + if(array_contains(first, i), 1L, 0L))").alias("used"))
 
 
-def runs(weights: dict[str, int], full: dict[str, int]) -> Iterator[tuple[int, int]]:
-    """(number of the source in sorted order, block) of slot 0, 1, ... up to the first block that is not full."""
-    names = sorted(weights)
-    w, last = [weights[s] for s in names], [full[s] for s in names]
-    waiting = [(0, i, 0) for i in range(len(names))]  # (release, source, block); later slots
-    ready: list[tuple[int, int, int]] = []  # (deadline, source, block)
-    t = 0
+def scheduled(starts: DataFrame, w: str, frame: int) -> DataFrame:
+    """(frame, used, after, runs): the slots of each frame by earliest deadline first, from what was used before."""
+    begun = F.expr(f"transform({w}, u -> cast(frame * {frame} AS decimal(19,0)) * cast(u AS decimal(19,0)))")
+    rows = starts.select("frame", "used", begun.alias("x"))
+    rows = rows.select("frame", "used", F.expr(f"transform(x, x -> x div {UNIT}bd)").alias("whole"), F.expr(f"transform(x, x -> cast(x % {UNIT}bd AS bigint))").alias("rest"))
+    # block whole + l of a source is released by slot t of the frame if (l * UNIT - rest) / u < t + 1
+    due = f"""array_min(filter(transform({w}, (u, i) -> if(s.l[i] * {UNIT}L - rest[i] < (t + 1) * u,
+        named_struct('due', ((s.l[i] + 1) * {UNIT}L - rest[i] + u - 1) div u, 'i', i), NULL)), x -> x IS NOT NULL)).i"""
+    fold = f"""aggregate(sequence(0L, {frame - 1}L),
+        named_struct('l', zip_with(used, whole, (a, b) -> a - b), 'runs', cast(array() AS array<struct<kind:int,block:bigint>>)),
+        (s, t) -> transform(array({due}), p -> named_struct(
+            'l', transform(s.l, (x, i) -> if(i = p, x + 1, x)),
+            'runs', concat(s.runs, array(named_struct('kind', p, 'block', whole[p] + s.l[p])))))[0])"""
+    done = rows.select("frame", "used", "whole", F.expr(fold).alias("s"))
+    return done.select("frame", "used", F.expr("zip_with(whole, s.l, (a, b) -> a + b)").alias("after"), "s.runs")
+
+
+def slots_of(spark: SparkSession, weights: list[int], slots: int) -> DataFrame:
+    """(kind, mix_block, mix_slot) of the first slots, and up to a frame more; kind: the number of a weight."""
+    frame = min(LONGEST_FRAME, max(FRAME, 8 * len(weights)))
+    w = _array(weights)
+    made, path = materialize(scheduled(guessed(spark.range(-(-slots // frame)).select(F.col("id").alias("frame")), w, frame), w, frame))
     while True:
-        while waiting and waiting[0][0] <= t:
-            _, i, j = heappop(waiting)
-            heappush(ready, (-(-(j + 1) * UNIT // w[i]), i, j))
-        _, i, j = heappop(ready)
-        if j >= last[i]:
-            return
-        yield i, j
-        heappush(waiting, ((j + 1) * UNIT // w[i], i, j + 1))
-        t += 1
+        ends = made.select((F.col("frame") + 1).alias("frame"), F.col("after").alias("right"))
+        wrong, wrong_path = materialize(made.join(ends, "frame").where("used <> right").select("frame", F.col("right").alias("used")))
+        if wrong.isEmpty():
+            drop(spark, wrong_path)
+            break
+        better, better_path = materialize(made.join(wrong.select("frame"), "frame", "left_anti").unionByName(scheduled(wrong, w, frame)))
+        drop(spark, path)
+        drop(spark, wrong_path)
+        made, path = better, better_path
+    return made.select("frame", F.posexplode("runs").alias("t", "r")).select("r.kind", F.col("r.block").alias("mix_block"), (F.col("frame") * frame + F.col("t")).alias("mix_slot"))
 
 
 def plan_of(spark: SparkSession, counts: dict[str, int], weights: dict[str, int], block: int) -> tuple[DataFrame, int]:
     """(mix_source, mix_block, mix_slot) of every block that has a row, and the first slot that is not balanced."""
-    path = f"{shared_dir(spark).rstrip('/')}/kanaforge-{uuid.uuid4().hex}"
-    made, end, done = runs(weights, {s: n // block for s, n in counts.items()}), 0, dict.fromkeys(range(len(weights)), 0)
-    while True:
-        piece = np.fromiter(islice(made, PIECE), np.dtype((np.int64, 2)))
-        out = pa.table({"kind": piece[:, 0], "mix_block": piece[:, 1], "mix_slot": np.arange(end, end + len(piece))})
-        spark.createDataFrame(out, "kind long, mix_block long, mix_slot long").write.mode("append").parquet(path)
-        end += len(piece)
-        kinds, many = np.unique(piece[:, 0], return_counts=True)
-        for i, n in zip(kinds.tolist(), many.tolist(), strict=True):
-            done[i] += n
-        if len(piece) < PIECE:
-            break
-    rows = [(i, s, done[i], -(-counts[s] // block), weights[s]) for i, s in enumerate(sorted(weights))]
-    kinds = F.broadcast(spark.createDataFrame(rows, "kind long, mix_source string, done long, blocks long, w long"))
-    begun = spark.read.schema("kind long, mix_block long, mix_slot long").parquet(path).join(kinds, "kind").select("mix_source", "mix_block", "mix_slot")
-    tail = kinds.where("done < blocks").select("mix_source", "w", F.explode(F.expr("sequence(done, blocks - 1)")).alias("mix_block"))
-    timed = tail.select("mix_source", "mix_block", ((F.col("mix_block") + 0.5) / F.col("w")).alias("_time"))
-    later = numbered(timed, ["_time", "mix_source"], "mix_slot").select("mix_source", "mix_block", (F.col("mix_slot") + end).alias("mix_slot"))
-    return begun.unionByName(later), end
+    names = sorted(weights)
+    w, full = [weights[s] for s in names], [counts[s] // block for s in names]
+    # the first block that is not full is due, and so runs, before this slot
+    slots = table(slots_of(spark, w, min(-(-(n + 1) * UNIT // u) for n, u in zip(full, w, strict=True))))
+    end = slots.where(F.expr(f"mix_block >= {_array(full)}[kind]")).agg(F.min("mix_slot")).first()[0]
+    begun = slots.where(F.col("mix_slot") < end)
+    done = {r["kind"]: r["count"] for r in begun.groupBy("kind").count().collect()}  # a row for each source
+    rows = [(i, s, done.get(i, 0), -(-counts[s] // block), weights[s]) for i, s in enumerate(names)]
+    kinds = F.broadcast(spark.createDataFrame(rows, "kind int, mix_source string, done long, blocks long, w long"))
+    run = begun.join(kinds, "kind").select("mix_source", "mix_block", "mix_slot")
+    parts = kinds.where("done < blocks").select("mix_source", "w", "blocks", F.explode(F.expr(f"sequence(done, blocks - 1, {SPREAD}L)")).alias("from")).repartition("mix_source", "from")
+    tail = parts.select("mix_source", "w", F.explode(F.expr(f"sequence(from, least(from + {SPREAD - 1}, blocks - 1))")).alias("mix_block"))
+    timed = tail.select("mix_source", "mix_block", ((F.col("mix_block") + 0.5) / F.col("w")).alias("time"))
+    later = numbered(timed, ["time", "mix_source", "mix_block"], "mix_slot").select("mix_source", "mix_block", (F.col("mix_slot") + end).alias("mix_slot"))
+    return run.unionByName(later), end
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -145,40 +137,34 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return laid.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_range", "_own", "_before")
 
 
-def positions(docs: DataFrame, weigh: Callable[[dict[str, int]], dict[str, float]] = tempered, block: int = BLOCK) -> DataFrame:
-    """docs with mix_block (number of the block within its source), mix_slot, mix_pos and balanced.
-
-    mix_pos orders the mixture. Columns of these names are replaced."""
+def placed(docs: DataFrame, weigh: Callable[[dict[str, int]], dict[str, float]], block: int) -> DataFrame:
+    """(row, OUTPUTS): each whole row of docs as a struct, so that no name of its columns matters, with its place."""
     spark = docs.sparkSession
-    named = docs.withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)))
+    named = docs.select(packed(docs).alias("row"), "doc_id", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("mix_source"))
     counts = {r["mix_source"]: r["count"] for r in named.groupBy("mix_source").count().collect()}
-    if counts:
-        plan, end = plan_of(spark, counts, units(weigh(counts)), block)
-    else:
-        plan, end = spark.range(0).selectExpr("'' mix_source", "0L mix_block", "0L mix_slot"), 0
+    if not counts:
+        return named.select("row", *[F.lit(None).cast("boolean" if c == "balanced" else "long").alias(c) for c in OUTPUTS])
+    plan, end = plan_of(spark, counts, units(weigh(counts)), block)
     bits = max(8, (sum(counts.values()) // BUCKET_ROWS).bit_length())
-    key = F.xxhash64("doc_id")
-    keyed = named.withColumn("_key", key).withColumn("_bucket", F.expr(f"shiftrightunsigned(_key, {64 - bits})").cast("int"))
-    sizes = keyed.groupBy("mix_source", "_bucket").agg(F.count("*").alias("_n"))
-    running = Window.partitionBy("mix_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("mix_source", "_bucket", "_n", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+    keyed = named.withColumn("key", F.xxhash64("doc_id")).withColumn("bucket", F.expr(f"shiftrightunsigned(key, {64 - bits})").cast("int"))
+    sizes = keyed.groupBy("mix_source", "bucket").agg(F.count("*").alias("n"))
+    running = Window.partitionBy("mix_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("mix_source", "bucket", "n", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"))
     # each bucket gets the slots of its own blocks, so that the rows need no exchange to find theirs
-    spread = before.select("mix_source", "_bucket", "_before", F.expr(f"_before div {block}").alias("_from"), F.explode(F.expr(f"sequence(_before div {block}, (_before + _n - 1) div {block})")).alias("mix_block"))
-    slotted = spread.join(plan, ["mix_source", "mix_block"]).groupBy("mix_source", "_bucket", "_before", "_from")
-    lists = table(slotted.agg(F.transform(F.array_sort(F.collect_list(F.struct("mix_block", "mix_slot"))), lambda x: x["mix_slot"]).alias("_slots")))
-    order = Window.partitionBy("mix_source", "_bucket").orderBy(F.expr(f"_key & {(1 << (64 - bits)) - 1}"), "doc_id")
-    placed = (
-        keyed.withColumn("_row", F.row_number().over(order))
-        .join(lists, ["mix_source", "_bucket"])
-        .withColumn("_rank", F.col("_before") + F.col("_row") - 1)
-        .withColumn("mix_block", F.expr(f"_rank div {block}"))
-        .withColumn("mix_slot", F.expr("_slots[cast(mix_block - _from AS int)]"))
-    )
-    return (
-        placed.withColumn("mix_pos", F.col("mix_slot") * block + F.col("_rank") % block)
-        .withColumn("balanced", F.col("mix_slot") < end)
-        .select(*[c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_pos", "balanced")], "mix_block", "mix_slot", "mix_pos", "balanced")
-    )
+    spread = before.select("mix_source", "bucket", "before", F.expr(f"before div {block}").alias("from"), F.explode(F.expr(f"sequence(before div {block}, (before + n - 1) div {block})")).alias("mix_block"))
+    slotted = spread.join(plan, ["mix_source", "mix_block"]).groupBy("mix_source", "bucket", "before", "from")
+    lists = table(slotted.agg(F.transform(F.array_sort(F.collect_list(F.struct("mix_block", "mix_slot"))), lambda x: x["mix_slot"]).alias("slots")))
+    order = Window.partitionBy("mix_source", "bucket").orderBy(F.expr(f"key & {(1 << (64 - bits)) - 1}"), "doc_id")
+    ranked = keyed.withColumn("n", F.row_number().over(order)).join(lists, ["mix_source", "bucket"]).withColumn("rank", F.col("before") + F.col("n") - 1)
+    found = ranked.withColumn("mix_block", F.expr(f"rank div {block}")).withColumn("mix_slot", F.expr("slots[cast(mix_block - from AS int)]"))
+    return found.select("row", "mix_block", "mix_slot", (F.col("mix_slot") * block + F.col("rank") % block).alias("mix_pos"), (F.col("mix_slot") < end).alias("balanced"))
+
+
+def positions(docs: DataFrame, weigh: Callable[[dict[str, int]], dict[str, float]] = tempered, block: int = BLOCK) -> DataFrame:
+    """docs with mix_block (number of the block within its source), mix_slot, mix_pos and balanced.
+
+    mix_pos orders the mixture. Columns of these names are replaced."""
+    return placed(docs, weigh, block).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in OUTPUTS], *OUTPUTS)
 
 
 def mixed(docs: DataFrame, weigh: Callable[[dict[str, int]], dict[str, float]] = tempered, block: int = BLOCK) -> DataFrame:
@@ -186,5 +172,5 @@ def mixed(docs: DataFrame, weigh: Callable[[dict[str, int]], dict[str, float]] =
 
     There are about four stretches for each shuffle partition, of LEAST_STRETCH rows at least."""
     stretch = max(LEAST_STRETCH, docs.count() // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    placed = positions(docs, weigh, block).withColumn("_stretch", F.expr(f"mix_pos div {stretch}"))
-    return placed.repartition("_stretch").sortWithinPartitions("_stretch", "mix_pos").select(docs.columns)
+    rows = placed(docs, weigh, block).withColumn("stretch", F.expr(f"mix_pos div {stretch}"))
+    return rows.repartition("stretch").sortWithinPartitions("stretch", "mix_pos").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

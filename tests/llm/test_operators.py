@@ -193,6 +193,18 @@ def test_spotsigs_neighbours(docs):
     assert one["near_next"] == 1.0
 
 
+def test_spotsigs_of_texts_with_few_or_no_anchors(spark):
+    r = random.Random(11)
+    plain = lambda n: " ".join("".join(r.choice("bdfgkmprt") + r.choice("aiou") for _ in range(4)) for _ in range(n))
+    han = lambda n: "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n))
+    anchored = lambda n: " ".join(f"the {plain(2)}" for _ in range(n))
+    rows = [(0, anchored(30)), (1, plain(60)), (2, anchored(30)), (3, plain(12)), (4, han(90)), (5, han(120)), (6, "!!! ???"), (7, anchored(5) + plain(20)), (8, anchored(40))]
+    got = {r["doc_id"]: r for r in spotsigs.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # two thirds are the same, whether the other text brings anchors (1, 3, 7, 4) or takes them away
+    assert all(got[i]["near_edited"] >= 0.3 for i in (1, 3, 4, 5, 7)), {i: x["near_edited"] for i, x in got.items()}
+    assert all(got[i]["near_next"] <= 0.1 for i in (1, 3, 4, 5, 7)) and got[6]["fingerprint"]
+
+
 def test_spotsigs_pairs_equal_brute_force(spark):
     r, rows = random.Random(5), []
     for i in range(60):
@@ -222,8 +234,9 @@ def test_media_documents(docs):
         assert r["d"]["payload_sha256"] == hashlib.sha256(full).hexdigest() and r["d"]["tail_crc32"] == zlib.crc32(full[-64:])
     info = docs.select("text", media.wrap_column("text").alias("c")).select("text", "c", media.info_column("c").alias("i")).collect()
     for r in info:
-        assert r["i"]["status"] == "ok" and r["i"]["duration"] == r["i"]["samples"] * 64 and r["i"]["media_bytes"] == len(r["c"])
-        for k in r["i"]["keyframes"][:3]:
+        (track,) = r["i"]["tracks"]
+        assert r["i"]["status"] == "ok" and track["kind"] == "soun" and track["duration"] == track["samples"] * 64 and r["i"]["media_bytes"] == len(r["c"])
+        for k in track["keyframes"][:3]:
             assert media.payload(bytes(r["c"])).find(bytes(r["c"][k["start"] : k["start"] + k["length"]])) >= 0
 
 
@@ -246,6 +259,38 @@ def test_media_broken_containers():
     assert [x.tolist() for x in track.keyframes()] == [[100, 300], [3, 1]]
 
 
+def two_tracks():
+    """A container written by hand: sound first, then video in two chunks with key frames 1 and 3."""
+    box, full, ints = media.box, media.full, media.ints
+
+    def trak(kind, codec, sizes, runs, chunks, sync):
+        tables = [full(b"stsd", ints(1), box(codec, bytes(28))), full(b"stsc", ints(len(runs)), *(ints(*x) for x in runs)), full(b"stsz", ints(0, len(sizes), *sizes)), full(b"stco", ints(len(chunks), *chunks))]
+        tables += [full(b"stss", ints(len(sync), *sync))] if sync else []
+        return box(b"trak", box(b"mdia", full(b"mdhd", ints(0, 0, 1000, 500), bytes(4)), full(b"hdlr", ints(0), kind, bytes(13)), box(b"minf", box(b"stbl", *tables))))
+
+    head = box(b"ftyp", b"isom", ints(0))
+    make = lambda at: box(b"moov", trak(b"soun", b"mp4a", [4, 4], [(1, 2, 1)], [at], []), trak(b"vide", b"avc1", [10, 3, 8, 2], [(1, 3, 1), (2, 1, 1)], [at + 8, at + 40], [1, 3]))
+    at = len(head) + len(make(0)) + 8
+    return head + make(at) + box(b"mdat", bytes(60)), at
+
+
+def test_media_every_track_is_described():
+    content, at = two_tracks()
+    sound, video = media.info(content)["tracks"]
+    assert (sound["kind"], sound["codec"], [(k["start"], k["length"]) for k in sound["keyframes"]]) == ("soun", "mp4a", [(at, 4), (at + 4, 4)])
+    assert (video["kind"], video["codec"], video["samples"], [(k["start"], k["length"]) for k in video["keyframes"]]) == ("vide", "avc1", 4, [(at + 8, 10), (at + 21, 8)])
+
+
+def test_media_hostile_counts_allocate_nothing():
+    good = bytearray(media.wrap(b"some bytes " * 50))
+    for name, offset in ((b"stsz", 8), (b"stsz", 12), (b"stsc", 12), (b"stco", 8), (b"stss", 8)):
+        bad = bytearray(good)
+        at = bad.index(name) + offset
+        bad[at : at + 4] = b"\xff\xff\xff\xf0"
+        found = media.info(bytes(bad))
+        assert found["status"] in ("malformed", "ok") and sum(len(t["keyframes"]) for t in found["tracks"]) < 100, name
+
+
 # -- 5, 8, 9 -----------------------------------------------------------------------------------------------
 
 
@@ -328,18 +373,52 @@ def test_quality_sparse_dot_product():
     assert w[at] @ x == pytest.approx(w[where] @ values) and len(set(where)) == len(where)
 
 
-def test_langid_model_sums_to_one():
-    counts = langid.Counter()
-    for w in ["light", "river", "stone", "liver", "tone"]:
-        s = langid._BEFORE + w + langid._AFTER
-        for i in range(len(w) + 1):
-            counts[s[i : i + 4]] += 1
-    model = langid.kneser_ney({"en": dict(counts), "xx": {"aaaa": 3, "aaab": 1}})
-    alphabet = sorted({c for g in [*counts, "aaaa", "aaab"] for c in g[1:]} | {g[-1] for g in counts})
-    for context in ("\x02\x02\x02", "igh", "sto", "aaa"):
-        codes = np.array([[ord(x) for x in context + c] for c in alphabet], np.uint32)
-        total = np.exp(model.log_probs(codes)).sum(0)
-        assert (total <= 1.001).all() and total[0] > 0.5
+def kneser_ney_by_formula(counts, langs):
+    """log P(last | others) of a gram under each language, straight from the definition."""
+    levels = {4: counts}
+    for k in (3, 2, 1):
+        levels[k] = {}
+        for lang in langs:
+            seen = langid.Counter(g[1:] for g in levels[k + 1][lang])
+            levels[k][lang] = dict(seen)
+    vocabulary = len({g for lang in langs for g in levels[1][lang]}) + 1
+
+    def p(lang, gram):
+        if not gram:
+            return 1 / vocabulary
+        level = levels[len(gram)][lang]
+        one, two = (sum(n == k for n in level.values()) for k in (1, 2))
+        d = min(0.95, max(0.1, one / max(one + 2 * two, 1) if one + two else 0.5))
+        around = [n for g, n in level.items() if g[:-1] == gram[:-1]]
+        if not around:
+            return p(lang, gram[1:])
+        return max(level.get(gram, 0) - d, 0) / sum(around) + d * len(around) / sum(around) * p(lang, gram[1:])
+
+    return lambda gram: [np.log(p(lang, gram)) for lang in langs]
+
+
+def test_langid_models_are_kneser_ney(spark):
+    r = random.Random(8)
+    rows = [(lang, " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 6))) for _ in range(30))) for lang, letters in (("en", "abcde"), ("xx", "cdefg"), ("zh", "東京都大")) for _ in range(10)]
+    table = langid.ngram_counts(spark.createDataFrame(rows, "lang string, text string"))
+    counts = {lang: {} for lang in ("en", "xx", "zh")}
+    for lang, gram, n in table.collect():
+        counts[lang][gram] = n
+    want = kneser_ney_by_formula(counts, sorted(counts))
+    model = langid.kneser_ney(table)
+    arrays = langid.Arrays(model)
+    grams = sorted({g for c in counts.values() for g in c})[:200] + ["abqa", "zzzz", "cde都", "\x02\x02\x02z", "fgfg"]
+    got = arrays.log_probs(np.array([[ord(x) for x in g] for g in grams], np.uint32))
+    assert np.allclose(got, [want(g) for g in grams], atol=1e-4)
+    logs = {r["gram"]: r["logs"] for r in langid.gram_logs(spark.createDataFrame([(g,) for g in grams], "gram string"), model).collect()}
+    assert np.allclose([logs[g] for g in grams], got, atol=1e-4)
+
+
+def test_langid_ways_agree_and_long_words_are_read(spark, docs):
+    rows = docs.withColumn("text", F.when(F.col("doc_id") == 5, F.concat(F.lit("ein "), F.expr("repeat('wort', 100000)"))).otherwise(F.col("text"))).withColumn("_h", F.lit("mine"))
+    model = langid.fit(rows)
+    both = [sorted((repr(r["doc_id"]), repr(r["text"])[:30], r["lang_pred"], round(r["score"], 4), r["_h"]) for r in langid.identify(rows, model, most).collect()) for most in (langid.MOST_BYTES, 0)]
+    assert both[0] == both[1] and {x[-1] for x in both[0]} == {"mine"}
 
 
 def test_langid_held_out_and_odd_rows(spark, docs):
@@ -356,6 +435,10 @@ def test_langid_held_out_and_odd_rows(spark, docs):
     nothing = langid.fit(empty(docs))
     assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
     assert langid.identify(empty(docs), langid.fit(docs)).count() == 0
+    once = {r["doc_id"]: r for r in langid.learn_and_identify(table).collect()}
+    assert {i: (r["lang_pred"], r["score"]) for i, r in once.items()} == {i: (r["lang_pred"], r["score"]) for i, r in got.items()}
+    learned = [once[i]["accepted"] for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    assert sum(learned) >= 0.99 * len(learned) and langid.learn_and_identify(empty(table)).count() == 0
 
 
 # -- 6, 7 --------------------------------------------------------------------------------------------------
@@ -396,17 +479,16 @@ def test_mixing_deviates_less_than_a_block(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string")
     got = mixing.positions(df, lambda counts: {s: {"big": 5.0, "mid": 2.0}.get(s, 1.0) for s in counts}).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(4000)) and len({r["mix_pos"] for r in got}) == 4000
-    slots = mixing.shares({"big": 5.0, "mid": 2.0, mixing.NO_SOURCE: 1.0})
-    assert sum(slots.values()) == mixing.PERIOD
+    shares = {"big": 5 / 8, "mid": 2 / 8, mixing.NO_SOURCE: 1 / 8}
     owner = {}
     for r in got:
         if r["balanced"]:
             owner.setdefault(r["mix_slot"], set()).add(r["source"])
     assert sorted(owner) == list(range(len(owner))) and all(len(x) == 1 for x in owner.values())
-    done = dict.fromkeys(slots, 0)
+    done = dict.fromkeys(shares, 0)
     for t in range(len(owner)):
         done[owner[t].pop() or mixing.NO_SOURCE] += 1
-        assert all(abs(done[s] - (t + 1) * slots[s] / mixing.PERIOD) < 1 for s in slots)
+        assert all(abs(done[s] - (t + 1) * shares[s]) < 1 for s in shares)
 
 
 def test_mixing_odd_rows(docs):
@@ -416,16 +498,7 @@ def test_mixing_odd_rows(docs):
     assert laid.columns == docs.columns and laid.count() == docs.count()
     assert mixing.positions(empty(docs)).count() == 0
     with pytest.raises(ValueError):
-        mixing.shares({str(i): 1.0 for i in range(mixing.MAX_SOURCES + 1)})
-
-
-def test_mixing_schedule_meets_every_deadline(spark):
-    slots = mixing.shares({"a": 0.61, "b": 0.23, "c": 0.1, "d": 0.06})
-    rows = mixing.schedule(spark, slots).collect()
-    assert sorted(r["slot"] for r in rows) == list(range(mixing.PERIOD))
-    for r in rows:
-        c, j = slots[r["mix_source"]], r["turn"] + 1
-        assert (j - 1) * mixing.PERIOD // c <= r["slot"] < -(-j * mixing.PERIOD // c)
+        mixing.units({"a": 1.0, "b": 0.0})
 
 
 # -- 10 ----------------------------------------------------------------------------------------------------
@@ -471,3 +544,9 @@ def test_url_levels(spark):
     hosts = spark.createDataFrame([("a.b.example.com",), ("x.example.co.uk",), ("example.com",), ("com",), ("",)], "host string")
     got = {r["host"]: (r["domain"], r["suffix"]) for r in urls.with_levels(hosts).collect()}
     assert got == {"a.b.example.com": ("example.com", "com"), "x.example.co.uk": ("example.co.uk", "co.uk"), "example.com": ("example.com", "com"), "com": ("com", "com"), "": ("", "")}
+    odd = spark.createDataFrame([("me:pw@shop.example.com:8080",), ("192.0.2.7:81",), ("[::1]:80",), ("a.b.kids.example",), ("x.org.",)], "host string")
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in urls.with_levels(odd).collect()}
+    assert got == {"me:pw@shop.example.com:8080": ("example.com", "com"), "192.0.2.7:81": ("192.0.2.7",) * 2, "[::1]:80": ("[::1]",) * 2, "a.b.kids.example": ("kids.example", "example"), "x.org.": ("x.org", "org")}
+    listed = urls.with_levels(odd.unionByName(hosts), spark.createDataFrame([("com",), ("Kids.example",), ("uk",), ("kids.example",)], "suffix string"))
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in listed.collect()}
+    assert got["a.b.kids.example"] == ("b.kids.example", "kids.example") and got["x.example.co.uk"] == ("co.uk", "uk") and got["x.org."] == ("x.org", "org")
