@@ -55,8 +55,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    found = langid.learn_and_identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
@@ -86,7 +85,8 @@ WITH u AS (
   SELECT p.page_id, p.host, l.bad FROM p
   LEFT JOIN (SELECT doc_id, max(1 - quality) AS bad FROM labels WHERE quality IN (0, 1) GROUP BY doc_id) l ON l.doc_id = p.page_id
 ), h0 AS (
-  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, string_split(host, '.') AS s FROM o GROUP BY host
+  SELECT *, CASE WHEN regexp_matches(b, '^[0-9]{1,3}(\\.[0-9]{1,3}){3}$') OR starts_with(b, '[') THEN [b] ELSE string_split(b, '.') END AS s
+  FROM (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.$', '') AS b FROM o GROUP BY host)
 ), h1 AS (
   SELECT *, CASE WHEN len(s) > 2 AND length(s[len(s)]) = 2 AND s[len(s) - 1] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS k FROM h0
 ), h AS (
