@@ -6,7 +6,8 @@ i. Every fingerprint is indexed by each partition's exact value, and probes the
 its T_i are its own, allocated by dynamic programming on the candidates that each choice is estimated to give
 and on the probes that it costs. The estimates come from counts of 16-bit blocks over all fingerprints (a
 fixed size). A bucket's members are verified where they meet, and only a spanning forest of their links leaves
-it, so a dense group never becomes all its pairs. Components follow by large-star and small-star rounds.
+it, so a dense group never becomes all its pairs. A bucket of very many rows is not gathered but taken apart by the bits
+that its partition does not hold, exactly. Components follow by large-star and small-star rounds.
 
 Defined cases: null and empty texts (no words) have fingerprint zero and link like any other; fewer words than
 a shingle holds give one shingle; whole texts are read, a slice of shingles at a time; equal fingerprints are
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kanaforge.llm.common import table, utf8_values
+from kanaforge.llm.common import packed, table, utf8_values
 from kanaforge.llm.graph import components
 
 BITS = 64
@@ -38,12 +40,16 @@ PARTS = 2
 PROBE_COST = 20.0
 #: Shingles hashed at a time, and rows compared at a time: memory bounds only.
 CHUNK, ROWS = 1 << 16, 256
+#: Rows of a bucket that are gathered; larger ones are taken apart first, with the same links.
+HOT = 1 << 13
 #: Near copies: sets of five-word shingles with a Jaccard similarity of 4 / 5 or more.
 NEAR_WORDS, NEAR = 5, (4, 5)
 #: Candidates share all minima of a band: at 0.8 all bands miss with (1 - 0.8**5)**32 = 3e-6.
 BANDS, BAND_ROWS = 32, 5
 #: Shingles permuted at a time: a memory bound only.
 BAND_CHUNK = 1 << 12
+#: When rounds of stars end: so few pairs are left for each row, or so many rounds in a row have found no link.
+PAIRS_LEFT, FRUITLESS = 4, 4
 
 
 # -- fingerprints ------------------------------------------------------------------------------------------
@@ -209,6 +215,9 @@ def allocate(plan: Plan, candidates: np.ndarray) -> np.ndarray:
     width, parts, tau = BITS // plan.parts, plan.parts, plan.tau
     n = len(candidates)
     probes = np.array([0.0] + [PROBE_COST * len(ball(width, e)) for e in range(tau + 1)])
+    if tau and parts > 1:  # very many candidates are not checked one by one, but taken apart (hot_links)
+        ways = comb(2 * tau, tau)
+        candidates = np.minimum(candidates, ways * PROBE_COST + candidates * ways / 2.0 ** ((BITS - width) // 2))
     cost = np.concatenate([np.zeros((n, parts, 1)), candidates], 2) + probes  # thresholds -1..tau
     top = tau + 1  # thresholds plus one add up to tau + 1
     best, choice = np.full((n, top + 1), np.inf), []
@@ -286,49 +295,121 @@ def forest(fp: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*a, np.zeros(0, int)]).astype(int), np.concatenate([*b, np.zeros(0, int)]).astype(int)
 
 
-def bucket_links(rows: DataFrame, tau: int) -> DataFrame:
+def _solved(bucket: np.ndarray, fp: np.ndarray, rep: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) of the spanning forests of the buckets; rows lie together by bucket."""
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    mixed = np.minimum.reduceat(fp, starts) != np.maximum.reduceat(fp, starts)
+    ends = np.append(starts[1:], len(bucket))
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
+        own, first = np.unique(fp[s:e], return_index=True)
+        names = rep[s:e][first]
+        a, b = forest(own, tau)
+        us.append(names[a])
+        vs.append(names[b])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def bucket_links(rows: DataFrame, plan: Plan, hot: int = HOT) -> DataFrame:
     """(u, v): representatives of linked fingerprints that met in a bucket with an index entry.
 
-    Rows arrive grouped by bucket. Two members of a bucket link whichever of them is indexed, so all distinct
-    fingerprints of a bucket are compared, and a spanning forest of the links is kept."""
-
-    def solve(bucket: np.ndarray, probe: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[list, list]:
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        mixed = (np.minimum.reduceat(fp, starts) != np.maximum.reduceat(fp, starts)) & ~np.logical_and.reduceat(probe, starts)
-        ends = np.append(starts[1:], len(bucket))
-        us, vs = [], []
-        for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-            own, first = np.unique(fp[s:e], return_index=True)
-            names = rep[s:e][first]
-            a, b = forest(own, tau)
-            us.append(names[a])
-            vs.append(names[b])
-        return us, vs
+    Rows arrive by bucket, index entries first; a bucket that starts with a probe has none and is dropped. Two members of a bucket link whichever of them is indexed, so all distinct
+    fingerprints of a bucket are compared, and a spanning forest of the links is kept. A bucket of more than `hot`
+    rows is not gathered: its rows are passed on, taken apart by the bits that its partition does not hold, and
+    meet again in many small buckets."""
+    tau = plan.tau
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []
-        size = 0
+        size, passing, skipping = 0, None, None  # the buckets whose further rows are passed on, or dropped
+
+        def links(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(u), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), none, none], ["u", "v", "bucket", "fp"])
+
+        def passed(bucket: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rep), pa.nulls(len(rep), pa.int64()), pa.array(bucket), pa.array(fp)], ["u", "v", "bucket", "fp"])
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal kept, size
+            nonlocal kept, size, passing, skipping
             if not kept:
                 return
             bucket, probe, fp, rep = (np.concatenate(x) for x in zip(*kept, strict=True))
-            cut = len(bucket) if last else int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
-            us, vs = solve(bucket[:cut], probe[:cut], fp[:cut].view(np.uint64), rep[:cut]) if cut else ([], [])
+            if passing is not None and (going := bucket == passing).any():
+                yield passed(bucket[going], fp[going], rep[going])
+                bucket, probe, fp, rep = bucket[~going], probe[~going], fp[~going], rep[~going]
+            goes_on = None
+            if len(bucket):
+                starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                sizes = np.diff(np.append(starts, len(bucket)))
+                asked = probe[starts] | (bucket[starts] == skipping)  # its first row is no index entry, so none is
+                many = ~asked & (sizes > hot)
+                for i in np.flatnonzero(many).tolist():
+                    a, z = starts[i], starts[i] + sizes[i]
+                    yield passed(bucket[a:z], fp[a:z], rep[a:z])
+                skipping = bucket[-1] if asked[-1] else skipping
+                passing = bucket[-1] if many[-1] else passing
+                goes_on = bucket[-1] if not last and not asked[-1] and not many[-1] else None
+                small = np.repeat(~asked & ~many, sizes)
+                bucket, probe, fp, rep = bucket[small], probe[small], fp[small], rep[small]
+            cut = len(bucket) if goes_on is None else int(np.searchsorted(bucket, goes_on))
+            if cut:
+                yield links(*_solved(bucket[:cut], fp[:cut].view(np.uint64), rep[:cut], tau))
             kept = [[x[cut:] for x in (bucket, probe, fp, rep)]] if cut < len(bucket) else []
             size = len(bucket) - cut
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
         for part in parts:
             kept.append([part.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
             size += part.num_rows
-            if size >= 1 << 17 and kept[0][0][0] != kept[-1][0][-1]:
+            if size >= max(hot, 1 << 17):
                 yield from flush(False)
         yield from flush(True)
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(batches, "u long, v long")
+    met = table(rows.repartition("bucket").sortWithinPartitions("bucket", "probe").mapInArrow(batches, "u long, v long, bucket long, fp long"))
+    return met.where("bucket IS NULL").select("u", "v").unionByName(hot_links(met.where("bucket IS NOT NULL").select("bucket", "fp", F.col("u").alias("rep")), plan))
+
+
+def hot_links(rows: DataFrame, plan: Plan) -> DataFrame:
+    """(u, v) of buckets (bucket, fp, rep) that hold very many fingerprints.
+
+    The bits outside of the bucket's partition are cut into 2 tau blocks. Linked fingerprints differ in tau blocks at
+    most, so they agree in tau others: they meet under one of the choices of tau blocks, with their values. What meets
+    there agrees in half of those bits besides its partition's, so no such bucket is large."""
+    sent, tau, width = rows.sparkSession.sparkContext.broadcast(plan), plan.tau, BITS // plan.parts
+
+    def expand(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, low = sent.value, (1 << width) - 1
+        masks = []
+        for p in range(plan.parts):
+            bits = [b for b in range(BITS) if not p * width <= b < (p + 1) * width]
+            blocks = [bits[len(bits) * i // (2 * tau) : len(bits) * (i + 1) // (2 * tau)] for i in range(2 * tau)]
+            masks.append([np.uint64(sum(1 << b for block in some for b in block)) for some in combinations(blocks, tau)])
+        for part in parts:
+            for at in range(0, part.num_rows, 4096):
+                bucket, fp, rep = (part.column(i).slice(at, 4096).to_numpy(zero_copy_only=False) for i in range(3))
+                turned = plan.permuted(fp.view(np.uint64))
+                kind = (bucket.view(np.uint64) >> np.uint64(width)).astype(np.int64) if width < BITS else np.zeros(len(bucket), np.int64)
+                for p in np.unique(kind).tolist():
+                    own = np.flatnonzero(kind == p)
+                    for i, mask in enumerate(masks[p]):
+                        key = _mix((turned[own] & mask) ^ _mix(bucket[own].view(np.uint64), 5), 7 + i)
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp[own]), pa.array(rep[own])], ["key", "fp", "rep"])
+
+    def solve(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * 3
+        for part in parts:
+            key, fp, rep = (np.concatenate([r, part.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest))
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if cut:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _solved(key[:cut], fp[:cut].view(np.uint64), rep[:cut], tau)], ["u", "v"])
+            rest = [x[cut:] for x in (key, fp, rep)]
+        if len(rest[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _solved(rest[0], rest[1].view(np.uint64), rest[2], tau)], ["u", "v"])
+
+    if tau == 0:  # different fingerprints never link
+        return rows.where(F.lit(False)).select(F.col("rep").alias("u"), F.col("rep").alias("v"))
+    taken = rows.distinct().mapInArrow(expand, "key long, fp long, rep long")
+    return taken.repartition("key").sortWithinPartitions("key").mapInArrow(solve, "u long, v long")
 
 
 def linked(nodes: DataFrame, tau: int = TAU, parts: int = PARTS) -> DataFrame:
@@ -336,7 +417,7 @@ def linked(nodes: DataFrame, tau: int = TAU, parts: int = PARTS) -> DataFrame:
     n, both = bit_moments(nodes)
     order = correlated_order(n, both, parts)
     plan = Plan(order, block_counts(nodes, order), n, parts, tau)
-    return bucket_links(bucket_rows(nodes, plan), tau)
+    return bucket_links(bucket_rows(nodes, plan), plan)
 
 
 def near_duplicates(docs: DataFrame, tau: int = TAU, parts: int = PARTS) -> DataFrame:
@@ -421,27 +502,40 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, v): links between sets (own, n, rep, bands) that connect those which share a bucket and have a similarity
     of NEAR or more.
 
-    Each member of a bucket is first verified against the bucket's smallest one. Members that these links leave
-    in different components are then verified against each other, so a dense group never becomes all its pairs
-    and yet no link that could join two components goes unverified."""
+    In each round every bucket takes one member, another one each time, and the members that links do not yet connect with
+    it are verified against it. A dense group is connected so after a few rounds, with a check or two for each member.
+    Once the pairs that are left are no more than PAIRS_LEFT for each row, or rounds find nothing any more, all of those
+    are verified, so that no link that could join two components goes unchecked."""
     top, under = NEAR
     fits = lambda a, b: under * F.least(a, b) >= top * F.greatest(a, b)
     entries = nodes.select("own", "n", "rep", F.explode("bands").alias("bucket"))
-    firsts = entries.groupBy("bucket").agg(F.min(F.struct("own", "n")).alias("first"), F.count("*").alias("members")).where("members > 1").drop("members")
-    met = table(entries.join(firsts, "bucket"))
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").drop("members")
+    met = table(entries.join(shared, "bucket"))
     # ids and names only are exchanged for this choice; texts only of documents that share a bucket
     wanted = met.select(F.col("rep").alias("doc_id")).distinct()
     sets = table(shingle_sets(docs.join(wanted, "doc_id", "left_semi")).join(met.select("own").distinct(), "own", "left_semi").dropDuplicates(["own"]))
-    stars = met.where((F.col("own") != F.col("first.own")) & fits(F.col("n"), F.col("first.n"))).select(F.col("first.own").alias("u"), F.col("own").alias("v"))
-    links = table(verified(stars.distinct(), sets))
-    found = table(components(links))
-    placed = table(met.join(found.withColumnRenamed("node", "own"), "own", "left").withColumn("component", F.coalesce("component", "own")).select("bucket", "own", "n", "component", F.col("first.own").alias("first")))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rest = placed.where("own <> first").join(split, "bucket")
-    a = rest.select("bucket", F.col("own").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"))
-    b = rest.select("bucket", F.col("own").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"))
-    across = a.join(b, "bucket").where((F.col("u") < F.col("v")) & (F.col("uc") != F.col("vc")) & fits(F.col("un"), F.col("vn"))).select("u", "v").distinct()
-    return links.unionByName(verified(across, sets))
+    placed = met.select("bucket", "own", "n", F.col("own").alias("component"))
+    links, fruitless, turn = None, 0, 0
+    while True:
+        chosen = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("own", F.lit(turn)).alias("h"), "own", "n", "component")).alias("first"))
+        stars = placed.join(chosen, "bucket").where((F.col("component") != F.col("first.component")) & fits(F.col("n"), F.col("first.n")))
+        pairs = stars.select(F.least("own", "first.own").alias("u"), F.greatest("own", "first.own").alias("v")).distinct()
+        new = table(verified(pairs, sets))
+        fruitless = fruitless + 1 if new.isEmpty() else 0
+        links, turn = new if links is None else table(links.unionByName(new)), turn + 1
+        found = table(components(links)).withColumnRenamed("node", "own")
+        everywhere = met.select("bucket", "own", "n").join(found, "own", "left").select("bucket", "own", "n", F.coalesce("component", "own").alias("component"))
+        split = everywhere.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+        placed = table(everywhere.join(split, "bucket"))
+        groups = placed.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("m"))
+        left = groups.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
+        rows, across = left.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0.0))).first()
+        if across <= PAIRS_LEFT * rows or fruitless >= FRUITLESS:
+            break
+    a = placed.select("bucket", F.col("own").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"))
+    b = placed.select("bucket", F.col("own").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"))
+    rest = a.join(b, "bucket").where((F.col("u") < F.col("v")) & (F.col("uc") != F.col("vc")) & fits(F.col("un"), F.col("vn"))).select("u", "v").distinct()
+    return links.unionByName(verified(rest, sets))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -461,6 +555,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     copies = prints.join(names, "own").where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     found = components(table(ends.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(copies)))
     gone = found.where("node <> component").select(F.col("node").alias("_gone"))
-    kept = docs.join(table(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
-    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("_own", own).dropDuplicates(["doc_id", "_own"]).select(docs.columns)
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("_own"))
+    kept = rows.join(table(gone), rows["_id"] == F.col("_gone"), "left_anti").dropDuplicates(["_id", "_own"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
