@@ -1,11 +1,12 @@
 """Media columns: ISO media containers walked box by box, payloads never decoded.
 
 A container's nested boxes are read from their headers; the sample tables (stts, stsc, stsz or stz2, stco or co64,
-stss) give codec, duration and the byte range of every key frame. wrap() stores bytes losslessly as such a
+stss) give, for each track, its kind, codec, duration and the byte range of every key frame. wrap() stores bytes losslessly as such a
 container: one track of 8-bit samples in access units of 64, every 16th a sync unit, in chunks.
 
 Defined cases: a null container has null info; bytes that are no container, a truncated one, one without tracks
-and a fragmented one get a status that says so and no key frames; sizes of 64 bits and boxes that run to the
+and a fragmented one get a status that says so and no key frames, and so do tables whose counts or sizes do not
+fit into the file, before anything of that size is allocated; sizes of 64 bits and boxes that run to the
 end are read; a track without stss has a key frame at every sample; a null text is wrapped like an empty one;
 equal bytes give equal containers.
 """
@@ -30,7 +31,8 @@ UNIT, SYNC_EVERY, CHUNK_UNITS, RATE = 64, 16, 64, 8000
 #: Boxes that hold boxes, as the format names them.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
 
-INFO = "struct<status:string,codec:string,timescale:bigint,duration:bigint,samples:bigint,media_bytes:bigint,keyframes:array<struct<start:bigint,length:bigint>>>"
+TRACK = "struct<kind:string,codec:string,timescale:bigint,duration:bigint,samples:bigint,keyframes:array<struct<start:bigint,length:bigint>>>"
+INFO = f"struct<status:string,media_bytes:bigint,tracks:array<{TRACK}>>"
 
 
 # -- writing -----------------------------------------------------------------------------------------------
@@ -105,8 +107,13 @@ def wrap(data: bytes) -> bytes:
 # -- reading -----------------------------------------------------------------------------------------------
 
 
+class Broken(ValueError):
+    pass
+
+
 @dataclass
 class Track:
+    kind: str = ""  # `vide`, `soun` and so on, as the handler names it
     codec: str = ""
     timescale: int = 0
     duration: int = 0
@@ -117,19 +124,27 @@ class Track:
     sync: np.ndarray | None = None
 
     def ranges(self) -> tuple[np.ndarray, np.ndarray]:
-        """(start, length) of every sample."""
+        """(start, length) of every sample that the chunks hold."""
         n = self.count
-        sizes = np.full(n, self.sizes, np.int64) if np.isscalar(self.sizes) else self.sizes
         if not n or not len(self.chunks) or not len(self.runs):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        spans = np.diff(np.append(self.runs[:, 0], len(self.chunks) + 1))
-        per = np.repeat(self.runs[:, 1], np.maximum(spans, 0))[: len(self.chunks)]
-        chunk = np.repeat(np.arange(len(per)), per)[:n]
-        sizes = sizes[: len(chunk)]
-        before = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        firsts = np.concatenate([[0], np.cumsum(per)[:-1]])
-        firsts = firsts[firsts < len(chunk)]
-        return self.chunks[chunk] + before - before[firsts][chunk], sizes
+        spans = np.diff(np.append(self.runs[:, 0], len(self.chunks) + 1)).clip(0, len(self.chunks))
+        per = np.repeat(self.runs[:, 1], spans)[: len(self.chunks)]
+        ends = np.cumsum(per)
+        n = min(n, int(ends[-1])) if len(ends) else 0
+        sizes = np.full(n, self.sizes, np.int64) if np.isscalar(self.sizes) else self.sizes[:n]
+        chunk = np.searchsorted(ends, np.arange(n), side="right")
+        before = np.cumsum(sizes) - sizes
+        firsts = np.minimum((ends - per)[chunk], max(n - 1, 0))
+        return self.chunks[chunk] + before - before[firsts], sizes
+
+    def check(self, size: int) -> None:
+        """Refuse tables that cannot belong to a file of so many bytes."""
+        total = self.count * self.sizes if np.isscalar(self.sizes) else int(self.sizes.sum())
+        if total > size or np.isscalar(self.sizes) and self.count and not self.sizes:
+            raise Broken("malformed")
+        if len(self.runs) and (self.runs[0, 0] < 1 or (np.diff(self.runs[:, 0]) <= 0).any() or self.runs[-1, 0] > max(len(self.chunks), 1)):
+            raise Broken("malformed")
 
     def keyframes(self) -> tuple[np.ndarray, np.ndarray]:
         start, length = self.ranges()
@@ -139,10 +154,6 @@ class Track:
         return start[at], length[at]
 
 
-class Broken(ValueError):
-    pass
-
-
 def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     """(kind, body start, body end) of the boxes side by side."""
     at = start
@@ -176,6 +187,8 @@ def read_table(track: Track, kind: bytes, data: memoryview, at: int, end: int) -
     if kind == b"mdhd":
         wide = data[at] == 1
         track.timescale, track.duration = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
+    elif kind == b"hdlr":
+        track.kind = bytes(data[at + 8 : at + 12]).decode("latin-1")
     elif kind == b"stsd":
         track.codec = bytes(data[at + 12 : at + 16]).decode("latin-1") if struct.unpack_from(">I", data, at + 4)[0] else ""
     elif kind == b"stsz":
@@ -212,6 +225,7 @@ def walk(content: bytes) -> tuple[str, list[Track]]:
                     tracks.append(Track())
                     for k, a, z in descend(data, at, stop):
                         read_table(tracks[-1], k, data, a, z)
+                    tracks[-1].check(len(content))
                 elif kind in NESTED:
                     inner.append((at, stop, depth + 1))
             todo += reversed(inner)
@@ -229,13 +243,15 @@ def descend(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int
 
 
 def info(content: bytes | None) -> dict | None:
-    """What INFO names, of the first track; no payload byte is read."""
+    """What INFO names, of every track in order; no payload byte is read."""
     if content is None:
         return None
     status, tracks = walk(content)
-    track = tracks[0] if status == "ok" else Track()
-    start, length = track.keyframes()
-    return {"status": status, "codec": track.codec or None, "timescale": track.timescale, "duration": track.duration, "samples": track.count, "media_bytes": len(content), "keyframes": [{"start": int(s), "length": int(n)} for s, n in zip(start, length, strict=True)]}
+    out = []
+    for t in tracks if status == "ok" else []:
+        start, length = t.keyframes()
+        out.append({"kind": t.kind or None, "codec": t.codec or None, "timescale": t.timescale, "duration": t.duration, "samples": t.count, "keyframes": [{"start": int(s), "length": int(n)} for s, n in zip(start, length, strict=True)]})
+    return {"status": status, "media_bytes": len(content), "tracks": out}
 
 
 def payload(content: bytes) -> bytes:
@@ -260,7 +276,8 @@ def _wrap(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def _info(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     frames = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-    kind = pa.struct([("status", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("media_bytes", pa.int64()), ("keyframes", frames)])
+    track = pa.struct([("kind", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("keyframes", frames)])
+    kind = pa.struct([("status", pa.string()), ("media_bytes", pa.int64()), ("tracks", pa.list_(track))])
     for batch in batches:
         yield pa.array([info(c) for at in range(0, len(batch), SLICE_ROWS) for c in batch.slice(at, SLICE_ROWS).to_pylist()], kind)
 

@@ -32,8 +32,8 @@ PER_CLASS = 4000
 HELD_MOD, HELD = 5, 0
 THRESHOLD = 0.3
 EPOCHS = 3
-#: Words a worker remembers the hashes of.
-REMEMBERED = 300_000
+#: Words a worker remembers the hashes of, and the longest that it remembers, in bytes.
+REMEMBERED, LONGEST = 300_000, 64
 
 _KIND = bytes(48 if 48 <= b < 58 else 65 if 65 <= b < 91 else 97 if 97 <= b < 123 or b >= 128 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+", re.S).sub
@@ -43,9 +43,11 @@ class _Words(dict):
     """Word -> hash of the word << 32 | hash of its shape."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = crc32(word) << 32 | crc32(_RUN(rb"\1", word.translate(_KIND)), 7)
+        h = crc32(word) << 32 | crc32(_RUN(rb"\1", word.translate(_KIND)), 7)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = h
         return h
 
 

@@ -3,11 +3,11 @@
 Documents are ordered by (hash of the text, doc_id). In each round every task counts the bytes and rows of its
 documents between the candidate boundaries; the sums are exact, a splitter is settled when the bytes below a
 boundary are within tolerance of its target, and the rest get new candidates inside their bracket. Boundaries
-between hashes are tried first, so that equal texts stay together; only a text whose copies hold more than the
-tolerance is cut, by doc_id. Finer boundaries of the same histogram cut each shard into ranges of equal load,
+between hashes are tried first, so that equal texts stay together; a text is cut, by doc_id, only where its copies
+are so many that no boundary beside them is within SLACK of a shard's size, and `text_cut` marks its rows. Finer boundaries of the same histogram cut each shard into ranges of equal load,
 and the rows are exchanged once, by range.
 
-Law: `bytes` - the shards' sizes differ by the tolerance, or by one document where one is larger.
+Law: `bytes` - each boundary is within SLACK of its target, or within one document where one is larger.
 Defined cases: null texts count as one byte with crc32 0; repeated (doc_id, text) rows share a key, so a boundary never parts
 them, and their slots are in no defined order; null ids sort first; an empty table gives an empty one.
 """
@@ -26,6 +26,8 @@ from kanaforge.llm.common import table
 SHARDS = 8
 #: Accepted deviation of a splitter, as a share of a shard's ideal size.
 TOLERANCE = 0.002
+#: Deviation of a splitter, as a share of a shard's ideal size, that is accepted to keep equal texts together.
+SLACK = 0.02
 #: Candidates inside each open bracket in a round, and candidates of the first round.
 PROBES, FIRST = 64, 4096
 #: Rows that a range of the exchange holds, about.
@@ -67,8 +69,10 @@ def histogram(rows: DataFrame, bounds: list[int]) -> tuple[np.ndarray, np.ndarra
     return np.cumsum(size)[:-1], np.cumsum(seen)[:-1]
 
 
-def splitters(rows: DataFrame, total: int, count: int, targets: list[float], tolerance: float, load=lambda size, seen: size) -> list[int]:
-    """A key for each ascending target load, settled to within tolerance, or to one key where a key holds more."""
+def splitters(rows: DataFrame, total: int, count: int, targets: list[float], tolerance: float, load=lambda size, seen: size, slack: float = 0.0) -> list[int]:
+    """A key for each ascending target load, settled to within tolerance, or to one key where a key holds more.
+
+    Where one hash lies across the target, its nearer boundary is taken if that is within slack."""
     step = 1 << 64
     found: list[int | None] = [None] * len(targets)
     brackets = [(LOW, 0.0, HIGH, load(total, count)) for _ in targets]
@@ -100,6 +104,9 @@ def splitters(rows: DataFrame, total: int, count: int, targets: list[float], tol
                 base = -(1 << 127)
                 inside = [base + -(-(k - base) // step) * step for k in inside]
             fresh = {k for k in inside if lo < k < hi}
+            if not fresh and unit == step and min(target - lo_load, hi_load - target) <= slack:
+                found[i] = lo if target - lo_load <= hi_load - target else hi
+                continue
             if not fresh and unit == step:  # one boundary at most between two hashes
                 fresh = {lo + (hi - lo) * k // (PROBES + 1) for k in range(1, PROBES + 1)} - {lo, hi}
             if not fresh:
@@ -122,11 +129,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every document."""
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, text_cut) of every document."""
     rows = table(keyed(docs))
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     ideal = total / shards
-    cuts = splitters(rows, total, count, [ideal * i for i in range(1, shards)], ideal * tolerance) if count else []
+    cuts = splitters(rows, total, count, [ideal * i for i in range(1, shards)], ideal * tolerance, slack=ideal * SLACK) if count else []
     ranges = min(MAX_RANGES, max(1, -(-count // range_rows), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     share = (lambda size, seen: size / total + seen / count) if count else None
     fine = splitters(rows, total, count, [2 * i / ranges for i in range(1, ranges)], 0.5 / ranges, share) if count else []
@@ -149,10 +156,11 @@ def assign(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE,
         slot += sizes.get(part, 0)
     where = rows.sparkSession.createDataFrame(places, "part int, shard int, before long")
     order = F.row_number().over(_by_key())
+    cut = sorted({(k >> 64) for k in cuts if (k - LOW) % (1 << 64)})  # hashes of texts in two shards: fewer than shards
     return (
         ranged.withColumn("_row", order)
         .join(F.broadcast(where), "part")
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("_row") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("_row") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("hi").isin(cut).alias("text_cut"))
     )
 
 

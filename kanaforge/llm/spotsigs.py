@@ -1,8 +1,10 @@
 """SpotSigs fingerprints. DataFrame and SQL functions only.
 
 A spot signature is a common-word anchor (or a run of anchors) with the two content words that follow it; a
-fingerprint is the set of a text's signatures, hashed to 32 bits and sorted. Texts without a signature use
-their words instead, so that they compare as well. Likeness is the Jaccard similarity of two sets. near_pairs joins
+fingerprint is the set of a text's signatures, hashed to 32 bits and sorted. A text with fewer than ENOUGH of them also
+gets chains of neighbouring words, of single characters in scripts without spaces: the share of its chains that
+it lacks signatures, picked by their hashes, so that texts with about as many signatures pick the same ones and a
+text that gains or loses an anchor hardly changes. Likeness is the Jaccard similarity of two sets. near_pairs joins
 whole tables: classes of equal sets, partitioned by set length so that only neighbouring partitions can reach
 the threshold, candidates by their rarest signatures, and an exact Jaccard check.
 
@@ -13,6 +15,7 @@ texts; null ids come last; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +28,12 @@ ANCHORS = (
     "das dem den der die ein eine er es ist mit nicht sich und von zu "
     "al como con del el las los no para por se su una y"
 ).split()
+#: Signatures from which on a text needs no chains of other words.
+ENOUGH = 16
+#: Characters of scripts without spaces.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+#: Sizes that signatures are counted in: a fixed number at any size of the corpus.
+COUNTED = 1 << 16
 #: Documents of one id range, about, and ranges at most (bounds what is broadcast).
 RANGE_ROWS, MAX_RANGES = 2_000, 65_536
 
@@ -45,14 +54,21 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def words_instead(text: Column) -> Column:
-    """Hashes of the white-space-separated words; empty for a text without any."""
-    return F.array_sort(F.array_distinct(F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.hash(w))))
+def chains(text: Column) -> Column:
+    """Hashes of all pairs of neighbouring words, or of characters in scripts without spaces; of the word where there
+    is one only. Texts without letters and digits are split at white space."""
+    words = F.regexp_replace(F.regexp_replace(F.lower(text), UNSPACED, " $1 "), r"[^\p{L}\p{N}]+", " ")
+    units = lambda t, mark: F.filter(F.split(t, mark), lambda w: w != "")
+    both = bound(units(words, " "), lambda u: F.when(F.size(u) > 0, u).otherwise(units(F.lower(text), r"\s+")))
+    pairs = lambda u: F.when(F.size(u) == 1, F.transform(u, lambda w: F.hash(w))).otherwise(F.zip_with(F.slice(u, 1, F.greatest(F.size(u) - 1, F.lit(0))), F.slice(u, 2, F.size(u)), lambda x, y: F.hash(x, F.lit(0), y)))
+    return bound(both, pairs)
 
 
 def signatures(text: Column) -> Column:
-    """Spot signatures, or word hashes where there are none."""
-    return bound(spots(text), lambda s: F.when(F.size(s) > 0, s).otherwise(words_instead(text)))
+    """Spot signatures, with chains where there are few of them."""
+    lowest = lambda s: F.lit(-(1 << 31)) + F.lit(1 << 32) * (ENOUGH - F.size(s)) / ENOUGH
+    more = lambda s: F.array_sort(F.array_distinct(F.concat(s, F.filter(chains(text), lambda h: h < lowest(s)))))
+    return bound(spots(text), lambda s: F.when(F.size(s) >= ENOUGH, s).otherwise(more(s)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -123,10 +139,12 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     classes = rows.groupBy("sigs").agg(F.min("doc_id").alias("rep"))
     members = rows.join(classes, "sigs").select("doc_id", "rep")
     sized = classes.withColumn("n", F.size("sigs")).where("n > 0").withColumn("part", F.floor(F.log("n") / math.log(1 / threshold)).cast("int"))
-    terms = sized.select("rep", "n", "part", F.explode("sigs").alias("sig"))
-    often = terms.groupBy("sig").count()
-    rank = Window.partitionBy("rep").orderBy("count", "sig")
-    rare = terms.join(often, "sig").withColumn("at", F.row_number().over(rank)).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
+    # how common signatures are only orders them, so counts of their hashes' low bits do
+    often = {r["at"]: r["n"] for r in classes.select(F.explode("sigs").alias("sig")).groupBy(F.expr(f"sig & {COUNTED - 1}").alias("at")).agg(F.count("*").alias("n")).collect()}
+    counts = F.from_json(F.lit(json.dumps([often.get(i, 0) for i in range(COUNTED)])), "array<bigint>")
+    ordered = F.array_sort(F.transform("sigs", lambda x: F.struct(F.get(counts, x.bitwiseAND(COUNTED - 1)).alias("count"), x.alias("sig"))))
+    first = F.slice(ordered, 1, (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))
+    rare = sized.select("rep", "n", "part", F.explode(F.transform(first, lambda x: x["sig"])).alias("sig"))
     left = rare.select(F.col("rep").alias("a"), F.col("n").alias("an"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
     right = rare.select(F.col("rep").alias("b"), F.col("n").alias("bn"), "sig", "part")
     # sizes are compared as (n, id), so each pair is met from its smaller side; the length bound prunes the rest

@@ -33,7 +33,8 @@ PER_CLASS = 5000
 HELD_MOD, HELD = 4, 2
 THRESHOLD = 0.3
 EPOCHS = 4
-REMEMBERED = 300_000
+#: Words a worker remembers, and the longest that it remembers.
+REMEMBERED, LONGEST = 300_000, 64
 
 #: Look-alike marks and the letters that they stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -136,11 +137,13 @@ class Restorer:
         """A token without white space, or a run of single characters; both in lower case."""
         found = self.known.get(token)
         if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
             bare = _EDGE(token)
             plain = _PLAIN(bare) and not _LONG_RUN(bare)
-            found = self.known[token] = bare if plain else self.viterbi(bare) if _LETTER(bare) else ""
+            found = bare if plain else self.viterbi(bare) if _LETTER(bare) else ""
+            if len(token) <= LONGEST:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[token] = found
         return found
 
 
@@ -172,9 +175,11 @@ def _slots(words: set[str], known: dict[str, int]) -> np.ndarray:
     for w in words:
         h = known.get(w)
         if h is None:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            h = known[w] = crc32(w.encode("utf-8")) >> (32 - BITS)
+            h = crc32(w.encode("utf-8")) >> (32 - BITS)
+            if len(w) <= LONGEST:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[w] = h
         out.append(h)
     return np.unique(np.array(out, np.int64))
 

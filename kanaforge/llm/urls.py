@@ -23,7 +23,7 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 LIMIT, DEVIATIONS = 0.5, 1.645
 #: Bounds of a prior's strength, in pages.
 WEAKEST, STRONGEST = 2.0, 1000.0
-#: Second-level names that are part of a suffix below two-letter top domains.
+#: Second-level names that are part of a suffix below two-letter top domains, where no suffix list is given.
 SECOND_LEVELS = ["ac", "co", "com", "edu", "gov", "net", "org"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,10 +45,21 @@ def rule_columns(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def with_levels(df: DataFrame) -> DataFrame:
-    """df with domain and suffix of its host."""
-    seconds = ", ".join(f"'{s}'" for s in SECOND_LEVELS)
-    parts = df.withColumn("_p", F.split("host", r"\.")).withColumn("_k", F.expr(f"if(size(_p) > 2 AND length(_p[size(_p) - 1]) = 2 AND _p[size(_p) - 2] IN ({seconds}), 2, 1)"))
+def with_levels(df: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """df with domain and suffix of its host, user and port left out; an address is its own domain and suffix.
+
+    suffixes: (suffix) of a public suffix list without wildcards, of which the longest that fits counts; where none
+    fits, and for hosts without one, the last label. Without a list, SECOND_LEVELS below two-letter domains count too."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", ""), r"\.$", "")
+    address = bare.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") | bare.startswith("[")
+    parts = df.withColumn("_p", F.when(address, F.array(bare)).otherwise(F.split(bare, r"\.")))
+    if suffixes is None:
+        seconds = ", ".join(f"'{s}'" for s in SECOND_LEVELS)
+        parts = parts.withColumn("_k", F.expr(f"if(size(_p) > 2 AND length(_p[size(_p) - 1]) = 2 AND _p[size(_p) - 2] IN ({seconds}), 2, 1)"))
+    else:
+        tails = parts.select("host", "_p").distinct().select("host", F.posexplode(F.expr("transform(sequence(1, size(_p)), k -> array_join(slice(_p, size(_p) - k + 1, k), '.'))")).alias("_at", "_tail"))
+        known = tails.join(suffixes.select(F.lower("suffix").alias("_tail")).distinct(), "_tail").groupBy("host").agg((F.max("_at") + 1).alias("_k"))
+        parts = parts.join(known, "host", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
     tail = "array_join(slice(_p, greatest(size(_p) - _k + 1 - {0}, 1), least(_k + {0}, size(_p))), '.')"
     return parts.withColumn("suffix", F.expr(tail.format(0))).withColumn("domain", F.expr(tail.format(1))).drop("_p", "_k")
 
@@ -67,11 +78,11 @@ def strength(counts: DataFrame) -> float:
     return min(max(1 / rho - 1, WEAKEST), STRONGEST) if rho > 0 else STRONGEST
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
+def reputations(outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """(host, n, bad, prior, strength) from the outcomes (host, bad): a row for every host that occurs.
 
     bad is 0, 1 or null (no outcome). The posterior of a host is Beta(prior * strength + bad, ...)."""
-    hosts = table(with_levels(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))))
+    hosts = table(with_levels(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad")), suffixes))
     domains = table(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     suffixes = table(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     seen = "n > 0"
@@ -83,14 +94,14 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     return table(hosts.join(by_domain, "domain").select("host", "n", "bad", "prior", F.lit(m_host).alias("strength")))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] = RULES, limit: float = LIMIT, deviations: float = DEVIATIONS) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] = RULES, limit: float = LIMIT, deviations: float = DEVIATIONS, suffixes: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_rate, bad_rate_bound) of pages (page_id, url).
 
-    outcomes: (page_id, bad) of labelled pages, at most one row a page; others are joined as they come."""
+    outcomes: (page_id, bad) of labelled pages; of several rows of a page the worst counts. suffixes: as in with_levels()."""
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     labelled = outcomes.where(F.col("bad").isin(0, 1)).groupBy("page_id").agg(F.max("bad").alias("bad"))
-    known = reputations(parsed.select("page_id", "host").join(labelled, "page_id", "left"))
+    known = reputations(parsed.select("page_id", "host").join(labelled, "page_id", "left"), suffixes)
     a = F.col("prior") * F.col("strength") + F.col("bad")
     b = (1 - F.col("prior")) * F.col("strength") + F.col("n") - F.col("bad")
     bound = known.select(F.col("host"), (a / (a + b)).alias("bad_rate"), (a / (a + b) - deviations * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("bad_rate_bound"))
