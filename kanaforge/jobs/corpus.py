@@ -126,12 +126,12 @@ def p14(spark, sf):
 
 #: The tables hold no chained capitals, so the documents' own syllables are written so first: words of a consonant and a
 #: vowel in capitals, the spaces between them as hyphens.
-_SUNG = "regexp_replace(regexp_replace(upper(text), '[^\\x00-\\x7F]', ' ', 'g'), '([B-DF-HJ-NP-TV-Z][AEIOU]) ', '\\1-', 'g')"
+_SUNG = "regexp_replace(upper(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')), '([B-DF-HJ-NP-TV-Z][AEIOU]) ', '\\1-', 'g')"
 
 
 @query("a6_long_vowels", rf"SELECT DISTINCT doc_id, unnest(regexp_split_to_array(chain, '-\n?')) AS word FROM (SELECT doc_id, unnest(regexp_extract_all({_SUNG}, '{P.CHAINED}')) AS chain FROM documents)")
 def a6(spark, sf):
-    sung = docs(spark, sf).select("doc_id", F.regexp_replace(F.regexp_replace(F.upper("text"), r"[^\x00-\x7F]", " "), "([B-DF-HJ-NP-TV-Z][AEIOU]) ", "$1-").alias("text"))
+    sung = docs(spark, sf).select("doc_id", F.regexp_replace(F.upper(F.regexp_replace("text", r"[^\x00-\x7F]", " ")), "([B-DF-HJ-NP-TV-Z][AEIOU]) ", "$1-").alias("text"))
     return P.long_vowel_words(sung)
 
 

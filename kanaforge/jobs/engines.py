@@ -10,6 +10,7 @@ from kanaforge.jobs.inputs import DL, DW, LETTERS, LEX, SPELLED, TK, docs, flag_
 from kanaforge.jobs.registry import query
 from kanaforge.operators import align as G
 from kanaforge.operators import cascade as R
+from kanaforge.operators import language as L
 from kanaforge.operators import lines as P
 
 
@@ -214,9 +215,9 @@ def _special(spark):
     return spark.sql("SELECT * FROM VALUES ('emoticon', 'b', 'ボー'), ('glued', 'at', 'エーティー'), ('acronym', 'lv', 'レベル'), ('masked', '****ed', 'ピーッド'), ('fragment', 'wa', 'ウェ'), ('echo', 'ny', 'ナイ'), ('notation', 'ph', 'ペーハー'), ('uncertain', 'kro', 'クロ') AS t(kind, key, kana)")
 
 
-def _read(spark, sf, **tables):
-    """The line-aware cascade over the corpus; overrides by source, special readings, learned words from the answers."""
-    told = R.line_tokens(R.in_lines(lines(spark, sf), hand(spark, sf)))
+def _read(spark, sf, signals=None, **tables):
+    """Tokens of the corpus in their lines, and what each kind may be read as."""
+    told = R.line_tokens(R.in_lines(lines(spark, sf), hand(spark, sf), signals))
     kinds = R.kinds_of(told, hand(spark, sf), **tables)
     return told, kinds
 
@@ -237,7 +238,7 @@ def r2(spark, sf):
 @query("r2_lexicon_slice", f"WITH {DL}, {TK}, {LEX}, fe AS (SELECT doc_id, line_no, line, count(*) AS words, count(*) FILTER (one) AS singles, count(*) FILTER (notation) AS strung FROM tk GROUP BY ALL) SELECT doc_id, line_no, tok_no, text, kana FROM tk JOIN fe USING (doc_id, line_no) JOIN (SELECT word, kana FROM lx WHERE source = 'hand') h ON h.word = lower(text) WHERE kind = 0 AND length(text) > 3 AND NOT regexp_matches(text, '^[A-Z]+$') AND NOT regexp_matches(gap, '[*＊]{{2}}$')")
 def r2_slice(spark, sf):
     """What the lexicon alone decides of the cascade: whole words of more than three letters that it has."""
-    told, kinds = _read(spark, sf)
+    told, kinds = _read(spark, sf, {x: s for x, s in L.SIGNALS.items() if x != "la"})  # a Latin line is read by its engine
     read = R.read_tokens(told, kinds).where("source = 'dict' AND kana IS NOT NULL AND length(text) > 3 AND NOT notation AND NOT chain").where(~F.col("text").rlike("^[A-Z]+$"))
     return read.join(hand(spark, sf).select(F.col("word").alias("_w")), F.lower("text") == F.col("_w"), "left_semi").select("doc_id", "line_no", "tok_no", "text", "kana")
 

@@ -15,8 +15,14 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SPELLED = "アベセデエフゲハイジカルムノオペクラサタウヴワザヤゼ"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer parts than there are cores, such as one small file, dealt out to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

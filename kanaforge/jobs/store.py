@@ -164,7 +164,7 @@ def f9(spark, sf):
     return lexicon(spark, sf).select("word", "kana", A.first_sound_ok(F.col("word"), F.col("kana")).alias("ok"))
 
 
-@query("t3_answer_cache", f"""WITH {ANS}, c AS (SELECT *, make_timestamp(stamp * 1000000) AS at FROM an), k AS (SELECT * FROM c WHERE at > (SELECT max(at) FROM c) - CASE kind WHEN 'model' THEN INTERVAL 180 DAY ELSE INTERVAL 30 DAY END)
+@query("t3_answer_cache", f"""WITH {ANS}, c AS (SELECT *, make_timestamp(stamp * 1000000) AS told FROM an), k AS (SELECT * FROM c WHERE told > (SELECT max(told) FROM c) - CASE kind WHEN 'model' THEN INTERVAL 180 DAY ELSE INTERVAL 30 DAY END)
   SELECT kind, word, ctx, arg_min(kana, stamp) FILTER (stamp = m) AS kana, bool_or(is_miss) FILTER (stamp = m) AS is_miss, min(stamp) AS stamp FROM (SELECT *, min(stamp) OVER (PARTITION BY kind, word, ctx) AS m FROM k) GROUP BY kind, word, ctx""")
 def t3(spark, sf):
     """The batch twin of the answer cache: first fresh answer of each question from each source."""

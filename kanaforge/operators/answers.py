@@ -171,7 +171,7 @@ def align_by_index(asked: DataFrame, said: DataFrame, validate: Validator = firs
 def align_by_line(asked: DataFrame, bodies: DataFrame) -> DataFrame:
     """asked (batch, item, word) with kana and why from bodies (batch, body), a line for each item: a body with another
     number of lines is refused as a whole; an answer that holds no kana is a miss."""
-    lines = F.split(F.rtrim("body"), r"\r?\n")
+    lines = F.split(F.regexp_replace("body", r"\s+$", ""), r"\r?\n")
     sizes = asked.groupBy("batch").agg(F.count("*").alias("_asked"))
     said = bodies.select("batch", lines.alias("_lines")).join(sizes, "batch")
     each = said.select("batch", (F.size("_lines") == F.col("_asked")).alias("_whole"), F.posexplode("_lines").alias("_at", "_line")).select("batch", "_whole", (F.col("_at") + 1).alias("item"), F.regexp_replace("_line", r"\s", "").alias("_k"))
