@@ -48,8 +48,9 @@ NEAR_WORDS, NEAR = 5, (4, 5)
 BANDS, BAND_ROWS = 32, 5
 #: Shingles permuted at a time: a memory bound only.
 BAND_CHUNK = 1 << 12
-#: When rounds of stars end: so few pairs are left for each row, or so many rounds in a row have found no link.
-PAIRS_LEFT, FRUITLESS = 4, 4
+#: Salts by which each round of stars picks its members of a bucket, and bucket rows for each pair that may be left.
+ROUNDS = [[0], list(range(1, 9)), list(range(9, 17))]
+PAIRS_LEFT = 4
 
 
 # -- fingerprints ------------------------------------------------------------------------------------------
@@ -502,35 +503,36 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, v): links between sets (own, n, rep, bands) that connect those which share a bucket and have a similarity
     of NEAR or more.
 
-    In each round every bucket takes one member, another one each time, and the members that links do not yet connect with
-    it are verified against it. A dense group is connected so after a few rounds, with a check or two for each member.
-    Once the pairs that are left are no more than PAIRS_LEFT for each row, or rounds find nothing any more, all of those
-    are verified, so that no link that could join two components goes unchecked."""
+    In a round every bucket takes one member, in later rounds several others, and the members that links do not yet
+    connect with these are verified against them: a few checks for each member connect a dense group. Further rounds run
+    only while the pairs that are left are more than one for every PAIRS_LEFT bucket rows. All pairs that are left in the
+    end are verified, so that no link that could join two components goes unchecked."""
     top, under = NEAR
     fits = lambda a, b: under * F.least(a, b) >= top * F.greatest(a, b)
     entries = nodes.select("own", "n", "rep", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").drop("members")
     met = table(entries.join(shared, "bucket"))
+    total = met.count()
     # ids and names only are exchanged for this choice; texts only of documents that share a bucket
     wanted = met.select(F.col("rep").alias("doc_id")).distinct()
     sets = table(shingle_sets(docs.join(wanted, "doc_id", "left_semi")).join(met.select("own").distinct(), "own", "left_semi").dropDuplicates(["own"]))
     placed = met.select("bucket", "own", "n", F.col("own").alias("component"))
-    links, fruitless, turn = None, 0, 0
-    while True:
-        chosen = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("own", F.lit(turn)).alias("h"), "own", "n", "component")).alias("first"))
+    links = None
+    for salts in ROUNDS:
+        firsts = [F.min(F.struct(F.xxhash64("own", F.lit(salt)).alias("h"), "own", "n", "component")) for salt in salts]
+        chosen = placed.groupBy("bucket").agg(F.array_distinct(F.array(*firsts)).alias("firsts")).select("bucket", F.explode("firsts").alias("first"))
         stars = placed.join(chosen, "bucket").where((F.col("component") != F.col("first.component")) & fits(F.col("n"), F.col("first.n")))
         pairs = stars.select(F.least("own", "first.own").alias("u"), F.greatest("own", "first.own").alias("v")).distinct()
-        new = table(verified(pairs, sets))
-        fruitless = fruitless + 1 if new.isEmpty() else 0
-        links, turn = new if links is None else table(links.unionByName(new)), turn + 1
+        new = verified(pairs, sets)
+        links = table(new if links is None else links.unionByName(new))
         found = table(components(links)).withColumnRenamed("node", "own")
         everywhere = met.select("bucket", "own", "n").join(found, "own", "left").select("bucket", "own", "n", F.coalesce("component", "own").alias("component"))
         split = everywhere.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
         placed = table(everywhere.join(split, "bucket"))
         groups = placed.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("m"))
         left = groups.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
-        rows, across = left.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0.0))).first()
-        if across <= PAIRS_LEFT * rows or fruitless >= FRUITLESS:
+        across = left.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0.0))).first()[0]
+        if across * PAIRS_LEFT <= total:
             break
     a = placed.select("bucket", F.col("own").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"))
     b = placed.select("bucket", F.col("own").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"))
