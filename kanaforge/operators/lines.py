@@ -93,9 +93,9 @@ def line_features(scanned: DataFrame) -> DataFrame:
     strung = count(kinds, lambda k: (k == LETTER) | (k == SYMBOL))
     single = lambda t: F.length(t) == 1
     capital = lambda t: t.rlike("^[A-Z]$")
-    norms = F.transform(texts, normalize_word)
+    norms = F.col("_norms")
     short = F.filter(norms, lambda t: F.length(t) <= 3)
-    rows = scanned.select(
+    rows = scanned.withColumn("_norms", F.transform(texts, normalize_word)).select(
         "*",
         F.size(texts).alias("words"),
         count(texts, single).alias("singles"),
@@ -106,7 +106,7 @@ def line_features(scanned: DataFrame) -> DataFrame:
         F.array_distinct(short).alias("short_kinds"),
         count(norms, lambda t: t.rlike(NOT_ROMAJI)).alias("english_pairs"),
         F.array_distinct(F.filter(texts, capital)).alias("capital_kinds"),
-    )
+    ).drop("_norms")
     art = (F.col("words") > 0) & (F.col("singles") == F.col("words")) & (F.col("strung") == 0) & (art_marks(F.col("line")) >= ART_MARKS)
     run = F.col("line").rlike(r"(?:^|[^A-Za-z])[A-Z]\s?[,，、/・&]\s?[A-Z](?:[^A-Za-z]|$)") | (F.col("strung") >= 2) | (F.col("capitals") >= 3)
     units = (F.size("capital_kinds") >= 2) & (F.col("capitals") == F.col("singles")) & F.forall("capital_kinds", lambda c: c.isin(list(UNIT_SYMBOLS)))
