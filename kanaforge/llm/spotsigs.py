@@ -29,7 +29,7 @@ ANCHORS = (
     "al como con del el las los no para por se su una y"
 ).split()
 #: Signatures from which on a text needs no chains of other words.
-ENOUGH = 16
+ENOUGH = 48
 #: Characters of scripts without spaces.
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 #: Sizes that signatures are counted in: a fixed number at any size of the corpus.
