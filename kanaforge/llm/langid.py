@@ -303,16 +303,23 @@ def entropy_column(text: Column, arrays: Arrays, spark) -> Column:
 # -- scoring by joins --------------------------------------------------------------------------------------
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(id, word, n) of rows (id, text): the words of each row, counted in it."""
+def pieces_of(rows: DataFrame) -> DataFrame:
+    """(id, piece, is_gram, n) of rows (id, text): the words of each row, counted in it; of longer ones than LONGEST the
+    n-grams, so that no long text becomes a key."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for id_, text in zip(part.column(0).to_pylist(), str_values(part.column(1)), strict=True):
-                got = Counter(words_of(text))
-                yield pa.RecordBatch.from_arrays([pa.array([id_] * len(got), pa.int64()), pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["id", "word", "n"])
+                words = Counter(words_of(text))
+                grams: Counter = Counter()
+                for word in [w for w in words if len(w) > LONGEST]:
+                    n = words.pop(word)
+                    for g in grams_of(word):
+                        grams[g] += n
+                for got, flag in ((words, False), (grams, True)):
+                    yield pa.RecordBatch.from_arrays([pa.array([id_] * len(got), pa.int64()), pa.array(list(got), pa.string()), pa.array([flag] * len(got), pa.bool_()), pa.array(list(got.values()), pa.int64())], ["id", "piece", "is_gram", "n"])
 
-    return rows.select("id", "text").mapInArrow(count, "id long, word string, n long")
+    return rows.select("id", "text").mapInArrow(count, "id long, piece string, is_gram boolean, n long")
 
 
 def _sum(a: Column | str, b: Column | str) -> Column:
@@ -339,12 +346,15 @@ def _added(rows: DataFrame, key: str, weight: Column, n: int) -> DataFrame:
 
 def joined_entropies(rows: DataFrame, model: Model) -> DataFrame:
     """(id, h) of the rows (id, text) with letters: distinct words are scored, rows sum their words."""
-    counts, n = table(word_counts(rows)), len(model.langs)
-    pieces = F.udf(lambda w: list(grams_of(w)), "array<string>")
-    kinds = table(counts.select("word").distinct().select("word", F.explode(pieces("word")).alias("gram")).groupBy("word", "gram").agg(F.count("*").alias("times")))
-    logs = gram_logs(kinds.select("gram").distinct(), model)
-    words = table(_added(kinds.join(logs, "gram"), "word", F.col("times"), n))
-    sums = counts.join(words, "word").withColumn("chars", (F.length("word") + 1) * F.col("n")).groupBy("id").agg(F.sum("chars").alias("chars"), F.array(*[F.sum(F.col("logs")[i] * F.col("n")) for i in range(n)]).alias("logs"))
+    counts, n = table(pieces_of(rows)), len(model.langs)
+    cut = F.udf(lambda w: list(grams_of(w)), "array<string>")
+    kinds = table(counts.where("NOT is_gram").select("piece").distinct().select("piece", F.explode(cut("piece")).alias("gram")).groupBy("piece", "gram").agg(F.count("*").alias("times")))
+    asked = kinds.select("gram").unionByName(counts.where("is_gram").select(F.col("piece").alias("gram"))).distinct()
+    logs = table(gram_logs(asked, model))
+    words = _added(kinds.join(logs, "gram"), "piece", F.col("times"), n).withColumn("is_gram", F.lit(False))
+    known = words.unionByName(logs.select(F.col("gram").alias("piece"), "logs", F.lit(True).alias("is_gram")))
+    chars = F.when(F.col("is_gram"), F.col("n")).otherwise((F.length("piece") + 1) * F.col("n"))
+    sums = counts.join(known, ["piece", "is_gram"]).withColumn("chars", chars).groupBy("id").agg(F.sum("chars").alias("chars"), F.array(*[F.sum(F.col("logs")[i] * F.col("n")) for i in range(n)]).alias("logs"))
     return sums.select("id", F.transform("logs", lambda x: -x / F.col("chars")).alias("h"))
 
 
