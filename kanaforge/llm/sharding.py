@@ -98,15 +98,15 @@ def splitters(rows: DataFrame, total: int, count: int, targets: list[float], tol
             if hi - lo <= 1:
                 found[i] = lo if target - lo_load <= hi_load - target else hi
                 continue
+            if hi - lo <= step and min(target - lo_load, hi_load - target) <= slack:  # one hash lies across the target
+                found[i] = lo if target - lo_load <= hi_load - target else hi
+                continue
             unit = step if hi - lo > step else 1  # whole hashes first
             inside = [lo + (hi - lo) * k // (PROBES + 1) for k in range(1, PROBES + 1)]
             if unit == step:
                 base = -(1 << 127)
                 inside = [base + -(-(k - base) // step) * step for k in inside]
             fresh = {k for k in inside if lo < k < hi}
-            if not fresh and unit == step and min(target - lo_load, hi_load - target) <= slack:
-                found[i] = lo if target - lo_load <= hi_load - target else hi
-                continue
             if not fresh and unit == step:  # one boundary at most between two hashes
                 fresh = {lo + (hi - lo) * k // (PROBES + 1) for k in range(1, PROBES + 1)} - {lo, hi}
             if not fresh:

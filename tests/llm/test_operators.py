@@ -470,7 +470,7 @@ def test_sharding_is_even_also_with_a_hot_text(spark):
     rows, sizes = check_shards(df, sharding.assign(df))
     ideal = sum(sizes.values()) / 8
     longest = max(r["size"] for r in rows)
-    assert all(abs(s - ideal) <= 2 * (longest + sharding.TOLERANCE * ideal) for s in sizes.values())
+    assert all(abs(s - ideal) <= 2 * (longest + sharding.SLACK * ideal) for s in sizes.values())
     even = sharding.assign(df.where("doc_id % 3 > 0")).groupBy("text_crc32").agg(F.countDistinct("shard").alias("n")).where("n > 1").count()
     assert even <= 7  # equal texts part only where a splitter needs it
 

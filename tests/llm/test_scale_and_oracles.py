@@ -72,7 +72,7 @@ def test_two_hundred_thousand_fingerprints_in_one_bucket(spark):
 
 
 def test_shards_are_cuts_of_the_full_sort_and_keep_equal_texts(spark):
-    texts = [text_of(i % 1200, 12) for i in range(2000)] + ["hot copy of a text"] * 600
+    texts = [text_of(i % 1200, 12) for i in range(2000)] + ["hot copy of a text"] * 2500
     df = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, part string")
     order = sharding.keyed(df).orderBy("hi", "lo").collect()
     got = {r["doc_id"]: r for r in sharding.assign(df, range_rows=200).collect()}
