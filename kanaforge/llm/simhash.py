@@ -48,7 +48,7 @@ NEAR_WORDS, NEAR = 5, (4, 5)
 BANDS, BAND_ROWS = 32, 5
 #: Shingles permuted at a time: a memory bound only.
 BAND_CHUNK = 1 << 12
-#: Salts by which each round of stars picks its members of a bucket, and bucket rows for each pair that may be left.
+#: Salts by which each round of stars picks its members of a bucket, and pairs that may be left for each bucket row.
 ROUNDS = [[0], list(range(1, 9)), list(range(9, 17))]
 PAIRS_LEFT = 4
 
@@ -505,7 +505,7 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     In a round every bucket takes one member, in later rounds several others, and the members that links do not yet
     connect with these are verified against them: a few checks for each member connect a dense group. Further rounds run
-    only while the pairs that are left are more than one for every PAIRS_LEFT bucket rows. All pairs that are left in the
+    only while the pairs that are left are more than PAIRS_LEFT for each bucket row. All pairs that are left in the
     end are verified, so that no link that could join two components goes unchecked."""
     top, under = NEAR
     fits = lambda a, b: under * F.least(a, b) >= top * F.greatest(a, b)
@@ -532,7 +532,7 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         groups = placed.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("m"))
         left = groups.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
         across = left.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0.0))).first()[0]
-        if across * PAIRS_LEFT <= total:
+        if across <= PAIRS_LEFT * total:
             break
     a = placed.select("bucket", F.col("own").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"))
     b = placed.select("bucket", F.col("own").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"))
