@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kanaforge.llm import bpe, langid, media, mixing, quality, sharding, simhash, spotsigs, toxicity, urls
+from kanaforge.llm import bpe, langid, media, mixing, negatives, quality, sharding, simhash, spotsigs, toxicity, urls
 from kanaforge.llm.common import documents, labels
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -59,6 +59,13 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where vec_id is divisible by 7, the label is one off; anchors are the ids divisible by 100."""
+    rows = negatives.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op3_spotsigs": op3_spotsigs,
     "op4_media": op4_media,
@@ -70,6 +77,7 @@ QUERIES = {
     "op10_urls": op10_urls,
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
+    "op13_negatives": op13_negatives,
 }
 
 #: op10: the rules, and the posterior bound of each host, from first principles.
@@ -132,4 +140,23 @@ SELECT page_id, host, path, rule, CASE rule WHEN 'example.net/en/' THEN 'allow'
 FROM r
 """
 
-ORACLES: dict[str, str] = {"op10_urls": OP10_SQL}
+#: op13: every pair of an anchor and a row, ordered.
+OP13_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.uid AS anchor, a.vec_id AS anchor_id, b.uid, b.vec_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM e a JOIN e b ON a.uid <> b.uid AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, uid) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.uid ORDER BY s.score DESC, s.vec_id, s.uid)::INTEGER AS rank,
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op10_urls": OP10_SQL, "op13_negatives": OP13_SQL}
