@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kanaforge.llm import bpe, langid, media, mixing, negatives, quality, sharding, simhash, spotsigs, toxicity, urls
+from kanaforge.llm import bpe, collocations, langid, media, mixing, negatives, quality, sharding, simhash, spotsigs, toxicity, urls
 from kanaforge.llm.common import documents, labels
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -59,6 +59,10 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir).select("text", "lang"))
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where vec_id is divisible by 7, the label is one off; anchors are the ids divisible by 100."""
     rows = negatives.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
@@ -77,6 +81,7 @@ QUERIES = {
     "op10_urls": op10_urls,
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
+    "op12_collocations": op12_collocations,
     "op13_negatives": op13_negatives,
 }
 
@@ -140,6 +145,38 @@ SELECT page_id, host, path, rule, CASE rule WHEN 'example.net/en/' THEN 'allow'
 FROM r
 """
 
+#: op12: every phrase of one to four words, counted by itself.
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(list_transform(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'), lambda x: regexp_extract_all(x, '[^\x20\x09]+'))) AS w
+  FROM documents
+), g AS (
+  SELECT lang, m, w[i:i + m - 1] AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p), (VALUES (1), (2), (3), (4)) AS s(m) WHERE i + m - 1 <= len(w)
+), f AS (
+  SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang
+), c AS (
+  SELECT * FROM f WHERE m > 1 AND f >= 30
+), cuts AS (
+  SELECT lang, m, phrase, f AS a, unnest(range(1, m)) AS k FROM c
+), s AS (
+  SELECT x.lang, x.phrase, x.m, x.a, x.k, l.f AS l, r.f AS r, (2000000::HUGEINT * x.a // (l.f::HUGEINT + r.f))::BIGINT AS score
+  FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = x.phrase[1:x.k] JOIN f r ON r.lang = x.lang AND r.phrase = x.phrase[x.k + 1:x.m]
+), worst AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, phrase[i:i + z - 1] AS phrase, max(f) AS longer
+  FROM (SELECT lang, m, phrase, f, z, unnest(range(1, m - z + 2)) AS i FROM c, (VALUES (2), (3)) AS t(z) WHERE z < m) GROUP BY ALL
+), kept AS (
+  SELECT w.lang, array_to_string(w.phrase, ' ') AS phrase, w.a, w.l, w.r, w.score FROM worst w LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase
+  WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * w.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 #: op13: every pair of an anchor and a row, ordered.
 OP13_SQL = """
 WITH e AS (
@@ -159,4 +196,4 @@ FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.score <= 100 * s.
 QUALIFY rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op10_urls": OP10_SQL, "op13_negatives": OP13_SQL}
+ORACLES: dict[str, str] = {"op10_urls": OP10_SQL, "op12_collocations": OP12_SQL, "op13_negatives": OP13_SQL}
