@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,12 +65,12 @@ def words_of(text: bytes) -> Iterator[list[bytes]]:
 class Codes(dict):
     """Word -> code under one language and seed; 0 between pieces. Forgets when full."""
 
-    def __init__(self, lang: str, seed: int):
+    def __init__(self, lang: str, seed: int, code_of: Callable[[bytes, int], int]):
         super().__init__({b".": 0})
-        self.seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), seed=seed)
+        self.seed, self.code_of = code_of(lang.encode(), seed), code_of
 
     def __missing__(self, word: bytes) -> int:
-        code = xxhash.xxh64_intdigest(word, seed=self.seed) or 1
+        code = self.code_of(word, self.seed) or 1
         if len(word) <= 64:
             self[word] = code
         return code
@@ -99,13 +99,13 @@ def _key(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows.T.astype(">u8")).view(f"S{8 * len(rows)}").ravel()
 
 
-def sorted_suffixes(codes: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(suffixes, counts) of a stream of codes in slices of bounded size: distinct, in reverse order.
+def sorted_suffixes(codes: np.ndarray, longest: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(suffixes, counts) of a stream of codes in slices of `most` places: distinct, in reverse order.
 
     In a slice a code is as many as 21 bits, its rank among the slice's codes, so that three words are one sort key."""
     codes = np.concatenate([codes, np.zeros(longest, _U64)])
-    for at in range(0, len(codes) - longest, SORTED):
-        known, ranks = np.unique(np.concatenate([codes[at : at + SORTED + longest - 1], np.zeros(1, _U64)]), return_inverse=True)
+    for at in range(0, len(codes) - longest, most):
+        known, ranks = np.unique(np.concatenate([codes[at : at + most + longest - 1], np.zeros(1, _U64)]), return_inverse=True)
         ids = suffixes(ranks[:-1].astype(_U64), longest)
         if not ids.shape[1]:
             continue
@@ -158,19 +158,19 @@ def prefix_counts(rows: np.ndarray, counts: np.ndarray, least: int) -> Iterator[
         yield k + 1, rows[: k + 1, begins[keep]], total[keep], opened[keep]
 
 
-_CODEC = "zstd"
+_CODEC = pa.Codec("zstd", 3)
 
 
 def packed(rows: np.ndarray, counts: np.ndarray) -> bytes:
     n = rows.shape[1]
     wide = np.uint8 if int(counts.max(initial=0)) < 256 else np.int64
     raw = b"".join([np.ascontiguousarray(rows).tobytes(), counts.astype(wide).tobytes()])
-    return n.to_bytes(8, "little") + np.dtype(wide).itemsize.to_bytes(1, "little") + pa.compress(raw, _CODEC, asbytes=True)
+    return n.to_bytes(8, "little") + np.dtype(wide).itemsize.to_bytes(1, "little") + _CODEC.compress(raw, asbytes=True)
 
 
 def unpacked(block: bytes, longest: int) -> tuple[np.ndarray, np.ndarray]:
     n, size = int.from_bytes(block[:8], "little"), block[8]
-    raw = pa.decompress(block[9:], n * (8 * longest + size), _CODEC, asbytes=True)
+    raw = _CODEC.decompress(block[9:], n * (8 * longest + size), asbytes=True)
     rows = np.frombuffer(raw, _U64, n * longest).reshape(longest, n)
     return rows, np.frombuffer(raw, np.uint8 if size == 1 else np.int64, n, 8 * longest * n).astype(np.int64)
 
@@ -182,7 +182,7 @@ def _texts(part: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
             yield langs[at].as_py(), text
 
 
-def word_counts(docs: DataFrame, seed: int, longest: int) -> DataFrame:
+def word_counts(docs: DataFrame, seed: int, longest: int, code_of: Callable[[bytes, int], int]) -> DataFrame:
     """(code, lang, word, n) of each task's words, and its sample of suffixes: (code: priority, lang null, word: the suffix's bytes)."""
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def word_counts(docs: DataFrame, seed: int, longest: int) -> DataFrame:
         def emit() -> Iterator[pa.RecordBatch]:
             for lang, counter in seen.items():
                 counter.pop(b".", None)
-                code = Codes(lang, seed)
+                code = Codes(lang, seed, code_of)
                 words = list(counter)
                 for at in range(0, len(words), 50_000):
                     some = words[at : at + 50_000]
@@ -204,7 +204,7 @@ def word_counts(docs: DataFrame, seed: int, longest: int) -> DataFrame:
         for part in parts:
             for lang, text in _texts(part):
                 counter = seen.setdefault(lang, Counter())
-                code = coders.get(lang) or coders.setdefault(lang, Codes(lang, seed))
+                code = coders.get(lang) or coders.setdefault(lang, Codes(lang, seed, code_of))
                 for words in words_of(text):
                     counter.update(words)
                     at = xxhash.xxh64_intdigest(text[:64]) % STRIDE
@@ -229,7 +229,7 @@ def word_counts(docs: DataFrame, seed: int, longest: int) -> DataFrame:
     return docs.mapInArrow(scan, "code long, lang string, word binary, n long")
 
 
-def blocks_of(docs: DataFrame, seed: int, longest: int, cuts: np.ndarray) -> DataFrame:
+def blocks_of(docs: DataFrame, seed: int, longest: int, cuts: np.ndarray, code_of: Callable[[bytes, int], int], most: int) -> DataFrame:
     """(part, lang, block): each task's suffixes, sorted and added up, cut into ranges."""
     sent = docs.sparkSession.sparkContext.broadcast(cuts)
 
@@ -240,7 +240,7 @@ def blocks_of(docs: DataFrame, seed: int, longest: int, cuts: np.ndarray) -> Dat
 
         def emit() -> Iterator[pa.RecordBatch]:
             for lang, runs in held.items():
-                for rows, counts in sorted_suffixes(np.concatenate(runs), longest):
+                for rows, counts in sorted_suffixes(np.concatenate(runs), longest, most):
                     where = np.searchsorted(sent.value, _key(rows), side="right").astype(np.int32)
                     begins = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
                     data = [packed(rows[:, b:e], counts[b:e]) for b, e in zip(begins, np.append(begins[1:], len(where)), strict=True)]
@@ -251,14 +251,14 @@ def blocks_of(docs: DataFrame, seed: int, longest: int, cuts: np.ndarray) -> Dat
 
         for part in parts:
             for lang, text in _texts(part):
-                code = coders.get(lang) or coders.setdefault(lang, Codes(lang, seed))
+                code = coders.get(lang) or coders.setdefault(lang, Codes(lang, seed, code_of))
                 for words in words_of(text):
                     codes = code.of(words)
                     held.setdefault(lang, []).append(codes)
                     size += len(codes)
                 if len(coders) > 64:
                     coders.clear()
-                if size > SORTED:
+                if size > most:
                     yield from emit()
                     size = 0
         yield from emit()
@@ -266,7 +266,7 @@ def blocks_of(docs: DataFrame, seed: int, longest: int, cuts: np.ndarray) -> Dat
     return docs.mapInArrow(scan, "part int, lang string, block binary")
 
 
-def frequent_prefixes(blocks: DataFrame, ranges: int, longest: int, least: int) -> DataFrame:
+def frequent_prefixes(blocks: DataFrame, ranges: int, longest: int, least: int, most: int) -> DataFrame:
     """(lang, c1.., f, opened) of all phrases with at least the least count, and of those that may go on in another range (opened).
 
     Codes behind a phrase's end are null."""
@@ -299,7 +299,7 @@ def frequent_prefixes(blocks: DataFrame, ranges: int, longest: int, least: int)
                 rows.append(r)
                 counts.append(c)
                 waiting += len(c)
-                if waiting > max(SORTED, rows[0].shape[1]):
+                if waiting > max(most, rows[0].shape[1]):
                     compact()
         yield from emit()
 
@@ -307,23 +307,26 @@ def frequent_prefixes(blocks: DataFrame, ranges: int, longest: int, least: int)
     return ranged.mapInArrow(count, "lang string, " + ", ".join(f"{c} long" for c in names) + ", f long, opened boolean")
 
 
-def count_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+def count_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, code_of: Callable[[bytes, int], int] = xxhash.xxh64_intdigest, most: int = SORTED) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
     """(phrases, words, totals, scratch paths) of docs (text, lang).
 
+    code_of: (word, seed) -> code of at most 64 bits; most: suffixes that a task sorts at once.
     phrases: (lang, c1.., f) from `least` occurrences on; words: (code, word) of the frequent ones; totals: (lang, n)."""
     spark = docs.sparkSession
     docs = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
     seed = 0
     while True:
-        counted, counted_path = materialize(word_counts(docs, seed, longest))
-        texts = counted.where(F.col("lang").isNotNull()).groupBy("code").agg(F.min("lang").alias("lang"), F.max("lang").alias("_lang"), F.min("word").alias("word"), F.max("word").alias("_word"), F.sum("n").alias("n"))
-        words, words_path = materialize(texts)
-        if words.where((F.col("word") != F.col("_word")) | (F.col("lang") != F.col("_lang"))).isEmpty():
+        counted, counted_path = materialize(word_counts(docs, seed, longest, code_of))
+        seen = counted.where(F.col("lang").isNotNull())
+        texts = seen.groupBy("code").agg(F.min("lang").alias("lang"), F.max("lang").alias("_lang"), F.min("word").alias("word"), F.max("word").alias("_word"), F.sum("n").alias("n"))
+        clash = (F.col("word") != F.col("_word")) | (F.col("lang") != F.col("_lang"))
+        words, words_path = materialize(texts.where((F.col("n") >= least) | clash).select("code", "word", clash.alias("clash")))
+        if words.where("clash").isEmpty():
             break
         drop(spark, counted_path)
         drop(spark, words_path)
         seed += 1
-    totals, totals_path = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")))
+    totals, totals_path = materialize(seen.groupBy("lang").agg(F.sum("n").alias("n")))
     places = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranges = min(MAX_RANGES, max(1, -(-places // RANGE_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     sample = counted.where(F.col("lang").isNull()).select("code", F.col("word").alias("key")).distinct().orderBy("code", "key").limit(SAMPLE).select("key").toArrow()
@@ -331,15 +334,13 @@ def count_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     cuts = np.unique(keys[(np.arange(1, ranges) * len(keys)) // ranges]) if len(keys) else keys
     drop(spark, counted_path)
 
-    blocks, blocks_path = materialize(blocks_of(docs, seed, longest, cuts))
     names = [f"c{k + 1}" for k in range(longest)]
-    counted, path = materialize(frequent_prefixes(blocks, len(cuts) + 1, longest, least))
-    drop(spark, blocks_path)
+    counted, path = materialize(frequent_prefixes(blocks_of(docs, seed, longest, cuts, code_of, most), len(cuts) + 1, longest, least, most))
     whole = counted.where(~F.col("opened")).select("lang", *names, "f")
     parts = counted.where("opened").groupBy("lang", *names).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     phrases, phrases_path = materialize(whole.unionByName(parts))
     drop(spark, path)
-    return phrases, words.where(F.col("n") >= least).select("code", "word"), totals, [words_path, totals_path, phrases_path]
+    return phrases, words.select("code", "word"), totals, [words_path, totals_path, phrases_path]
 
 
 def _part(first: int, last: int, longest: int) -> list:
@@ -347,14 +348,14 @@ def _part(first: int, last: int, longest: int) -> list:
     return [(F.col(f"c{first + k}") if first + k <= last else F.lit(None).cast("long")).alias(f"c{k + 1}") for k in range(longest)]
 
 
-def collocations(docs: DataFrame, top: int = TOP, longest: int = LONGEST, least: int = LEAST, covered: int = COVERED) -> DataFrame:
+def collocations(docs: DataFrame, top: int = TOP, longest: int = LONGEST, least: int = LEAST, covered: int = COVERED, **counting) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best `top` phrases of each language of docs (text, lang).
 
     A phrase of 2 to longest words with a occurrences, cut after its first words into parts with l and r, scores
     floor(2000000 * a / (l + r)) at its worst cut; phrases inside a longer one with at least covered hundredths of their
-    occurrences are left out. All sums and products are decimals."""
+    occurrences are left out. All sums and products are decimals. counting: as in count_phrases()."""
     spark = docs.sparkSession
-    phrases, words, totals, scratch = count_phrases(docs, longest, least)
+    phrases, words, totals, scratch = count_phrases(docs, longest, least, **counting)
     names = [f"c{k + 1}" for k in range(longest)]
     size = sum(F.col(c).isNotNull().cast("int") for c in names)
     sized = phrases.withColumn("words", size)
