@@ -147,8 +147,8 @@ class Restorer:
         return found
 
 
-#: Closing and opening marks, and runs of three and more of the same mark, are no part of a word.
-_EDGES = re.compile(r"^(?:([^\w\s])\1{2,}|[\"'(\[{<.,;:?])+|(?:([^\w\s])\2{2,}|[\"')\]}>.,;:?]|!+)+$")
+#: Opening and closing marks, and runs of three and more of any mark, are no part of a word.
+_OPENING, _CLOSING = frozenset("\"'([{<.,;:?"), frozenset("\"')]}>.,;:?!")
 _PLAIN = re.compile(r"[^\W\d_]*\Z").match
 _LETTER = re.compile(r"[^\W\d_]").search
 _LONG_RUN = re.compile(r"(.)\1\1").search
@@ -157,7 +157,28 @@ _APART = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)").finditer
 
 
 def _EDGE(token: str) -> str:
-    return _EDGES.sub("", token) if not token.isalpha() else token
+    """A token without the marks around it; each is looked at once."""
+    if token.isalpha():
+        return token
+    mark = lambda c: not (c.isalnum() or c == "_" or c.isspace())
+    start, end, size = 0, len(token), len(token)
+    while start < end:
+        c = token[start]
+        run = start + 1
+        while run < size and token[run] == c:
+            run += 1
+        if not (c in _OPENING or (mark(c) and run - start >= 3)):
+            break
+        start = run
+    while end > start:
+        c = token[end - 1]
+        run = end - 1
+        while run > start and token[run - 1] == c:
+            run -= 1
+        if not (c in _CLOSING or (mark(c) and end - run >= 3)):
+            break
+        end = run
+    return token[start:end]
 
 
 def restored_words(text: str | None, restorer: Restorer) -> set[str]:
