@@ -83,6 +83,12 @@ def label_sample(lab: DataFrame, label: str, mod: int, held: int, per_class: int
     return picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"]), weight
 
 
+def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(y, text) of a sample (doc_id, y) as of label_sample(): one row for each id, of several texts the smallest."""
+    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return picked.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text")).select("y", "text")
+
+
 def utf8_values(column: pa.Array) -> Iterator[bytes | None]:
     """The values of a string column as UTF-8 bytes, a slice of rows at a time."""
     for at in range(0, len(column), SLICE_ROWS):

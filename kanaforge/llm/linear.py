@@ -52,3 +52,13 @@ class Ftrl:
                 at, x, y = rows[i]
                 self.update(at, x, y, importance[y])
         return self
+
+
+def ordered(rows: list[tuple]) -> list[tuple]:
+    """Training rows (coordinates, ..., label) in an order of their own, whatever the order in which they came.
+
+    Coordinates are compared only between rows of one label and length, so no copy of all of them is made."""
+    groups: dict[tuple[int, int], list[tuple]] = {}
+    for row in rows:
+        groups.setdefault((row[-1], len(row[0])), []).append(row)
+    return [row for key in sorted(groups) for row in sorted(groups[key], key=lambda r: [c.tobytes() for c in r[:-1]])]

@@ -1,12 +1,12 @@
 """Media columns: ISO media containers walked box by box, payloads never decoded.
 
 A container's nested boxes are read from their headers; the sample tables (stts, stsc, stsz or stz2, stco or co64,
-stss) give, for each track, its kind, codec, duration and the byte range of every key frame. wrap() stores bytes losslessly as such a
+stss) give, for each track, its kind, codec, duration and the byte range and time of every key frame. wrap() stores bytes losslessly as such a
 container: one track of 8-bit samples in access units of 64, every 16th a sync unit, in chunks.
 
 Defined cases: a null container has null info; bytes that are no container, a truncated one, one without tracks
-and a fragmented one get a status that says so and no key frames, and so do tables whose counts or sizes do not
-fit into the file, before anything of that size is allocated; sizes of 64 bits and boxes that run to the
+and a fragmented one get a status that says so and no key frames, and so do tables whose counts, sizes, offsets or times do not
+fit into the file, before anything of that size is allocated, and boxes nested deeper than DEEPEST; sizes of 64 bits and boxes that run to the
 end are read; a track without stss has a key frame at every sample; a null text is wrapped like an empty one;
 equal bytes give equal containers.
 """
@@ -28,10 +28,14 @@ from kanaforge.llm.common import SLICE_ROWS, utf8_values
 
 #: Bytes of an access unit, units between sync units, units of a chunk, samples a second.
 UNIT, SYNC_EVERY, CHUNK_UNITS, RATE = 64, 16, 64, 8000
+#: Boxes inside boxes, at most; files have about eight levels.
+DEEPEST = 64
+#: Bytes of containers that a worker hands over at once.
+HANDED = 64 << 20
 #: Boxes that hold boxes, as the format names them.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
 
-TRACK = "struct<kind:string,codec:string,timescale:bigint,duration:bigint,samples:bigint,keyframes:array<struct<start:bigint,length:bigint>>>"
+TRACK = "struct<kind:string,codec:string,timescale:bigint,duration:bigint,samples:bigint,keyframes:array<struct<start:bigint,length:bigint,time:bigint>>>"
 INFO = f"struct<status:string,media_bytes:bigint,tracks:array<{TRACK}>>"
 
 
@@ -122,6 +126,7 @@ class Track:
     runs: np.ndarray = field(default_factory=lambda: np.zeros((0, 3), np.int64))  # first chunk, samples of a chunk
     chunks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     sync: np.ndarray | None = None
+    times: np.ndarray | None = None  # samples, ticks of each
 
     def ranges(self) -> tuple[np.ndarray, np.ndarray]:
         """(start, length) of every sample that the chunks hold."""
@@ -145,13 +150,28 @@ class Track:
             raise Broken("malformed")
         if len(self.runs) and (self.runs[0, 0] < 1 or (np.diff(self.runs[:, 0]) <= 0).any() or self.runs[-1, 0] > max(len(self.chunks), 1)):
             raise Broken("malformed")
+        if len(self.chunks) and (int(self.chunks.min()) < 0 or int(self.chunks.max()) > size) or len(self.runs) and int(self.runs[:, 1].min()) < 0:
+            raise Broken("malformed")
+        if self.times is not None and int(self.times[:, 0].sum()) < self.count:
+            raise Broken("malformed")
+        start, length = self.ranges()
+        if len(start) and (int(start.min()) < 0 or int((start + length).max()) > size):
+            raise Broken("malformed")
 
-    def keyframes(self) -> tuple[np.ndarray, np.ndarray]:
+    def keyframes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, time) of every key frame; times in ticks, 0 where the file tells none."""
         start, length = self.ranges()
-        if self.sync is None:
-            return start, length
-        at = self.sync[(self.sync >= 1) & (self.sync <= len(start))] - 1
-        return start[at], length[at]
+        at = np.arange(len(start)) if self.sync is None else self.sync[(self.sync >= 1) & (self.sync <= len(start))] - 1
+        return start[at], length[at], self.time_of(at)
+
+    def time_of(self, at: np.ndarray) -> np.ndarray:
+        """When samples are decoded: the run of equal steps that each lies in, and its place there."""
+        if self.times is None or not len(self.times):
+            return np.zeros(len(at), np.int64)
+        ends = np.cumsum(self.times[:, 0])
+        begins = np.cumsum(self.times[:, 0] * self.times[:, 1]) - self.times[:, 0] * self.times[:, 1]
+        run = np.searchsorted(ends, at, side="right")
+        return begins[run] + (at - (ends - self.times[:, 0])[run]) * self.times[run, 1]
 
 
 def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -205,6 +225,8 @@ def read_table(track: Track, kind: bytes, data: memoryview, at: int, end: int) -
         track.chunks = numbers(data, at + 8, end, struct.unpack_from(">I", data, at + 4)[0], ">u4" if kind == b"stco" else ">u8")
     elif kind == b"stsc":
         track.runs = numbers(data, at + 8, end, 3 * struct.unpack_from(">I", data, at + 4)[0], ">u4").reshape(-1, 3)
+    elif kind == b"stts":
+        track.times = numbers(data, at + 8, end, 2 * struct.unpack_from(">I", data, at + 4)[0], ">u4").reshape(-1, 2)
     elif kind == b"stss":
         track.sync = numbers(data, at + 8, end, struct.unpack_from(">I", data, at + 4)[0], ">u4")
 
@@ -227,6 +249,8 @@ def walk(content: bytes) -> tuple[str, list[Track]]:
                         read_table(tracks[-1], k, data, a, z)
                     tracks[-1].check(len(content))
                 elif kind in NESTED:
+                    if depth >= DEEPEST:
+                        raise Broken("malformed")
                     inner.append((at, stop, depth + 1))
             todo += reversed(inner)
     except (Broken, struct.error, IndexError) as e:
@@ -235,11 +259,18 @@ def walk(content: bytes) -> tuple[str, list[Track]]:
 
 
 def descend(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    for kind, at, stop in boxes(data, start, end):
-        if kind in NESTED:
-            yield from descend(data, at, stop)
+    """(kind, body start, body end) of the boxes that hold no boxes, at any depth, in file order."""
+    open_ = [boxes(data, start, end)]
+    while open_:
+        found = next(open_[-1], None)
+        if found is None:
+            open_.pop()
+        elif found[0] not in NESTED:
+            yield found
+        elif len(open_) > DEEPEST:
+            raise Broken("malformed")
         else:
-            yield kind, at, stop
+            open_.append(boxes(data, found[1], found[2]))
 
 
 def info(content: bytes | None) -> dict | None:
@@ -249,8 +280,8 @@ def info(content: bytes | None) -> dict | None:
     status, tracks = walk(content)
     out = []
     for t in tracks if status == "ok" else []:
-        start, length = t.keyframes()
-        out.append({"kind": t.kind or None, "codec": t.codec or None, "timescale": t.timescale, "duration": t.duration, "samples": t.count, "keyframes": [{"start": int(s), "length": int(n)} for s, n in zip(start, length, strict=True)]})
+        frames = t.keyframes()
+        out.append({"kind": t.kind or None, "codec": t.codec or None, "timescale": t.timescale, "duration": t.duration, "samples": t.count, "keyframes": [{"start": int(s), "length": int(n), "time": int(at)} for s, n, at in zip(*frames, strict=True)]})
     return {"status": status, "media_bytes": len(content), "tracks": out}
 
 
@@ -271,11 +302,18 @@ def payload(content: bytes) -> bytes:
 
 def _wrap(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        yield pa.array([wrap(t or b"") for t in utf8_values(batch)], pa.binary())
+        held, size = [], 0
+        for text in utf8_values(batch):
+            held.append(wrap(text or b""))
+            size += len(held[-1])
+            if size >= HANDED:
+                yield pa.array(held, pa.binary())
+                held, size = [], 0
+        yield pa.array(held, pa.binary())
 
 
 def _info(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    frames = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+    frames = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("time", pa.int64())]))
     track = pa.struct([("kind", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("keyframes", frames)])
     kind = pa.struct([("status", pa.string()), ("media_bytes", pa.int64()), ("tracks", pa.list_(track))])
     for batch in batches:
@@ -291,10 +329,10 @@ def digest(text: bytes | None) -> tuple:
     content = wrap(raw)
     status, tracks = walk(content)
     back = payload(content)
-    start, length = tracks[0].keyframes()
-    spans = crc32(np.stack([start, length], 1).astype("<i8").tobytes())
+    start, length, time = tracks[0].keyframes()
+    spans = crc32(np.stack([start, length, time], 1).astype("<i8").tobytes())
     t = tracks[0]
-    feature = f"{status} {t.codec.strip()} {t.timescale} {t.duration} samples={t.count} keyframes={len(start)} first={start[0]}+{length[0]} last={start[-1]}+{length[-1]} ranges={spans:08x}"
+    feature = f"{status} {t.codec.strip()} {t.timescale} {t.duration} samples={t.count} keyframes={len(start)} first={start[0]}+{length[0]} last={start[-1]}+{length[-1]}@{time[-1]} ranges={spans:08x}"
     return len(raw), len(back), hashlib.sha256(back).hexdigest(), crc32(back[-UNIT:]), len(content), hashlib.sha256(content).hexdigest(), feature
 
 

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kanaforge.llm.common import id_bucket, label_sample, utf8_values
-from kanaforge.llm.linear import Ftrl, sigmoid
+from kanaforge.llm.common import id_bucket, label_sample, labelled_texts, utf8_values
+from kanaforge.llm.linear import Ftrl, ordered, sigmoid
 
 DIM = 1 << 18
 #: At most so many labelled rows of each class are fitted; a documented bound on the training sample.
@@ -105,12 +105,10 @@ def training_rows(sample: DataFrame, text: str = "text") -> DataFrame:
 def fit(docs: DataFrame, lab: DataFrame, per_class: int = PER_CLASS) -> np.ndarray:
     """Weights of the classifier, float32, dim + 1 with the bias last - a fixed size."""
     sample, importance = label_sample(lab, "quality", HELD_MOD, HELD, per_class)
-    rows = training_rows(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]))
-    got = rows.toArrow()
-    flat = zip(got["at"].to_pylist() if got.num_rows < 1 else got["at"], got["x"], got["y"].to_pylist())
-    data = [(np.asarray(at.values, np.int64), np.asarray(x.values, np.float64), y) for at, x, y in flat]
-    order = sorted(range(len(data)), key=lambda i: (data[i][2], len(data[i][0]), data[i][0].tobytes()))
-    return Ftrl(DIM, alpha=0.2, l1=0.02, l2=1.0).fit([data[i] for i in order], importance, EPOCHS).weights().astype(np.float32)
+    got = training_rows(labelled_texts(docs, sample)).toArrow()
+    data = [(np.asarray(at.values), np.asarray(x.values), y) for at, x, y in zip(got["at"], got["x"], got["y"].to_pylist(), strict=True)]
+    model = Ftrl(DIM, alpha=0.2, l1=0.02, l2=1.0).fit(ordered(data), importance, EPOCHS)
+    return model.weights().astype(np.float32)
 
 
 def score_column(docs: DataFrame, weights: np.ndarray, text: str = "text") -> Column:

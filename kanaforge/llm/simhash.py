@@ -459,7 +459,7 @@ def bands(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, own, n, bands): the name and size of each document's shingle set, and its band keys."""
+    """(doc_id, t, own, n, bands): a hash of each document's text, the name and size of its shingle set, and its band keys."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -469,11 +469,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 own.append(set_name(found))
                 sizes.append(len(found))
                 keys.append(bands(found).view(np.int64) if len(found) else np.zeros(0, np.int64))
-            out = [part.column(0), pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "own", "n", "bands"])
+            out = [part.column(0), part.column(2), pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "t", "own", "n", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, own long, n long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(batches, f"doc_id {kind}, t long, own long, n long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -541,8 +541,9 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document (the smallest doc_id) of each near-duplicate group, with all columns of docs; rows without an
-    id stay, and of rows with the same id one stays.
+    """One document of each near-duplicate group, with all columns of docs: of its smallest doc_id the text with the
+    smallest set name, then hash. Rows without an id stay. Where an id has several texts, each is a document of its own; of rows with the
+    same id and text one stays.
 
     Two documents link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, which is
     verified on the sets. Candidates share the minima of a band: 64 bits of SimHash would differ in about 10 bits,
@@ -551,12 +552,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     words are one group."""
     prints = table(sketches(docs.where("doc_id is not null")))
     nodes = table(prints.groupBy("own").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    names = nodes.select("own", "rep")
-    links = near_links(docs, nodes)
-    ends = links.join(names.select(F.col("own").alias("u"), F.col("rep").alias("a")), "u").join(names.select(F.col("own").alias("v"), F.col("rep").alias("b")), "v")
-    copies = prints.join(names, "own").where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-    found = components(table(ends.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(copies)))
-    gone = found.where("node <> component").select(F.col("node").alias("_gone"))
-    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("_own"))
-    kept = rows.join(table(gone), rows["_id"] == F.col("_gone"), "left_anti").dropDuplicates(["_id", "_own"])
+    found = components(table(near_links(docs, nodes))).withColumnRenamed("node", "own")
+    grouped = nodes.select("own", "rep").join(found, "own", "left").withColumn("component", F.coalesce("component", "own"))
+    best = grouped.groupBy("component").agg(F.min(F.struct("rep", "own")).alias("best")).select(F.col("best.rep").alias("doc_id"), F.col("best.own").alias("own"))
+    stays = prints.select("doc_id", "own", "t").join(best, ["doc_id", "own"]).groupBy("doc_id", "own").agg(F.min("t").alias("t")).select("doc_id", "t")
+    gone = prints.select("doc_id", "t").distinct().join(stays, ["doc_id", "t"], "left_anti").select(F.col("doc_id").alias("_gone"), F.col("t").alias("_t2"))
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("_own"))
+    kept = rows.join(table(gone), (F.col("_id") == F.col("_gone")) & (F.col("_t") == F.col("_t2")), "left_anti").dropDuplicates(["_id", "_t", "_own"])
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

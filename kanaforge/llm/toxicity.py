@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kanaforge.llm.common import id_bucket, label_sample, str_values, utf8_values
-from kanaforge.llm.linear import Ftrl, sigmoid
+from kanaforge.llm.common import id_bucket, label_sample, labelled_texts, str_values, utf8_values
+from kanaforge.llm.linear import Ftrl, ordered, sigmoid
 
 BITS = 18
 DIM = 1 << BITS
@@ -242,10 +242,8 @@ def fit(docs: DataFrame, lab: DataFrame, per_class: int = PER_CLASS) -> tuple[np
             rows = [_slots(restored_words(t, restorer), known).astype(np.int32) for t in str_values(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int32()))], ["y", "at"])
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    got = picked.select("y", "text").mapInArrow(slots, "y int, at array<int>").toArrow()
-    data = [(np.asarray(at.values, np.int64), y) for at, y in zip(got["at"], got["y"].to_pylist(), strict=True)]
-    data.sort(key=lambda r: (r[1], len(r[0]), r[0].tobytes()))
+    got = labelled_texts(docs, sample).mapInArrow(slots, "y int, at array<int>").toArrow()
+    data = ordered([(np.asarray(at.values), y) for at, y in zip(got["at"], got["y"].to_pylist(), strict=True)])
     if not data:
         return cost, np.append(np.zeros(DIM, np.float32), np.float32(-np.inf))
     weights = Ftrl(DIM, alpha=0.7, l1=8.0, l2=0.5).fit([(at, np.ones(len(at)), y) for at, y in data], importance, EPOCHS).weights()

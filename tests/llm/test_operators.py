@@ -256,7 +256,7 @@ def test_media_broken_containers():
     assert media.payload(to_end) == media.payload(good)
     track = media.Track(count=5, sizes=np.array([3, 1, 4, 1, 5]), runs=np.array([[1, 2, 1], [2, 1, 1]]), chunks=np.array([100, 200, 300, 400]), sync=np.array([1, 4]))
     assert [x.tolist() for x in track.ranges()] == [[100, 103, 200, 300, 400], [3, 1, 4, 1, 5]]
-    assert [x.tolist() for x in track.keyframes()] == [[100, 300], [3, 1]]
+    assert [x.tolist() for x in track.keyframes()] == [[100, 300], [3, 1], [0, 0]]
 
 
 def two_tracks():
