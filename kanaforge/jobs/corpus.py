@@ -129,7 +129,7 @@ def p14(spark, sf):
 _SUNG = "regexp_replace(upper(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')), '([B-DF-HJ-NP-TV-Z][AEIOU]) ', '\\1-', 'g')"
 
 
-@query("a6_long_vowels", rf"SELECT DISTINCT doc_id, unnest(regexp_split_to_array(chain, '-\n?')) AS word FROM (SELECT doc_id, unnest(regexp_extract_all({_SUNG}, '{P.CHAINED}')) AS chain FROM documents)")
+@query("a6_long_vowels", rf"SELECT DISTINCT doc_id, unnest(regexp_split_to_array(chain, '-\n?')) AS word FROM (SELECT doc_id, unnest(regexp_extract_all({_SUNG}, '\b[B-DF-HJ-NP-TV-Z]{{1,2}}[AEIOU](?:-\n?[B-DF-HJ-NP-TV-Z]{{1,2}}[AEIOU])+\b')) AS chain FROM documents)")
 def a6(spark, sf):
     sung = docs(spark, sf).select("doc_id", F.regexp_replace(F.upper(F.regexp_replace("text", r"[^\x00-\x7F]", " ")), "([B-DF-HJ-NP-TV-Z][AEIOU]) ", "$1-").alias("text"))
     return P.long_vowel_words(sung)

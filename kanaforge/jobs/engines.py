@@ -154,7 +154,7 @@ def j2(spark, sf):
 @query("j3_line_overrides", f"WITH {DL}, {DW}, k AS (SELECT DISTINCT norm AS word, line FROM dw JOIN dl USING (doc_id, line_no) WHERE norm IN ('the', 'of')) SELECT word, line, CASE WHEN word = 'the' AND regexp_matches(line, '^The') THEN 'ジ' WHEN word = 'the' AND regexp_matches(line, 'ing') THEN 'ザ' WHEN word = 'of' AND regexp_matches(line, 'and') THEN 'オブ' END AS override FROM k")
 def j3(spark, sf):
     table = spark.sql("SELECT * FROM VALUES ('the', '^The', 'ジ', 1), ('the', 'ing', 'ザ', 2), ('of', 'and', 'オブ', 1) AS t(word, pattern, kana, ord)")
-    found = lines(spark, sf).select("line", F.explode(F.array_distinct(F.filter(F.transform(F.regexp_extract_all("line", F.lit(r"[A-Za-zÀ-ɏ]+(?:['’][A-Za-zÀ-ɏ]+)*"), F.lit(0)), lambda w: F.lower(w)), lambda w: w.isin("the", "of")))).alias("word"))
+    found = lines(spark, sf).select("line", F.explode(F.array_distinct(F.filter(F.transform(F.regexp_extract_all("line", F.lit(r"[A-Za-zÀ-ɏ]++(?:['’][A-Za-zÀ-ɏ]++)*+"), F.lit(0)), lambda w: F.lower(w)), lambda w: w.isin("the", "of")))).alias("word"))
     return R.line_overrides(found.distinct(), table).select("word", "line", "override")
 
 
@@ -215,31 +215,45 @@ def _special(spark):
     return spark.sql("SELECT * FROM VALUES ('emoticon', 'b', 'ボー'), ('glued', 'at', 'エーティー'), ('acronym', 'lv', 'レベル'), ('masked', '****ed', 'ピーッド'), ('fragment', 'wa', 'ウェ'), ('echo', 'ny', 'ナイ'), ('notation', 'ph', 'ペーハー'), ('uncertain', 'kro', 'クロ') AS t(kind, key, kana)")
 
 
-def _read(spark, sf, signals=None, **tables):
-    """Tokens of the corpus in their lines, and what each kind may be read as."""
-    told = R.line_tokens(R.in_lines(lines(spark, sf), hand(spark, sf), signals))
-    kinds = R.kinds_of(told, hand(spark, sf), **tables)
-    return told, kinds
+def _read(spark, sf, signals=None, overrides=None, **tables):
+    """Tokens of the corpus in their lines, read by the cascade."""
+    texts = R.with_document_tables(docs(spark, sf), overrides, "source")
+    told = R.line_tokens(R.in_lines(P.split_lines(texts, keep=("song", "drawn")), hand(spark, sf), signals))
+    return R.read_tokens(told, R.kinds_of(told, hand(spark, sf), **tables))
 
 
-@query("r2_read_tokens")
-def r2(spark, sf):
-    """The flagship composite: tokens of the corpus through every step of the line-aware cascade."""
+def _cascade(spark, sf):
     rules = spark.sql("SELECT * FROM VALUES (1, '^src1$', CAST(NULL AS STRING), map('the', 'ジ')), (2, '^src2$', 'Licensed under', map('an', 'アン')) AS t(override_id, title_pattern, marker_pattern, words)")
-    texts = docs(spark, sf)
     learned = lexicon(spark, sf).where("source = 'model'").groupBy("word").agg(F.min("kana").alias("kana"))
     loans = hand(spark, sf).where("length(word) = 7").select(F.lit("fr").alias("lang"), F.col("word").alias("key"), "kana")
     homographs = spark.sql("SELECT * FROM VALUES ('de', 'die'), ('de', 'in'), ('fr', 'pour'), ('fr', 'plus') AS t(lang, word)")
-    told, kinds = _read(spark, sf, special=_special(spark), learned=learned, loans=loans, homographs=homographs)
-    read = R.read_tokens(told, kinds, R.scope_overrides(texts.withColumn("title", F.col("source")), rules), P.long_vowel_words(texts))
-    return read.select("doc_id", "line_no", "tok_no", "text", "line_lang", "readable", "suppressed", "kana", "source", "confident")
+    return _read(spark, sf, overrides=rules, special=_special(spark), learned=learned, loans=loans, homographs=homographs)
+
+
+@query("r2_read_tokens")
+def r2(spark, sf):
+    """The flagship composite: tokens of the corpus through every step of the line-aware cascade."""
+    return _cascade(spark, sf).select("doc_id", "line_no", "tok_no", "text", "line_lang", "readable", "suppressed", "kana", "source", "confident")
+
+
+@query("a12_cascade_hits")
+def a12_all(spark, sf):
+    """What each layer of the whole cascade reads, by the language of the line; suppressed tokens count as such."""
+    read = _cascade(spark, sf)
+    return R.hit_report(read.select(F.coalesce("line_lang", F.lit("none")).alias("lang"), F.when(F.col("suppressed"), "suppressed").otherwise(F.col("source")).alias("source"), "confident"))
+
+
+@query("a12_cascade_tokens", f"WITH {DL}, {TK} SELECT doc_id, line_no, count(*) AS tokens FROM tk GROUP BY ALL")
+def a12_tokens(spark, sf):
+    """Tokens of each line that come out of the cascade: the split of heavy hitters loses and doubles none."""
+    return _cascade(spark, sf).groupBy("doc_id", "line_no").agg(F.count("*").alias("tokens"))
 
 
 @query("r2_lexicon_slice", f"WITH {DL}, {TK}, {LEX}, fe AS (SELECT doc_id, line_no, line, count(*) AS words, count(*) FILTER (one) AS singles, count(*) FILTER (notation) AS strung FROM tk GROUP BY ALL) SELECT doc_id, line_no, tok_no, text, kana FROM tk JOIN fe USING (doc_id, line_no) JOIN (SELECT word, kana FROM lx WHERE source = 'hand') h ON h.word = lower(text) WHERE kind = 0 AND length(text) > 3 AND NOT regexp_matches(text, '^[A-Z]+$') AND NOT regexp_matches(gap, '[*＊]{{2}}$')")
 def r2_slice(spark, sf):
     """What the lexicon alone decides of the cascade: whole words of more than three letters that it has."""
-    told, kinds = _read(spark, sf, {x: s for x, s in L.SIGNALS.items() if x != "la"})  # a Latin line is read by its engine
-    read = R.read_tokens(told, kinds).where("source = 'dict' AND kana IS NOT NULL AND length(text) > 3 AND NOT notation AND NOT chain").where(~F.col("text").rlike("^[A-Z]+$"))
+    read = _read(spark, sf, {x: s for x, s in L.SIGNALS.items() if x != "la"}).where("source = 'dict' AND kana IS NOT NULL AND length(text) > 3 AND NOT notation AND NOT chain").where(~F.col("text").rlike("^[A-Z]+$"))
+    # a Latin line is read by its engine
     return read.join(hand(spark, sf).select(F.col("word").alias("_w")), F.lower("text") == F.col("_w"), "left_semi").select("doc_id", "line_no", "tok_no", "text", "kana")
 
 

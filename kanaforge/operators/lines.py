@@ -44,18 +44,20 @@ CREDITS = Credits()
 ART_MARKS = 6
 #: Distinct short words whose romanised reading is not the lexicon's, and the share of short words, of a romaji line.
 ROMAJI_KINDS, ROMAJI_SHARE = 5, 0.6
+#: A word: western letters with inner apostrophes. Possessive, for else Java's engine recurses once for each part.
+WORD = rf"[{WESTERN}]++(?:['’][{WESTERN}]++)*+"
 #: Pairs of letters that romanised Japanese does not have.
 NOT_ROMAJI = "th|wh|ck|gh|ph|[qx]"
 
 
-def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, line_no, line): a document's lines, empty ones too; a null text has none."""
-    return docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+def split_lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, line_no, line, kept columns): a document's lines, empty ones too; a null text has none."""
+    return docs.select("doc_id", *keep, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
 def plain_words(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, word_no, word, norm, script): runs of western letters with inner apostrophes."""
-    found = F.regexp_extract_all("line", F.lit(rf"[{WESTERN}]+(?:['’][{WESTERN}]+)*"), F.lit(0))
+    found = F.regexp_extract_all("line", F.lit(WORD), F.lit(0))
     words = lines.select("doc_id", "line_no", F.posexplode(found).alias("word_no", "word"))
     return words.select("*", normalize_word("word").alias("norm"), script_of("word").alias("script"))
 
@@ -119,6 +121,10 @@ def line_features(scanned: DataFrame) -> DataFrame:
     )
 
 
+#: Features that romaji_lines() needs.
+ROMAJI_FEATURES = ("words", "short_words", "english_pairs", "short_kinds")
+
+
 def romaji_lines(featured: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, line_no, romaji_line): lines of many short words whose romanised reading differs from the lexicon's.
 
@@ -147,19 +153,22 @@ def echoes(norms: Column) -> Column:
 
 def echo_fragments(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, norm): the echoes of each line."""
-    found = F.regexp_extract_all("line", F.lit(rf"[{WESTERN}]+(?:['’][{WESTERN}]+)*"), F.lit(0))
+    found = F.regexp_extract_all("line", F.lit(WORD), F.lit(0))
     return lines.select("doc_id", "line_no", F.transform(found, normalize_word).alias("w")).select("doc_id", "line_no", F.explode(echoes(F.col("w"))).alias("norm"))
 
 
 #: Syllables in capitals of one or two consonants and a vowel, chained by tight hyphens, also over a line break.
-CHAINED = r"\b[B-DF-HJ-NP-TV-Z]{1,2}[AEIOU](?:-\n?[B-DF-HJ-NP-TV-Z]{1,2}[AEIOU])+\b"
+CHAINED = r"\b[B-DF-HJ-NP-TV-Z]{1,2}[AEIOU](?:-\n?[B-DF-HJ-NP-TV-Z]{1,2}[AEIOU]\b)++"
+
+
+def long_vowels(text: Column, pattern: str = CHAINED) -> Column:
+    """Array of the syllables of such chains in a text."""
+    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda chain: F.split(chain, "-\n?"))))
 
 
 def long_vowel_words(docs: DataFrame, pattern: str = CHAINED) -> DataFrame:
     """(doc_id, word): the syllables of such chains; their readings are drawn out everywhere in the document."""
-    chains = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    syllables = docs.select("doc_id", F.explode(chains).alias("chain")).select("doc_id", F.explode(F.split("chain", "-\n?")).alias("word"))
-    return syllables.distinct()
+    return docs.select("doc_id", F.explode(long_vowels(F.col("text"), pattern)).alias("word")).distinct()
 
 
 def japanese_documents(lines: DataFrame) -> DataFrame:

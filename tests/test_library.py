@@ -262,26 +262,26 @@ def test_overrides(spark):
 
 
 def test_every_step_of_the_line_cascade(spark):
-    special = spark.sql("SELECT * FROM VALUES ('emoticon', 'p', 'プー'), ('glued', 'at', 'エーティー'), ('acronym', 'lv', 'レベル'), ('masked', '***ing', 'ピーイング'), ('fragment', 'wa', 'ウェ'), ('echo', 'ly', 'ライ'), ('uncertain', 'krue', 'クル') AS t(kind, key, kana)")
+    special = spark.sql("SELECT * FROM VALUES ('emoticon', 'p', 'プー'), ('glued', 'at', 'エーティー'), ('acronym', 'gz', 'グズ'), ('masked', '***ing', 'ピーイング'), ('fragment', 'wa', 'ウェ'), ('echo', 'ly', 'ライ'), ('uncertain', 'krue', 'クル') AS t(kind, key, kana)")
     lex = [("stone", "ストーン"), ("river", "リバー"), ("do", "ドゥー"), ("me", "ミー"), ("so", "ソウ"), ("no", "ノウ"), ("to", "トゥー"), ("at", "アット"), ("box", "ボックス"), ("die", "ダイ"), ("amo", "エーモ")]
     texts = {
-        "unit": ("300mm の", "mm", "ミリ", "letters"), "label": ("K: stone", "K", None, None), "art": ("(o ^ o) / ~ * ♪ x !!", "x", None, None), "song": ("stone の歌", "stone", "ウタ", "song"), "emoticon": (";-p stone", "p", "プー", "letters"),
-        "small": ("ズチCゃ", "C", "チ", "letters"), "between": ("ラR ア stone", "R", "ラ", "letters"), "a": ("aと", "a", "エイ", "letters"), "O": ("O stone", "O", "オー", "letters"), "watt": ("30Wの", "W", "ワット", "letters"), "units": ("V, W, A", "V", "ボルト", "letters"),
-        "run": ("B, D, F", "D", "ディー", "letters"), "line": ("Xだけの日", "X", "イー", "dict"), "glued": ("T氏", "T", "ティー", "letters"), "other": ("U stone", "U", "ユー", "letters"), "article": ("A stone", "A", None, "any"), "digit": ("B4の紙", "B", "ビー", "letters"), "lone": ("Bの", "B", "ビー", "letters"),
-        "and": ("Q&A", "&", "アンド", "letters"), "caps": ("ATフィールド", "AT", "エーティー", "letters"), "greek": ("ψ の", "ψ", "プサイ", "letters"), "time": ("PM6 の", "PM", "ピーエム", "letters"), "level": ("LV だ", "LV", "レベル", "dict"), "masked": ("***ing だ", "***ing", "ピーイング", "dict"), "mask": ("b○x だ", "b○x", "ボックス", "dict"),
-        "cyrillic": ("Я らら", "Я", "ヤー", "letters"), "fragment": ("wa- だ", "wa", "ウェ", "dict"), "echo": ("reply ly ly", "ly", "ライ", "dict"), "chain": ("Ex-Hoshizora", "Hoshizora", "ホシゾラ", "romaji"), "short": ("Ex-Hoshizora", "Ex", "イーエックス", "letters"), "romaji": ("S.A.K.U.R.A", "S.A.K.U.R.A", "サクラ", "romaji"), "ph": ("p.h だ", "p.h", "ペーハー", "dict"),
+        "unit": ("45mm の", "mm", "ミリ", "letters"), "label": ("K: stone", "K", None, None), "art": ("(o ^ o) / ~ * ♪ x !!", "x", None, None), "song": ("stone の歌", "stone", "ウタ", "song"), "emoticon": (";-p stone", "p", "プー", "letters"),
+        "small": ("ラCゃ", "C", "チ", "letters"), "between": ("ラR ア stone", "R", "ラ", "letters"), "a": ("aと", "a", "エイ", "letters"), "O": ("O stone", "O", "オー", "letters"), "watt": ("30Wの", "W", "ワット", "letters"), "units": ("V, W, A", "V", "ボルト", "letters"),
+        "run": ("B, D, F", "D", "ディー", "letters"), "line": ("Jばかりの朝", "J", "イー", "dict"), "glued": ("Nさん", "N", "エヌ", "letters"), "other": ("U stone", "U", "ユー", "letters"), "article": ("A stone", "A", None, "any"), "digit": ("B4の紙", "B", "ビー", "letters"), "lone": ("Bの", "B", "ビー", "letters"),
+        "and": ("Q&A", "&", "アンド", "letters"), "caps": ("ATドア", "AT", "エーティー", "letters"), "greek": ("ψ の", "ψ", "プサイ", "letters"), "time": ("PM6 の", "PM", "ピーエム", "letters"), "level": ("GZ だ", "GZ", "グズ", "dict"), "masked": ("***ing だ", "***ing", "ピーイング", "dict"), "mask": ("b○x だ", "b○x", "ボックス", "dict"),
+        "cyrillic": ("Я らら", "Я", "ヤー", "letters"), "fragment": ("wa- だ", "wa", "ウェ", "dict"), "echo": ("reply ly ly", "ly", "ライ", "dict"), "chain": ("Ex-Hoshizora", "Hoshizora", "ホシゾラ", "romaji"), "short": ("Ex-Hoshizora", "Ex", "イーエックス", "letters"), "romaji": ("S.A.K.U.R.A", "S.A.K.U.R.A", "サクラ", "romaji"), "ph": ("p.h の値", "p.h", "ペーハー", "dict"),
         "guess": ("in the NEKO", "NEKO", "ネコ", "romaji"), "uncertain": ("in the KRUE", "KRUE", "クル", "rule"), "stop": ("in the KRUX", "KRUX", None, None), "learned": ("zorb だ", "zorb", "ゾーブ", "learned"), "dict": ("stone だ", "stone", "ストーン", "dict"), "loan": ("wir sind nicht mehr ein lied", "lied", "リート", "loan"), "engine": ("wir sind nicht mehr stein", "stein", "シュタイン", "lang"),
         "homograph": ("die wir nicht sind", "die", "ディー", "lang"), "latin": ("pax in terra et lux amo", "amo", "アモ", "lang"), "two": ("do だ", "do", "ドゥー", "dict"), "line of romaji": ("do me so no to", "do", "ド", "romaji"), "mute": ("a**stone", "a**stone", "any", "any"), "drawn": ("TO-TO-RE だ", "TO", "トー", "any"),
     }
     names = list(texts)
     rows = spark.createDataFrame([(i, 0, texts[n][0]) for i, n in enumerate(names)], "doc_id long, line_no int, line string")
     lexicon_table = spark.createDataFrame(lex, "word string, kana string")
-    by_line = spark.sql("SELECT 'X' word, 'だけ' pattern, 'イー' kana, 1 ord")
-    told = cascade.line_tokens(cascade.in_lines(rows, lexicon_table, by_line=by_line))
+    by_line = spark.sql("SELECT 'J' word, 'ばかり' pattern, 'イー' kana, 1 ord")
+    song = spark.createDataFrame([(names.index("song"), {"stone": "ウタ"})], "doc_id long, song map<string,string>")
+    by_doc = rows.join(song, "doc_id", "left").withColumn("drawn", lines.long_vowels(F.col("line")))
+    told = cascade.line_tokens(cascade.in_lines(by_doc, lexicon_table, by_line=by_line))
     kinds = cascade.kinds_of(told, lexicon_table, special=special, learned=spark.sql("SELECT 'zorb' word, 'ゾーブ' kana UNION ALL SELECT 'stone', 'マチガイ'"), loans=spark.sql("SELECT 'de' lang, 'lied' key, 'リート' kana"), homographs=spark.sql("SELECT 'de' lang, 'die' word"), english=spark.sql("SELECT 'the' word"))
-    song = spark.createDataFrame([(names.index("song"), "Stone", "ウタ")], "doc_id long, word string, kana string")
-    drawn = lines.long_vowel_words(rows.select("doc_id", F.col("line").alias("text")))
-    read = cascade.read_tokens(told, kinds, song, drawn)
+    read = cascade.read_tokens(told, kinds)
     got = {(names[r["doc_id"]], r["text"]): r for r in read.collect()}
     wrong = {}
     for name, (_, text, kana, source) in texts.items():
