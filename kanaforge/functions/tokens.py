@@ -160,12 +160,21 @@ def flags() -> dict[str, Column]:
     }
 
 
+def spread_tokens(rows: DataFrame, tokens: str) -> DataFrame:
+    """rows with a row (tok_no, t) for each token. An outer generator, because Spark puts a filter on the array below an inner one,
+    which would scan every line twice."""
+    kept = [c for c in rows.columns if c != tokens]
+    return rows.select(*kept, F.posexplode_outer(tokens).alias("tok_no", "t")).where("tok_no IS NOT NULL")
+
+
 def tokenize(lines: DataFrame, with_line: bool = False) -> DataFrame:
     """(doc_id, line_no, tok_no, text, start, end, kind, flags...) of (doc_id, line_no, line), with_line also other_word:
     whether the line has another word of two letters and more. No exchange of any text."""
     scanned = lines.select("doc_id", "line_no", tokens_column("line").alias("ts"))
-    many = [F.size(F.filter("ts", lambda t: F.length(t["text"]) >= 2)).alias("_many")] if with_line else []
-    rows = scanned.select("doc_id", "line_no", *many, F.posexplode("ts").alias("tok_no", "t")).select("doc_id", "line_no", *[m for m in ("_many",) if many], "tok_no", "t.*")
+    if with_line:  # before the array is spread: else every token would carry it
+        scanned = scanned.withColumn("_many", F.size(F.filter("ts", lambda t: F.length(t["text"]) >= 2)))
+    many = ["_many"] if with_line else []
+    rows = spread_tokens(scanned, "ts").select("doc_id", "line_no", *many, "tok_no", "t.*")
     columns = ["doc_id", "line_no", "tok_no", "text", "start", (F.col("start") + F.length("text")).alias("end"), "kind", *[c.alias(n) for n, c in flags().items()]]
     return rows.select(*columns, *([(F.col("_many") - F.when(F.length("text") >= 2, 1).otherwise(0) > 0).alias("other_word")] if with_line else []))
 
