@@ -146,9 +146,13 @@ def placed_words(lines: DataFrame, word: str = rf"[{LATIN}]+") -> DataFrame:
 
 
 def echoes(norms: Column) -> Column:
-    """The fragments of 2 or 3 letters that occur twice and more in a line and end a longer word of it."""
-    short = F.array_distinct(F.filter(norms, lambda t: F.length(t).between(2, 3)))
-    return F.filter(short, lambda x: (F.size(F.filter(norms, lambda y: y == x)) >= 2) & F.exists(norms, lambda y: (F.length(y) > F.length(x)) & y.endswith(x)))
+    """The fragments of 2 or 3 letters that occur twice and more in a line and end a longer word of it.
+
+    Fragments are sorted, so that repeated ones are neighbours, and met with the ends of the longer words: linear in the line, but for the sort."""
+    short = F.array_sort(F.filter(norms, lambda t: F.length(t).between(2, 3)))
+    twice = F.transform(F.array(short), lambda s: F.filter(s, lambda x, i: x == F.get(s, i + 1)))[0]  # a variable: else sorted again for each
+    fits = F.array_union(*[F.transform(F.filter(norms, lambda t: F.length(t) > F.lit(n)), lambda t: F.right(t, F.lit(n))) for n in (2, 3)])
+    return F.array_intersect(twice, fits)
 
 
 def echo_fragments(lines: DataFrame) -> DataFrame:
