@@ -1 +1 @@
-"""Keyed state machines and event-time windows."""
+"""Streams: folds in order of event time, windows, caches; each has a twin over a table."""

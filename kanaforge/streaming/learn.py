@@ -10,8 +10,9 @@ What an answer does depends on the word's phase:
     another kana                        pending           pending, the new one    dropped, nothing known
     a tombstone                         forgotten         forgotten               forgotten
 
-A line without text never teaches. Answers of a word are taken in order of (ts, n). A stream takes those of a micro-batch
-so, and later ones as they arrive; a word that no answer came for in KEPT_DAYS of event time is forgotten without a row.
+A line without text never teaches. Answers of a word are taken in order of (ts, n, kana, line, local, forget), in a stream as over a
+table: a stream keeps them until its watermark, LATE behind the latest, has passed them. A word that no answer comes for in KEPT_DAYS of
+event time is forgotten without a row.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+
+from kanaforge.streaming.ordered import OrderedFold, folded
 
 KEPT_DAYS = 180
 LATE = "1 day"
-STATE = "kana string, line string, learned boolean"
+STATE = "kana string, line string, learned boolean, at long"
+_KEPT = KEPT_DAYS * 86_400_000_000
 OUTPUT = "n bigint, status string, kana string"
 _KANA = re.compile("[ァ-ヶーヿ]{1,14}").fullmatch
 
@@ -40,22 +43,30 @@ class Word:
     kana: str = ""
     line: str = ""
     learned: bool = False
+    at: int | None = None  # of its last answer, in microseconds
+
+    def after(self, at: int) -> "Word":
+        """The word when its next answer comes: nothing is known of it after KEPT_DAYS."""
+        if self.at is not None and at - self.at > _KEPT:
+            self.__init__()
+        self.at = at
+        return self
 
     def take(self, kana: str | None, line: str | None, local: str | None, forget: bool = False) -> tuple[str, str | None] | None:
         """The status and kana that an answer brings about, or None where it changes nothing."""
         line = " ".join((line or "").split())
         if forget:
-            self.__init__()
+            self.__init__(at=self.at)
             return "forgotten", None
         if not kana or not _KANA(kana) or self.learned and kana == self.kana:
             return None
         if kana == local:
             if not self.learned:
-                self.__init__()
+                self.__init__(at=self.at)
             return None
         if self.learned:
             dropped = self.kana
-            self.__init__()
+            self.__init__(at=self.at)
             return "dropped", dropped
         if kana == self.kana and self.line and line and line != self.line:
             self.learned, self.line = True, ""
@@ -84,39 +95,50 @@ def batch(answers: DataFrame) -> DataFrame:
         now, word = Word(), None
         for part in parts:
             words, ns, statuses, kanas = [], [], [], []
-            for key, n, kana, line, local, forget in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
+            for key, at, n, kana, line, local, forget in zip(*(part.column(i).to_pylist() for i in range(7)), strict=True):
                 if key != word:
                     now, word = Word(), key
-                if said := now.take(kana, line, local, forget):
+                if said := now.after(at).take(kana, line, local, forget):
                     words.append(key)
                     ns.append(n)
                     statuses.append(said[0])
                     kanas.append(said[1])
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ns, pa.int64()), pa.array(statuses, pa.string()), pa.array(kanas, pa.string())], ["word", "n", "status", "kana"])
 
-    laid = answers.repartition("word").sortWithinPartitions("word", "ts", "n")
-    return laid.select("word", "n", "kana", "line", "local", "forget").mapInArrow(fold, f"word string, {OUTPUT}")
+    laid = timed(answers).repartition("word").sortWithinPartitions("word", "at", *FIELDS)
+    return laid.select("word", "at", *FIELDS).mapInArrow(fold, f"word string, {OUTPUT}")
+
+
+FIELDS = ("n", "kana", "line", "local", "forget")
+
+
+def timed(answers: DataFrame) -> DataFrame:
+    return answers.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+
+
+class Learning(OrderedFold):
+    """One Word in state."""
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.word = handle.getValueState("word", STATE)
+
+    def take(self, key: tuple, row: tuple) -> list[Row]:
+        at, n, kana, line, local, forget = row
+        now = (Word(*self.word.get()) if self.word.exists() else Word()).after(at)
+        said = now.take(kana, line, local, forget)
+        self.word.update((now.kana, now.line, now.learned, now.at))
+        return [Row(word=key[0], n=n, status=said[0], kana=said[1])] if said else []
+
+    def wipe(self) -> None:
+        self.word.clear()
 
 
 def stream(answers: DataFrame) -> DataFrame:
     """The same over a stream of answers."""
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = Word(*state.get) if state.exists else Word()
-        rows = pd.concat(list(parts)).sort_values(["ts", "n"])
-        out = []
-        for n, kana, line, local, forget in rows[["n", "kana", "line", "local", "forget"]].itertuples(index=False):
-            if said := now.take(kana, line, local, bool(forget)):
-                out.append((key[0], n, *said))
-        state.update((now.kana, now.line, now.learned))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + KEPT_DAYS * 86_400_000)
-        yield pd.DataFrame(out, columns=["word", "n", "status", "kana"])
-
-    timed = answers.withWatermark("ts", LATE)
-    return timed.groupBy("word").applyInPandasWithState(fold, f"word string, {OUTPUT}", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = timed(answers.withWatermark("ts", LATE)).select("word", "ts", "at", *FIELDS)
+    row = T.StructType([T.StructField("at", T.LongType())] + [T.StructField(f.name, f.dataType) for f in rows.schema if f.name in FIELDS])
+    return folded(rows, ["word"], Learning(["word"], row, KEPT_DAYS * 86_400_000), f"word string, {OUTPUT}")
 
 
 def learned(changes: DataFrame) -> DataFrame:
