@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kanaforge.jobs.inputs import LEX, SPELLED, hand, lexicon, spelled
 from kanaforge.jobs.registry import query
+from kanaforge.operators.spans import ranked
 from kanaforge.sources import files as S
 
 
@@ -18,11 +19,8 @@ def s1(spark, sf):
 
 @query("s3_frequency_words", f"WITH {LEX}, r AS (SELECT word, length(word)::BIGINT * 1000000 + row_number() OVER (ORDER BY word) AS rank FROM (SELECT DISTINCT word FROM lx)) SELECT rank, word FROM r WHERE regexp_matches(word, '^[a-z]{{2,14}}$') AND NOT regexp_matches(word, 'aaa|bbb|ccc|ddd|eee|fff|ggg|hhh|iii|jjj|kkk|lll|mmm|nnn|ooo|ppp|qqq|rrr|sss|ttt|uuu|vvv|www|xxx|yyy|zzz') ORDER BY rank, word LIMIT 500")
 def s3(spark, sf):
-    from pyspark.sql import Window
-
-    words = lexicon(spark, sf).select("word").distinct()
-    ranked = words.withColumn("rank", F.length("word").cast("long") * 1_000_000 + F.row_number().over(Window.orderBy("word")))  # the words of the tables' conversations
-    return S.frequency_words(ranked, 500)
+    words = ranked(lexicon(spark, sf).select("word").distinct(), ["word"])
+    return S.frequency_words(words.withColumn("rank", F.length("word").cast("long") * 1_000_000 + F.col("rank")), 500)
 
 
 @query("s4_bundle_round_trip", f"WITH {LEX}, m AS (SELECT word, min(kana) AS kana, count(*) AS lines FROM lx WHERE source = 'model' GROUP BY word) SELECT 'learned' AS part, word, kana, NULL::BIGINT AS lines FROM lx WHERE source = 'hand' UNION ALL SELECT 'llm', * FROM m UNION ALL SELECT 'free', word, kana, NULL FROM lx WHERE source = 'model' AND length(word) > 6")

@@ -10,6 +10,7 @@ from kanaforge.jobs.registry import query
 from kanaforge.operators import answers as A
 from kanaforge.operators import lexicon as X
 from kanaforge.operators import usage as U
+from kanaforge.operators.spans import ranked
 from kanaforge.streaming.annotate import cached
 
 _K = "^[゠-ヿー]+$"
@@ -84,13 +85,7 @@ def u3(spark, sf):
 
 @query("k3_sorted_lexicon", f"WITH {LEX} SELECT word, min(kana) AS kana, row_number() OVER (ORDER BY word) AS place FROM lx WHERE source = 'hand' GROUP BY word")
 def k3(spark, sf):
-    """Place of each word in order, from counts by first letter and ranks within it."""
-    from pyspark.sql import Window
-
-    words = hand(spark, sf).select("word", "kana").withColumn("_l", F.substring("word", 1, 1))
-    before = words.groupBy("_l").agg(F.count("*").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_l").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = words.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("word"))).join(F.broadcast(before), "_l")
-    return ranked.select("word", "kana", (F.col("_b") + F.col("_r")).alias("place"))
+    return ranked(hand(spark, sf).select("word", "kana"), ["word"], "place").select("word", "kana", "place")
 
 
 # -- answers -----------------------------------------------------------------------------------------------
@@ -186,12 +181,22 @@ def w4(spark, sf):
     return A.plan_batches(answers(spark, sf), 30, shard=F.floor(F.col("stamp") / 1e6 / 64).cast("long"))
 
 
-@query("w4_plan_batches_hashed", f"WITH {ANS}, q AS (SELECT word, ctx, min(stamp) AS stamp FROM an GROUP BY word, ctx) SELECT count(*) AS questions, count(DISTINCT word) AS words, min(stamp) AS earliest, max(stamp) AS latest FROM q")
-def w4h(spark, sf):
-    """The same by a hash of the question, in as many shards as there are shuffle partitions: nothing is lost or doubled."""
-    planned = A.plan_batches(answers(spark, sf), 30)
-    good = planned.where("item BETWEEN 1 AND 30").dropDuplicates(["shard", "batch", "item"])
-    return good.agg(F.count("*").alias("questions"), F.countDistinct("word").alias("words"), F.min("stamp").alias("earliest"), F.max("stamp").alias("latest"))
+@query("w4_plan_batches_all", f"""WITH {ANS}, q AS (SELECT word, ctx, min(stamp) AS stamp FROM an GROUP BY word, ctx), n AS (SELECT *, row_number() OVER (ORDER BY stamp, word, ctx) - 1 AS n FROM q)
+  SELECT word, ctx, stamp, n // 30 AS batch, (n % 30 + 1)::INT AS item FROM n""")
+def w4_all(spark, sf):
+    """Batches of 30 questions in one order over all."""
+    return A.plan_batches(answers(spark, sf), 30).drop("shard")
+
+
+@query("j7_answer_as_of", f"""WITH {ANS}, t AS (SELECT DISTINCT word, ctx, stamp - 5000 AS stamp FROM an UNION SELECT DISTINCT word, 'elsewhere', stamp FROM an),
+  o AS (SELECT word, ctx, stamp, max({{'m': is_miss, 'k': kana}}) AS s FROM an GROUP BY word, ctx, stamp), l AS (SELECT word, stamp, max(kana) AS kana FROM an WHERE NOT is_miss GROUP BY word, stamp),
+  a AS (SELECT t.*, o.s FROM t ASOF LEFT JOIN o ON t.word = o.word AND t.ctx = o.ctx AND t.stamp >= o.stamp)
+  SELECT a.word, a.ctx, a.stamp, CASE WHEN a.s.m THEN NULL ELSE coalesce(a.s.k, l.kana) END AS kana, a.s IS NOT NULL AS asked FROM a ASOF LEFT JOIN l ON a.word = l.word AND a.stamp >= l.stamp""")
+def j7_as_of(spark, sf):
+    """Every question half a turn before it was answered, and every word at its times on another line."""
+    a = answers(spark, sf)
+    tokens = a.select("word", "ctx", F.col("stamp") - 5000).union(a.select("word", F.lit("elsewhere"), "stamp")).toDF("word", "ctx", "stamp").distinct()
+    return A.lookup_as_of(tokens, a)
 
 
 @query("w5_rate_limit", "SELECT event_id, count(*) OVER w AS recent, count(*) OVER w > 20 AS over FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW)")

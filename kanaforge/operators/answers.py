@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kanaforge.functions.kana import romaji_column
 from kanaforge.functions.sounds import ROWS
 from kanaforge.functions.text import KANA, MAX_KANA, is_kana
+from kanaforge.operators.spans import as_of, previous, ranked, trailing
 
 #: Rows of kana that a first letter may start with: its usual sounds, and those of the groups that it opens (ps, kn, gn,
 #: ng, mn ...). Letters that are not listed never reject a reading.
@@ -49,6 +50,16 @@ def lookup(tokens: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.select(*tokens.columns, F.when(F.col("_miss"), None).otherwise(F.coalesce("_own", "_any")).alias("kana"), F.col("_miss").isNotNull().alias("asked"))
 
 
+def lookup_as_of(tokens: DataFrame, answers: DataFrame) -> DataFrame:
+    """tokens (word, ctx, stamp) with kana, asked: as lookup(), but of the answers that were there at the token's time.
+
+    The answer for the sentence, else the word's latest on any line before the token; a miss for the sentence that is its last
+    answer before the token means that nothing else is used."""
+    own = as_of(tokens, answers.select("word", "ctx", "stamp", "kana", "is_miss"), ["word", "ctx"], "stamp", ["is_miss", "kana"], "_own")
+    both = as_of(own, answers.where("NOT is_miss").select("word", "stamp", "kana"), ["word"], "stamp", ["kana"], "_any")
+    return both.select(*tokens.columns, F.when(F.col("_own.is_miss"), None).otherwise(F.coalesce("_own.kana", "_any.kana")).alias("kana"), F.col("_own").isNotNull().alias("asked"))
+
+
 def latest_readings(answers: DataFrame) -> DataFrame:
     """(word, kana, at): the last reading of each word."""
     return answers.where("NOT is_miss").groupBy("word").agg(F.max_by("kana", F.struct("stamp", "kana")).alias("kana"), F.max("stamp").alias("stamp"))
@@ -113,28 +124,28 @@ def evict_oldest(rows: DataFrame, most: int, at: str, tie: str) -> DataFrame:
 
 
 def plan_batches(pending: DataFrame, size: int, shard: Column | None = None) -> DataFrame:
-    """(word, ctx, stamp, shard, batch, item): distinct questions in order of arrival, numbered within shards.
+    """(word, ctx, stamp, shard, batch, item): distinct questions in order of arrival, in batches of a size.
 
-    shard: a column that deals the questions out; by default a hash of the question, over the shuffle partitions."""
+    By default one order over all questions, ranked by ranges, and shard 0; with shard, a column, each shard has batches of its own."""
+    asked = pending.groupBy("word", "ctx").agg(F.min("stamp").alias("stamp"))
     if shard is None:
-        shard = F.pmod(F.xxhash64("word", "ctx"), F.lit(int(pending.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    asked = pending.groupBy("word", "ctx").agg(F.min("stamp").alias("stamp")).withColumn("shard", shard)
-    numbered = asked.withColumn("_n", F.row_number().over(Window.partitionBy("shard").orderBy("stamp", "word", "ctx")) - 1)
-    return numbered.select("word", "ctx", "stamp", "shard", F.expr(f"cast(_n div {size} AS int)").alias("batch"), F.expr(f"cast(_n % {size} + 1 AS int)").alias("item"))
+        numbered = ranked(asked.withColumn("shard", F.lit(0)), ["stamp", "word", "ctx"], "_n").withColumn("_n", F.col("_n") - 1)
+    else:
+        numbered = asked.withColumn("shard", shard).withColumn("_n", F.row_number().over(Window.partitionBy("shard").orderBy("stamp", "word", "ctx")) - 1)
+    return numbered.select("word", "ctx", "stamp", "shard", F.expr(f"cast(_n div {size} AS {'bigint' if shard is None else 'int'})").alias("batch"), F.expr(f"cast(_n % {size} + 1 AS int)").alias("item"))
 
 
 def rate_limit(requests: DataFrame, most: int, seconds: int, key: str = "endpoint") -> DataFrame:
     """requests with recent and over: how many came in the trailing window, and whether that is beyond the quota."""
-    window = Window.partitionBy(key).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return requests.withColumn("recent", F.count("*").over(window)).withColumn("over", F.col("recent") > most)
+    counted = trailing(requests, key, "ts", seconds * 1_000_000, F.lit(1), "recent", open_start=True)
+    return counted.withColumn("over", F.col("recent") > most)
 
 
 def change_runs(events: DataFrame, seconds: int = 3, most: int = 3) -> DataFrame:
     """events (key, ts, value, n) with changes in the trailing window and suppressed; the first sight is no change."""
-    by_key = Window.partitionBy("key").orderBy("ts", "n")
-    changed = events.withColumn("_c", F.coalesce((F.col("value") != F.lag("value").over(by_key)).cast("int"), F.lit(0)))
-    trailing = Window.partitionBy("key").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return changed.withColumn("changes", F.sum("_c").over(trailing)).withColumn("suppressed", F.col("changes") >= most).drop("_c")
+    seen = previous(events, "key", ["ts", "n"], "value", "_last")
+    changed = seen.withColumn("_c", F.coalesce((F.col("value") != F.col("_last.value")).cast("int"), F.lit(0)))
+    return trailing(changed, "key", "ts", seconds * 1_000_000, F.col("_c"), "changes").withColumn("suppressed", F.col("changes") >= most).drop("_c", "_last")
 
 
 OUTCOMES = ("hit", "cached", "miss", "rejected")
@@ -145,11 +156,11 @@ def health(log: DataFrame) -> DataFrame:
 
     log: (endpoint, ts, n, ok), with outcome (one of OUTCOMES, or null) and pending (words that wait) where they are
     known; an endpoint is stalled after two failures in a row while anything waits."""
-    order = Window.partitionBy("endpoint").orderBy(F.desc("ts"), F.desc("n"))
-    tail = log.withColumn("_good", F.sum(F.col("ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    good = log.where("ok").groupBy("endpoint").agg(F.max(F.struct("ts", "n")).alias("_last"))
+    tail = log.join(good, "endpoint", "left").withColumn("_tail", F.col("_last").isNull() | (F.struct("ts", "n") > F.col("_last")))
     counts = [F.count_if(F.col("outcome") == x).alias({"hit": "hits", "cached": "cache_hits", "miss": "misses", "rejected": "rejected"}[x]) for x in OUTCOMES] if "outcome" in log.columns else []
     waits = F.max_by("pending", F.struct("ts", "n")) > 0 if "pending" in log.columns else F.lit(True)
-    out = tail.groupBy("endpoint").agg(F.count("*").alias("requests"), F.count_if(~F.col("ok")).alias("failures"), F.count_if(F.col("_good") == 0).alias("tail_failures"), *counts, waits.alias("_waits"))
+    out = tail.groupBy("endpoint").agg(F.count("*").alias("requests"), F.count_if(~F.col("ok")).alias("failures"), F.count_if(F.col("_tail")).alias("tail_failures"), *counts, waits.alias("_waits"))
     return out.withColumn("stalled", (F.col("tail_failures") >= 2) & F.coalesce("_waits", F.lit(False))).drop("_waits")
 
 

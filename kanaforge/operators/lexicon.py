@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kanaforge.functions.text import KANA, MAX_KANA
+from kanaforge.sources.scratch import written
 
 KEY = "^[a-z]+$"
 MASKS = "○●◯〇*"
@@ -40,14 +41,34 @@ def masked_lookup(words: DataFrame, lexicon: DataFrame, curated: DataFrame | Non
     """(word, kana): words with masked letters that are listed (curated: word, kana), or whose lexicon matches all
     agree on one reading.
 
-    Candidates meet by length and by the first visible letter's place and value; the rest is a pattern check."""
-    word = F.lower(F.col("word"))
-    asked = words.select("word").distinct().where(F.col("word").rlike(f"[{MASKS}]") & F.col("word").rlike("[A-Za-z]"))
-    asked = asked.select("word", F.length("word").alias("n"), F.regexp_instr(word, F.lit("[a-z]")).alias("at"), F.translate(word, MASKS, "_" * len(MASKS)).alias("like"))
-    asked = asked.withColumn("letter", F.expr("substring(like, at, 1)"))
-    places = lexicon.select("kana", F.col("word").alias("entry"), F.length("word").alias("n"), F.posexplode(F.split("word", "")).alias("_p", "letter")).withColumn("at", F.col("_p") + 1)
-    met = asked.join(places, ["n", "at", "letter"]).where(F.expr("entry LIKE like"))
-    found = met.groupBy("word").agg(F.min("kana").alias("kana"), F.countDistinct("kana").alias("_k")).where("_k = 1").drop("_k")
+    Lexicon words are filed under their length and every letter, and every two letters, with their places, as far as a mask asks for
+    that file. A mask with one or two visible letters is answered by its file's first and last reading, however many words it
+    holds; one with more meets the words of its rarest two letters, and the rest is a pattern check."""
+    low = F.lower(F.col("word"))
+    masked = words.select("word").distinct().where(F.col("word").rlike(f"[{MASKS}]") & F.col("word").rlike("[A-Za-z]")).withColumn("like", F.translate(low, MASKS, "_" * len(MASKS)))
+    masked = written(masked)  # asked for several times
+    letter = lambda at: F.substring("like", at, 1)
+    shown = F.filter(F.sequence(F.lit(1), F.length("like")), lambda at: letter(at) != "_")
+    masks = masked.select("like").distinct().withColumn("n", F.length("like")).withColumn("shown", shown).withColumn("visible", F.size("shown"))
+    entries = lexicon.select("kana", F.col("word").alias("entry"), F.length("word").alias("n")).where("kana IS NOT NULL")
+    places = entries.select("n", "entry", "kana", F.posexplode(F.split("entry", "")).alias("_p", "letter")).select("n", "entry", "kana", (F.col("_p") + 1).alias("at"), "letter")
+    sizes = places.groupBy("n", "at", "letter").agg(F.count("*").alias("size"), F.min("kana").alias("first"), F.max("kana").alias("last"))
+    asked = masks.select("like", "n", "visible", F.explode("shown").alias("at")).withColumn("letter", letter(F.col("at")))
+    known = asked.join(sizes, ["n", "at", "letter"])  # a visible letter that no word has there leaves the mask without an answer
+    two = known.groupBy("like", "n", "visible").agg(F.count("*").alias("met"), F.slice(F.array_sort(F.collect_list(F.struct("size", "at", "letter", "first", "last"))), 1, 2).alias("rare")).where("met = visible")
+    two = written(two)
+    single = two.where("visible = 1 AND rare[0].first = rare[0].last").select("like", F.col("rare")[0]["first"].alias("kana"))
+    a, b = F.least(F.col("rare")[0]["at"], F.col("rare")[1]["at"]), F.greatest(F.col("rare")[0]["at"], F.col("rare")[1]["at"])
+    pairs = two.where("visible > 1").select("like", "n", "visible", a.alias("a"), b.alias("b")).withColumn("x", letter(F.col("a"))).withColumn("y", letter(F.col("b")))
+    file = ["n", "a", "x", "b", "y"]
+    wanted = pairs.select("n", "a", "b").distinct()  # places only: few, whatever the masks
+    filed = entries.join(wanted, "n").withColumn("x", F.expr("substring(entry, a, 1)")).withColumn("y", F.expr("substring(entry, b, 1)"))
+    filed = filed.join(pairs.select(*file).distinct(), file, "left_semi")
+    readings = filed.groupBy(*file).agg(F.min("kana").alias("first"), F.max("kana").alias("last"))
+    double = pairs.where("visible = 2").join(readings, file).where("first = last").select("like", F.col("first").alias("kana"))
+    met = pairs.where("visible > 2").join(filed.select(*file, "entry", "kana"), file).where(F.expr("entry LIKE like"))
+    more = met.groupBy("like").agg(F.min("kana").alias("kana"), F.max("kana").alias("_k")).where("kana = _k").drop("_k")
+    found = masked.join(single.unionByName(double).unionByName(more), "like").select("word", "kana")
     if curated is None:
         return found
     listed = words.select("word").distinct().join(curated.select(F.lower("word").alias("_key"), "kana"), F.lower("word") == F.col("_key")).select("word", "kana")

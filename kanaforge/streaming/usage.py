@@ -4,9 +4,11 @@ A late event counts for its own day until the watermark passes it; running total
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kanaforge.operators.spans import running_count
+
 LATE = "1 day"
 
 
@@ -32,10 +34,7 @@ def totals(events: DataFrame, *by: str) -> DataFrame:
 
 def running(events: DataFrame) -> DataFrame:
     """(event_id, kind, day, total, today): the totals as they stood after each event of a table, in order of time: `today`
-    starts anew with each day. Daily sums are added up first, so that no task holds all events of a kind."""
+    starts anew with each day. Counts of hours are added up first, so that no task holds all events of a kind."""
     rows = events.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    days = rows.groupBy("kind", "day").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("kind").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    earlier = days.select("kind", "day", before.alias("before"))
-    in_day = F.row_number().over(Window.partitionBy("kind", "day").orderBy("ts", "event_id"))
-    return rows.withColumn("today", in_day).join(earlier, ["kind", "day"]).select("event_id", "kind", "day", (F.col("before") + F.col("today")).cast("long").alias("total"), F.col("today").cast("long").alias("today"))
+    today = running_count(rows, ["kind", "day"], "ts", ["event_id"], "today")
+    return running_count(today, ["kind"], "ts", ["event_id"], "total").select("event_id", "kind", "day", "total", "today")
