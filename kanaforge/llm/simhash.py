@@ -48,9 +48,8 @@ NEAR_WORDS, NEAR = 5, (4, 5)
 BANDS, BAND_ROWS = 32, 5
 #: Shingles permuted at a time: a memory bound only.
 BAND_CHUNK = 1 << 12
-#: Salts by which each round of stars picks its members of a bucket, and pairs that may be left for each bucket row.
-ROUNDS = [[0], list(range(1, 9)), list(range(9, 17))]
-PAIRS_LEFT = 4
+#: Rounds of stars at most, and pairs that may be left for each bucket row before all that are left are verified.
+ROUNDS, PAIRS_LEFT = 8, 2
 
 
 # -- fingerprints ------------------------------------------------------------------------------------------
@@ -503,9 +502,9 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, v): links between sets (own, n, rep, bands) that connect those which share a bucket and have a similarity
     of NEAR or more.
 
-    In a round every bucket takes one member, in later rounds several others, and the members that links do not yet
-    connect with these are verified against them: a few checks for each member connect a dense group. Further rounds run
-    only while the pairs that are left are more than PAIRS_LEFT for each bucket row. All pairs that are left in the
+    In a round every bucket takes one member, and those that links do not yet connect with it are verified against it: one
+    check for each place of a member in a bucket. As a member is in many buckets, a dense group is connected after few rounds. Further rounds
+    run only while the pairs that are left are more than PAIRS_LEFT for each bucket row. All pairs that are left in the
     end are verified, so that no link that could join two components goes unchecked."""
     top, under = NEAR
     fits = lambda a, b: under * F.least(a, b) >= top * F.greatest(a, b)
@@ -518,9 +517,10 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     sets = table(shingle_sets(docs.join(wanted, "doc_id", "left_semi")).join(met.select("own").distinct(), "own", "left_semi").dropDuplicates(["own"]))
     placed = met.select("bucket", "own", "n", F.col("own").alias("component"))
     links = None
-    for salts in ROUNDS:
-        firsts = [F.min(F.struct(F.xxhash64("own", F.lit(salt)).alias("h"), "own", "n", "component")) for salt in salts]
-        chosen = placed.groupBy("bucket").agg(F.array_distinct(F.array(*firsts)).alias("firsts")).select("bucket", F.explode("firsts").alias("first"))
+    for salt in range(ROUNDS):
+        # The first round's member is the same in all buckets that hold it, so a group has one star; later ones differ by bucket.
+        h = F.xxhash64("own", F.lit(salt), F.col("bucket") if salt else F.lit(0))
+        chosen = placed.groupBy("bucket").agg(F.min(F.struct(h.alias("h"), "own", "n", "component")).alias("first"))
         stars = placed.join(chosen, "bucket").where((F.col("component") != F.col("first.component")) & fits(F.col("n"), F.col("first.n")))
         pairs = stars.select(F.least("own", "first.own").alias("u"), F.greatest("own", "first.own").alias("v")).distinct()
         new = verified(pairs, sets)
