@@ -71,9 +71,21 @@ def write_bundle(learned: DataFrame, answers: DataFrame, free: DataFrame, parts:
     return a.join(b, "part", "full_outer").join(c, "part", "full_outer").select("part", F.to_json(F.struct(F.lit(1).alias("version"), "learned", "llm", "free")).alias("bundle"))
 
 
+def bundle_fault(bundle: Column) -> Column:
+    """Why a bundle text cannot be taken: broken (no JSON object, or of other types), version, or empty; null where it can."""
+    strict = F.from_json(bundle, f"{BUNDLE[:-1]},_broken:string>", {"columnNameOfCorruptRecord": "_broken"})
+    none = F.coalesce(F.size(strict["learned"]), F.lit(0)) + F.coalesce(F.size(strict["llm"]), F.lit(0)) + F.coalesce(F.size(strict["free"]), F.lit(0)) <= 0
+    return F.when(bundle.isNull() | strict["_broken"].isNotNull(), "broken").when(F.coalesce(strict["version"] != 1, F.lit(True)), "version").when(none, "empty")
+
+
+def bundle_errors(texts: DataFrame) -> DataFrame:
+    """texts with why: the bundles that read_bundle() leaves out."""
+    return texts.withColumn("why", bundle_fault(F.col("bundle"))).where("why IS NOT NULL")
+
+
 def read_bundle(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(learned, answers, free) of bundle texts; broken ones are skipped."""
-    parsed = texts.select(F.from_json("bundle", BUNDLE).alias("b"))
+    """(learned, answers, free) of bundle texts; bundle_errors() tells of those that are skipped."""
+    parsed = texts.where(bundle_fault(F.col("bundle")).isNull()).select(F.from_json("bundle", BUNDLE).alias("b"))
     return tuple(parsed.select(F.explode(f"b.{name}").alias("x")).select("x.*") for name in ("learned", "llm", "free"))
 
 

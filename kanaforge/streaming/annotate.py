@@ -19,8 +19,8 @@ def annotated(lines: DataFrame, readings: DataFrame) -> DataFrame:
     """(doc_id, line_no, ts, ctx, tok_no, text, start, end, key, kana, source) of a stream of (doc_id, line_no, line, ts).
 
     readings: a static table (word, kana, source) of distinct words; words that it lacks have no kana yet."""
-    tokens = lines.select("doc_id", "line_no", "ts", context_key("line").alias("ctx"), tokens_column("line").alias("ts"))
-    tokens = spread_tokens(tokens, "ts")
+    tokens = lines.select("doc_id", "line_no", "ts", context_key("line").alias("ctx"), tokens_column("line").alias("_tokens"))
+    tokens = spread_tokens(tokens, "_tokens")
     flat = tokens.select("doc_id", "line_no", "ts", "ctx", "tok_no", "t.text", "t.start", (F.col("t.start") + F.length("t.text")).alias("end"), word_key("t.text").alias("key"))
     return flat.join(readings.select(F.col("word").alias("text"), "kana", "source"), "text", "left")
 
