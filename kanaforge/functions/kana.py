@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kanaforge.functions.sounds import IRREGULAR, MOST_LETTERS, english, foreign
+from kanaforge.functions.sounds import IRREGULAR, english, foreign
 
 # -- romanised Japanese ------------------------------------------------------------------------------------
 
@@ -142,12 +142,12 @@ def merge_contraction(kana: Column, suffix: Column) -> Column:
 # -- English and other languages by spelling ---------------------------------------------------------------
 
 
-def english_to_kana(word: str | None) -> tuple[str, bool]:
-    """(kana, confident) of an English word by spelling: never empty for a word with a letter."""
-    w = re.sub("[^a-z]", "", (word or "").lower())[:MOST_LETTERS]
+def english_to_kana(word: str | None, irregular: dict[str, str] = IRREGULAR, most: int | None = None) -> tuple[str, bool]:
+    """(kana, confident) of an English word by spelling: never empty for a word with a letter; most: read only so many letters."""
+    w = re.sub("[^a-z]", "", (word or "").lower())[:most]
     if not w:
         return "", False
-    return english(w) or LETTER_NAMES[w[0]], w in IRREGULAR or not uncertain(w)
+    return english(w, irregular) or LETTER_NAMES[w[0]], w in irregular or not uncertain(w)
 
 
 #: Spellings that stand for several sounds: digraphs, silent letters, runs of vowels and of consonants.
