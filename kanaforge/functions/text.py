@@ -53,9 +53,10 @@ def has_western(col: Column | str) -> Column:
     return F.coalesce(_c(col).rlike(f"[{WESTERN}]"), F.lit(False))
 
 
-def context_key(line: Column | str) -> Column:
-    """A sentence as a key: white space folded, cut to a fixed length."""
-    return F.substring(F.trim(F.regexp_replace(_c(line), r"\s+", " ")), 1, CONTEXT_CHARS)
+def context_key(line: Column | str, most: int | None = CONTEXT_CHARS) -> Column:
+    """A sentence as a key: white space folded, cut to a length (None: whole)."""
+    folded = F.trim(F.regexp_replace(_c(line), r"\s+", " "))
+    return folded if most is None else F.substring(folded, 1, most)
 
 
 def context_hash(line: Column | str) -> Column:

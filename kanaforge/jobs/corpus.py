@@ -16,9 +16,9 @@ from kanaforge.operators import lines as P
 _CREDIT = "(" + " OR ".join("regexp_matches(line, '{}')".format(p.replace("'", "''")) for p in P.CREDITS.patterns()) + ")"
 
 
-@query("p1_split_lines", f"WITH {DL} SELECT doc_id, line_no, trim(regexp_replace(line, '\\s+', ' ', 'g'))[1:160] AS ctx FROM dl")
+@query("p1_split_lines", f"WITH {DL} SELECT doc_id, line_no, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS ctx FROM dl")
 def p1(spark, sf):
-    return lines(spark, sf).select("doc_id", "line_no", T.context_key("line").alias("ctx"))
+    return lines(spark, sf).select("doc_id", "line_no", T.context_key("line", None).alias("ctx"))
 
 
 @query("p3_normalize_word", f"WITH {DL}, {DW} SELECT norm, count(*) AS times, count(DISTINCT word) AS forms FROM dw GROUP BY norm")
@@ -75,14 +75,15 @@ def p10(spark, sf):
     return rows.select("doc_id", "line_no", "tok_no", "text", "start", "before", "before_spaced", "after", "after_spaced", "after_digit", "before_digit", "label", "glued", "emoticon", (F.col("japanese_left") | F.col("japanese_right")).alias("japanese"), "other_word")
 
 
-#: Section labels: every document's source in a capital before a colon, as its first line.
-_LABELLED = "dl AS (SELECT doc_id, 0 AS line_no, upper(coalesce(lang, 'x')[1]) || ': ' || string_split(text, chr(10))[1] AS line FROM documents WHERE text IS NOT NULL)"
+#: Section labels: every document's language in a capital before a colon, at the beginning of each line.
+_LABELLED = "dl AS (SELECT doc_id, line_no, mark || ': ' || line AS line FROM (SELECT doc_id, upper(coalesce(lang, 'x')[1]) AS mark, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents))"
 
 
-@query("p9_label_letters", f"WITH {_LABELLED}, {TK} SELECT doc_id, tok_no, text FROM tk WHERE {flag_columns('label').removesuffix(' AS label')}")
+@query("p9_label_letters", f"WITH {_LABELLED}, {TK} SELECT doc_id, line_no, tok_no, text FROM tk WHERE {flag_columns('label').removesuffix(' AS label')}")
 def p9(spark, sf):
-    first = docs(spark, sf).where("text IS NOT NULL").select("doc_id", F.lit(0).alias("line_no"), F.concat(F.upper(F.left(F.coalesce("lang", F.lit("x")), F.lit(1))), F.lit(": "), F.split("text", "\n")[0]).alias("line"))
-    return tokenize(first).where("label").select("doc_id", "tok_no", "text")
+    marked = docs(spark, sf).withColumn("mark", F.upper(F.left(F.coalesce("lang", F.lit("x")), F.lit(1))))
+    labelled = P.split_lines(marked, keep=("mark",)).select("doc_id", "line_no", F.concat("mark", F.lit(": "), "line").alias("line"))
+    return tokenize(labelled).where("label").select("doc_id", "line_no", "tok_no", "text")
 
 
 @query("p11_letter_runs", rf"WITH {DL}, {TK}, {_FEATURES} SELECT doc_id, line_no, regexp_matches(line, '(?:^|[^A-Za-z])[A-Z]\s?[,，、/・&]\s?[A-Z](?:[^A-Za-z]|$)') OR strung >= 2 OR capitals >= 3 AS letter_run, coalesce(len(kinds) >= 2 AND capitals = singles AND len(list_filter(kinds, lambda k: k NOT IN ({_UNITS}))) = 0, false) AS all_units FROM fe")

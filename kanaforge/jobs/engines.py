@@ -114,6 +114,13 @@ def r1(spark, sf):
     return R.read_words(_kinds(spark, sf), hand(spark, sf))
 
 
+@query("r1_lexicon_words", f"WITH {DL}, {DW}, {LEX} SELECT DISTINCT dw.word, kana FROM dw JOIN lx ON lx.word = dw.word WHERE source = 'hand' AND NOT regexp_matches(dw.word, '^(?:aa+|ii+|uu+|ee+|oo+)$')")
+def r1_words(spark, sf):
+    """What the lexicon decides of the words that it has as written: all but runs of one vowel."""
+    read = R.read_words(_kinds(spark, sf), hand(spark, sf)).where("source = 'dict'")
+    return read.join(hand(spark, sf).select("word"), "word", "left_semi").select("word", "kana")
+
+
 _READ = f"""rd AS (SELECT word, CASE WHEN length(word) % 3 = 0 THEN NULL ELSE kana END AS kana, CASE WHEN length(word) % 3 = 0 THEN NULL WHEN length(word) % 2 = 0 THEN 'dict' ELSE 'rule' END AS source, length(word) % 2 = 0 AS confident,
   CASE WHEN length(word) % 4 = 0 THEN 'モ' END AS model, CASE WHEN length(word) % 5 = 0 THEN 'フ' END AS free FROM lx WHERE source = 'hand')"""
 

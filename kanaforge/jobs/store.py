@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kanaforge.functions import kana as K
-from kanaforge.jobs.inputs import ANS, LEX, LETTERS, SPELLED, answers, hand, lexicon
+from kanaforge.jobs.inputs import ANS, LEX, LETTERS, SPELLED, answers, hand, lexicon, spelled
 from kanaforge.jobs.registry import query
 from kanaforge.operators import answers as A
 from kanaforge.operators import lexicon as X
@@ -252,18 +252,26 @@ def t2s(spark, sf):
     return sessions(_events(spark, sf).select("ts", F.col("event_type").alias("kind"), F.col("user_id").alias("session_id"))).select("kind", "session_id", "start", "requests")
 
 
-@query("f19_align_answers", f"WITH q AS (SELECT conv_id AS batch, (turn + 1)::INT AS item, lower(regexp_extract(text, '[A-Za-z]+')) AS word FROM conversations), a AS (SELECT *, CASE WHEN length(word) % 4 = 0 THEN NULL ELSE translate(word, '{LETTERS}', '{SPELLED}') END AS k FROM q), s(l, rows) AS (VALUES {', '.join(f'''('{a}', '{b}')''' for a, b in A.FIRST_SOUNDS.items())}), y AS (SELECT batch, item, word, k, CASE WHEN k IS NULL OR k = '' THEN 'not given' WHEN NOT regexp_matches(k, '^[ァ-ヶー]+$') THEN 'not kana' WHEN length(k) > 14 THEN 'too long' WHEN NOT (s.rows IS NULL OR contains(CASE WHEN word LIKE 'th%' THEN s.rows || '{A.VOICED_TH}' ELSE s.rows END, k[1])) THEN 'first sound' END AS why FROM a LEFT JOIN s ON s.l = word[1]) SELECT batch, item, word, CASE WHEN why IS NULL THEN k END AS kana, why FROM y")
-def f19(spark, sf):
-    from kanaforge.jobs.inputs import spelled
+_TALK = "tw AS (SELECT conv_id AS batch, (turn * 10000 + pos + 1)::INT AS item, lower(w) AS word FROM (SELECT conv_id, turn, unnest(range(len(w))) AS pos, unnest(w) AS w FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+') AS w FROM conversations)))"
+
+
+def _talk(spark, sf):
+    """(batch, item, word): every word of every turn."""
+    talk = spark.read.parquet(f"{sf}/conversations.parquet")
+    words = talk.select(F.col("conv_id").alias("batch"), "turn", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("at", "w"))
+    return words.select("batch", (F.col("turn") * 10000 + F.col("at") + 1).cast("int").alias("item"), F.lower("w").alias("word"))
 
-    asked = spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").alias("batch"), (F.col("turn") + 1).cast("int").alias("item"), F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("word"))
+
+@query("f19_align_answers", f"WITH {_TALK}, a AS (SELECT *, CASE WHEN length(word) % 4 = 0 THEN NULL ELSE translate(word, '{LETTERS}', '{SPELLED}') END AS k FROM tw), s(l, rows) AS (VALUES {', '.join(f"""('{a}', '{b}')""" for a, b in A.FIRST_SOUNDS.items())}), y AS (SELECT batch, item, word, k, CASE WHEN k IS NULL OR k = '' THEN 'not given' WHEN NOT regexp_matches(k, '^[ァ-ヶー]+$') THEN 'not kana' WHEN length(k) > 14 THEN 'too long' WHEN NOT (s.rows IS NULL OR contains(CASE WHEN word LIKE 'th%' THEN s.rows || '{A.VOICED_TH}' ELSE s.rows END, k[1])) THEN 'first sound' END AS why FROM a LEFT JOIN s ON s.l = word[1]) SELECT batch, item, word, CASE WHEN why IS NULL THEN k END AS kana, why FROM y")
+def f19(spark, sf):
+    asked = _talk(spark, sf)
     said = asked.where("length(word) % 4 <> 0").select("batch", F.col("item").cast("string").alias("key"), F.concat(F.lit(" "), spelled(F.col("word"))).alias("value"))
     return A.align_by_index(asked, said)
 
 
-@query("f18_parse_answers")
+@query("f18_parse_answers", f"WITH {_TALK} SELECT DISTINCT batch, word AS key, word AS value, batch % 3 = 0 AS partial FROM tw WHERE batch % 3 <> 0 OR length(word) <= 24")
 def f18(spark, sf):
-    """Answers as JSON text, every third batch cut off before its end."""
-    talk = spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").alias("batch"), F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("w")).where("w <> ''")
-    bodies = talk.groupBy("batch").agg(F.to_json(F.map_from_entries(F.array_distinct(F.transform(F.array_sort(F.collect_set("w")), lambda w: F.struct(w, F.substring(w, 1, 20)))))).alias("j"))
+    """Answers as JSON text, all words of a conversation, every third text cut off before its end: what is saved of those are whole pairs
+    with answers of 24 characters at most."""
+    bodies = _talk(spark, sf).groupBy("batch").agg(F.to_json(F.map_from_entries(F.transform(F.array_sort(F.collect_set("word")), lambda w: F.struct(w, w)))).alias("j"))
     return A.parse_answers(bodies.select("batch", F.when(F.col("batch") % 3 == 0, F.expr("substring(j, 1, length(j) - 1)")).otherwise(F.col("j")).alias("content")))
