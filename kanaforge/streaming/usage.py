@@ -4,12 +4,16 @@ A late event counts for its own day until the watermark passes it; running total
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kanaforge.operators.spans import running_count
+from kanaforge.streaming.ordered import OrderedFold, folded
 
 LATE = "1 day"
+#: A century: totals are not forgotten.
+FOREVER_MS = 36_525 * 86_400_000
 
 
 def _marked(events: DataFrame) -> DataFrame:
@@ -32,9 +36,30 @@ def totals(events: DataFrame, *by: str) -> DataFrame:
     return events.groupBy("kind", *by).agg(F.count("*").alias("requests"), F.sum("words").alias("words"))
 
 
+class Totals(OrderedFold):
+    """The totals of a kind in state."""
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.totals = handle.getValueState("totals", "total long, day string, today long")
+
+    def take(self, key: tuple, row: tuple) -> list[Row]:
+        _, event_id, day = row
+        total, last, today = self.totals.get() if self.totals.exists() else (0, None, 0)
+        now = (total + 1, day, today + 1 if day == last else 1)
+        self.totals.update(now)
+        return [Row(event_id=event_id, kind=key[0], day=day, total=now[0], today=now[2])]
+
+
 def running(events: DataFrame) -> DataFrame:
-    """(event_id, kind, day, total, today): the totals as they stood after each event of a table, in order of time: `today`
-    starts anew with each day. Counts of hours are added up first, so that no task holds all events of a kind."""
+    """(event_id, kind, day, total, today): the totals as they stood after each event, in order of time: `today` starts anew
+    with each day. Over a table, counts of hours are added up first, so that no task holds all events of a kind; a stream folds the events
+    of a kind in order once its watermark has passed them, and keeps totals for good."""
+    if events.isStreaming:
+        rows = events.withWatermark("ts", LATE).select("kind", "ts", F.unix_micros("ts").alias("at"), "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+        row = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in ("at", "event_id", "day")])
+        kinds = {c: rows.schema[c].dataType.simpleString() for c in ("event_id", "kind")}
+        return folded(rows, ["kind"], Totals(["kind"], row, FOREVER_MS), f"event_id {kinds['event_id']}, kind {kinds['kind']}, day string, total long, today long")
     rows = events.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     today = running_count(rows, ["kind", "day"], "ts", ["event_id"], "today")
     return running_count(today, ["kind"], "ts", ["event_id"], "total").select("event_id", "kind", "day", "total", "today")

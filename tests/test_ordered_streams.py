@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kanaforge.streaming import annotate, learn
+from kanaforge.streaming import annotate, learn, usage
 
 BASE = 1_700_000_000
 
@@ -83,3 +83,14 @@ def test_waiting_tokens_come_out_again(spark, tmp_path, parts):
     got = run(source[0], lambda s: annotate.answered(s, source[1]), f"answered{parts}", tmp_path)
     found = sorted(map(tuple, got.where("key <> 'end'").collect()))
     assert found == want
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_running_totals_of_a_stream(spark, tmp_path, parts):
+    r = random.Random(5)
+    rows = [(i, float(BASE + i * 3000), r.choice("aab")) for i in range(120)]
+    table = spark.createDataFrame(rows, "event_id long, ts double, kind string").withColumn("ts", F.timestamp_seconds("ts"))
+    want = sorted(map(tuple, usage.running(table).collect()))
+    arrived = sorted(rows, key=lambda x: x[1] + r.uniform(0, 50_000)) + [(999, float(BASE + 100 * 86_400), "end")]
+    got = run(cut(spark, arrived, "event_id long, ts double, kind string", "ts", parts, tmp_path), usage.running, f"totals{parts}", tmp_path)
+    assert sorted(map(tuple, got.where("kind <> 'end'").collect())) == want and want[-1][3] > 30
