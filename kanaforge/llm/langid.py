@@ -46,6 +46,11 @@ REMEMBERED, LONGEST = 300_000, 64
 PIECE = 1 << 17
 #: Bytes of the sorted arrays up to which they are sent to the executors.
 MOST_BYTES = 256 << 20
+#: Bytes of an n-gram on its way to the arrays, by measure: its text in Arrow and as an object, its hash; each language's number in Arrow,
+#: as an object's share, and in the array.
+GRAM_BYTES = 110
+#: Pieces of a text that are sent to all tasks where words are scored by joins; a piece has LONGEST characters at most.
+FREQUENT = 20_000
 #: Nats of cross-entropy that make the score fall by e.
 TEMPERATURE = 0.1
 OUTPUTS = ["lang_pred", "score", "accepted"]
@@ -347,14 +352,20 @@ def _added(rows: DataFrame, key: str, weight: Column, n: int) -> DataFrame:
 def joined_entropies(rows: DataFrame, model: Model) -> DataFrame:
     """(id, h) of the rows (id, text) with letters: distinct words are scored, rows sum their words."""
     counts, n = table(pieces_of(rows)), len(model.langs)
-    cut = F.udf(lambda w: list(grams_of(w)), "array<string>")
-    kinds = table(counts.where("NOT is_gram").select("piece").distinct().select("piece", F.explode(cut("piece")).alias("gram")).groupBy("piece", "gram").agg(F.count("*").alias("times")))
+    padded = F.concat(F.lit(_BEFORE), "piece", F.lit(_AFTER))
+    grams = F.transform(F.sequence(F.lit(1), F.length("piece") + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))
+    kinds = table(counts.where("NOT is_gram").select("piece").distinct().select("piece", F.explode(grams).alias("gram")).groupBy("piece", "gram").agg(F.count("*").alias("times")))
     asked = kinds.select("gram").unionByName(counts.where("is_gram").select(F.col("piece").alias("gram"))).distinct()
     logs = table(gram_logs(asked, model))
     words = _added(kinds.join(logs, "gram"), "piece", F.col("times"), n).withColumn("is_gram", F.lit(False))
     known = words.unionByName(logs.select(F.col("gram").alias("piece"), "logs", F.lit(True).alias("is_gram")))
     chars = F.when(F.col("is_gram"), F.col("n")).otherwise((F.length("piece") + 1) * F.col("n"))
-    sums = counts.join(known, ["piece", "is_gram"]).withColumn("chars", chars).groupBy("id").agg(F.sum("chars").alias("chars"), F.array(*[F.sum(F.col("logs")[i] * F.col("n")) for i in range(n)]).alias("logs"))
+    # The most frequent pieces are sent to all tasks, FREQUENT of bounded length; the others are exchanged, and none of them is hot.
+    key = ["piece", "is_gram"]
+    hot = table(counts.groupBy(*key).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), *key).limit(FREQUENT).join(known, key).drop("rows"))
+    rest = counts.join(F.broadcast(hot.select(*key)), key, "left_anti").join(known, key)
+    met = counts.join(F.broadcast(hot), key).unionByName(rest)
+    sums = met.withColumn("chars", chars).groupBy("id").agg(F.sum("chars").alias("chars"), F.array(*[F.sum(F.col("logs")[i] * F.col("n")) for i in range(n)]).alias("logs"))
     return sums.select("id", F.transform("logs", lambda x: -x / F.col("chars")).alias("h"))
 
 
@@ -363,7 +374,7 @@ def joined_entropies(rows: DataFrame, model: Model) -> DataFrame:
 
 def scored(docs: DataFrame, model: Model, keep: Column, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(row, h): keep of each row of docs, and its cross-entropies; null without letters."""
-    size = (model.grams.count() + model.contexts.count()) * (8 + 4 * len(model.langs))
+    size = (model.grams.count() + model.contexts.count()) * (GRAM_BYTES + 12 * len(model.langs))
     if size <= most_bytes:
         return docs.select(keep.alias("row"), entropy_column(F.col("text"), Arrays(model), docs.sparkSession).alias("h"))
     rows = table(docs.select(keep.alias("row"), "text", F.monotonically_increasing_id().alias("id")))
