@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from kanaforge.functions import kana as K
 from kanaforge.functions import text as T
 from kanaforge.functions.tokens import tokenize
-from kanaforge.jobs.inputs import DL, DW, LEX, TK, docs, flag_columns, hand, lexicon, lines
+from kanaforge.jobs.inputs import DL, DW, LETTERS, LEX, SPELLED, TK, docs, flag_columns, hand, lexicon, lines
 from kanaforge.jobs.registry import query
 from kanaforge.operators import language as L
 from kanaforge.operators import lexicon as X
@@ -97,10 +99,18 @@ def a5(spark, sf):
     return _features(spark, sf).select("doc_id", "line_no", shape.alias("romaji_shape"))
 
 
-@query("a5_romaji_lines")
+#: Words of two and three letters that are romanised Japanese and spelled out otherwise.
+_SHORT = ("".join(x) for n in (2, 3) for x in product(LETTERS, repeat=n))
+_TWO_WAY = ", ".join(f"'{w}'" for w in _SHORT if (K.romaji_to_kana(w) or "") not in ("", w.translate(str.maketrans(LETTERS, SPELLED))))
+
+
+@query("a5_romaji_lines", f"""WITH {DL}, {LEX}, w AS (SELECT doc_id, line_no, list_filter(regexp_extract_all(lower(line), '[a-z]+'), lambda x: length(x) <= 3 AND NOT regexp_matches(x, '{P.NOT_ROMAJI}')) AS w FROM dl)
+  SELECT doc_id, line_no FROM (SELECT DISTINCT doc_id, line_no, unnest(w) AS word FROM w) JOIN (SELECT DISTINCT word FROM lx WHERE source = 'hand') USING (word) WHERE word IN ({_TWO_WAY}) GROUP BY ALL HAVING count(*) >= {P.ROMAJI_KINDS}""")
 def a5r(spark, sf):
-    """Lines of short words whose readings in the lexicon, spelled out here, are not the romanised ones."""
-    return P.romaji_lines(_features(spark, sf), hand(spark, sf)).select("doc_id", "line_no")
+    """Lines, of which the short words are left, whose readings in the lexicon, spelled out here, are not the romanised ones."""
+    short = F.filter(F.regexp_extract_all(F.lower("line"), F.lit("[a-z]+"), F.lit(0)), lambda w: (F.length(w) <= 3) & ~w.rlike(P.NOT_ROMAJI))
+    sung = lines(spark, sf).select("doc_id", "line_no", F.array_join(short, " ").alias("line"))
+    return P.romaji_lines(P.line_features(P.with_tokens(sung)), hand(spark, sf)).select("doc_id", "line_no")
 
 
 @query("a15_skip_report", f"WITH {DL}, {TK}, {_FEATURES} SELECT CASE WHEN {_CREDIT} THEN 'credit' WHEN {_ART} THEN 'art' WHEN words = 0 THEN 'no_words' ELSE 'annotated' END AS reason, count(*) AS lines FROM fe GROUP BY 1")
