@@ -120,15 +120,15 @@ def a9(spark, sf):
     return _evidence(spark, sf)
 
 
-#: Words of three letters and less that are romanised Japanese; the readings of the tables are spelled out, so all differ.
+#: Words of three letters and less that are romanised Japanese, and how; few readings of the tables, spelled out, are the same.
 _SHORT = {a + b for a in K.SYLLABLES for b in ("", "n", *[x for x in K.SYLLABLES if len(x) < 3]) if len(a + b) <= 3} | {"n" + x for x in K.SYLLABLES if len(x) < 3} | {x * 3 for x in "aiueo"}
-_TWO_WAY = ", ".join(f"'{w}'" for w in sorted(w for w in _SHORT if K.romaji_to_kana(w)))
+_TWO_WAY = ", ".join(f"('{w}', '{K.romaji_to_kana(w)}')" for w in sorted(w for w in _SHORT if K.romaji_to_kana(w)))
 
 
-@query("a10_promote", f"""WITH {_EVIDENCE}, h AS (SELECT word FROM lx WHERE source = 'hand' AND length(word) % 3 = 0), m AS (SELECT word, kana AS old_kana FROM lx WHERE source = 'model'), b AS (SELECT DISTINCT word FROM lx WHERE length(word) = 4), tw(word) AS (SELECT unnest([{_TWO_WAY}]))
+@query("a10_promote", f"""WITH {_EVIDENCE}, h AS (SELECT word FROM lx WHERE source = 'hand' AND length(word) % 3 = 0), m AS (SELECT word, kana AS old_kana FROM lx WHERE source = 'model'), b AS (SELECT DISTINCT word FROM lx WHERE length(word) = 4), tw(word, romaji) AS (VALUES {_TWO_WAY})
   SELECT ev.word, kana, lines, consistent, old_kana, CASE WHEN NOT regexp_matches(ev.word, '^[a-z]+$') THEN 'key' WHEN NOT regexp_matches(kana, '^[ァ-ヶーヿ]+$') THEN 'kana' WHEN length(kana) > 14 THEN 'length' WHEN NOT consistent THEN 'inconsistent' WHEN lines < 2 THEN 'few lines'
-    WHEN b.word IS NOT NULL THEN 'blocked' WHEN ev.word IN (SELECT word FROM tw) THEN 'ambiguous' WHEN h.word IS NOT NULL THEN 'in hand lexicon' WHEN ev.word IN ('und', 'les', 'que') THEN 'foreign' WHEN old_kana = kana THEN 'same' END AS reason
-  FROM ev LEFT JOIN h ON h.word = ev.word LEFT JOIN m ON m.word = ev.word LEFT JOIN b ON b.word = ev.word""")
+    WHEN b.word IS NOT NULL THEN 'blocked' WHEN tw.word IS NOT NULL THEN 'ambiguous' WHEN h.word IS NOT NULL THEN 'in hand lexicon' WHEN ev.word IN ('und', 'les', 'que') THEN 'foreign' WHEN old_kana = kana THEN 'same' END AS reason
+  FROM ev LEFT JOIN h ON h.word = ev.word LEFT JOIN m ON m.word = ev.word LEFT JOIN b ON b.word = ev.word LEFT JOIN tw ON tw.word = ev.word AND tw.romaji <> ev.kana""")
 def a10(spark, sf):
     foreign = spark.sql("SELECT * FROM VALUES ('und'), ('les'), ('que') AS t(word)")
     return A.promote(_evidence(spark, sf), hand(spark, sf).where("length(word) % 3 = 0"), _model(spark, sf), _blocked(spark, sf), foreign)
