@@ -113,3 +113,28 @@ def test_fingerprints_find_copies_by_themselves(spark):
     docs, nodes = nodes_and_docs(spark, texts)
     got = simhash.near_links(docs, nodes.withColumn("bands", F.array().cast("array<long>"))).collect()
     assert len(got) == 1 and {got[0]["u"], got[0]["v"]} <= set(members_of(texts))
+
+
+def test_a_group_around_the_similarity_leaves_as_a_forest(spark):
+    texts = edits_of_one(160, 120, 6, 2)
+    docs, nodes = nodes_and_docs(spark, texts)
+    sets, links = members_of(texts), [tuple(x) for x in simhash.near_links(docs, nodes).collect()]
+    want = groups_of(sets, brute_links(sets))
+    assert groups_of(sets, links) == want and len(set(want.values())) > 5
+    assert all((min(x), max(x)) in set(brute_links(sets)) for x in links)
+    assert len(links) < len(brute_links(sets)) / 2
+
+
+def test_large_buckets_are_cut_into_blocks_with_the_same_links(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_SETS", 7)
+    texts = edits_of_one(60, 120, 6, 3) + [" ".join(f"l{i}" for i in range(3000)), " ".join(f"l{i}" for i in range(100, 3000))]
+    docs, _ = nodes_and_docs(spark, texts)
+    sets = members_of(texts)
+    links = brute_links(sets)
+    known = groups_of(sets, links[: len(links) // 2])  # as if a round before had found half of the links
+    members = spark.createDataFrame([(1, x, len(sets[x]), known[x]) for x in sets], "bucket long, own long, n long, component long")
+    places = simhash.blocks(members).groupBy("bucket", "i", "j").count().collect()
+    assert len(places) > 3 and max(x["count"] for x in places) < 40
+    found = [tuple(x) for x in simhash.verified(members, simhash.shingle_sets(docs).dropDuplicates(["own", "part"])).collect()]
+    assert groups_of(sets, found + links[: len(links) // 2]) == groups_of(sets, links)
+    assert all((min(x), max(x)) in set(links) for x in found)
