@@ -138,3 +138,13 @@ def test_large_buckets_are_cut_into_blocks_with_the_same_links(spark, monkeypatc
     found = [tuple(x) for x in simhash.verified(members, simhash.shingle_sets(docs).dropDuplicates(["own", "part"])).collect()]
     assert groups_of(sets, found + links[: len(links) // 2]) == groups_of(sets, links)
     assert all((min(x), max(x)) in set(links) for x in found)
+
+
+def test_a_bucket_sends_its_sets_and_no_pairs(spark):
+    # the join of a bucket with itself made 400 * 399 / 2 rows of this group, none of which links
+    texts = [" ".join(f"w{i}" if i % 100 > 40 else f"x{k}y{i}" for i in range(200)) for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = members_of(texts)
+    members = spark.createDataFrame([(1, x, len(sets[x]), x) for x in sets], "bucket long, own long, n long, component long")
+    assert simhash.blocks(members).count() == len(sets) == 400
+    assert simhash.verified(members, simhash.shingle_sets(docs)).count() == 0
