@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kanaforge.llm.common import str_values
+from kanaforge.llm.common import remember, str_values
 
 #: Pre-tokens a worker remembers in each of two generations; bounds its memory, never the result.
 REMEMBERED = 400_000
@@ -251,6 +251,7 @@ _KEPT: dict[tuple, Pieces] = {}
 
 def kept_pieces(path: str, pattern: str, ranks) -> Pieces:
     """The pieces of this worker process. ranks: the broadcast vocabulary of path."""
+    remember(_KEPT)
     if (path, pattern) not in _KEPT:
         _KEPT.clear()
         _KEPT[path, pattern] = Pieces(Bpe(ranks.value, pattern))

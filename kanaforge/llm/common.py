@@ -15,6 +15,21 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 256
 
 
+#: What this worker process remembers between its tasks: that of the operator which ran last.
+_IN_USE: list[dict] = []
+
+
+def remember(*found: dict) -> None:
+    """At the start of a task: what its worker process keeps in these for its next tasks.
+
+    What it has kept for another operator is cleared. Workers outlive the stages of a session, so what each operator
+    remembers would add up otherwise. Without arguments nothing is kept."""
+    for other in _IN_USE:
+        if not any(other is x for x in found):
+            other.clear()
+    _IN_USE[:] = found
+
+
 @cache
 def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="kanaforge-")

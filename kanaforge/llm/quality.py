@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kanaforge.llm.common import id_bucket, label_sample, labelled_texts, utf8_values
+from kanaforge.llm.common import id_bucket, label_sample, labelled_texts, remember, utf8_values
 from kanaforge.llm.linear import Ftrl, ordered, sigmoid
 
 DIM = 1 << 18
@@ -52,6 +52,13 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+
+
+def keep_words() -> None:
+    """At the start of a task: its worker process keeps the words for its next tasks."""
+    remember(_WORDS)
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - 18)
 
@@ -93,6 +100,7 @@ def training_rows(sample: DataFrame, text: str = "text") -> DataFrame:
     """(y, at, x) of each row of a bounded sample (y, text)."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_words()
         for part in parts:
             rows = [distinct(*features(t)) for t in utf8_values(part.column(1))]
             yield pa.RecordBatch.from_arrays(
@@ -116,6 +124,7 @@ def score_column(docs: DataFrame, weights: np.ndarray, text: str = "text") -> Co
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keep_words()
         w = model.value
         for batch in batches:
             raw = []

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kanaforge.llm.common import packed, table, utf8_values
+from kanaforge.llm.common import packed, remember, table, utf8_values
 from kanaforge.llm.graph import components
 
 BITS = 64
@@ -463,6 +463,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, t, own, n, fp, bands): a hash of each document's text; name, size, fingerprint and band keys of its shingle set."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember()
         for part in parts:
             own, sizes, prints, keys = [], [], [], []
             for text in utf8_values(part.column(1)):

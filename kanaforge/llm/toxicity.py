@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kanaforge.llm.common import id_bucket, label_sample, labelled_texts, str_values, utf8_values
+from kanaforge.llm.common import id_bucket, label_sample, labelled_texts, remember, str_values, utf8_values
 from kanaforge.llm.linear import Ftrl, ordered, sigmoid
 
 BITS = 18
@@ -53,6 +53,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Counts of the 28^3 symbol trigrams over all documents: summed in each task, then by trigram."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember()
         total = np.zeros(SYMBOLS**3, np.int64)
         for part in parts:
             for t in utf8_values(part.column(0)):
@@ -210,6 +211,7 @@ _KEPT: dict[str, tuple[Restorer, dict[str, int]]] = {}
 
 
 def kept(cost: np.ndarray) -> tuple[Restorer, dict[str, int]]:
+    remember(_KEPT)
     key = str(hash(cost.tobytes()))
     if key not in _KEPT:
         _KEPT.clear()
