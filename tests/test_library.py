@@ -254,6 +254,18 @@ def test_annotate_and_strip_are_inverse(spark):
     assert got[0]["markup"] == "青い {stone|カナ|dict} と 🎌 {river|カナ|dict?}。" and got[4]["markup"] == "{stone|カナ|dict}"
 
 
+def test_lines_are_annotated_in_their_rows(spark):
+    texts = ["Stone {a|b} stone\\river", "", None, "no word", "stonestone 石stone*rivers RIVER", "|"]
+    lex = spark.sql("SELECT * FROM VALUES ('stone', 'ストーン'), ('river', 'リバー'), ('no', NULL) AS t(word, kana)")
+    here, joined = (cascade.annotate_words(rows_of(spark, texts), lex, most=most) for most in (10_000, 0))
+    plan = here._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Join" not in plan
+    assert sorted(here.collect()) == sorted(joined.collect())
+    got = {r["doc_id"]: r["markup"] for r in here.collect()}
+    assert got[0] == "{Stone|ストーン|dict} \\{a\\|b\\} {stone|ストーン|dict}\\\\{river|リバー|dict}" and got[2] is None and got[4] == "stonestone 石{stone|ストーン|dict}*rivers {RIVER|リバー|dict}"
+    assert [r["s"] for r in here.orderBy("doc_id").select(cascade.strip(F.col("markup")).alias("s")).collect()] == texts
+
+
 def test_read_words_and_layer_orders(spark):
     assert T.layer_order(["rule", "rule", "nope", "dict"]) == ["rule", "dict", "romaji", "model", "free"]
     assert T.order_warnings(["rule", "dict"]) and not T.order_warnings(["dict", "rule"])
