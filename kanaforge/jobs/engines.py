@@ -136,15 +136,9 @@ _ESCAPED = r"replace(replace(replace(replace({}, '\', '\\'), '{{', '\{{'), '|',
 _PLACED = r"""pw AS (SELECT doc_id, line_no, line, w, gap, unnest(range(len(w)))::INT AS word_no, unnest(w) AS word FROM (SELECT *, regexp_extract_all(line, '[A-Za-z]+') AS w, regexp_split_to_array(line, '[A-Za-z]+') AS gap FROM dl))"""
 
 
-def _spans(spark, sf):
-    placed = P.placed_words(lines(spark, sf), "[A-Za-z]+")
-    known = hand(spark, sf).select(F.col("word").alias("k"), "kana")
-    return placed.join(known, F.lower("word") == F.col("k")).select("doc_id", "line_no", "start", (F.col("start") + F.length("word")).alias("end"), "kana", F.lit("dict").alias("source"))
-
-
 @query("r6_annotate", f"WITH {DL}, {LEX}, {_PLACED}, m AS (SELECT doc_id, line_no, string_agg({_ESCAPED.format('gap[word_no + 1]')} || CASE WHEN kana IS NULL THEN pw.word ELSE '{{' || pw.word || '|' || kana || '|dict}}' END, '' ORDER BY word_no) || max({_ESCAPED.format('gap[len(w) + 1]')}) AS markup FROM pw LEFT JOIN (SELECT word, kana FROM lx WHERE source = 'hand') h ON h.word = lower(pw.word) GROUP BY ALL) SELECT doc_id, line_no, coalesce(markup, {_ESCAPED.format('line')}) AS markup FROM dl LEFT JOIN m USING (doc_id, line_no)")
 def r6(spark, sf):
-    return R.annotate(lines(spark, sf), _spans(spark, sf))
+    return R.annotate_words(lines(spark, sf), hand(spark, sf))
 
 
 @query("r7_strip", f"WITH {DL} SELECT doc_id, line_no, line AS stripped FROM dl")
